@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from corpusloom.llm.common import table
+from corpusloom.llm.language import identify_language
 from corpusloom.llm.near_dup import near_duplicates
+from corpusloom.llm.packing import pack
+
+
+def op1_language_id(spark, sf_dir):
+    return identify_language(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op7_packing(spark, sf_dir):
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op7_packing)}
 ORACLE: dict[str, str] = {}
