@@ -7,7 +7,6 @@ once by the tokenizer and then looked up by a 64-bit hash. Any other text goes t
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
@@ -15,14 +14,20 @@ from corpusloom.llm.common import U64, Rolling
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 CLASSES = np.array([SPACE if b in b" \t\n\r" else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else OTHER for b in range(256)], np.int8)
-#: Bytes beyond these, or the start of a special token's name, send a text to the tokenizer.
-UNUSUAL = re.compile(rb"[^\t\n\r\x20-\x7e\x80-\xbf\xc3]|<\||(?<!\xc3)[\x80-\xbf]|\xc3[\x97\xb7]")
+#: White space, printable ASCII, and the bytes of U+00C0..U+00FF.
+USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3])
+#: Two signs that aren't letters, and the start of a special token's name.
+ODD = (b"\xc3\x97", b"\xc3\xb7", b"<|")
 #: What the tokenizer's pattern takes together with an apostrophe, longest last.
 ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
 SLOT_BITS = 22
 MAX_WORDS = 1_500_000
 
 
+def unusual(doc: bytes) -> bool:
+    return bool(doc.translate(None, USUAL)) or any(x in doc for x in ODD)
+
+
 def lowered(blob: bytes) -> np.ndarray:
     data = np.frombuffer(blob.lower(), np.uint8).copy()
     at = np.flatnonzero(data[:-1] == 0xC3) + 1
@@ -100,7 +105,7 @@ class Encoder:
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        odd = [i for i, d in enumerate(docs) if UNUSUAL.search(d)]
+        odd = [i for i, d in enumerate(docs) if unusual(d)]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
         if odd:
             for i, ids in zip(odd, self.whole([docs[i] for i in odd]), strict=True):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from corpusloom.llm.common import table
+from corpusloom.llm.fingerprints import fingerprint_documents
 from corpusloom.llm.language import identify_language
 from corpusloom.llm.near_dup import near_duplicates
 from corpusloom.llm.packing import pack
+from corpusloom.llm.sharding import shard_documents
 
 
 def op1_language_id(spark, sf_dir):
@@ -16,9 +18,17 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark, sf_dir):
+    return shard_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprint_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op7_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op5_sharding, op6_fingerprints, op7_packing)}
 ORACLE: dict[str, str] = {}
