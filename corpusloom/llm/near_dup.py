@@ -95,16 +95,16 @@ def _sketches(p: Params):
 
 
 def _bands(p: Params):
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int64()), ("rid", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, p.bands, p.rows)
             key = (regs.astype(U64) * salts(p.rows, 3)).sum(2, dtype=U64) if p.rows != 4 else regs.copy().view(U64)[:, :, 0]
             key = mix(key + salts(p.bands, 9))
-            yield batches({"key": key.view(np.int64).ravel(), "rid": np.repeat(batch.column(0).to_numpy(), p.bands)}, schema)
+            yield batches({"key": key.view(np.int64).ravel(), "band": np.tile(np.arange(p.bands), len(regs)), "rid": np.repeat(batch.column(0).to_numpy(), p.bands)}, schema)
 
-    return run, "key long, rid long"
+    return run, "key long, band long, rid long"
 
 
 def _pruned(p: Params):
@@ -126,22 +126,37 @@ def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p: P
     return sizes & (likely_similarity(a, b, na, nb) >= p.percent / 100 - p.prune)
 
 
-def _block_pairs(p: Params):
-    """Pairs of different components within the blocks of a bucket; input sorted by key, bi, bj."""
+def _block_links(p: Params):
+    """A spanning forest of the links between different components within each pair of blocks; input sorted by key, bi, bj.
+
+    A pair is looked at only in the first band in which it meets, and only if nothing found here joins it already.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     m = p.bands * p.rows
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        rid, comp, n, mine, bi, bj = (t.column(c).to_numpy() for c in ("rid", "comp", "n", "mine", "bi", "bj"))
+        rid, comp, n, band, mine, bi, bj = (t.column(c).to_numpy() for c in ("rid", "comp", "n", "band", "mine", "bi", "bj"))
+        comp = comp.copy()
         regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, m)
-        left = np.flatnonzero(mine == bi[0])
+        keys = regs.reshape(-1, p.bands, p.rows)
+        sets = [np.frombuffer(x, U64) for x in t.column("members").to_pylist()]
         right = np.flatnonzero(mine == bj[0])
-        for i in left:
+        for i in np.flatnonzero(mine == bi[0]):
             r = right[(comp[right] != comp[i]) & ((bi[0] != bj[0]) | (rid[right] > rid[i]))]
+            r = r[~(keys[r, : band[0]] == keys[i, : band[0]]).all(2).any(1)]
             if len(r):
                 r = r[_may_link(np.broadcast_to(regs[i], (len(r), m)), regs[r], np.full(len(r), n[i]), n[r], p)]
+            if not len(r):
+                continue
+            flat = np.concatenate([sets[j] for j in r])
+            near = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][near] == flat).astype(np.int64), np.cumsum([0, *(len(sets[j]) for j in r[:-1])]))
+            r = r[100 * both >= p.percent * (n[i] + n[r] - both)]
+            _, once = np.unique(comp[r], return_index=True)
+            r = r[once]
             if len(r):
                 yield batches({"u": np.minimum(rid[i], rid[r]), "v": np.maximum(rid[i], rid[r])}, schema)
+                comp[np.isin(comp, comp[r])] = comp[i]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -188,6 +203,23 @@ def _confirmed(p: Params):
     return run, "u long, v long"
 
 
+def _in_blocks(left: DataFrame, p: Params) -> DataFrame:
+    """Each member once for each pair of blocks that it takes part in.
+
+    A bucket's largest component doesn't meet itself: its members are dealt to blocks -1, -2, ..., all others to blocks
+    0, 1, ...; those meet each other and the largest component's.
+    """
+    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = sizes.select("key", F.col("top.comp").alias("top"), F.expr(f"cast(ceil((all - top.n) / {p.block}) as int)").alias("minor"), F.expr(f"cast(ceil(top.n / {p.block}) as int)").alias("major"))
+    rows = left.join(sizes, "key")
+    small = rows.where("comp <> top").withColumn("mine", F.expr("cast(pmod(xxhash64(rid), minor) as int)"))
+    small = small.withColumn("other", F.explode(F.expr("sequence(-major, minor - 1)")))
+    small = small.withColumn("bi", F.when(F.col("other") < 0, F.col("mine")).otherwise(F.least("mine", "other"))).withColumn("bj", F.when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("mine", "other")))
+    large = rows.where("comp = top").withColumn("mine", F.expr("cast(-1 - pmod(xxhash64(rid), major) as int)")).withColumn("bi", F.explode(F.expr("sequence(0, minor - 1)"))).withColumn("bj", F.col("mine"))
+    kept = ["key", "band", "rid", "comp", "mine", "bi", "bj"]
+    return small.select(kept).union(large.select(kept))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -210,11 +242,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     members = scratch.put(bands.join(buckets, "key").where("rid <> pivot"))
     sketches = nodes.select("rid", "n", "sketch")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        make, shape = _sets(p)
+        return scratch.put(docs.select("doc_id", "text").join(small_side(wanted, 4_000_000), "doc_id", "left_semi").mapInArrow(make, shape))
+
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.put(pairs)
-        wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        make, shape = _sets(p)
-        sets = scratch.put(docs.select("doc_id", "text").join(small_side(wanted, 4_000_000), "doc_id", "left_semi").mapInArrow(make, shape))
+        sets = sets_of(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
         check, shape = _confirmed(p)
         both = pairs.join(sets.withColumnsRenamed({"rid": "v", "members": "b"}), "v").join(sets.withColumnsRenamed({"rid": "u", "members": "a"}), "u")
         out = scratch.put(both.select("u", "v", "a", "b").mapInArrow(check, shape).distinct())
@@ -230,24 +264,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     groups = scratch.put(connected(links, scratch))
 
     def open_members(of: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold more than one component."""
-        named = of.join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-        apart = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min(F.struct("rid", "comp")).alias("p")).where("low < high")
-        return named.join(apart.select("key", "size", "p"), "key")
+        """Members of the buckets that still hold more than one component, with the bucket's next pivot."""
+        named = of.join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("key", "band", "rid", F.coalesce("comp", "rid").alias("comp"))
+        apart = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rid", "comp")).alias("p")).where("low < high")
+        return named.join(apart.select("key", "p"), "key")
 
-    left = scratch.put(open_members(members.select("key", "rid")))
+    left = scratch.put(open_members(members.select("key", "band", "rid")))
     pairs = left.where("comp <> p.comp").select(F.col("p.rid").alias("u"), F.col("rid").alias("v")).distinct()
     more = stars(pairs)
     if not more.isEmpty():
         links = links.union(more)
         groups = scratch.put(connected(links, scratch))
-    left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "rid")))
+    left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "band", "rid")))
     if not left.isEmpty():
-        cut = left.withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(rid), blocks) as int)"))
-        cut = cut.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "rid", "comp", "mine", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"))
-        fn, kind = _block_pairs(p)
-        cut = cut.join(sketches, "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
-        more = confirm(cut.select("key", "bi", "bj", "mine", "rid", "comp", "n", "sketch").mapInArrow(fn, kind).distinct())
+        sets = sets_of(left.select(F.col("rid").alias("doc_id")).distinct())
+        fn, kind = _block_links(p)
+        cut = _in_blocks(left, p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
+        more = scratch.put(cut.select("key", "bi", "bj", "mine", "band", "rid", "comp", "n", "sketch", "members").mapInArrow(fn, kind).distinct())
         if not more.isEmpty():
             links = links.union(more)
             groups = scratch.put(connected(links, scratch))
