@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import Scratch, table
+from corpusloom.llm import decontamination
+from corpusloom.llm.decontamination import find_contamination
 from corpusloom.llm.fingerprints import fingerprint_documents
 from corpusloom.llm.language import identify_language
 from corpusloom.llm.near_dup import near_duplicates
 from corpusloom.llm.packing import pack
+from corpusloom.llm.quality import gumbel_top_k, score_quality
+from corpusloom.llm.repeats import remove_repeats
 from corpusloom.llm.sharding import shard_documents
 
 
@@ -18,6 +22,14 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
+
+
+def op4_suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark, sf_dir):
     return shard_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -30,5 +42,10 @@ def op7_packing(spark, sf_dir):
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op5_sharding, op6_fingerprints, op7_packing)}
-ORACLE: dict[str, str] = {}
+def op9_quality_classifier(spark, sf_dir):
+    scored = Scratch(spark).put(score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return gumbel_top_k(scored, 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op9_quality_classifier)}
+ORACLE: dict[str, str] = {"op3_decontamination": decontamination.SQL}
