@@ -7,11 +7,13 @@ from corpusloom.llm import decontamination
 from corpusloom.llm.decontamination import find_contamination
 from corpusloom.llm.fingerprints import fingerprint_documents
 from corpusloom.llm.language import identify_language
+from corpusloom.llm.licenses import scan_licenses
 from corpusloom.llm.near_dup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import gumbel_top_k, score_quality
 from corpusloom.llm.repeats import remove_repeats
 from corpusloom.llm.sharding import shard_documents
+from corpusloom.llm.token_counts import count_tokens
 
 
 def op1_language_id(spark, sf_dir):
@@ -42,10 +44,18 @@ def op7_packing(spark, sf_dir):
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_license_scans(spark, sf_dir):
+    return scan_licenses(spark, table(spark, sf_dir, "documents")).drop("hits")
+
+
 def op9_quality_classifier(spark, sf_dir):
     scored = Scratch(spark).put(score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return gumbel_top_k(scored, 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op9_quality_classifier)}
+def op10_token_counts(spark, sf_dir):
+    return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op8_license_scans, op9_quality_classifier, op10_token_counts)}
 ORACLE: dict[str, str] = {"op3_decontamination": decontamination.SQL}

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm.common import U64, Rolling, Scratch, batches, slices, texts
 from corpusloom.llm.parsing import corpus_order
@@ -149,13 +151,13 @@ def _strings(length: int):
     return run, "doc_id long, h long, start long, weight long, c1 long, c2 long"
 
 
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, carry: list[pa.Field]):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema([*fields, *[("kept", pa.string())] * keep_text])
+    schema = pa.schema([*fields, *[("kept", pa.string())] * keep_text, *carry])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = []
+            rows, same = [], [batch.column(f.name) for f in carry]
             for name, doc, spans in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 kept, at, removed, n = [], 0, 0, 0
                 open_from = open_to = -1
@@ -171,9 +173,9 @@ def _cut(keep_text: bool):
                 row = (name, len(doc), removed, n, hashlib.sha256(rest).hexdigest())
                 rows.append((*row, rest.decode("utf-8", "ignore")) if keep_text else row)
             if rows:
-                yield batches(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
+                yield batches(dict(zip(schema.names, [*zip(*rows, strict=True), *same], strict=True)), schema)
 
-    return run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    return run
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
@@ -201,8 +203,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     return scratch.put(whole.union(some).union(hot))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as ``kept``, if asked for).
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as
+    ``kept`` and the columns in ``carry``, if asked for).
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else, the same document
     included. Every string is named by its trigger; strings between two changes of trigger stand or fall together where
@@ -216,7 +219,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     scratch = Scratch(spark)
     spans = repeated_spans(spark, docs, scratch, length, gram)
     spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *(carry or []))
     out = rows.join(spans.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
-    fn, kind = _cut(keep_text)
-    return out.select("doc_id", "text", "spans").mapInArrow(fn, kind)
+    carry = carry or []
+    kind = T.StructType([T.StructField(n, T.StringType() if "sha" in n or n == "kept" else T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)] + [docs.schema[c] for c in carry])
+    fn = _cut(keep_text, [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in carry])
+    return out.select("doc_id", "text", "spans", *carry).mapInArrow(fn, kind)
