@@ -1,4 +1,105 @@
-"""Registered queries of the search engine and their SQL."""
+"""Registered queries of the search engine over ``documents`` and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions.sexpr import compile_expression
+from corpusloom.operators import index, snippets
+from corpusloom.operators.constraints import constrained
+from corpusloom.plans.query import Searcher
+from corpusloom.sources.tokens import plain_tokens, with_sentences
+
+TOKENS = r"t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token, lower(w[i]) AS lower FROM t0, unnest(generate_series(1, len(w))) AS g(i)), s AS (SELECT *, coalesce(sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sen_no FROM t)"
+MINIMAL = "SELECT doc_id, l, r FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = a.doc_id AND b.l >= a.l AND b.r <= a.r AND (b.l <> a.l OR b.r <> a.r))"
+
+
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def tokens(spark, sf_dir):
+    return plain_tokens(docs(spark, sf_dir))
+
+
+def at(word: str) -> str:
+    return f"(SELECT DISTINCT doc_id, pos AS l, pos AS r FROM t WHERE lower = '{word}')"
+
+
+def both(a: str, b: str) -> str:
+    """SQL of all candidate intervals of two terms: each with the nearest other before or after it."""
+    pair = "SELECT x.doc_id, {l} AS l, {r} AS r FROM {x} x ASOF JOIN {y} y ON x.doc_id = y.doc_id AND x.r >= y.r"
+    return " UNION ".join(pair.format(l="least(x.l, y.l)", r="x.r", x=x, y=y) for x, y in ((at(a), at(b)), (at(b), at(a))))
+
+
+def search(text: str, sentences: bool = False):
+    def run(spark, sf_dir):
+        table = tokens(spark, sf_dir)
+        return Searcher(with_sentences(table) if sentences else table).search(text, "lower")
+
+    return run
+
+
+def term_postings(spark, sf_dir):
+    found = index.postings(tokens(spark, sf_dir), "lower")
+    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def page_of_snippets(spark, sf_dir):
+    """The first pages of a search, up to 100 snippets, in words around each interval."""
+    table = tokens(spark, sf_dir)
+    found = snippets.page(Searcher(table).search("of < that", "lower"), 100)
+    return snippets.plain_snippets(found, table)
+
+
+def constraint(text: str):
+    def run(spark, sf_dir):
+        table = tokens(spark, sf_dir)
+        s, query = Searcher(table), "(1:of 2:prefix*)~6".replace("prefix", "th")
+        return constrained(s.search(query, "lower"), s.labelled(query, "lower"), table, text)
+
+    return run
+
+
+EXPRESSION = '(concatenate (or (if (eq lang "en") "english") "other") "-" (subst #\\r #\\R (replace "src" "source " source)))'
+
+
+def expression(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", compile_expression(EXPRESSION, lambda n: F.col(n) if n in ("lang", "source") else None).alias("shown"))
+
+
+def sentence_sizes(spark, sf_dir):
+    return with_sentences(tokens(spark, sf_dir)).groupBy("doc_id", F.col("sen_no").cast("long").alias("sen_no")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
+NEAR = f"c0 AS ({both('of', 'that')}), c AS (SELECT * FROM c0), a AS ({MINIMAL})"
+PAIRS = "p AS (SELECT doc_id, pos AS l, pos AS r FROM t WHERE starts_with(lower, 'th')), o AS (SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'of'), c AS (SELECT o.doc_id, least(o.l, p.l) AS l, greatest(o.r, p.r) AS r FROM o JOIN p ON o.doc_id = p.doc_id AND abs(o.l - p.l) < 6)"
+#: name: (query, SQL)
+_ALL = {
+    "tokenize": (lambda s, d: tokens(s, d), f"WITH {TOKENS} SELECT doc_id, pos, token, lower FROM t"),
+    "sentences": (sentence_sizes, f"WITH {TOKENS} SELECT doc_id, CAST(sen_no AS BIGINT) AS sen_no, count(*) AS n, min(pos) AS first FROM s GROUP BY ALL"),
+    "index_postings": (term_postings, f"WITH {TOKENS} SELECT lower AS term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS lower FROM t) GROUP BY ALL"),
+    "index_terms": (lambda s, d: index.term_stats(tokens(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM p GROUP BY term"),
+    "index_totals": (lambda s, d: index.index_totals(tokens(s, d), docs(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM p GROUP BY term) SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT max(pos) + 1 FROM t) AS maxdocsize, (SELECT count(*) FROM documents) AS documents FROM q"),
+    "search_term": (search("that"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'that'"),
+    "search_field": (search("token:That"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE token = 'That'"),
+    "search_prefix": (search("then*"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE starts_with(lower, 'then')"),
+    "search_values": (search("lower:(of OR that OR und)"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower IN ('of', 'that', 'und')"),
+    "search_and": (search("of that"), f"WITH {TOKENS}, c AS ({both('of', 'that')}) {MINIMAL}"),
+    "search_or": (search("(of | lower:that)"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower IN ('of', 'that')"),
+    "search_not": (search("that !of"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'that' AND doc_id NOT IN (SELECT doc_id FROM t WHERE lower = 'of')"),
+    "search_not_alone": (search("!of"), f"WITH {TOKENS} SELECT DISTINCT doc_id, CAST(NULL AS INTEGER) AS l, CAST(NULL AS INTEGER) AS r FROM t WHERE doc_id NOT IN (SELECT doc_id FROM t WHERE lower = 'of')"),
+    "search_phrase": (search('"of the"'), f"WITH {TOKENS} SELECT a.doc_id, a.pos AS l, b.pos AS r FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.lower = 'of' AND b.lower = 'the'"),
+    "search_ordered": (search("of < that"), f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r) {MINIMAL}"),
+    "search_near": (search("(of that)~5"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE r - l + 1 <= 5"),
+    "search_aligned": (search("token:That ^ lower:that"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE token = 'That' AND lower = 'that'"),
+    "search_difference": (search("(of that) - the"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = a.doc_id AND lower = 'the' AND pos BETWEEN a.l AND a.r)"),
+    "search_sentence": (search("(of that) - _SENT_", True), f"WITH {TOKENS}, {NEAR} SELECT a.doc_id, a.l, a.r FROM a JOIN s x ON x.doc_id = a.doc_id AND x.pos = a.l JOIN s y ON y.doc_id = a.doc_id AND y.pos = a.r WHERE x.sen_no = y.sen_no"),
+    "constraint_equal": (constraint("2.lower = that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
+    "constraint_unequal": (constraint("2.lower != that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
+    "constraint_pair": (constraint("1.lower != 2.lower and 2.lower = the"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'the')"),
+    "snippet_page": (page_of_snippets, f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r), m AS ({MINIMAL}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), k AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS page FROM n), g AS (SELECT page, coalesce(sum(sum(n)) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY page), f AS (SELECT m.* FROM m JOIN k USING (doc_id) JOIN g USING (page) WHERE before < 100) SELECT f.doc_id, f.l, f.r, string_agg(regexp_replace(regexp_replace(token, '\\|G\\S*', '', 'g'), '[¶§]', '', 'g'), ' ' ORDER BY pos) AS snippet FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos BETWEEN f.l - 5 AND f.r + 5 GROUP BY ALL"),
+    "scalar_expression": (expression, "SELECT doc_id, concat(CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END, '-', translate(replace(source, 'src', 'source '), 'r', 'R')) AS shown FROM documents"),
+}
+QUERIES = {name: q for name, (q, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items()}
