@@ -117,12 +117,12 @@ def _scores(m: Model):
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
-    """Least value to keep: between the classes where they lie apart, else the one that keeps ``keep`` of the good."""
+    """Least value to keep: under all but 1 - ``keep`` of the good, half-way down to the next bad one."""
     if not len(good) or not len(bad):
         return -np.inf
     low = float(np.quantile(good, 1 - keep))
     under = bad[bad < low]
-    return (low + float(under.max())) / 2 if len(under) and keep < 1 and float(good.min()) >= low else low
+    return (low + float(under.max())) / 2 if len(under) else low
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> Model:
