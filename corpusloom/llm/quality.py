@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import U64, Rolling, batches, mix, slices, small_side, texts, word_spans
+from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, slices, small_side, texts, word_spans
 
 SPACE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
+#: Evidence of a text without any word that is more frequent in toxic texts.
+LEAST = -50.0
+
+
 @dataclass(frozen=True)
 class Params:
     """grams: byte grams and grams of word shapes share 2**bits buckets; words of labelled texts have 2**word_bits for the
@@ -24,7 +28,7 @@ class Params:
     the Gumbel top-k draws."""
 
     bits: int = 15
-    word_bits: int = 18
+    word_bits: int = 22
     keep: float = 0.998
     sample: float = 0.5
     least_toxic: int = 4
@@ -32,10 +36,11 @@ class Params:
 
 @dataclass
 class Model:
-    """Log ratios target : raw of each bucket, log ratios toxic : clean of each word bucket, and the two thresholds."""
+    """Log ratios target : raw of each bucket; word buckets more frequent in toxic than in clean texts with their log ratios; both thresholds."""
 
     ratio: np.ndarray
-    toxic: np.ndarray
+    toxic_words: np.ndarray
+    toxic_ratios: np.ndarray
     least: float = -np.inf
     most_toxic: float = np.inf
     params: Params = field(default_factory=Params)
@@ -89,7 +94,7 @@ def _counts(p: Params):
                 for k, label in ((0, 1), (1, 0)):
                     own = toxic[a:b][of] == label
                     pairs = np.unique((of[own].astype(np.int64) << p.word_bits) | word[own])
-                    words[k] += np.bincount(pairs & ((1 << p.word_bits) - 1), minlength=1 << p.word_bits)
+                    np.add.at(words[k], pairs & ((1 << p.word_bits) - 1), 1)
                     both[k] += (toxic[a:b] == label).sum()
         for kind, counts in ((0, grams[0]), (1, grams[1]), (2, words[0]), (3, words[1]), (4, both[:1]), (5, both[1:])):
             at = np.flatnonzero(counts)
@@ -102,14 +107,16 @@ def _scores(m: Model):
     schema = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64()), ("mean_ratio", pa.float64()), ("toxic_ratio", pa.float64()), ("kept", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = np.full(1 << m.params.word_bits, LEAST, np.float32)
+        evidence[m.toxic_words] = m.toxic_ratios
         for batch in it:
             docs = texts(batch.column("text"))
             for a, b in slices([len(x) for x in docs]):
                 bucket, doc, word, of = features(docs[a:b], m.params)
                 n = np.bincount(doc, minlength=b - a)
                 total = np.bincount(doc, m.ratio[bucket], b - a)
-                toxic = np.full(b - a, -50.0)
-                np.maximum.at(toxic, of, m.toxic[word])
+                toxic = np.full(b - a, LEAST)
+                np.maximum.at(toxic, of, evidence[word])
                 mean = total / np.maximum(n, 1)
                 yield batches({"doc_id": batch.column("doc_id").slice(a, b - a).cast(pa.int64()), "n_grams": n, "log_weight": total, "mean_ratio": mean, "toxic_ratio": toxic, "kept": (n > 0) & (mean >= m.least) & (toxic <= m.most_toxic)}, schema)
 
@@ -133,18 +140,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> Mod
     rows = docs.select("doc_id", "text").join(small_side(known), "doc_id", "left")
     learn = rows.select("text", F.expr("int(not held and quality = 1 and toxic = 0)").alias("good"), F.expr("if(held or quality = 0, null, toxic)").alias("toxic"))
     fn, kind = _counts(p)
-    sums = learn.mapInArrow(fn, kind).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).where(f"kind < 2 or kind > 3 or n >= {p.least_toxic}")
-    sums = sums.toPandas()
-    counts = np.zeros((4, max(1 << p.bits, 1 << p.word_bits)))
-    for k in range(4):
-        part = sums[sums.kind == k]
-        counts[k][part.bucket.to_numpy()] = part.n.to_numpy()
-    size = 1 << p.bits
-    raw, target = counts[0][:size] + 0.5, counts[1][:size] + 0.5
+    sums = Scratch(docs.sparkSession).put(learn.mapInArrow(fn, kind).groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
+    grams = sums.where("kind < 2 or kind > 3").toPandas()
+    words = sums.where("kind in (2, 3)").groupBy("bucket").agg(F.sum(F.expr("if(kind = 2, n, 0)")).alias("t"), F.sum(F.expr("if(kind = 3, n, 0)")).alias("c"))
+    words = words.where(f"t >= {p.least_toxic} and t > c").toPandas()
+    raw, target = (np.full(1 << p.bits, 0.5) for _ in range(2))
+    for k, counts in ((0, raw), (1, target)):
+        counts[grams[grams.kind == k].bucket.to_numpy()] += grams[grams.kind == k].n.to_numpy()
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    bad, clean = (float(sums[sums.kind == k].n.sum()) for k in (4, 5))
-    toxic = np.where(counts[2] >= p.least_toxic, np.log((counts[2] + 0.5) / (bad + 1)) - np.log((counts[3] + 0.5) / (clean + 1)), -50.0)[: 1 << p.word_bits]
-    m = Model(ratio, toxic, params=p)
+    bad, clean = (float(grams[grams.kind == k].n.sum()) for k in (4, 5))
+    toxic = np.log((words.t.to_numpy(float) + 0.5) / (bad + 1)) - np.log((words.c.to_numpy(float) + 0.5) / (clean + 1))
+    m = Model(ratio, words.bucket.to_numpy(), toxic, params=p)
     fn, kind = _scores(m)
     held = docs.select("doc_id", "text").join(small_side(known.where("held")), "doc_id", "left_semi").mapInArrow(fn, kind)
     table = held.join(known, "doc_id").groupBy(F.round("mean_ratio", 3).alias("r"), F.round("toxic_ratio", 2).alias("t"), F.col("quality") == 1, F.col("toxic") == 1).agg(F.count("*").alias("n")).toDF("r", "t", "good", "toxic", "n").toPandas()
