@@ -1,6 +1,7 @@
 """Documents for training, stage by stage: quality, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``, with the text they leave.
+Rows with a null doc_id are judged by their text like all others; null and empty texts fail the quality stage.
 """
 
 from __future__ import annotations
@@ -12,24 +13,30 @@ from corpusloom.llm.common import Scratch, small_side, table
 from corpusloom.llm.decontamination import find_contamination
 from corpusloom.llm.near_dup import near_duplicates
 from corpusloom.llm.packing import pack
-from corpusloom.llm.quality import score_quality
+from corpusloom.llm.quality import accepted
 from corpusloom.llm.repeats import remove_repeats
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(small_side(ids), "doc_id", "left_semi")
+def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with (left_semi) or without (left_anti) a key (doc_id, text_hash)."""
+    d, k = docs.alias("d"), small_side(keys).alias("k")
+    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash")), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = Scratch(spark).put(score_quality(spark, docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id"))
-    return _of(docs, scored)
+    return accepted(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = Scratch(spark).put(near_duplicates(spark, docs).where("kept").select("doc_id"))
-    return _of(docs, kept)
+    """One document of each group of near duplicates; of rows that repeat doc_id and text, one as well."""
+    scratch = Scratch(spark)
+    found = scratch.put(near_duplicates(spark, docs).select("doc_id", "text_hash", "kept"))
+    kept = _rows(docs, found.where("not kept").select("doc_id", "text_hash").distinct(), "left_anti")
+    again = scratch.put(found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return kept
+    return _rows(kept, again, "left_anti").union(_rows(kept, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    clean = Scratch(spark).put(find_contamination(spark, docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id"))
-    return _of(docs, clean)
+    found = find_contamination(spark, docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where("not contaminated").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

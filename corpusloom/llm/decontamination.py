@@ -38,8 +38,9 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("words", words_of(F.col("text"))).withColumn("n", F.size("words"))
 
 
-def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits.
+def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (and the whole
+    row as the struct ``row``, if ``carry`` asks for it).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. n_hit counts the words inside any
     occurrence of a window, ``hits`` has those ranges of words. Grams of every length that a shorter item has are looked
@@ -61,6 +62,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, w
     prints = hashed(test).select(F.explode(own).alias("f")).distinct()
     all_ = F.concat(winnowed(g, n, window, gram), *[grams(g, n, size) for size in short])
     named = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    carried = [F.struct(*docs.columns).alias("row")] * carry
     seen = hashed(with_words(named)).select("doc_id", "h", F.explode(all_).alias("f"))
     candidates = scratch.put(seen.join(small_side(scratch.put(prints)), "f", "left_semi").select("doc_id", "h").distinct())
 
@@ -83,10 +85,10 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, w
     groups = owners.select("owners", "items").dropDuplicates(["owners"])
     lists = found.select("doc_id", "h", "owners").distinct().join(groups, "owners").groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     told = scratch.put(spans.alias("a").join(lists.alias("b"), same("a", "b")).select("a.doc_id", "a.h", "hits", "items"))
-    out = named.select("doc_id", "h", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).alias("a").join(small_side(told, 200_000).alias("b"), same("a", "b"), "left")
+    out = docs.select("doc_id", F.xxhash64("text").alias("h"), *carried, F.size(words_of(F.col("text"))).cast("long").alias("n_words")).alias("a").join(small_side(told, 200_000).alias("b"), same("a", "b"), "left")
     hit = F.aggregate(F.coalesce("hits", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0), lambda s, x: s + x["stop"] - x["start"]).cast("long")
     n_items = F.coalesce(F.size("items"), F.lit(0))
-    return out.select(F.col("a.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(n_items).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "hits")
+    return out.select(F.col("a.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(n_items).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "hits", *["row"] * carry)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

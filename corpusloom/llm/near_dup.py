@@ -80,7 +80,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarr
 
 
 def _sketches(p: Params):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -89,9 +89,9 @@ def _sketches(p: Params):
                 sets = shingle_sets(docs[a:b], p.words)
                 regs = registers(sets, p)
                 digest = [np.array([mix(s).sum(dtype=U64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64), len(s)], U64).tobytes() for s in sets]
-                yield batches({"doc_id": ids.slice(a, b - a).cast(pa.int64()), "n_shingles": [len(s) for s in sets], "digest": digest, "sketch": [r.tobytes() for r in regs]}, schema)
+                yield batches({"doc_id": ids.slice(a, b - a).cast(pa.int64()), "text_hash": batch.column(2).slice(a, b - a), "n_shingles": [len(s) for s in sets], "digest": digest, "sketch": [r.tobytes() for r in regs]}, schema)
 
-    return run, "doc_id long, n_shingles long, digest binary, sketch binary"
+    return run, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"
 
 
 def _bands(p: Params):
@@ -221,7 +221,7 @@ def _in_blocks(left: DataFrame, p: Params) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Rows with equal shingle sets are one node, named by their smallest doc_id. In each band bucket a pivot meets all
     others (twice, with the components found so far); what then still stands apart in a bucket is compared in blocks,
@@ -234,7 +234,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     p = params or Params()
     scratch = Scratch(spark)
     fn, kind = _sketches(p)
-    rows = scratch.put(docs.select("doc_id", "text").mapInArrow(fn, kind))
+    rows = scratch.put(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(fn, kind))
     nodes = scratch.put(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rid"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
     fn, kind = _bands(p)
     bands = nodes.select("rid", "sketch").mapInArrow(fn, kind)
@@ -287,8 +287,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     of_digest = nodes.select("digest", "rid").join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("digest", F.coalesce("comp", "rid").alias("comp"))
     if fits_many(nodes):
         of_digest = F.broadcast(of_digest)
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(of_digest, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def fits_many(nodes: DataFrame, most: int = 200_000) -> bool:

@@ -25,13 +25,15 @@ LEAST = -50.0
 class Params:
     """grams: byte grams and grams of word shapes share 2**bits buckets; words of labelled texts have 2**word_bits for the
     model of toxic wording. keep: share of good held-back texts that the thresholds must keep. sample: share of rows that
-    the Gumbel top-k draws."""
+    the Gumbel top-k draws. max_labels bounds the sample: about so many labelled texts at most are learned from, so that
+    their labels can go to every executor and no text has to be shuffled."""
 
     bits: int = 15
     word_bits: int = 22
     keep: float = 0.998
     sample: float = 0.5
     least_toxic: int = 4
+    max_labels: int = 500_000
 
 
 @dataclass
@@ -132,10 +134,25 @@ def best_cut(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     return (low + float(under.max())) / 2 if len(under) else low
 
 
+def _accepted(m: Model):
+    score, _ = _scores(m)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                scored = pa.Table.from_batches(score(iter([batch.select(["doc_id", "text"])])))
+                yield batch.filter(scored.column("kept").combine_chunks())
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> Model:
     """Models from all documents and all labelled ones; a fifth of the labelled, by hash of doc_id, sets the thresholds."""
     p = params or Params()
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    share = p.max_labels / max(1, known.count())
+    if share < 1:
+        known = known.where(F.expr(f"pmod(xxhash64(doc_id, 41), {1 << 30}) < {int(share * (1 << 30))}"))
     known = known.withColumn("held", F.expr("pmod(xxhash64(doc_id, 9), 5) = 0"))
     rows = docs.select("doc_id", "text").join(small_side(known), "doc_id", "left")
     learn = rows.select("text", F.expr("int(not held and quality = 1 and toxic = 0)").alias("good"), F.expr("if(held or quality = 0, null, toxic)").alias("toxic"))
@@ -175,6 +192,11 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, param
     return docs.select("doc_id", "text").mapInArrow(fn, kind)
 
 
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Params | None = None, model: Model | None = None) -> DataFrame:
+    """The whole rows that ``score_quality`` marks as kept; scored and filtered in one pass, without a join."""
+    return docs.mapInArrow(_accepted(model or fit(docs, labels, params)), docs.schema)
+
+
 def gumbel_top_k(scored: DataFrame, share: float) -> DataFrame:
     """Adds gumbel_key and ``selected``: the share of rows with the highest log_weight plus Gumbel noise, drawn by doc_id.
 
