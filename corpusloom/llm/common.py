@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch between JVM and Python, at most; one longer row makes a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -36,6 +38,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
         self.count = 0
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.count += 1

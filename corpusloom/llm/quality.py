@@ -83,7 +83,7 @@ def _counts(p: Params):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((2, 1 << p.bits), np.int64)
-        words = np.zeros((2, 1 << p.word_bits), np.int64)
+        words = np.zeros((2, 1 << p.word_bits), np.int32)
         both = np.zeros(2, np.int64)
         for batch in it:
             docs = texts(batch.column("text"))
