@@ -15,7 +15,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     A round's edges are a table in the shared folder; nothing but their count and checksum comes to the driver.
     """
     now = scratch.put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    state = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
+    seen = state(now)
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -24,11 +25,9 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = scratch.put(small)
-        state = tuple(after.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
         scratch.drop(now)
-        now = after
-        if state == seen:
+        now, before, seen = after, seen, state(after)
+        if seen == before:
             break
-        seen = state
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)

@@ -273,8 +273,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     pairs = left.where("comp <> p.comp").select(F.col("p.rid").alias("u"), F.col("rid").alias("v")).distinct()
     more = stars(pairs)
     if not more.isEmpty():
-        links = links.union(more)
-        groups = scratch.put(connected(links, scratch))
+        groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
     left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "band", "rid")))
     if not left.isEmpty():
         sets = sets_of(left.select(F.col("rid").alias("doc_id")).distinct())
@@ -282,8 +281,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         cut = _in_blocks(left, p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
         more = scratch.put(cut.select("key", "bi", "bj", "mine", "band", "rid", "comp", "n", "sketch", "members").mapInArrow(fn, kind).distinct())
         if not more.isEmpty():
-            links = links.union(more)
-            groups = scratch.put(connected(links, scratch))
+            groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
     of_digest = nodes.select("digest", "rid").join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("digest", F.coalesce("comp", "rid").alias("comp"))
     if fits_many(nodes):
         of_digest = F.broadcast(of_digest)
