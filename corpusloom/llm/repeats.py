@@ -18,8 +18,8 @@ from corpusloom.llm.parsing import corpus_order
 LENGTH, GRAM = 400, 32
 POSITION_BITS = 31
 #: A trigger with more contexts than this is resolved by hashes of its strings, spread over all tasks.
-MOST_CONTEXTS = 4000
-BLOCK_CONTEXT_BYTES = 2 << 20
+MOST_CONTEXTS = 1000
+BLOCK_CONTEXT_BYTES = 1 << 19
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def _contexts(length: int):
             lists = batch.column("runs").to_pylist()
             names, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
             rows = [(names[i], hs[i], r["start"], r["trigger"], r["hot"], r["weight"], docs[i][r["start"] : r["start"] + r["count"] - 1 + length]) for i, runs in enumerate(lists) for r in runs]
-            for a, b in slices([len(r[-1]) for r in rows], 8 << 20):
+            for a, b in slices([len(r[-1]) for r in rows], 2 << 20):
                 yield batches(dict(zip(schema.names, zip(*rows[a:b], strict=True), strict=True)), schema)
 
     return run, "doc_id long, h long, start long, trigger long, hot boolean, weight long, context binary"
