@@ -183,12 +183,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= length)
     fn, kind = _runs(length, gram)
     runs = scratch.put(rows.mapInArrow(fn, kind))
-    kinds = runs.groupBy("trigger", "c1", "c2").agg(F.count("*").alias("n"))
-    open_ = kinds.groupBy("trigger").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    kinds = kinds.join(open_, "trigger").select("trigger", "c1", "c2", "n", "kinds")
-    hits = scratch.put(runs.join(kinds, ["trigger", "c1", "c2"]))
-    whole = hits.where("n > 1").select("doc_id", "h", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
-    apart = hits.where("kinds > 1").dropDuplicates(["trigger", "c1", "c2"])
+    first = F.min(F.struct("doc_id", "h", "start", "count")).alias("first")
+    kinds = scratch.put(runs.groupBy("trigger", "c1", "c2").agg(F.count("*").alias("n"), first))
+    whole = runs.join(kinds.where("n > 1").select("trigger", "c1", "c2"), ["trigger", "c1", "c2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
+    mixed = kinds.groupBy("trigger").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    apart = kinds.join(mixed, "trigger").select("trigger", "kinds", "n", "first.*")
     one = F.struct("start", "count", "trigger", (F.col("kinds") > MOST_CONTEXTS).alias("hot"), F.least("n", F.lit(2)).alias("weight"))
     apart = apart.groupBy("doc_id", "h").agg(F.collect_list(one).alias("runs"))
     fn, kind = _contexts(length)
