@@ -1,4 +1,4 @@
-"""License statements: blocks that compress much better with a template as zstandard dictionary, confirmed by their wording."""
+"""License statements: found by their wording, templates ranked by zstandard with each as dictionary."""
 
 from __future__ import annotations
 
@@ -26,7 +26,6 @@ TEMPLATES = {
 CANDIDATE = re.compile(rb"licen[sc]e|redistribut|permission is|warranties|\bcc by", re.I)
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.;:])\s+")
-LEAST_REDUCTION = 0.3
 
 
 class Templates:
@@ -37,24 +36,24 @@ class Templates:
 
         self.names = sorted(templates)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False)
-        self.packed = []
+        self.packed = {}
         for name in self.names:
             raw = "\n".join(templates[name]).encode()
             raw = zstandard.ZstdCompressionDict(raw + b"\n" * max(0, 8 - len(raw)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.packed.append(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False))
+            self.packed[name] = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
         self.words = {name: [WORD.findall(x.lower()) for x in templates[name]] for name in self.names}
 
-    def rank(self, block: bytes) -> list[tuple[float, str]]:
-        """(reduction of the compressed size, name), best first."""
-        alone = len(self.plain.compress(block))
-        found = [(1 - len(c.compress(block)) / alone, name) for c, name in zip(self.packed, self.names, strict=True)]
-        return sorted((x for x in found if x[0] >= LEAST_REDUCTION), key=lambda x: (-x[0], x[1]))
+    def reduction(self, part: bytes, name: str) -> float:
+        """Share of the compressed size that the template as dictionary saves."""
+        return 1 - len(self.packed[name].compress(part)) / len(self.plain.compress(part))
 
-    def differing(self, block: bytes, name: str) -> int | None:
-        """Words of the block besides a whole statement of the template, or None if it holds none word by word."""
-        words = WORD.findall(block.decode().lower())
-        rest = [len(words) - len(s) for s in self.words[name] if any(words[i : i + len(s)] == s for i in range(len(words) - len(s) + 1))]
-        return min(rest, default=None)
+    def differing(self, block: str, name: str) -> tuple[int, float] | None:
+        """(words of the block besides a whole statement of the template, -reduction of the statement's part), or None if it holds none word by word."""
+        found = list(WORD.finditer(block))
+        words = [m[0].lower() for m in found]
+        at = ((len(s), i) for s in self.words[name] for i in range(len(words) - len(s) + 1) if words[i : i + len(s)] == s)
+        n, i = max(at, key=lambda x: (x[0], -x[1]), default=(0, 0))
+        return (len(words) - n, -self.reduction(block[found[i].start() : found[i + n - 1].end()].encode(), name)) if n else None
 
 
 def candidate_blocks(doc: bytes) -> Iterator[str]:
@@ -72,12 +71,11 @@ def scan_blocks(doc: bytes, t: Templates) -> tuple[int, list[tuple[str, float, i
     """(candidate blocks, (license, reduction, differing words, block) of each confirmed one)."""
     n, found = 0, []
     for part in candidate_blocks(doc):
-        block = part.encode()
         n += 1
-        sure = ((name, gain, t.differing(block, name)) for gain, name in t.rank(block))
-        best = min((x for x in sure if x[2] is not None), key=lambda x: (x[2], -x[1]), default=None)
+        best = min(((x, name) for name in t.names if (x := t.differing(part, name))), default=None)
         if best:
-            found.append((best[0], best[1], best[2], part))
+            (differing, loss), name = best
+            found.append((name, -loss, differing, part))
     return n, found
 
 
@@ -97,8 +95,9 @@ def _scan(templates: dict[str, list[str]]):
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each row: doc_id, n_blocks, licenses, hits.
 
-    Candidate blocks are the lines that speak of licensing, and their sentences. Of the templates that shrink a block's
-    compressed size most, those win whose statement the block holds word by word; ``differing`` counts its other words.
+    Candidate blocks are the lines that speak of licensing, and their sentences. A template is found if a block holds a
+    statement of it word by word, whatever else the block holds; of several, the one wins that leaves the fewest other
+    words (``differing``), then the one that shrinks the statement's compressed size most (``reduction``).
     A null or empty text has no blocks. Repeated rows and null ids are scanned like others; other columns are ignored;
     an empty table gives no rows.
     """

@@ -199,6 +199,14 @@ def test_licenses(spark, docs, empty):
     assert not scan_blocks(b"A licence to be different, granted by none.", t)[1]
 
 
+def test_license_in_longer_text():
+    t, rng = Templates(TEMPLATES), random.Random(8)
+    mit = "This package is released under the MIT License and is maintained by volunteers who answer questions on the list in their free time"
+    for text, name in ((mit, "MIT"), (f"{prose(rng, 300)} {TEMPLATES['GPL-3.0'][1]} {prose(rng, 300)}", "GPL-3.0")):
+        hits = scan_blocks(text.encode(), t)[1]
+        assert {h[0] for h in hits} == {name} and all(h[1] > 0.3 for h in hits)
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     good = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(12)), "x") for i in range(300)]
