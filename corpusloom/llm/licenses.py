@@ -1,10 +1,14 @@
-"""License statements: found by their wording, templates ranked by zstandard with each as dictionary."""
+"""License statements: aligned word by word with templates, which are ranked by zstandard with each as dictionary."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,61 +26,155 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
-#: A line with one of these is a candidate block.
-CANDIDATE = re.compile(rb"licen[sc]e|redistribut|permission is|warranties|\bcc by", re.I)
+#: Words of a statement that say which license it is: they stand as they are and together, or it isn't this license.
+NAMES = re.compile(r"\b(?:apache license|mozilla public license|2 0|bsd 3 clause license|cc by(?: nc| sa)? 4 0|attribution(?: noncommercial| sharealike)? 4 0|gnu general public license|version [23]\b(?! 0)|mit license)\b")
 WORD = re.compile(r"[^\W_]+")
-SENTENCE_END = re.compile(r"(?<=[.;:])\s+")
+#: One word in so many may be changed, left out or added.
+WORDS_AN_EDIT = 5
+#: Of these a passage may not have more than the statement: they turn its meaning round.
+NEGATIONS = {"not", "no", "never", "nor", "neither", "cannot", "isn", "aren", "wasn"}
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+NEVER = 1 << 60
+
+
+def plain_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words in lower case, and where each stands."""
+    found = list(WORD.finditer(text))
+    return [m[0].lower().replace("licence", "license") for m in found], [m.span() for m in found]
+
+
+@dataclass
+class Hit:
+    """Words start to end of a text, which differ in so many words from a statement with ``same`` words alike."""
+
+    start: int
+    end: int
+    differing: int
+    same: int
+    name: str
+    reduction: float = 0.0
+
+
+class Statement:
+    """A statement's words, those that may not differ, and phrases of which each text within its bounds holds one."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, plain_words(text)[0]
+        self.most = len(self.words) // WORDS_AN_EDIT
+        self.reach = len(self.words) + self.most
+        self.count = Counter(self.words)
+        line = " ".join(self.words)
+        spans = [(line.count(" ", 0, m.start()), m[0].count(" ") + 1) for m in NAMES.finditer(line)]
+        self.fixed, self.glued = np.zeros(len(self.words), bool), np.zeros(len(self.words), bool)
+        for at, n in spans:
+            self.fixed[at : at + n] = True
+            self.glued[at : at + n - 1] = True
+        if spans:
+            at, n = max(spans, key=lambda x: (x[1], len(" ".join(self.words[x[0] : x[0] + x[1]]))))
+            self.phrases = [" ".join(self.words[at : at + n])]
+        else:  # with so many edits at most, one of one piece more is as it was
+            self.phrases = [" ".join(x) for x in np.array_split(np.array(self.words, object), self.most + 1)]
+
+    def align(self, words: list[str], count: Counter) -> list[Hit]:
+        """Where the words hold the statement with the fewest words changed, left out or added, ``most`` at most."""
+        if len(self.words) - sum(min(n, count[w]) for w, n in self.count.items()) > self.most:
+            return []
+        n = len(words)
+        one = n + 1  # an edit; less than one tells the start
+        step = np.arange(n + 1) * one
+        known = {w: i for i, w in enumerate(self.count)}
+        code = np.array([known.get(w, -1) for w in words])
+        best = np.arange(n, -1, -1)
+        for i, w in enumerate(self.words):
+            after = np.full(n + 1, NEVER)
+            after[1:] = best[:-1] + np.where(code == known[w], 0, NEVER if self.fixed[i] else one)
+            if not self.fixed[i]:
+                after = np.minimum(after, best + one)
+            if i + 1 < len(self.words) and not self.glued[i]:
+                after = np.minimum.accumulate(after - step) + step
+            best = np.minimum(after, NEVER)
+        cost = best // one
+        hits = [Hit(int(n - best[j] % one), int(j), int(cost[j]), len(self.words) - int(cost[j]), self.name) for j in np.flatnonzero(cost <= self.most)]
+        denied = np.cumsum([0, *(w in NEGATIONS for w in words)])
+        own = sum(w in NEGATIONS for w in self.words)
+        return apart(sorted((h for h in hits if denied[h.end] - denied[h.start] <= own), key=lambda h: (h.differing, h.end)))
+
+
+def apart(hits: list[Hit]) -> list[Hit]:
+    """The hits that don't overlap an earlier one of the list."""
+    taken, out = [], []
+    for h in hits:
+        i = bisect(taken, (h.start, h.end))
+        if h.start < h.end and (i == 0 or taken[i - 1][1] <= h.start) and (i == len(taken) or taken[i][0] >= h.end):
+            insort(taken, (h.start, h.end))
+            out.append(h)
+    return out
 
 
 class Templates:
-    """A zstandard compressor without and one with each template as raw dictionary."""
+    """The statements, and a zstandard compressor without and one with each template as raw dictionary."""
 
     def __init__(self, templates: dict[str, list[str]]):
         import zstandard
 
-        self.names = sorted(templates)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False)
         self.packed = {}
-        for name in self.names:
+        for name in sorted(templates):
             raw = "\n".join(templates[name]).encode()
             raw = zstandard.ZstdCompressionDict(raw + b"\n" * max(0, 8 - len(raw)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packed[name] = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
-        self.words = {name: [WORD.findall(x.lower()) for x in templates[name]] for name in self.names}
+        self.statements = [x for name in sorted(templates) for text in templates[name] if (x := Statement(name, text)).words]
+        self.reach = {}
+        for x in self.statements:
+            for phrase in x.phrases:
+                self.reach[phrase] = max(x.reach, self.reach.get(phrase, 0))
+        self.signs = [x.encode() for x in self.reach if x.isascii()]
+        self.any = len(self.signs) < len(self.reach)  # the quick look knows ASCII only
 
     def reduction(self, part: bytes, name: str) -> float:
         """Share of the compressed size that the template as dictionary saves."""
         return 1 - len(self.packed[name].compress(part)) / len(self.plain.compress(part))
 
-    def differing(self, block: str, name: str) -> tuple[int, float] | None:
-        """(words of the block besides a whole statement of the template, -reduction of the statement's part), or None if it holds none word by word."""
-        found = list(WORD.finditer(block))
-        words = [m[0].lower() for m in found]
-        at = ((len(s), i) for s in self.words[name] for i in range(len(words) - len(s) + 1) if words[i : i + len(s)] == s)
-        n, i = max(at, key=lambda x: (x[0], -x[1]), default=(0, 0))
-        return (len(words) - n, -self.reduction(block[found[i].start() : found[i + n - 1].end()].encode(), name)) if n else None
-
-
-def candidate_blocks(doc: bytes) -> Iterator[str]:
-    """Lines that speak of licensing, and those of their sentences that do."""
-    at = 0
-    while m := CANDIDATE.search(doc, at):
-        start, at = doc.rfind(b"\n", 0, m.start()) + 1, doc.find(b"\n", m.end())
-        at = len(doc) if at < 0 else at
-        line = doc[start:at].decode("utf-8", "ignore")
-        parts = SENTENCE_END.split(line)
-        yield from (x for x in [*parts, line][len(parts) == 1 :] if CANDIDATE.search(x.encode()))
+    def may_hold(self, doc: bytes) -> bool:
+        line = b" ".join(doc.translate(PLAIN).split()).replace(b"licence", b"license")
+        return self.any or any(x in line for x in self.signs)
+
+    def blocks(self, words: list[str]) -> list[tuple[int, int]]:
+        """Windows of words around each phrase, wide enough for its statements; those that overlap are one block."""
+        line = f" {' '.join(words)} "
+        starts = np.cumsum([1, *(len(w) + 1 for w in words)])
+        spans = []
+        for phrase, reach in self.reach.items():
+            at = line.find(f" {phrase} ")
+            while at >= 0:
+                i = int(np.searchsorted(starts, at + 1))
+                spans.append((max(0, i - reach), min(len(words), i + reach)))
+                at = line.find(f" {phrase} ", at + 1)
+        out = []
+        for a, b in sorted(spans):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
 
 
 def scan_blocks(doc: bytes, t: Templates) -> tuple[int, list[tuple[str, float, int, str]]]:
-    """(candidate blocks, (license, reduction, differing words, block) of each confirmed one)."""
-    n, found = 0, []
-    for part in candidate_blocks(doc):
-        n += 1
-        best = min(((x, name) for name in t.names if (x := t.differing(part, name))), default=None)
-        if best:
-            (differing, loss), name = best
-            found.append((name, -loss, differing, part))
-    return n, found
+    """(candidate blocks, (license, reduction, differing words, passage) of each statement found)."""
+    if not t.may_hold(doc):
+        return 0, []
+    text = doc.decode("utf-8", "ignore")
+    words, at = plain_words(text)
+    blocks, found = t.blocks(words), []
+    for a, b in blocks:
+        count = Counter(words[a:b])
+        hits = [h for x in t.statements for h in x.align(words[a:b], count)]
+        part = lambda h: text[at[a + h.start][0] : at[a + h.end - 1][1]]  # noqa: B023, E731
+        for h in hits:
+            h.reduction = t.reduction(part(h).encode(), h.name)
+        best = apart(sorted(hits, key=lambda h: (-h.same, h.differing, -h.reduction, h.name)))
+        found += [(h.name, h.reduction, h.differing, part(h)) for h in sorted(best, key=lambda h: h.start)]
+    return len(blocks), found
 
 
 def _scan(templates: dict[str, list[str]]):
@@ -95,9 +193,11 @@ def _scan(templates: dict[str, list[str]]):
 def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each row: doc_id, n_blocks, licenses, hits.
 
-    Candidate blocks are the lines that speak of licensing, and their sentences. A template is found if a block holds a
-    statement of it word by word, whatever else the block holds; of several, the one wins that leaves the fewest other
-    words (``differing``), then the one that shrinks the statement's compressed size most (``reduction``).
+    Candidate blocks are windows of words, whatever lines they stand in, around the phrases of which a statement must
+    hold one; line ends, comment marks, punctuation and case don't count. A statement is found where its words, aligned
+    with the block's, differ in a fifth at most (``differing``: words changed, left out or added) not in the
+    license's name or version, and not by a negation. Where several overlap, the one with the most words alike wins, then the fewest
+    differing, then the template that shrinks the passage's compressed size most (``reduction``).
     A null or empty text has no blocks. Repeated rows and null ids are scanned like others; other columns are ignored;
     an empty table gives no rows.
     """

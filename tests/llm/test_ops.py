@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -207,6 +208,24 @@ def test_license_in_longer_text():
         assert {h[0] for h in hits} == {name} and all(h[1] > 0.3 for h in hits)
 
 
+def test_wrapped_and_changed_licenses():
+    t, rng = Templates(TEMPLATES), random.Random(9)
+    for name, statements in TEMPLATES.items():
+        for text in statements:
+            for mark in ("", "# ", " * ", "// "):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(text, 40))
+                hits = scan_blocks(f"{prose(rng, 80)}\n{wrapped}\n{prose(rng, 80)}".encode(), t)[1]
+                assert [(h[0], h[2], h[3]) for h in hits] == [(name, 0, h[3]) for h in hits[:1]] and wrapped.removeprefix(mark).startswith(hits[0][3][:20])
+    gpl = TEMPLATES["GPL-3.0"][1]
+    changed = gpl.replace("This program is", "Foo and bar are").replace("either ", "").replace("and/or modify", "and modify", 1)
+    for text, name, n in ((changed, "GPL-3.0", 5), ("Distributed under the MIT Licence.", "MIT", 1), ("Licensed under the Apache License 2.0", "Apache-2.0", 1)):
+        assert [(h[0], h[2]) for h in scan_blocks(f"x {text} y".encode(), t)[1]] == [(name, n)]
+    for other in (gpl.replace("GNU General", "GNU Lesser General"), gpl.replace("version 3", "version 1"), "Licensed under CC BY-ND 4.0.", "Released under the BSD License.", "This work is not licensed under the GNU General Public License, version 3."):
+        assert not scan_blocks(other.encode(), t)[1]
+    both = f"{TEMPLATES['MIT'][0]} {TEMPLATES['Apache-2.0'][1]}\n" * 3
+    assert [h[0] for h in scan_blocks(both.encode(), t)[1]] == ["MIT", "Apache-2.0"] * 3
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     good = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(12)), "x") for i in range(300)]
