@@ -14,21 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import batches, texts
 
-#: Wording of public license notices.
+#: Wording of public license notices, and of notices that keep or give up rights. 2000 stands for any year.
 TEMPLATES = {
+    "All-Rights-Reserved": ["All rights reserved."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Licensed under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["Licensed under CC0.", "Licensed under CC0 1.0.", "Released under CC0.", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "Copyright": ["Copyright (c)", "(c) 2000", "Copyright 2000", "Copyright by", "This work is protected by copyright."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Public-Domain": ["This work is in the public domain.", "Released into the public domain.", "Dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
 }
 #: Words of a statement that say which license it is: they stand as they are and together, or it isn't this license.
-NAMES = re.compile(r"\b(?:apache license|mozilla public license|2 0|bsd 3 clause license|cc by(?: nc| sa)? 4 0|attribution(?: noncommercial| sharealike)? 4 0|gnu general public license|version [23]\b(?! 0)|mit license)\b")
-WORD = re.compile(r"[^\W_]+")
+NAMES = re.compile(r"\b(?:apache license|mozilla public license|2 0|bsd 3 clause license|cc by(?: nc| sa)? 4 0|attribution(?: noncommercial| sharealike)? 4 0|gnu general public license|version [23]\b(?! 0)|mit license|cc0(?: 1 0)?|public domain|waived all copyright|protected by copyright)\b")
+WORD = re.compile(r"\(c\)|©|[^\W_]+", re.I)
+YEAR = "<year>"
+SAME = {"(c)": "©"} | {str(y): YEAR for y in range(1900, 2100)}
 #: One word in so many may be changed, left out or added.
 WORDS_AN_EDIT = 5
 #: Of these a passage may not have more than the statement: they turn its meaning round.
@@ -40,7 +46,7 @@ NEVER = 1 << 60
 def plain_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Words in lower case, and where each stands."""
     found = list(WORD.finditer(text))
-    return [m[0].lower().replace("licence", "license") for m in found], [m.span() for m in found]
+    return [SAME.get(w := m[0].lower(), w).replace("licence", "license") for m in found], [m.span() for m in found]
 
 
 @dataclass
@@ -128,8 +134,15 @@ class Templates:
         for x in self.statements:
             for phrase in x.phrases:
                 self.reach[phrase] = max(x.reach, self.reach.get(phrase, 0))
-        self.signs = [x.encode() for x in self.reach if x.isascii()]
-        self.any = len(self.signs) < len(self.reach)  # the quick look knows ASCII only
+        self.signs, self.marks, self.any = set(), (), False
+        for phrase in self.reach:
+            fixed = [w for w in phrase.split() if w.isascii() and w != YEAR]
+            if fixed:
+                self.signs.add(phrase.encode() if len(fixed) == len(phrase.split()) else max(fixed, key=len).encode())
+            elif "©" in phrase:
+                self.marks = (b"(c)", b"(C)", "©".encode())
+            else:
+                self.any = True  # nothing in it that the quick look knows
 
     def reduction(self, part: bytes, name: str) -> float:
         """Share of the compressed size that the template as dictionary saves."""
@@ -137,7 +150,7 @@ class Templates:
 
     def may_hold(self, doc: bytes) -> bool:
         line = b" ".join(doc.translate(PLAIN).split()).replace(b"licence", b"license")
-        return self.any or any(x in line for x in self.signs)
+        return self.any or any(x in line for x in self.signs) or any(x in doc for x in self.marks)
 
     def blocks(self, words: list[str]) -> list[tuple[int, int]]:
         """Windows of words around each phrase, wide enough for its statements; those that overlap are one block."""

@@ -226,6 +226,23 @@ def test_wrapped_and_changed_licenses():
     assert [h[0] for h in scan_blocks(both.encode(), t)[1]] == ["MIT", "Apache-2.0"] * 3
 
 
+def test_rights_notices():
+    t, rng = Templates(TEMPLATES), random.Random(10)
+    notices = {
+        "All rights reserved.": ["All-Rights-Reserved"],
+        "Copyright (C) 2019-2024 Jane Doe. All rights\n# reserved.": ["Copyright", "All-Rights-Reserved"],
+        "© 2021 Jane Doe": ["Copyright"],
+        "Copyright © Jane Doe": ["Copyright"],
+        "copyright 1999, Jane Doe": ["Copyright"],
+        "This file is in the\npublic domain.": ["Public-Domain"],
+        "Licensed under CC0 1.0": ["CC0-1.0"],
+        "This work is not in the public domain.": [],
+        "A lawyer explains copyright and the rights of readers.": [],
+    }
+    for text, names in notices.items():
+        assert [h[0] for h in scan_blocks(f"{prose(rng, 80)}\n{text}\n{prose(rng, 80)}".encode(), t)[1]] == names, text
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     good = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(12)), "x") for i in range(300)]
