@@ -223,19 +223,24 @@ def _in_blocks(left: DataFrame, p: Params) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
-    Rows with equal shingle sets are one node, named by their smallest doc_id. In each band bucket a pivot meets all
+    Rows with equal shingle sets are one node, numbered, whether they have a doc_id or not. In each band bucket a pivot meets all
     others (twice, with the components found so far); what then still stands apart in a bucket is compared in blocks,
     so that no pair of a bucket is left out and no task holds more than two blocks. Each link is confirmed on whole sets.
 
-    Null or empty texts, and texts without words: n_shingles 0, component_id = doc_id, kept. A null doc_id belongs to
-    the component of its equal texts, and to a null one if none has an id. Rows that repeat a doc_id with other text
-    count as one document. Other columns are ignored; an empty table gives no rows.
+    component_id is the smallest doc_id of the component, null if none of its rows has one. Of a component those rows
+    are ``kept`` that have its smallest doc_id, ids before nulls, and of their texts that with the least hash.
+
+    Null or empty texts, and texts without words: n_shingles 0, component_id = doc_id, kept. Rows that repeat a doc_id
+    with other text are judged each by its text. Other columns are ignored; an empty table gives no rows.
     """
     p = params or Params()
     scratch = Scratch(spark)
     fn, kind = _sketches(p)
     rows = scratch.put(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(fn, kind))
-    nodes = scratch.put(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rid"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = rows.where("n_shingles > 0").groupBy("digest").agg(first, F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+    nodes = scratch.put(nodes.withColumn("rid", F.monotonically_increasing_id()))
+    unnamed = not nodes.where("first.none").isEmpty()
     fn, kind = _bands(p)
     bands = nodes.select("rid", "sketch").mapInArrow(fn, kind)
     buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rid").alias("pivot")).where("size > 1").select("key", "pivot")
@@ -243,12 +248,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     sketches = nodes.select("rid", "n", "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
+        """Shingle sets of the nodes, from the first row of each."""
         make, shape = _sets(p)
-        return scratch.put(docs.select("doc_id", "text").join(small_side(wanted, 4_000_000), "doc_id", "left_semi").mapInArrow(make, shape))
+        at = nodes.join(wanted, "rid", "left_semi").select("rid", F.xxhash64("first.doc_id", "first.text_hash").alias("at"))
+        found = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("at")).join(small_side(at, 4_000_000), "at")
+        if unnamed:  # rows without id may repeat their text often
+            found = found.where("doc_id is not null").union(found.where("doc_id is null").dropDuplicates(["rid"]))
+        return scratch.put(found.select("rid", "text").mapInArrow(make, shape))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.put(pairs)
-        sets = sets_of(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+        sets = sets_of(pairs.select(F.col("u").alias("rid")).union(pairs.select("v")).distinct())
         check, shape = _confirmed(p)
         both = pairs.join(sets.withColumnsRenamed({"rid": "v", "members": "b"}), "v").join(sets.withColumnsRenamed({"rid": "u", "members": "a"}), "u")
         out = scratch.put(both.select("u", "v", "a", "b").mapInArrow(check, shape).distinct())
@@ -276,17 +286,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
     left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "band", "rid")))
     if not left.isEmpty():
-        sets = sets_of(left.select(F.col("rid").alias("doc_id")).distinct())
+        sets = sets_of(left.select("rid").distinct())
         fn, kind = _block_links(p)
         cut = _in_blocks(left, p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
         more = scratch.put(cut.select("key", "bi", "bj", "mine", "band", "rid", "comp", "n", "sketch", "members").mapInArrow(fn, kind).distinct())
         if not more.isEmpty():
             groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
-    of_digest = nodes.select("digest", "rid").join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("digest", F.coalesce("comp", "rid").alias("comp"))
+    named = nodes.select("digest", "rid", "first").join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left")
+    tops = small_side(scratch.put(named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("top"))))
+    of_digest = named.join(tops, "comp", "left").select("digest", F.coalesce("top", "first").alias("top"))
     if fits_many(nodes):
         of_digest = F.broadcast(of_digest)
-    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(of_digest, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(of_digest, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & ((F.col("n_shingles") == 0) | (F.col("text_hash") == F.col("top.text_hash")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def fits_many(nodes: DataFrame, most: int = 200_000) -> bool:

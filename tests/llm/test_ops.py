@@ -66,6 +66,21 @@ def test_near_duplicates(spark, docs, empty):
     assert by[5].n_shingles == by[6].n_shingles == 0 and by[5].kept and by[6].kept and by[7].n_shingles == 1 and not by[1].kept
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    lone, copied, clean, twin = (prose(rng, 120) for _ in range(4))
+    rows = [(None, lone), (None, lone.replace(" ", "  ", 1)), (None, f"{lone} more"), (None, lone), (3, copied), (9, copied), (9, clean), (12, f"{clean} more"), (None, f"{copied} more"), (20, twin), (20, f"{twin} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text_hash, r.component_id) for r in near_dup.near_duplicates(spark, docs).collect()]
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    want = [(i, hashes[x], None if lone[:50] in x.replace("  ", " ") else 20 if twin in x else 9 if clean in x else 3) for i, x in rows]
+    assert sorted(out, key=str) == sorted(want, key=str)
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in left) == ["20", "3", "9", "None"] and (3, copied) in left and (9, clean) in left
+
+
 def test_likelihood_and_blocks_agree_with_sets():
     rng = np.random.default_rng(1)
     p = near_dup.Params()
