@@ -1,8 +1,9 @@
-"""Removal of long byte strings that occur more than once, found through phrases and suffix order."""
+"""Removal of long byte strings that occur more than once, found through one dictionary and parse of the corpus and suffix order."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.common import U64, Rolling, Scratch, batches, slices, texts
+from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, pack_row, slices, texts
 from corpusloom.llm.parsing import corpus_order
 
 LENGTH, GRAM = 400, 32
 POSITION_BITS = 31
-#: A trigger with more contexts than this is resolved by hashes of its strings, spread over all tasks.
-MOST_CONTEXTS = 1000
+#: Phrases that one task puts into suffix order together; a larger group is split by what stands around its trigger, to the next width.
+GROUP = 1000
+WIDTHS = (48, 8, 1)
 BLOCK_CONTEXT_BYTES = 1 << 19
+PIECE_BYTES = 1 << 20
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -32,10 +36,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def trigger_runs(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
-    """Runs of neighbouring strings of ``length`` bytes that share their trigger, the gram with the least rolling hash.
+def phrases(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
+    """The parse of texts: ``count`` neighbouring strings of ``length`` bytes that share their trigger, the gram with the
+    least rolling hash, make a phrase. Phrases overlap by length - 1 bytes, so that each string lies in one phrase.
 
-    Equal strings have their trigger at the same place, wherever they occur.
+    Equal strings have their trigger at the same place (``at`` bytes after the phrase's start), wherever they occur.
     """
     data = np.frombuffer(b"".join(docs), np.uint8)
     ends = np.cumsum([len(d) for d in docs])
@@ -53,38 +58,51 @@ def trigger_runs(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndar
     stops = np.flatnonzero(np.append(new | ~real, True))
     stop = stops[np.searchsorted(stops, start, "right")]
     second = Rolling(data, 1)
-    return {"doc": doc[start], "start": start - (ends - [len(d) for d in docs])[doc[start]], "count": stop - start, "trigger": hashes[trigger[start]], "c1": rolling.spans(start, stop - 1 + length), "c2": second.spans(start, stop - 1 + length)}
+    spans = (start, stop - 1 + length)
+    return {"doc": doc[start], "start": start - (ends - [len(d) for d in docs])[doc[start]], "count": stop - start, "at": trigger[start] - start, "trigger": hashes[trigger[start]], "c1": rolling.spans(*spans), "c2": second.spans(*spans)}
 
 
-def _runs(length: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.int64()) for c in ("start", "count", "trigger", "c1", "c2"))])
+def pieces(docs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """(document, offset, bytes) with each string of ``length`` bytes in one of them; long documents make several."""
+    for i, d in enumerate(docs):
+        for a in range(0, max(1, len(d) - length + 1), PIECE_BYTES):
+            yield i, a, d[a : a + PIECE_BYTES + length - 1]
+
+
+def _parse(length: int, gram: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.int64()) for c in ("start", "count", "at", "trigger", "c1", "c2"))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            docs = texts(batch.column(2))
-            for a, b in slices([len(x) for x in docs]):
-                found = trigger_runs(docs[a:b], length, gram)
+            parts = list(pieces(texts(batch.column(2)), length))
+            for a, b in slices([len(x[2]) for x in parts]):
+                found = phrases([x[2] for x in parts[a:b]], length, gram)
                 if found and len(found["doc"]):
-                    at = pa.array(found.pop("doc") + a)
-                    yield batches({"doc_id": batch.column(0).cast(pa.int64()).take(at), "h": batch.column(1).take(at)} | {k: v.view(np.int64) for k, v in found.items()}, schema)
+                    of = found.pop("doc")
+                    rows, offsets = (np.array([x[k] for x in parts[a:b]])[of] for k in (0, 1))
+                    found["start"] = found["start"] + offsets
+                    yield batches({"doc_id": batch.column(0).cast(pa.int64()).take(pa.array(rows)), "h": batch.column(1).take(pa.array(rows))} | {k: v.view(np.int64) for k, v in found.items()}, schema)
+
+    return run, "doc_id long, h long, start long, count long, at long, trigger long, c1 long, c2 long"
+
 
-    return run, "doc_id long, h long, start long, count long, trigger long, c1 long, c2 long"
+PHRASE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("weight", pa.int64()), ("members", pa.int64()), ("context", pa.binary())])
+PHRASE_KIND = "doc_id long, h long, start long, at long, key long, weight long, members long, context binary"
 
 
 def _contexts(length: int):
-    """Bytes of each open run of a document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("trigger", pa.int64()), ("hot", pa.bool_()), ("weight", pa.int64()), ("context", pa.binary())])
+    """Bytes of each phrase in question of a document."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             docs = texts(batch.column("text"))
-            lists = batch.column("runs").to_pylist()
+            lists = batch.column("phrases").to_pylist()
             names, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            rows = [(names[i], hs[i], r["start"], r["trigger"], r["hot"], r["weight"], docs[i][r["start"] : r["start"] + r["count"] - 1 + length]) for i, runs in enumerate(lists) for r in runs]
+            rows = [(names[i], hs[i], r["start"], r["at"], r["trigger"], r["weight"], r["members"], docs[i][r["start"] : r["start"] + r["count"] - 1 + length]) for i, found in enumerate(lists) for r in found]
             for a, b in slices([len(r[-1]) for r in rows], 2 << 20):
-                yield batches(dict(zip(schema.names, zip(*rows[a:b], strict=True), strict=True)), schema)
+                yield batches(dict(zip(PHRASE.names, zip(*rows[a:b], strict=True), strict=True)), PHRASE)
 
-    return run, "doc_id long, h long, start long, trigger long, hot boolean, weight long, context binary"
+    return run, PHRASE_KIND
 
 
 def repeated_ranges(contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -107,7 +125,8 @@ def repeated_ranges(contexts: list[bytes], length: int) -> list[list[tuple[int,
     return out
 
 
-def _resolved(length: int):
+def _ordered(length: int):
+    """Spans that suffix order finds in groups of phrases; input sorted by key."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +138,7 @@ def _resolved(length: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, group, size = [], [], 0
         for batch in it:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "start", "trigger", "weight", "context")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "start", "key", "weight", "context")), strict=True):
                 if group and group[-1][3] != row[3]:
                     if len(group) > 1:
                         whole += group
@@ -134,36 +153,55 @@ def _resolved(length: int):
     return run, "doc_id long, h long, start long, stop long"
 
 
-def _strings(length: int):
-    """Hashes of each string of the contexts of hot triggers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("weight", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+def split_phrase(at: int, size: int, length: int, gram: int, width: int) -> list[tuple[int, int, int, int, int]]:
+    """(low, start, stop, core start, core stop) for each range of ``width`` places that a trigger can have in a string.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for name, h, start, weight, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "start", "weight", "context")), strict=True):
-                data = np.frombuffer(context, np.uint8)
-                a, b = (Rolling(data, k).grams(length).view(np.int64) for k in (0, 1))
-                if not len(a):
-                    at = np.zeros(1, int)
-                    a, b = (Rolling(data, k).spans(at, at + length).view(np.int64) for k in (0, 1))
-                yield batches({"doc_id": [name] * len(a), "h": [h] * len(a), "start": start + np.arange(len(a)), "weight": [weight] * len(a), "c1": a, "c2": b}, schema)
+    start and stop bound the strings of the phrase with their trigger at such a place; all strings with their trigger
+    there, of any phrase, hold the core.
+    """
+    out = []
+    least = at - (size - length)
+    for low in range(least // width * width, at + 1, width):
+        high = low + width - 1
+        a, b = max(low, least), min(high, at)
+        out.append((low, at - b, at - a + length, at - max(low, 0), at + max(gram, length - min(high, length - gram))))
+    return out
 
-    return run, "doc_id long, h long, start long, weight long, c1 long, c2 long"
 
+def _split(length: int, gram: int, width: int):
+    """Phrases cut by the place of the trigger, with the names (c1, c2) of what is left of them; key: the trigger with what is around it in all strings."""
+    schema = pa.schema([*PHRASE, ("c1", pa.int64()), ("c2", pa.int64())])
 
-def _cut(keep_text: bool, carry: list[pa.Field]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in PHRASE.names), strict=True))
+            for a, b in slices([len(r[-1]) for r in rows], 1 << 18):
+                part = rows[a:b]
+                data = np.frombuffer(b"".join(r[-1] for r in part), np.uint8)
+                cuts = [(k, *c) for k, r in enumerate(part) for c in split_phrase(r[3], len(r[-1]), length, gram, width)]
+                of, low, start, stop, left, right = np.array(cuts, np.int64).T
+                first = np.cumsum([0, *(len(r[-1]) for r in part)])[of]
+                one, two = Rolling(data), Rolling(data, 1)
+                key = mix(one.spans(first + left, first + right) + mix(low.astype(U64) + U64(width << 20)))
+                own = [part[k] for k in of]
+                yield batches({"doc_id": [r[0] for r in own], "h": [r[1] for r in own], "start": np.array([r[2] for r in own]) + start, "at": np.array([r[3] for r in own]) - start, "key": key.view(np.int64), "weight": [r[5] for r in own], "members": [r[6] for r in own], "context": [r[7][s:e] for r, s, e in zip(own, start.tolist(), stop.tolist(), strict=True)], "c1": one.spans(first + start, first + stop).view(np.int64), "c2": two.spans(first + start, first + stop).view(np.int64)}, schema)
+
+    return run, PHRASE_KIND + ", c1 long, c2 long"
+
+
+def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema([*fields, *[("kept", pa.string())] * keep_text, *carry])
+    schema = pa.schema([*fields, *[("kept", pa.string())] * keep_text, *([("row", carry)] if carry else [])])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows, same = [], [batch.column(f.name) for f in carry]
+            rows = []
             for name, doc, spans in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 kept, at, removed, n = [], 0, 0, 0
                 open_from = open_to = -1
                 for a, b in [*sorted((s["start"], s["stop"]) for s in spans or []), (len(doc) + 1, 0)]:
                     if a > open_to:
-                        if open_to > open_from:
+                        if open_to > open_from and (not least_words or sum(1 for _ in WORD.finditer(doc, open_from, open_to)) >= least_words):
                             kept.append(doc[at:open_from])
                             at, removed, n = open_to, removed + open_to - open_from, n + 1
                         open_from, open_to = a, b
@@ -173,54 +211,70 @@ def _cut(keep_text: bool, carry: list[pa.Field]):
                 row = (name, len(doc), removed, n, hashlib.sha256(rest).hexdigest())
                 rows.append((*row, rest.decode("utf-8", "ignore")) if keep_text else row)
             if rows:
-                yield batches(dict(zip(schema.names, [*zip(*rows, strict=True), *same], strict=True)), schema)
+                yield batches(dict(zip(schema.names, [*zip(*rows, strict=True), *([batch.column("row")] if carry else [])], strict=True)), schema)
 
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
-    """(doc_id, h, start, stop) of strings that occur again; they may overlap. h is the hash of the text."""
+def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, group: int = GROUP) -> DataFrame:
+    """(doc_id, h, spans) of strings that occur again; spans (start, stop) may overlap. h is the hash of the text."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= length)
-    fn, kind = _runs(length, gram)
-    runs = scratch.put(rows.mapInArrow(fn, kind))
-    first = F.min(F.struct("doc_id", "h", "start", "count")).alias("first")
-    kinds = scratch.put(runs.groupBy("trigger", "c1", "c2").agg(F.count("*").alias("n"), first))
-    whole = runs.join(kinds.where("n > 1").select("trigger", "c1", "c2"), ["trigger", "c1", "c2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.col("count") - 1 + length).alias("stop"))
-    mixed = kinds.groupBy("trigger").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    apart = kinds.join(mixed, "trigger").select("trigger", "kinds", "n", "first.*")
-    one = F.struct("start", "count", "trigger", (F.col("kinds") > MOST_CONTEXTS).alias("hot"), F.least("n", F.lit(2)).alias("weight"))
-    apart = apart.groupBy("doc_id", "h").agg(F.collect_list(one).alias("runs"))
+    fn, kind = _parse(length, gram)
+    parse = scratch.put(rows.mapInArrow(fn, kind))
+    name = ["trigger", "c1", "c2"]
+    dictionary = scratch.put(parse.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "count", "at")).alias("first")))
+    mixed = dictionary.groupBy("trigger").agg(F.count("*").alias("members")).where("members > 1")
+    apart = dictionary.join(mixed, "trigger").select("trigger", "members", F.least("n", F.lit(2)).alias("weight"), "first.*")
+    apart = apart.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count", "at", "trigger", "weight", "members")).alias("phrases"))
     fn, kind = _contexts(length)
-    contexts = rows.join(apart.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "text", "runs")
-    contexts = scratch.put(contexts.mapInArrow(fn, kind))
-    fn, kind = _resolved(length)
-    some = contexts.where("not hot").drop("hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(fn, kind)
-    fn, kind = _strings(length)
-    strings = contexts.where("hot").mapInArrow(fn, kind)
-    twice = strings.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2")
-    hot = strings.where("weight = 1").join(twice, ["c1", "c2"]).select("doc_id", "h", "start", (F.col("start") + length).alias("stop"))
-    return scratch.put(whole.union(some).union(hot))
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as
-    ``kept`` and the columns in ``carry``, if asked for).
+    own = rows.join(apart.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "text", "phrases")
+    contexts, found, same = scratch.put(own.mapInArrow(fn, kind)), [], ["key", "c1", "c2"]
+    order, shape = _ordered(length)
+    for width in (*WIDTHS, 0):
+        some = contexts.where(F.col("members") <= group).select("doc_id", "h", "start", "key", "weight", "context")
+        found.append(some.repartition("key").sortWithinPartitions("key").mapInArrow(order, shape).select("doc_id", "h", F.struct("start", "stop").alias("span")))
+        large = contexts.where(F.col("members") > group)
+        if not width or large.isEmpty():
+            break
+        fn, kind = _split(length, gram, width)
+        cut = scratch.put(large.select(*PHRASE.names).mapInArrow(fn, kind))
+        kinds = scratch.put(cut.groupBy(same).agg(F.sum("weight").alias("n"), F.min(F.struct("doc_id", "h", "start", "at", "context")).alias("first")))
+        stop = (F.col("start") + F.octet_length("context")).alias("stop")
+        found.append(cut.where("weight = 1").join(kinds.where("n > 1").select(same), same, "left_semi").select("doc_id", "h", F.struct("start", stop).alias("span")))
+        sizes = kinds.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        contexts = scratch.put(kinds.join(sizes, "key").select("key", "members", F.least("n", F.lit(2)).alias("weight"), "first.*"))
+    again = dictionary.where("n > 1").select(*name, F.lit(True).alias("again"))
+    stop = (F.col("start") + F.col("count") - 1 + length).alias("stop")
+    spans = parse.join(again, name, "left").select("doc_id", "h", F.when(F.col("again"), F.struct("start", stop)).alias("span"))
+    for more in found:
+        spans = spans.union(more)
+    return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: bool = False, least_words: int = 0, group: int = GROUP) -> DataFrame:
+    """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as ``kept`` and
+    the whole row of ``docs`` as a struct ``row``, if asked for).
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else, the same document
-    included. Every string is named by its trigger; strings between two changes of trigger stand or fall together where
-    such a whole run occurs twice. The other runs of a trigger are put into corpus order by prefix-free parsing, trigger
-    by trigger; one with very many of them is resolved by 128-bit hashes of its strings instead.
+    included; with ``least_words``, only maximal runs of such bytes that touch so many words.
+
+    The corpus is parsed into phrases at its rolling-hash triggers. The dictionary holds each distinct phrase and how
+    often the parse has it: strings of a phrase that the parse has twice occur twice. What different phrases share has
+    the same trigger in both, so the dictionary's phrases are put into suffix order trigger by trigger. A trigger with
+    more than ``group`` phrases is split by what stands around it, until a group fits a task or holds one string only;
+    that changes where strings are compared, not the result.
 
     A null text counts as empty; texts shorter than ``length`` keep all. Rows that repeat a doc_id and a text are
-    copies of each other, so both lose what they share. Other columns are ignored; an empty table gives no rows.
-    The bytes of a character that is cut through are left out of ``kept``, but not of the digest.
+    copies of each other, so both lose what they share. Other columns are ignored, whatever their names; an empty table
+    gives no rows. The bytes of a character that is cut through are left out of ``kept``, but not of the digest.
     """
     scratch = Scratch(spark)
-    spans = repeated_spans(spark, docs, scratch, length, gram)
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *(carry or []))
+    spans = scratch.put(repeated_spans(spark, docs, scratch, length, gram, group).where("size(spans) > 0"))
+    scratch.drop_all_but(spans)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *([pack_row(docs).alias("row")] if carry else []))
     out = rows.join(spans.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
-    carry = carry or []
-    kind = T.StructType([T.StructField(n, T.StringType() if "sha" in n or n == "kept" else T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)] + [docs.schema[c] for c in carry])
-    fn = _cut(keep_text, [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in carry])
-    return out.select("doc_id", "text", "spans", *carry).mapInArrow(fn, kind)
+    kind = T.StructType([T.StructField(n, T.StringType() if "sha" in n or n == "kept" else T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)])
+    if carry:
+        kind = kind.add("row", rows.schema["row"].dataType)
+    fn = _cut(keep_text, to_arrow_type(rows.schema["row"].dataType) if carry else None, least_words)
+    return out.select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(fn, kind)

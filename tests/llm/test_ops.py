@@ -128,10 +128,8 @@ def test_decontamination(spark, docs, empty):
     assert find_contamination(spark, some, items.where("false")).where("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("most", [4000, 0])
-def test_repeats(spark, docs, rows, empty, most, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
-    length = 400
+def brute_repeats(rows, length):
+    """(doc_id or -1, bytes, removed, spans, digest of the rest) by looking at each string of each text."""
     seen = {}
     data = [(r[1] or "").encode() for r in rows]
     for d in data:
@@ -143,13 +141,45 @@ def test_repeats(spark, docs, rows, empty, most, monkeypatch):
         for k in range(len(d) - length + 1):
             if seen[d[k : k + length]] > 1:
                 gone[k : k + length] = True
-        want.append((-1 if r[0] is None else r[0], len(d), int(gone.sum()), hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
-    out = repeats.remove_repeats(spark, docs).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in out) == sorted(want)
-    if most:
-        assert repeats.remove_repeats(spark, empty).count() == 0
-        kept = repeats.remove_repeats(spark, docs, keep_text=True, carry=["lang", "words"]).where("doc_id = 3").first()
-        assert kept.words == "x" and hashlib.sha256(kept.kept.encode()).hexdigest() == kept.kept_sha256
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want.append((-1 if r[0] is None else r[0], len(d), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(want)
+
+
+def removed(out):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out)
+
+
+@pytest.mark.parametrize("group", [1000, 1])
+def test_repeats(spark, docs, rows, empty, group):
+    assert removed(repeats.remove_repeats(spark, docs, group=group).collect()) == brute_repeats(rows, 400)
+    assert repeats.remove_repeats(spark, empty, group=group).count() == 0
+
+
+def test_repeats_keep_rows_with_clashing_names(spark, docs):
+    named = docs.selectExpr("*", "1 as d", "2 as k", "3 as spans", "4 as kept", "5 as `row`", "6 as n_removed", "7 as `a.b`")
+    out = repeats.remove_repeats(spark, named, keep_text=True, carry=True).where("doc_id = 3").first()
+    assert out.row.words == "x" and out.row.kept == 4 and out.row["a.b"] == 7 and hashlib.sha256(out.kept.encode()).hexdigest() == out.kept_sha256
+
+
+@pytest.mark.parametrize(("group", "piece"), [(1000, 1 << 20), (6, 700), (1, 50)])
+def test_repeats_of_common_passages(spark, monkeypatch, group, piece):
+    """Passages a little shorter and longer than the strings, in many texts each, with other text around them."""
+    monkeypatch.setattr(repeats, "PIECE_BYTES", piece)
+    rng = random.Random(12)
+    shared = [prose(rng, 200)[:n] for n in (90, 99, 100, 101, 117, 160, 260)]
+    rows = [(i, f"{prose(rng, rng.randrange(30))} {shared[i % 7]} {prose(rng, rng.randrange(30))}{shared[i % 3] * (i % 5 == 0)}") for i in range(70)]
+    rows += [(100, "ab" * 300), (101, "x" * 250), (102, "x" * 99), (103, shared[4] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert removed(repeats.remove_repeats(spark, docs, 100, 16, group=group).collect()) == brute_repeats(rows, 100)
+
+
+def test_repeats_of_enough_words(spark):
+    rng = random.Random(13)
+    few, many = prose(rng, 49), prose(rng, 51)
+    rows = [(i, f"{prose(rng, 20)}\n{few if i < 2 else many}\n{prose(rng, 20)}") for i in range(4)]
+    out = {r.doc_id: (r.n_spans, len(r.kept.split())) for r in repeats.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 100, 16, keep_text=True, least_words=50).collect()}
+    assert out[0] == out[1] == (0, 89) and out[2][0] == out[3][0] == 1 and out[2][1] == 39  # the line breaks go too
 
 
 def test_corpus_order_is_lexicographic():
