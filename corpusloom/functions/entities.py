@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 # Fields of a token row, in order.
 FIELDS = ["position", "token", "tag", "lemma", "parpos", "function", "parword", "parlemma", "paroffset", "link", "length", "docuri", "lower", "nerid", "nertag", *[f"param{i}" for i in range(10)], "nertype", "nerlength"]
 
-# Properties of each entity tag; the n-th is kept in param n, those of dates and intervals from param 2 on.
-PROPERTIES = {
-    "person": "url image name gender birthplace birthdate deathplace deathdate profession nationality",
-    "artist": "url image name gender birthplace birthdate deathplace deathdate role nationality",
-    "location": "url image name country",
-    "artwork": "url image name form datebegun datecompleted movement genre author",
-    "event": "url image name startdate enddate location",
-    "museum": "url image name type estabilished director location",
-    "family": "url image name role nationality members",
-    "group": "url image name role nationality",
-    "nationality": "url image name country",
-    "form": "url image name",
-    "mythology": "url image name",
-    "medium": "url image name",
-    "movement": "url image name",
-    "genre": "url image name",
-    "date": "- - year month date",
-    "interval": "- - fromyear frommonth fromday toyear tomonth today",
+# Properties of each entity tag and the param that keeps each.
+MAPPING = {
+    "person": {"url": "param0", "image": "param1", "name": "param2", "gender": "param3", "birthplace": "param4", "birthdate": "param5", "deathplace": "param6", "deathdate": "param7", "profession": "param8", "nationality": "param9"},
+    "artist": {"url": "param0", "image": "param1", "name": "param2", "gender": "param3", "birthplace": "param4", "birthdate": "param5", "deathplace": "param6", "deathdate": "param7", "role": "param8", "nationality": "param9"},
+    "location": {"url": "param0", "image": "param1", "name": "param2", "country": "param3"},
+    "artwork": {"url": "param0", "image": "param1", "name": "param2", "form": "param3", "datebegun": "param4", "datecompleted": "param5", "movement": "param6", "genre": "param7", "author": "param8"},
+    "event": {"url": "param0", "image": "param1", "name": "param2", "startdate": "param3", "enddate": "param4", "location": "param5"},
+    "museum": {"url": "param0", "image": "param1", "name": "param2", "type": "param3", "estabilished": "param4", "director": "param5", "location": "param6"},
+    "family": {"url": "param0", "image": "param1", "name": "param2", "role": "param3", "nationality": "param4", "members": "param5"},
+    "group": {"url": "param0", "image": "param1", "name": "param2", "role": "param3", "nationality": "param4"},
+    "nationality": {"url": "param0", "image": "param1", "name": "param2", "country": "param3"},
+    "form": {"url": "param0", "image": "param1", "name": "param2"},
+    "mythology": {"url": "param0", "image": "param1", "name": "param2"},
+    "medium": {"url": "param0", "image": "param1", "name": "param2"},
+    "movement": {"url": "param0", "image": "param1", "name": "param2"},
+    "genre": {"url": "param0", "image": "param1", "name": "param2"},
+    "date": {"year": "param2", "month": "param3", "date": "param4"},
+    "interval": {"fromyear": "param2", "frommonth": "param3", "fromday": "param4", "toyear": "param5", "tomonth": "param6", "today": "param7"},
 }
-MAPPING = {tag: {name: f"param{i}" for i, name in enumerate(names.split()) if name != "-"} for tag, names in PROPERTIES.items()}
 
 # Terminal colours of the tags.
 DYE = {"person": "Blue", "artist": "Blue", "location": "Dark gray", "artwork": "Magenta", "event": "Light magenta", "museum": "Light gray", "family": "Light green", "group": "Green", "nationality": "Light cyan", "form": "Light red", "mythology": "Cyan", "medium": "Light yellow", "movement": "Yellow", "genre": "Red", "date": "Light blue", "interval": "Light blue"}
@@ -36,6 +35,8 @@ CODES = {"Black": 30, "Red": 31, "Green": 32, "Yellow": 33, "Blue": 34, "Magenta
 # Attributes of every entity and the properties that are shown with blanks, dashes or commas.
 COMMON = {f"data-{x}": x for x in ("position", "tag", "lemma", "function", "parpos", "parlemma", "parword", "paroffset")} | {"target": '"_blank"', "href": "(if param0 param0 param0)"}
 ENTITY = {f"data-{x}": x for x in ("nertag", "link", "length", "docuri", "nertype", "nerlength")} | {"data-image": "param1"}
+#: Attributes of an entity that come from its last token alone.
+LAST_ONLY = ("href", "style", "data-nertag")
 DATED = {"birthdate", "deathdate", "datebegun", "datecompleted", "startdate", "enddate", "estabilished"}
 LISTED = {"role", "profession", "nationality", "form", "genre", "author", "type", "director", "members"}
 DATE = '(concatenate (or param2 "0") "-" (or param3 "0") "-" (or param4 "0"))'

@@ -11,6 +11,8 @@ from corpusloom.functions.entities import MAPPING
 
 LEX = re.compile(r"\s*(?:(\d+)\.([A-Za-z_]\w*(?:\.\w+)?)|(>=|<=|!=|=|<|>)|([&|()])|\"([^\"]*)\"|([^\s&|()<>=!\"]+))")
 
+LOT = 32
+
 
 class ConstraintError(ValueError):
     """A constraint that can't be read."""
@@ -103,6 +105,7 @@ def condition(tree, matches: Column) -> Column:
     def pair(test) -> Column:
         return F.exists(own, lambda m: F.exists(other, lambda n: (m["pos"] != n["pos"]) & F.coalesce(test(_value(m, left[1]), _value(n, right[1])), F.lit(False))))
 
+    # an absent label meets no comparison; of labels that are there, != holds unless two different positions are equal
     there = (F.size(own) > 0) & (F.size(other) > 0)
     if op == "=":
         return there & pair(_equal)
@@ -110,7 +113,10 @@ def condition(tree, matches: Column) -> Column:
 
 
 def constrained(found: DataFrame, labelled: DataFrame, tokens: DataFrame, text: str) -> DataFrame:
-    """Intervals whose labelled matches meet the constraint. Matches of an interval are gathered, never paired as rows."""
+    """Intervals whose labelled matches meet the constraint. Matches of an interval are gathered, never paired as rows.
+
+    Matches meet intervals by an equi-join on lots of LOT positions, so only neighbours are compared.
+    """
     tree = parse(text)
     fields = set()
 
@@ -123,6 +129,8 @@ def constrained(found: DataFrame, labelled: DataFrame, tokens: DataFrame, text:
 
     walk(tree)
     rows = labelled.join(tokens.select("doc_id", "pos", *sorted(fields)), ["doc_id", "pos"])
-    inside = found.select("doc_id", "l", "r").join(rows, "doc_id").where("pos between l and r")
+    lot = lambda c: F.floor(F.col(c) / LOT).cast("int")
+    spread = found.select("doc_id", "l", "r").withColumn("lot", F.explode(F.sequence(lot("l"), lot("r"))))
+    inside = spread.join(rows.withColumn("lot", lot("pos")), ["doc_id", "lot"]).where("pos between l and r")
     gathered = inside.groupBy("doc_id", "l", "r").agg(F.collect_list(F.struct("label", "pos", *sorted(fields))).alias("matches"))
     return gathered.where(condition(tree, F.col("matches"))).select("doc_id", "l", "r")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,8 +39,102 @@ def _beside(*rows: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
+SENTENCE, PARAGRAPH = "_SENT_", "_PAR_"
+PARTS = {SENTENCE: "sen_no", PARAGRAPH: "par_no"}
+
+
+def part_starts(tokens: DataFrame, mark: str) -> DataFrame:
+    """(doc_id, pos) at which the sentences or paragraphs of a token table begin."""
+    return tokens.groupBy("doc_id", PARTS[mark]).agg(F.min("pos").alias("pos")).select("doc_id", "pos")
+
+
+def all_postings(tokens: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, term, doc_id, tf, positions) of all fields in one pass; part starts are postings of the empty term."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields]))
+    rows = tokens.select("doc_id", "pos", cells.alias("c")).select("doc_id", "pos", "c.field", F.explode(F.filter(F.split("c.cell", r"\|"), lambda x: x != "")).alias("term"))
+    for mark, column in PARTS.items():
+        if column in tokens.columns:
+            rows = rows.unionByName(part_starts(tokens, mark).withColumns({"field": F.lit(mark), "term": F.lit("")}))
+    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_set("pos")).alias("positions"))
+
+
 def write_index(tokens: DataFrame, path: str, fields: list[str]) -> None:
-    """Postings of each field as Parquet, partitioned by field and sorted by term, so that searches prune."""
-    for i, field in enumerate(fields):
-        out = postings(tokens, field).withColumn("field", F.lit(field)).repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-        out.write.mode("append" if i else "overwrite").partitionBy("field").parquet(path)
+    """An index as Parquet tables under ``path``:
+
+    postings by field, sorted by term and document, so that a search reads the row groups of its terms alone (a frequent
+    term is spread over files by document); tokens and documents (doc_id, size), sorted by document; terms, the sorted
+    dictionary with its statistics; fields, one row of totals each; and, written last, the manifest.
+    """
+    spark = tokens.sparkSession
+    put = lambda df, name, *parts: df.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/{name}")
+    put(tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "pos"), "tokens")
+    stored = spark.read.parquet(f"{path}/tokens")
+    put(all_postings(stored, fields).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), "postings", "field")
+    put(stored.groupBy("doc_id").agg((F.max("pos") + 1).alias("size")), "documents")
+    per_doc = spark.read.parquet(f"{path}/postings").where(~F.col("field").isin(*PARTS))
+    stats = per_doc.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_count"), F.sum(F.element_at("positions", -1).cast("long")).alias("sum_max_pos"))
+    put(stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "terms")
+    totals = spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.max("max_count").alias("maxcount"))
+    sizes = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("documents"), F.max("size").alias("maxdocsize"))
+    put(_beside(totals, sizes), "fields")
+    put(sizes.select("documents", F.lit(",".join(fields)).alias("fields")), "manifest")
+
+
+class StoredIndex:
+    """What ``write_index`` has written. Raises an error if documents are missing from it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        self.postings, self.tokens, self.documents, self.terms, self.fields = (read(n) for n in ("postings", "tokens", "documents", "terms", "fields"))
+        told = read("manifest").first()
+        self.names = told["fields"].split(",")
+        if self.documents.count() != told["documents"]:
+            raise ValueError(f"the index in {path} hasn't the {told['documents']} documents of its manifest")
+
+    def hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
+        """(doc_id, pos, k) for each k-th wanted (field, word, by prefix); only their fields and ranges of terms are read."""
+        tests = [(F.col("field") == f) & (F.col("term").startswith(w) if prefix else F.col("term") == w) for f, w, prefix in wanted]
+        words = reduce(Column.__or__, [F.col("term").startswith(w) if prefix else F.col("term") == w for _, w, prefix in wanted])
+        rows = self.postings.where(F.col("field").isin(*{f for f, _, _ in wanted}) & words)
+        which = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
+        out = rows.select("doc_id", F.explode("positions").alias("pos"), which.alias("which")).select("doc_id", "pos", F.explode("which").alias("k"))
+        return out.distinct() if any(prefix for _, _, prefix in wanted) else out
+
+    def any_hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
+        """(doc_id, pos) of any of the wanted."""
+        return self.hits(wanted).select("doc_id", "pos").distinct()
+
+    def starts(self, mark: str) -> DataFrame:
+        return self.hits([(mark, "", False)]).select("doc_id", "pos")
+
+    def tokens_of(self, docs: list[int]) -> DataFrame:
+        """Tokens of some documents; other row groups are skipped."""
+        return self.tokens.where(F.col("doc_id").isin(*docs))
+
+
+class TokenTable:
+    """The same over a token table that isn't indexed; ``multi`` says that cells hold alternatives between bars."""
+
+    def __init__(self, tokens: DataFrame, multi: bool = False):
+        self.tokens, self.multi, self.names = tokens, multi, tokens.columns
+        self.documents = tokens.select("doc_id").distinct()
+
+    def _condition(self, name: str, word: str, prefix: bool) -> Column:
+        if self.multi:
+            cell = F.split(F.col(name), r"\|")
+            return F.exists(cell, lambda x: x.startswith(word)) if prefix else F.array_contains(cell, word)
+        return F.col(name).startswith(word) if prefix else F.col(name) == word
+
+    def hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
+        tests = [self._condition(*w) for w in wanted]
+        which = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
+        return self.tokens.where(reduce(Column.__or__, tests)).select("doc_id", "pos", F.explode(which).alias("k"))
+
+    def any_hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
+        return self.tokens.where(reduce(Column.__or__, [self._condition(*w) for w in wanted])).select("doc_id", "pos")
+
+    def starts(self, mark: str) -> DataFrame:
+        return part_starts(self.tokens, mark)
+
+    def tokens_of(self, docs: list[int]) -> DataFrame:
+        return self.tokens.where(F.col("doc_id").isin(*docs))

@@ -17,8 +17,8 @@ def antichain(a: DataFrame) -> DataFrame:
     return best.withColumn("m", before).where("m is null or l > m").select(COLUMNS)
 
 
-def term(tokens: DataFrame, condition: Column) -> DataFrame:
-    return tokens.where(condition).select("doc_id", F.col("pos").alias("l"), F.col("pos").alias("r"))
+def points(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", F.col("pos").alias("l"), F.col("pos").alias("r"))
 
 
 def any_of(*parts: DataFrame) -> DataFrame:
@@ -43,11 +43,10 @@ def ordered(a: DataFrame, b: DataFrame) -> DataFrame:
     return antichain(events.withColumn("l", F.max("open").over(upto)).where("r is not null and l is not null").select(COLUMNS))
 
 
-def phrase(tokens: DataFrame, conditions: list[Column]) -> DataFrame:
-    """Consecutive positions that meet the conditions in turn: one aggregation by document and start."""
-    starts = F.array(*[F.when(c, F.struct((F.col("pos") - i).alias("l"), F.lit(i).alias("k"))) for i, c in enumerate(conditions)])
-    hits = tokens.where(reduce(Column.__or__, conditions)).select("doc_id", F.explode(starts).alias("s")).where("s is not null")
-    return hits.groupBy("doc_id", "s.l").agg(F.count_distinct("s.k").alias("n")).where(F.col("n") == len(conditions)).select("doc_id", "l", (F.col("l") + len(conditions) - 1).alias("r"))
+def phrase(hits: DataFrame, size: int) -> DataFrame:
+    """Consecutive positions of the words 0, 1, ... of a phrase (column k): one aggregation by document and start."""
+    starts = hits.groupBy("doc_id", (F.col("pos") - F.col("k")).alias("l")).agg(F.count("*").alias("n"))
+    return starts.where(F.col("n") == size).select("doc_id", "l", (F.col("l") + size - 1).alias("r"))
 
 
 def within(a: DataFrame, size: int) -> DataFrame:
@@ -70,8 +69,8 @@ def absent(documents: DataFrame, a: DataFrame) -> DataFrame:
     return documents.select("doc_id").distinct().join(a, "doc_id", "left_anti")
 
 
-def same_part(a: DataFrame, tokens: DataFrame, part: str) -> DataFrame:
-    """Intervals whose ends lie in one sentence or paragraph (column ``part`` of the tokens)."""
-    ends = tokens.select("doc_id", "pos", part)
-    left, right = ends.toDF("doc_id", "l", "left_part"), ends.toDF("doc_id", "r", "right_part")
-    return a.join(left, ["doc_id", "l"]).join(right, ["doc_id", "r"]).where("left_part = right_part").select(COLUMNS)
+def unbroken(a: DataFrame, starts: DataFrame) -> DataFrame:
+    """Intervals in one sentence or paragraph: none of ``starts`` (doc_id, pos) lies after their first position."""
+    events = a.select(*COLUMNS, F.lit(None).cast("int").alias("start")).unionByName(starts.select("doc_id", F.lit(None).cast("int").alias("l"), F.col("pos").alias("r"), F.col("pos").alias("start")))
+    upto = Window.partitionBy("doc_id").orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("m", F.max("start").over(upto)).where("l is not null and (m is null or m <= l)").select(COLUMNS)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.entities import CODES, COMMON, DYE, ENTITY, MAPPING, expressions, missing_as_null
+from corpusloom.functions.entities import CODES, COMMON, DYE, ENTITY, LAST_ONLY, MAPPING, expressions, missing_as_null
 from corpusloom.functions.sexpr import compile_expression
 
 
@@ -22,68 +22,98 @@ def snippet_tokens(found: DataFrame, tokens: DataFrame, context: int = 5) -> Dat
     return around.join(tokens, ["doc_id", "pos"])
 
 
-def plain_snippets(found: DataFrame, tokens: DataFrame, context: int = 5) -> DataFrame:
+def plain_snippets(found: DataFrame, tokens: DataFrame, context: int = 5, field: str = "token") -> DataFrame:
     """(doc_id, l, r, snippet); empty snippets are dropped."""
-    rows = snippet_tokens(found, tokens.select("doc_id", "pos", "token"), context)
-    words = F.array_sort(F.collect_list(F.struct("pos", "token")))["token"]
+    rows = snippet_tokens(found, tokens.select("doc_id", "pos", F.col(field).alias("shown")), context)
+    words = F.array_sort(F.collect_list(F.struct("pos", "shown")))["shown"]
     out = rows.groupBy("doc_id", "l", "r").agg(words.alias("w")).select("doc_id", "l", "r", F.array_join(F.transform("w", display), " ").alias("snippet"))
     return out.where("length(snippet) > 0")
 
 
 def mentions(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, mention): the position of the last token of the entity that a token belongs to; the last mention wins."""
+    """(doc_id, pos, mention, entity): position and tag of the last token of the entity that a token belongs to; the last mention wins."""
     last = tokens.where((F.length("nerid") > 3) & (F.col("nertag") != "0") & (F.col("nertag") != ""))
     size = F.coalesce(F.col("nerlength").try_cast("int"), F.lit(1))
-    spread = last.select("doc_id", F.col("pos").alias("mention"), F.explode(F.sequence(F.greatest(F.col("pos") - F.greatest(size, F.lit(1)) + 1, F.lit(0)), F.col("pos"))).alias("pos"))
-    return spread.groupBy("doc_id", "pos").agg(F.max("mention").alias("mention"))
+    spread = last.select("doc_id", F.struct(F.col("pos").alias("mention"), F.col("nertag").alias("entity")).alias("m"), F.explode(F.sequence(F.greatest(F.col("pos") - F.greatest(size, F.lit(1)) + 1, F.lit(0)), F.col("pos"))).alias("pos"))
+    return spread.groupBy("doc_id", "pos").agg(F.max("m").alias("m")).select("doc_id", "pos", "m.*")
 
 
-def _attributes(pairs: list[tuple[str, Column]]) -> Column:
-    return F.concat(*[F.concat(F.lit(f' {name}="'), F.coalesce(value, F.lit("")), F.lit('"')) for name, value in pairs])
+def _field(name: str) -> Column | None:
+    return missing_as_null(F.col(name)) if name in NAMES else display(F.col("token")) if name == "content" else None
 
 
-def entity_attributes(tags: dict[str, list[str]] | None = None) -> Column:
-    """Attributes of the last token of a mention; ``tags`` limits them to some tags and their attribute names ("all" for any)."""
-    field = lambda name: missing_as_null(F.col(name)) if name in NAMES else display(F.col("token")) if name == "content" else None
-    shared = [(k, compile_expression(v, field)) for k, v in (COMMON | ENTITY).items()]
-    out = F.lit("")
+def entity_values(tags: dict[str, list[str]] | None = None) -> tuple[Column, Column]:
+    """(picks, values): what a token adds to its entity (column ``entity``), and the names and places of the attributes to show.
+
+    ``tags`` limits them to some tags and their attribute names ("all" for any). Of tokens before the last, properties
+    count only if they have any.
+    """
+    shared = {k: compile_expression(v, _field).cast("string") for k, v in (COMMON | ENTITY).items()}
+    has_own = reduce(Column.__or__, [_field(f"param{i}").isNotNull() for i in range(10)]) | (F.col("mention") == F.col("pos"))
+    picks, own = F.array().cast("array<struct<name:string,at:int>>"), F.array().cast("array<string>")
     for tag in MAPPING:
         wanted = (tags or {"all": ["all"]}).get(tag, (tags or {"all": ["all"]}).get("all"))
-        if wanted is None:
-            continue
-        pairs = [*shared, *((k, compile_expression(v, field)) for k, v in expressions(tag).items())]
-        pairs = [p for p in pairs if "all" in wanted or p[0] in wanted or p[0].removeprefix("data-") in wanted]
-        if pairs:
-            out = F.when(F.col("nertag") == tag, _attributes(pairs)).otherwise(out)
-    return out
+        if wanted is not None:
+            named = expressions(tag)
+            chosen = [(k, i) for i, k in enumerate([*shared, *named]) if "all" in wanted or k in wanted or k.removeprefix("data-") in wanted]
+            if any(i >= len(shared) for _, i in chosen):
+                own = F.when(F.col("entity") == tag, F.array(*[compile_expression(v, _field).cast("string") for v in named.values()])).otherwise(own)
+            if chosen:
+                picks = F.when(F.col("entity") == tag, F.array(*[F.struct(F.lit(k).alias("name"), F.lit(i).alias("at")) for k, i in chosen])).otherwise(picks)
+    return picks, F.concat(F.array(*shared.values()), F.when(has_own, own).otherwise(F.array().cast("array<string>")))
+
+
+def merged_attributes(picks: Column, values: Column) -> Column:
+    """One attribute string of an entity from the arrays of its tokens' values, in order; LAST_ONLY are not merged."""
+
+    def one(p: Column) -> Column:
+        own = F.transform(values, lambda v: F.get(v, p["at"]))
+        merged = F.array_join(F.filter(own, lambda x: x.isNotNull() & (x != "")), " ")
+        return F.concat(F.lit(" "), p["name"], F.lit('="'), F.when(p["name"].isin(*LAST_ONLY), F.coalesce(F.element_at(own, -1), F.lit(""))).otherwise(merged), F.lit('"'))
+
+    return F.array_join(F.transform(picks, one), "")
 
 
 NAMES = {"position", "token", "tag", "lemma", "parpos", "function", "parword", "parlemma", "paroffset", "link", "length", "docuri", "lower", "nerid", "nertag", "nertype", "nerlength", *[f"param{i}" for i in range(10)]}
 
 
-def rendered(found: DataFrame, tokens: DataFrame, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None) -> DataFrame:
-    """(doc_id, l, r, snippet) in html, raw or ascii style; tokens of one mention are one part, clipped where the snippet begins."""
-    rows = snippet_tokens(found, tokens, context).join(mentions(tokens), ["doc_id", "pos"], "left")
-    key = ["doc_id", "l", "r", "part"]
-    rows = rows.withColumn("part", F.coalesce("mention", "pos")).withColumn("text", display(F.col("token"))).withColumn("attrs", F.when(F.col("mention") == F.col("pos"), entity_attributes(tags)))
-    own = [F.concat(F.lit(f' data-{a}="'), F.coalesce(missing_as_null(F.col(a)), F.lit("")), F.lit('"')) for a in attributes or []]
-    rows = rows.withColumn("own", F.concat(*own) if own else F.lit(""))
-    parts = rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("text"), F.max("attrs").alias("attrs"), F.max(F.when(F.col("mention").isNotNull(), F.when(F.col("mention") == F.col("pos"), F.col("nertag")))).alias("tag"), F.max("own").alias("own"))
-    is_entity = F.col("tag").isNotNull()
-    if style == "raw":
-        shown = F.when(is_entity, F.concat(F.lit("<"), "tag", F.replace("attrs", F.lit("data-"), F.lit("")), F.lit(">"), "text", F.concat(F.lit("</"), "tag", F.lit(">")))).otherwise(F.col("text"))
-    elif style == "ascii":
+def token_attributes(attributes: list[str], style: str) -> Column:
+    """Attributes of one token; params of an entity's tokens bear the names of its properties."""
+    mark = "data-" if style == "html" else ""
+    out = []
+    for a in attributes:
+        named = reduce(lambda rest, x: F.when(F.col("entity") == x[0], F.lit(f" {mark}{x[1]}=")).otherwise(rest), [(t, n) for t in MAPPING for n, p in MAPPING[t].items() if p == a], F.lit(f" {mark}{a}="))
+        out.append(F.concat(named, F.lit('"'), F.coalesce(missing_as_null(F.col(a)), F.lit("")), F.lit('"')))
+    return F.concat(*out) if out else F.lit("")
+
+
+def rendered(found: DataFrame, tokens: DataFrame, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None, field: str = "token") -> DataFrame:
+    """(doc_id, l, r, snippet) in html, raw or ascii style, showing one field of the tokens.
+
+    Tokens of one entity are one part, clipped where the snippet begins, whose attributes are joined from all of them.
+    """
+    rows = snippet_tokens(found, tokens, context).where(display(F.col("token")) != "").join(mentions(tokens), ["doc_id", "pos"], "left")
+    picks, values = entity_values(tags)
+    own, each = token_attributes(attributes or [], style), "span" if style == "html" else "field"
+    text = display(F.col(field))
+    text = F.when((own != "") & (text != ""), F.concat(F.lit(f"<{each}"), own, F.lit(">"), text, F.lit(f"</{each}>"))).otherwise(text)
+    rows = rows.select("doc_id", "l", "r", "pos", "entity", F.coalesce("mention", "pos").alias("part"), text.alias("text"), picks.alias("picks"), values.alias("values"))
+    parts = rows.groupBy("doc_id", "l", "r", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "values"))).alias("t"), F.first("picks").alias("picks"), F.first("entity").alias("tag"))
+    parts = parts.withColumn("text", F.array_join(F.filter("t.text", lambda x: x != ""), " ")).withColumn("attrs", merged_attributes(F.col("picks"), F.col("t.values")))
+    plain = F.replace("attrs", F.lit("data-"), F.lit(""))
+    element = F.concat(F.lit("<"), "tag", plain, F.lit(">"), "text", F.lit("</"), "tag", F.lit(">"))
+    if style == "ascii":
         code = reduce(lambda out, x: F.when(F.col("tag") == x[0], F.lit(f"\x1b[{CODES[x[1]]}m")).otherwise(out), DYE.items(), F.lit(f"\x1b[{CODES['Default']}m"))
-        shown = F.when(is_entity, F.concat(code, "text", F.lit(f"\x1b[{CODES['Default']}m"))).otherwise(F.col("text"))
-    else:
-        shown = F.when(is_entity, F.concat(F.lit("<a"), "attrs", F.lit(">"), "text", F.lit("</a>"))).when(F.col("own") != "", F.concat(F.lit("<span"), "own", F.lit(">"), "text", F.lit("</span>"))).otherwise(F.col("text"))
-    out = parts.withColumn("shown", shown).groupBy("doc_id", "l", "r").agg(F.array_sort(F.collect_list(F.struct("part", "shown")))["shown"].alias("s"))
+        element = F.concat(code, element, F.lit("\x1b[0m"))
+    elif style != "raw":
+        element = F.concat(F.lit("<a"), "attrs", F.lit(">"), "text", F.lit("</a>"))
+    out = parts.withColumn("shown", F.when(F.col("tag").isNotNull(), element).otherwise(F.col("text"))).groupBy("doc_id", "l", "r").agg(F.array_sort(F.collect_list(F.struct("part", "shown")))["shown"].alias("s"))
     return out.select("doc_id", "l", "r", F.array_join(F.filter("s", lambda x: x != ""), " ").alias("snippet")).where("length(snippet) > 0")
 
 
-def paragraphs(tokens: DataFrame, doc_id: int) -> DataFrame:
-    """A document's text by paragraph."""
-    rows = tokens.where(F.col("doc_id") == doc_id)
+def paragraphs(tokens: DataFrame, doc_id: int | None = None) -> DataFrame:
+    """Texts by paragraph, of one document or all."""
+    rows = tokens if doc_id is None else tokens.where(F.col("doc_id") == doc_id)
     text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], display), lambda x: x != ""), " ")
     return rows.groupBy("doc_id", "par_no").agg(text.alias("snippet")).where("length(snippet) > 0")
 
@@ -115,4 +145,5 @@ def next_cursor(cursor: dict[str, int], returned: dict[str, int], quota: dict[st
 
 
 def budget(snippets: int, hosts: int) -> int:
-    return -(-snippets // max(1, hosts))
+    """Snippets that each collection is asked for; none means a page of documents of each."""
+    return -(-snippets // max(1, hosts)) if snippets > 0 else snippets

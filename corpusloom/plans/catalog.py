@@ -1,4 +1,4 @@
-"""Registered queries of the search engine over ``documents`` and their SQL."""
+"""Registered queries of the search engine over ``documents`` and their SQL. Searches read the stored index alone."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators import index, snippets
 from corpusloom.operators.constraints import constrained
+from corpusloom.operators.index import StoredIndex, write_index
+from corpusloom.plans import annotated
 from corpusloom.plans.query import Searcher
+from corpusloom.sources.storage import exists, shared_dir, version
 from corpusloom.sources.tokens import plain_tokens, with_sentences
 
-TOKENS = r"t0 AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token, lower(w[i]) AS lower FROM t0, unnest(generate_series(1, len(w))) AS g(i)), s AS (SELECT *, coalesce(sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sen_no FROM t)"
+TOKENS = r"t0 AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), t AS MATERIALIZED (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token, lower(w[i]) AS lower FROM t0, unnest(generate_series(1, len(w))) AS g(i)), s AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sen_no FROM t)"
 MINIMAL = "SELECT doc_id, l, r FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = a.doc_id AND b.l >= a.l AND b.r <= a.r AND (b.l <> a.l OR b.r <> a.r))"
 
 
@@ -32,12 +35,17 @@ def both(a: str, b: str) -> str:
     return " UNION ".join(pair.format(l="least(x.l, y.l)", r="x.r", x=x, y=y) for x, y in ((at(a), at(b)), (at(b), at(a))))
 
 
-def search(text: str, sentences: bool = False):
-    def run(spark, sf_dir):
-        table = tokens(spark, sf_dir)
-        return Searcher(with_sentences(table) if sentences else table).search(text, "lower")
+def stored(spark, sf_dir) -> StoredIndex:
+    """The index over ``documents``, written where it isn't yet."""
+    table = docs(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{version(table)}"
+    if not exists(spark, f"{path}/manifest/_SUCCESS"):
+        write_index(with_sentences(plain_tokens(table)), path, ["token", "lower"])
+    return StoredIndex(spark, path)
 
-    return run
+
+def search(text: str):
+    return lambda spark, sf_dir: Searcher(stored(spark, sf_dir)).search(text, "lower")
 
 
 def term_postings(spark, sf_dir):
@@ -47,25 +55,43 @@ def term_postings(spark, sf_dir):
 
 def page_of_snippets(spark, sf_dir):
     """The first pages of a search, up to 100 snippets, in words around each interval."""
-    table = tokens(spark, sf_dir)
-    found = snippets.page(Searcher(table).search("of < that", "lower"), 100)
-    return snippets.plain_snippets(found, table)
+    index = stored(spark, sf_dir)
+    found = snippets.page(Searcher(index).search("of < that", "lower"), 100)
+    wanted = [r.doc_id for r in found.select("doc_id").distinct().collect()]  # 100 documents at most
+    return snippets.plain_snippets(found, index.tokens_of(wanted))
 
 
 def constraint(text: str):
     def run(spark, sf_dir):
-        table = tokens(spark, sf_dir)
-        s, query = Searcher(table), "(1:of 2:prefix*)~6".replace("prefix", "th")
-        return constrained(s.search(query, "lower"), s.labelled(query, "lower"), table, text)
+        index, query = stored(spark, sf_dir), "(1:of 2:th*)~6"
+        s = Searcher(index)
+        return constrained(s.search(query, "lower"), s.labelled(query, "lower"), index.tokens, text)
 
     return run
 
 
-EXPRESSION = '(concatenate (or (if (eq lang "en") "english") "other") "-" (subst #\\r #\\R (replace "src" "source " source)))'
+def stored_terms(spark, sf_dir):
+    return stored(spark, sf_dir).terms.where("field = 'lower'").drop("field")
+
+
+#: name: (expression, SQL)
+EXPRESSIONS = {
+    "shown": ('(concatenate (or (if (eq lang "en") "english") "other") "-" (subst #\\r #\\R (replace "src" "source " source)))', "concat(CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END, '-', translate(replace(source, 'src', 'source '), 'r', 'R'))"),
+    "both": ('(or (and (eq lang "en") source) lang)', "CASE WHEN lang = 'en' THEN source ELSE lang END"),
+    "listed": ("(car (cdr '(\"a\" \"b\" \"c\")))", "'b'"),
+    "ends": ("(concatenate (first '(\"x\" \"y\")) (last '(\"x\" \"y\" \"z\")))", "'xz'"),
+    "built": ("(car (cons source '(\"y\")))", "source"),
+    "chosen": ('(if (atom lang) (quote "atom") "list")', "'atom'"),
+    "evaluated": ("(eval '(concatenate \"e\" \"v\"))", "'ev'"),
+    "stepped": ('(progn (setq x lang) (set (quote y) source) (concatenate x "+" y))', "lang || '+' || source"),
+    "applied": ('(progn (defun tell (a &optional b) (concatenate a "/" (or b "none"))) (concatenate (tell lang) ((lambda (p &rest q) (car q)) "1" source)))', "lang || '/none' || source"),
+    "nothing": ('(and (eq lang "xx") lang)', "CAST(NULL AS VARCHAR)"),
+}
 
 
 def expression(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", compile_expression(EXPRESSION, lambda n: F.col(n) if n in ("lang", "source") else None).alias("shown"))
+    value = lambda text: compile_expression(text, lambda n: F.col(n) if n in ("lang", "source") else None)
+    return docs(spark, sf_dir).select("doc_id", *[value(text).cast("string").alias(name) for name, (text, _) in EXPRESSIONS.items()])
 
 
 def sentence_sizes(spark, sf_dir):
@@ -89,17 +115,16 @@ _ALL = {
     "search_or": (search("(of | lower:that)"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower IN ('of', 'that')"),
     "search_not": (search("that !of"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'that' AND doc_id NOT IN (SELECT doc_id FROM t WHERE lower = 'of')"),
     "search_not_alone": (search("!of"), f"WITH {TOKENS} SELECT DISTINCT doc_id, CAST(NULL AS INTEGER) AS l, CAST(NULL AS INTEGER) AS r FROM t WHERE doc_id NOT IN (SELECT doc_id FROM t WHERE lower = 'of')"),
-    "search_phrase": (search('"of the"'), f"WITH {TOKENS} SELECT a.doc_id, a.pos AS l, b.pos AS r FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.lower = 'of' AND b.lower = 'the'"),
+    "search_phrase": (search('"of the"'), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos + 1 AS r FROM (SELECT doc_id, pos, lower, lead(lower) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM t) WHERE lower = 'of' AND next = 'the'"),
     "search_ordered": (search("of < that"), f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r) {MINIMAL}"),
     "search_near": (search("(of that)~5"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE r - l + 1 <= 5"),
-    "search_aligned": (search("token:That ^ lower:that"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE token = 'That' AND lower = 'that'"),
     "search_difference": (search("(of that) - the"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = a.doc_id AND lower = 'the' AND pos BETWEEN a.l AND a.r)"),
-    "search_sentence": (search("(of that) - _SENT_", True), f"WITH {TOKENS}, {NEAR} SELECT a.doc_id, a.l, a.r FROM a JOIN s x ON x.doc_id = a.doc_id AND x.pos = a.l JOIN s y ON y.doc_id = a.doc_id AND y.pos = a.r WHERE x.sen_no = y.sen_no"),
+    "search_sentence": (search("(of that) - _SENT_"), f"WITH {TOKENS}, {NEAR}, b AS MATERIALIZED (SELECT a.doc_id, l, r, sen_no FROM a JOIN s ON s.doc_id = a.doc_id AND s.pos = a.l) SELECT b.doc_id, l, r FROM b JOIN s ON s.doc_id = b.doc_id AND s.pos = b.r AND s.sen_no = b.sen_no"),
     "constraint_equal": (constraint("2.lower = that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
     "constraint_unequal": (constraint("2.lower != that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
-    "constraint_pair": (constraint("1.lower != 2.lower and 2.lower = the"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'the')"),
     "snippet_page": (page_of_snippets, f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r), m AS ({MINIMAL}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), k AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS page FROM n), g AS (SELECT page, coalesce(sum(sum(n)) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY page), f AS (SELECT m.* FROM m JOIN k USING (doc_id) JOIN g USING (page) WHERE before < 100) SELECT f.doc_id, f.l, f.r, string_agg(regexp_replace(regexp_replace(token, '\\|G\\S*', '', 'g'), '[¶§]', '', 'g'), ' ' ORDER BY pos) AS snippet FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos BETWEEN f.l - 5 AND f.r + 5 GROUP BY ALL"),
-    "scalar_expression": (expression, "SELECT doc_id, concat(CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END, '-', translate(replace(source, 'src', 'source '), 'r', 'R')) AS shown FROM documents"),
+    "scalar_expression": (expression, f"SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, sql) in EXPRESSIONS.items())} FROM documents"),
 }
-QUERIES = {name: q for name, (q, _) in _ALL.items()}
-ORACLE = {name: sql for name, (_, sql) in _ALL.items()}
+_ALL["index_stored_terms"] = (stored_terms, _ALL["index_terms"][1])
+QUERIES = {name: q for name, (q, _) in _ALL.items()} | annotated.QUERIES
+ORACLE = {name: sql for name, (_, sql) in _ALL.items()} | annotated.ORACLE

@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import MAPPING
 from corpusloom.operators import intervals as I
+from corpusloom.operators.index import StoredIndex, TokenTable
 
 LEX = re.compile(r'\s*(?:"([^"]*)"|([()&|!<^~])|(\{\{[^}]*\}\})|(-(?=\s)|(?<=\s)-(?=[\s(_]))|([^\s()&|!<^~":]+(?:\.[A-Za-z]+)?):(?=\S)|([^\s()&|!<^~":]+))')
 
@@ -152,28 +153,27 @@ def parse(text: str, default: str = "token") -> Node:
 
 
 class Searcher:
-    """Plans over one token table; ``multi`` says that cells hold alternatives between bars."""
+    """Plans over a stored index, or over a token table (whose cells hold alternatives between bars if ``multi``)."""
 
-    def __init__(self, tokens: DataFrame, multi: bool = False, sentence: str = "sen_no", paragraph: str = "par_no"):
-        self.tokens, self.multi, self.parts = tokens, multi, {"_SENT_": sentence, "_PAR_": paragraph}
+    def __init__(self, source: DataFrame | TokenTable | StoredIndex, multi: bool = False):
+        self.source = TokenTable(source, multi) if isinstance(source, DataFrame) else source
 
-    def condition(self, name: str, value: str, prefix: bool = False) -> Column:
-        if name not in self.tokens.columns:
-            raise QueryError(f"no field {name}")
-        if self.multi:
-            cell = F.split(F.col(name), r"\|")
-            return F.exists(cell, lambda x: x.startswith(value)) if prefix else F.array_contains(cell, value)
-        return F.col(name).startswith(value) if prefix else F.col(name) == value
+    def wanted(self, *nodes: Node) -> list[tuple[str, str, bool]]:
+        """(field, word, by prefix) of terms, prefixes and the words of phrases."""
+        for n in nodes:
+            if n.field not in self.source.names:
+                raise QueryError(f"no field {n.field}")
+        return [(n.field, w, n.kind == "prefix") for n in nodes for w in (n.value if n.kind == "phrase" else [n.value])]
 
     def plan(self, node: Node) -> DataFrame:
         parts = node.parts
         if node.kind in ("term", "prefix"):
-            return I.term(self.tokens, self.condition(node.field, node.value, node.kind == "prefix"))
+            return I.points(self.source.any_hits(self.wanted(node)))
         if node.kind == "phrase":
-            return I.phrase(self.tokens, [self.condition(node.field, w) for w in node.value])
+            return I.phrase(self.source.hits(self.wanted(node)), len(node.value))
         if node.kind == "or":
-            if all(p.kind == "term" and p.field == parts[0].field for p in parts) and not self.multi:
-                return I.term(self.tokens, F.col(parts[0].field).isin([p.value for p in parts]))
+            if all(p.kind in ("term", "prefix") for p in parts):
+                return I.points(self.source.any_hits(self.wanted(*parts)))
             return I.any_of(*[self.plan(p) for p in parts])
         if node.kind == "and":
             without = [p for p in parts if p.kind == "not"]
@@ -185,7 +185,7 @@ class Searcher:
                 out = out.join(self.plan(p.parts[0]).select("doc_id"), "doc_id", "left_anti")
             return out
         if node.kind == "not":
-            gone = I.absent(self.tokens, self.plan(parts[0]))
+            gone = I.absent(self.source.documents, self.plan(parts[0]))
             return gone.select("doc_id", F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
         if node.kind == "ordered":
             return I.ordered(self.plan(parts[0]), self.plan(parts[1]))
@@ -195,7 +195,7 @@ class Searcher:
             return I.aligned(self.plan(parts[0]), self.plan(parts[1]))
         if node.kind == "difference":
             if parts[1].kind == "bound":
-                return I.same_part(self.plan(parts[0]), self.tokens, self.parts[parts[1].value])
+                return I.unbroken(self.plan(parts[0]), self.source.starts(parts[1].value))
             return I.difference(self.plan(parts[0]), self.plan(parts[1]))
         raise QueryError(f"{node.kind} can't stand alone")
 

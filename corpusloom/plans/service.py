@@ -1,4 +1,4 @@
-"""One request against one or more collections: query, constraint, page, snippets, counters."""
+"""Requests against one or more collections: query, constraint, pages, snippets, counters."""
 
 from __future__ import annotations
 
@@ -9,60 +9,117 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import FIELDS, MAPPING
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.snippets import page, paragraphs, plain_snippets, rendered
+from corpusloom.operators.index import StoredIndex, TokenTable
+from corpusloom.operators.snippets import budget, next_cursor, page, paragraphs, plain_snippets, rendered
 from corpusloom.plans.query import Searcher
 
 STYLES = ("html", "raw", "ascii")
+Source = TokenTable | StoredIndex
+
+
+def as_source(tokens: DataFrame | Source, multi: bool = False) -> Source:
+    return TokenTable(tokens, multi) if isinstance(tokens, DataFrame) else tokens
 
 
 def allowed_fields() -> list[str]:
     return [*FIELDS, *(f"{tag}.{name}" for tag in MAPPING for name in MAPPING[tag])]
 
 
-def matches(tokens: DataFrame, request: dict, multi: bool = False) -> DataFrame:
+def matches(tokens: DataFrame | Source, request: dict, multi: bool = False) -> DataFrame:
     """All intervals of a request's query that meet its constraint."""
-    s = Searcher(tokens, multi)
+    source = as_source(tokens, multi)
+    s = Searcher(source)
     found = s.search(request["query"])
     if request.get("constraint"):
-        found = constrained(found, s.labelled(request["query"]), tokens, request["constraint"])
+        found = constrained(found, s.labelled(request["query"]), source.tokens, request["constraint"])
     return found
 
 
-def search(tokens: DataFrame, documents: DataFrame, request: dict, multi: bool = False, thread: str = "0") -> DataFrame:
-    """(doc_id, title, uri, thread, data): the snippets of a page of documents; columns that ``documents`` lacks are null."""
-    style = request.get("style", "html").lower()
-    found = page(matches(tokens, request, multi), int(request.get("snippets", 0)), int(request.get("offset", 0)))
+def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False, thread: str = "0") -> DataFrame:
+    """(doc_id, title, uri, thread, data): the snippets of a page of documents, showing the request's field if there is
+    such a one; columns that ``documents`` lacks are null.
+    """
+    source = as_source(tokens, multi)
+    style, field = request.get("style", "html").lower(), request.get("field", "token")
+    field = field if field in source.tokens.columns else "token"
+    found = page(matches(source, request), int(request.get("snippets", 0)), int(request.get("offset", 0)))
     wanted = request.get("format", {})
-    if multi:
+    near = source.tokens.join(F.broadcast(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    if set(FIELDS) <= set(source.tokens.columns):
         attributes = wanted.get("attributes") or []
-        cut = rendered(found, tokens, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes)
+        cut = rendered(found, near, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes, field=field)
     else:
-        cut = plain_snippets(found, tokens)
+        cut = plain_snippets(found, near, field=field)
     data = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l", "snippet")))["snippet"].alias("data"))
     extra = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("title", "uri")]
     return data.join(documents.select("doc_id", *extra), "doc_id").withColumn("thread", F.lit(thread))
 
 
-def search_all(collections: dict[str, tuple[DataFrame, DataFrame]], request: dict, multi: bool = False) -> DataFrame:
-    """Union of the results of all collections, each with its name as thread; one job serves them all."""
-    parts = [search(t, d, request, multi, name) for name, (t, d) in sorted(collections.items())]
+def search_all(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: dict, multi: bool = False) -> DataFrame:
+    """Union of the results of all collections, each with its name as thread; one job serves them all.
+
+    Each collection has its share of the snippets, from the request's ``cursor`` on (collection: offset); with a cursor,
+    those that it doesn't name are at their end.
+    """
+    cursor = request.get("cursor")
+    parts = []
+    for name, (t, d) in sorted(collections.items()):
+        if not cursor or name in cursor:
+            own = {"snippets": budget(int(request.get("snippets", 0)), len(cursor or collections)), "offset": (cursor or {}).get(name, int(request.get("offset", 0)))}
+            parts.append(search(t, d, request | own, multi, name))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def respond(tokens: DataFrame, documents: DataFrame, request: dict, multi: bool = False) -> dict:
-    """The JSON answer to a request; a page's results are gathered, and an error is told instead of raised."""
+def _shown(row) -> dict:
+    return {"data": row["data"], "title": row.title, "uri": row.uri, "doc": str(row.doc_id), "thread": row.thread}
+
+
+def ask(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: dict, multi: bool = False) -> dict:
+    """The answer of all collections to a request, asked again until there are as many snippets as wanted or no more.
+
+    Results come in order of collection and document, with counts by collection and the cursor of the next request; ``get`` and
+    ``allowedFields`` go to the collection that the request names as ``thread``, else to the first.
+    """
+    if "get" in request or "allowedFields" in request:
+        return respond(*collections[request.get("thread", min(collections))], request, multi)
+    results, received, wanted = [], dict.fromkeys(sorted(collections), 0), int(request.get("snippets", 0))
+    cursor = request.get("cursor") or dict.fromkeys(sorted(collections), int(request.get("offset", 0)))
+    while True:
+        left = wanted - sum(received.values())
+        rows = search_all(collections, request | {"cursor": cursor, "snippets": left}, multi).orderBy("thread", "doc_id").collect()
+        got, documents = dict.fromkeys(cursor, 0), dict.fromkeys(cursor, 0)
+        for r in rows:
+            got[r.thread] += len(r["data"])
+            documents[r.thread] += 1
+            results.append(_shown(r))
+        received = {k: n + got.get(k, 0) for k, n in received.items()}
+        quota = dict.fromkeys(cursor, max(1, budget(left, len(cursor))))
+        cursor = next_cursor(cursor, documents, quota, got)
+        if not cursor or not rows or sum(received.values()) >= wanted:
+            break
+    results.sort(key=lambda r: (r["thread"], int(r["doc"])))
+    return {"results": results, "received": received, "total": str(sum(received.values())), "documents": str(len(results)), "cursor": cursor, "error": ""}
+
+
+def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False) -> dict:
+    """The JSON answer of one collection; a page's results are gathered, and an error is told instead of raised.
+
+    total and documents count the results of the answer.
+    """
     began = time.time_ns()
     try:
+        source = as_source(tokens, multi)
         if "get" in request:
-            rows = paragraphs(tokens, int(request["get"])).orderBy("par_no").collect()
-            return {"results": [{"data": [r.snippet for r in rows], "doc": str(request["get"])}], "time": str(time.time_ns() - began), "error": ""}
+            rows = paragraphs(source.tokens, int(request["get"])).orderBy("par_no").collect()
+            about = documents.where(F.col("doc_id") == int(request["get"])).first()
+            told = {k: about[k] if about and k in documents.columns else None for k in ("title", "uri")}
+            return {"results": [{"data": [r.snippet for r in rows], "doc": str(request["get"]), **told}], "time": str(time.time_ns() - began), "error": ""}
         if "allowedFields" in request:
             return {"allowed": allowed_fields(), "error": ""}
-        rows = search(tokens, documents, request, multi).orderBy("doc_id").collect()
-        results = [{"data": r["data"], "title": r.title, "uri": r.uri, "doc": str(r.doc_id), "thread": r.thread} for r in rows]
+        results = [_shown(r) for r in search(source, documents, request).orderBy("doc_id").collect()]
         return {"results": results, "total": str(sum(len(r["data"]) for r in results)), "documents": str(len(results)), "offset": int(request.get("offset", 0)) + len(results), "expectedSnippets": int(request.get("snippets", 0)), "time": str(time.time_ns() - began), "error": ""}
     except ValueError as e:
         return {"results": [], "error": "query", "errorMessage": str(e), "time": str(time.time_ns() - began)}

@@ -70,3 +70,23 @@ def sentences_as_documents(tokens: DataFrame) -> DataFrame:
     ids = counts.withColumn("own", own).join(lots, "lot").select("doc_id", "sen_no", (F.col("own") + F.col("before")).alias("sentence_id"))
     out = inner.join(ids, ["doc_id", "sen_no"]).withColumn("pos", F.row_number().over(Window.partitionBy("sentence_id").orderBy("pos")) - 1)
     return out.drop("doc_id").withColumnRenamed("sentence_id", "doc_id")
+
+
+def vertical_texts(documents: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, value): each document (doc_id, title, url) as vertical text. ``tokens`` has doc_id, pos, sen_no and par_no from 0
+    on and FIELDS; a null ends a row's cells.
+    """
+    cells = F.array_join(F.array_compact(F.array(*[F.col(f) for f in FIELDS])), "\t")
+    rows = tokens.select("doc_id", "sen_no", "par_no", F.struct("pos", cells.alias("line")).alias("t"))
+    sentences = rows.groupBy("doc_id", "par_no", "sen_no").agg(F.array_join(F.array_sort(F.collect_list("t"))["line"], "\n").alias("rows"))
+    text = F.concat(F.format_string("%%%%#SEN %d wx%d\n", "sen_no", "sen_no"), "rows")
+    parts = sentences.groupBy("doc_id", "par_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("sen_no", text.alias("s"))))["s"], "\n").alias("rows"))
+    text = F.concat(F.format_string("%%%%#PAR %d wx%d\n", "par_no", "par_no"), "rows")
+    whole = parts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("par_no", text.alias("s"))))["s"], "\n").alias("rows"))
+    head = F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url")
+    return documents.join(whole, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, "rows").alias("value"))
+
+
+def write_vertical(documents: DataFrame, tokens: DataFrame, path: str) -> None:
+    """Vertical files whose names and rows are in order of doc_id."""
+    vertical_texts(documents, tokens).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.mode("overwrite").option("compression", "gzip").text(path)

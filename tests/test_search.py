@@ -1,6 +1,7 @@
 import gzip
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from corpusloom.operators import intervals as I
 from corpusloom.operators.constraints import ConstraintError, condition, constrained, parse
 from corpusloom.plans.query import QueryError, Searcher
 from corpusloom.plans.query import parse as parse_query
-from corpusloom.plans.service import respond, search_all
+from corpusloom.plans.service import ask, respond, search_all
 from corpusloom.sources import tokens as T
 from corpusloom.streaming.counts import stream_term_counts
 
@@ -69,9 +70,9 @@ def cells(**given):
 def vertical(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("vertical")
     rows = ["FILENAME\tx", "header", "%%#DOC\tid-1", "%%#PAGE A title\thttp://x/y z", cells(token="Head", lower="head"), "%%#PAR 1 wx1", "%%#SEN 1 wx1"]
-    rows += [cells(token="Howard", lower="howard", nerid="e:12"), cells(token="Hill|G__", lower="hill", nerid="e:12", nertag="person", param2="Howard_Hill", param3="M", param8="archer|actor", nerlength="2"), cells(token="saw", lower="saw"), "%%#SEN 2 wx2", cells(token="Rome", lower="rome", nerid="e:99", nertag="location", param2="Rome", nerlength="1"), "%%#DOC\tid-2"]
-    (path / "a.mg4j").write_text("\n".join(rows))
-    with gzip.open(path / "b.mg4j.gz", "wt") as f:
+    rows += [cells(token="Howard", lower="howard", lemma="how", nerid="e:12"), cells(token="Hill|G__", lower="hill", lemma="hill", nerid="e:12", nertag="person", param2="Howard_Hill", param3="M", param8="archer|actor", nerlength="2"), cells(token="saw", lower="saw"), "%%#SEN 2 wx2", cells(token="Rome", lower="rome", nerid="e:99", nertag="location", param2="Rome", nerlength="1"), "%%#DOC\tid-2"]
+    (path / "a.vert").write_text("\n".join(rows))
+    with gzip.open(path / "b.vert.gz", "wt") as f:
         f.write("\n".join(["%%#DOC\tid-3", "%%#SEN 1 wx1", cells(token="Rome", lower="rome")]))
     return T.vertical_lines(spark, str(path)).cache()
 
@@ -98,14 +99,41 @@ def test_search_render_and_constrain(spark, vertical):
     assert got(constrained(found, s.labelled(query), tokens, "1.nerlength <= 1")) == set()
     html = snippets.rendered(found, tokens, 2).first().snippet
     assert ">Howard Hill</a>" in html and 'data-gender="male"' in html and 'data-profession="archer, actor"' in html
-    assert snippets.rendered(found, tokens, 0, "ascii").first().snippet.startswith("\x1b[34mHill")
+    assert snippets.rendered(found, tokens, 0, "ascii", {"person": ["gender"]}).first().snippet.startswith('\x1b[34m<person gender="male">Hill</person>\x1b[0m')
+    shown = snippets.rendered(found, tokens, 2, "raw", {"person": ["lemma", "nertag"]}, ["param2"], "lower").first().snippet
+    assert '<person lemma="how hill" nertag="person"><field name="">howard</field> <field name="Howard_Hill">hill</field></person>' in shown and '<field param2="">saw</field>' in shown
     assert "<person" in snippets.rendered(found, tokens, 2, "raw", {"person": ["name"]}).first().snippet
     documents = T.vertical_documents(vertical)
     out = respond(tokens, documents, {"query": "rome | Rome", "snippets": 5}, True)
     assert out["documents"] == "2" and out["results"][0]["title"] == "A title"
     assert respond(tokens, documents, {"query": "(", "snippets": 5}, True)["error"] == "query"
     assert respond(tokens, documents, {"get": 0}, True)["results"][0]["data"][0] == "Head"
-    assert search_all({"x": (tokens, documents), "y": (tokens, documents)}, {"query": "saw"}, True).count() == 2
+    assert respond(tokens, documents, {"query": "Hill", "field": "lower"}, True)["results"][0]["data"][0].count("hill</a>") == 1
+    assert respond(tokens, documents, {"get": 0}, True)["results"][0]["title"] == "A title"
+    both = {"x": (tokens, documents), "y": (tokens, documents)}
+    assert search_all(both, {"query": "saw"}, True).count() == 2
+    assert search_all(both, {"query": "rome | Rome", "snippets": 2, "cursor": {"y": 1}}, True).collect()[0].doc_id == 2
+    out = ask(both, {"query": "rome | Rome", "snippets": 3}, True)
+    assert out["received"] == {"x": 2, "y": 2} and [(r["thread"], r["doc"]) for r in out["results"]] == [("x", "0"), ("x", "2"), ("y", "0"), ("y", "2")]
+    assert ask(both, {"get": 0, "thread": "y"}, True)["results"][0]["data"][0] == "Head"
+
+
+def test_sentences_paragraphs_and_long_intervals(spark):
+    rng = random.Random(7)
+    rows, n = [], 0
+    for d in range(20):
+        n = 0
+        for pos in range(90):
+            rows.append((d, pos, rng.choice("abcdefgh") + "." * (rng.random() < 0.2), n))
+            n += rows[-1][2].endswith(".")
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, token string, sen_no int").withColumn("par_no", F.floor(F.col("sen_no") / 2))
+    s, part = Searcher(tokens), {(d, p): n for d, p, _, n in rows}
+    found = got(s.search("a < b"))
+    assert got(s.search("(a < b) - _SENT_")) == {x for x in found if part[x[0], x[1]] == part[x[0], x[2]]}
+    assert got(s.search("(a < b) - _PAR_")) == {x for x in found if part[x[0], x[1]] // 2 == part[x[0], x[2]] // 2}
+    long = spark.createDataFrame([(d, 0, 89) for d in range(20)], "doc_id long, l int, r int")
+    labels = tokens.where("token = 'a'").selectExpr("doc_id", "pos", "1 label")
+    assert constrained(long, labels, tokens, "1.token = a").count() == len({d for d, _, t, _ in rows if t == "a"})
 
 
 def test_constraint_semantics(spark):
@@ -113,6 +141,8 @@ def test_constraint_semantics(spark):
     rows = spark.createDataFrame([([(1, 0, "a|b"), (2, 5, "b"), (2, 6, "7")],)], kind)
     check = lambda text: rows.where(condition(parse(text), F.col("m"))).count() == 1
     assert check("1.f = b") and not check("1.f != b") and check("1.f != c") and check("2.f >= 7") and not check("2.f > 7")
+    lone = spark.createDataFrame([([(1, 0, "a"), (2, 0, "a")],)], kind)
+    assert lone.where(condition(parse("1.f != 2.f"), F.col("m"))).count() == 1  # no pair at different places
     assert check("1.f = 2.f") and not check("1.f != 2.f") and not check("3.f = a") and check("3.f = a or 1.f = a & 2.f < 8")
     with pytest.raises(ConstraintError):
         parse("1.f = ")
@@ -138,7 +168,14 @@ def test_index_and_pages(spark, tmp_path):
     assert {r.term: (r.df, r.cf, r.max_count) for r in index.term_stats(tokens, "lower").collect()} == {"a": (1, 2, 2), "b": (2, 2, 1), "c.": (1, 1, 1)}
     assert index.index_totals(tokens, docs, "lower").first().documents == 4
     index.write_index(tokens, str(tmp_path / "index"), ["token", "lower"])
-    assert spark.read.parquet(str(tmp_path / "index")).where("field = 'lower' and term = 'b'").count() == 2
+    stored = index.StoredIndex(spark, str(tmp_path / "index"))
+    assert stored.postings.where("field = 'lower' and term = 'b'").count() == 2 and stored.terms.where("field = 'lower' and term = 'a'").first().df == 1
+    assert got(Searcher(stored).search("c.", "lower")) == {(1, 2, 2)} and got(Searcher(stored).search('"a b a"', "lower")) == {(1, 0, 2)}
+    plan = stored.any_hits([("lower", "b", False)])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*field", plan) and "EqualTo(term,b)" in plan
+    spark.range(1).selectExpr("9 documents", "'token,lower' fields").write.mode("overwrite").parquet(str(tmp_path / "index/manifest"))
+    with pytest.raises(ValueError):
+        index.StoredIndex(spark, str(tmp_path / "index"))
     assert [snippets.page_size(n) for n in (-1, 0, 5, 99, 100, 1000)] == [15, 15, 1, 1, 10, 100]
     found = spark.createDataFrame([(d, k, k) for d in range(50) for k in range(3)], "doc_id long, l int, r int")
     assert snippets.page(found, 100).select("doc_id").distinct().count() == 40
