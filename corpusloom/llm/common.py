@@ -16,6 +16,9 @@ U64 = np.uint64
 BLOCK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch between JVM and Python, at most; one longer row makes a batch of its own.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+ROWS_A_FILE = 250_000
+#: Bytes in files that may be broadcast; in memory they are a few times as many.
+BROADCAST_BYTES = 8 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -49,10 +52,11 @@ class Scratch:
         for k, v in BATCH.items():
             spark.conf.set(k, v)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The table, written and read again; if the number of its rows is about known, in as few files as that needs."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.tables.append(out)
@@ -143,11 +147,22 @@ def batches(rows: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := rows[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has so few rows that a copy of it may go to every executor."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def bytes_of(df: DataFrame) -> int | None:
+    """Bytes of the files of a table in the shared folder; None of any other."""
+    if not hasattr(df, "scratch_path"):
+        return None
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has so few rows, and so few bytes if they are known, that a copy of it may go to every executor."""
+    return (bytes_of(df) or 0) <= max_bytes and df.limit(max_rows + 1).count() <= max_rows
 
 
 def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """The table with a broadcast hint if its checked row count allows; else as it is, for a shuffled join."""
+    """The table with a broadcast hint if its checked size allows; else as it is, for a shuffled join.
+
+    Of a table that isn't written yet only rows are counted, so it should be one of few narrow columns.
+    """
     return F.broadcast(df) if fits(df, max_rows) else df

@@ -24,7 +24,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = scratch.put(small)
+        after = scratch.put(small, 2 * seen[0])
         scratch.drop(now)
         now, before, seen = after, seen, state(after)
         if seen == before:

@@ -250,7 +250,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Shingle sets of the nodes, from the first row of each."""
         make, shape = _sets(p)
-        at = nodes.join(wanted, "rid", "left_semi").select("rid", F.xxhash64("first.doc_id", "first.text_hash").alias("at"))
+        at = scratch.put(nodes.join(wanted, "rid", "left_semi").select("rid", F.xxhash64("first.doc_id", "first.text_hash").alias("at")))
         found = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("at")).join(small_side(at, 4_000_000), "at")
         if unnamed:  # rows without id may repeat their text often
             found = found.where("doc_id is not null").union(found.where("doc_id is null").dropDuplicates(["rid"]))
