@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches, slices, texts
+from corpusloom.llm.common import batches, slices, small_side, texts
 
 NONE = "und"
 #: ASCII letters in lower case and all bytes of other signs stay, the rest separates words.
@@ -19,13 +19,13 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 
 @dataclass(frozen=True)
 class Params:
-    """per_language bounds the sample: about so many texts of each language are learned from, the most frequent max_languages at most."""
+    """per_language and max_texts bound the sample: about so many texts of each language, and of all, are learned from."""
 
     bits: int = 15
     grams: tuple[int, ...] = (2, 3, 4)
     dim: int = 16
     per_language: int = 500
-    max_languages: int = 256
+    max_texts: int = 100_000
     epochs: int = 8
     rate: float = 0.5
     batch: int = 32
@@ -35,10 +35,15 @@ class Params:
 
 @dataclass
 class Model:
-    """Scores of each bucket for each language (embedding times output weights), bias, temperature, least confidence."""
+    """Embedding of each bucket, output weights, bias, temperature, least confidence.
+
+    ``table`` has the embeddings, or where there are fewer languages than dimensions the product with the output weights;
+    then ``out`` is None. Either way it is as large as the buckets and dimensions, however many languages there are.
+    """
 
     langs: list[str]
-    scores: np.ndarray
+    table: np.ndarray
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
@@ -74,10 +79,17 @@ def has_letter(doc: bytes) -> bool:
     return bool(doc.translate(LETTERS).strip()) and (any(97 <= b <= 122 for b in doc.lower()[:64]) or any(c.isalpha() for c in doc.decode()))
 
 
+def scored(bucket: np.ndarray, doc: np.ndarray, weight: np.ndarray | None, n: int, m: Model) -> np.ndarray:
+    """Logits of n texts from the buckets of their subwords."""
+    own = m.table[bucket] if weight is None else m.table[bucket] * weight[:, None]
+    flat = np.stack([np.bincount(doc, own[:, c], n) for c in range(m.table.shape[1])], axis=1)
+    mean = flat / np.maximum(1, np.bincount(doc, weight, n))[:, None]
+    return (mean if m.out is None else mean @ m.out) + m.bias
+
+
 def logits(docs: list[bytes], m: Model) -> np.ndarray:
     bucket, doc = subwords(docs, m.params)
-    flat = np.stack([np.bincount(doc, m.scores[bucket, c], len(docs)) for c in range(len(m.langs))], axis=1)
-    return flat / np.maximum(1, np.bincount(doc, minlength=len(docs)))[:, None] + m.bias
+    return scored(bucket, doc, None, len(docs), m)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -85,21 +97,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(docs: list[bytes], langs: list[str], p: Params) -> Model:
-    """Fit on 1 - held_back of the texts; fit the temperature and the least confidence on the others."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], p: Params) -> Model:
+    """Fit on 1 - held_back of the texts, given as buckets and their counts; fit the temperature and the least confidence on the others."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((1 << p.bits, 0)), np.zeros(0), params=p)
-    y = np.array([names.index(x) for x in langs])
+        return Model([], np.zeros((1 << p.bits, 0)), None, np.zeros(0), params=p)
+    y = np.searchsorted(names, langs)
     rng = np.random.default_rng(7)
-    order = rng.permutation(len(docs))
+    order = rng.permutation(len(rows))
     held, own = np.split(order, [int(len(order) * p.held_back)])
-    rows = []
-    for a, b in slices([len(d) for d in docs]):
-        bucket, doc = subwords(docs[a:b], p)
-        for i in range(b - a):
-            k, n = np.unique(bucket[doc == i], return_counts=True)
-            rows.append((k, n / max(1, n.sum())))
+    shares = [n / max(1, n.sum()) for _, n in rows]
     table, out, bias = rng.normal(0, 0.1, (1 << p.bits, p.dim)), rng.normal(0, 0.1, (p.dim, len(names))), np.zeros(len(names))
     for epoch in range(p.epochs):
         rate = p.rate * (1 - epoch / p.epochs)
@@ -107,7 +114,7 @@ def train(docs: list[bytes], langs: list[str], p: Params) -> Model:
         for at in range(0, len(own), p.batch):
             some = own[at : at + p.batch]
             k = np.concatenate([rows[i][0] for i in some])
-            w = np.concatenate([rows[i][1] for i in some])
+            w = np.concatenate([shares[i] for i in some])
             of = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
             mean = np.stack([np.bincount(of, table[k, d] * w, len(some)) for d in range(p.dim)], axis=1)
             off = softmax(mean @ out + bias)
@@ -116,9 +123,10 @@ def train(docs: list[bytes], langs: list[str], p: Params) -> Model:
             out -= rate * mean.T @ off
             bias -= rate * off.mean(0)
             np.subtract.at(table, k, 20 * rate * w[:, None] * back[of])
-    m = Model(names, (table @ out).astype(np.float32), bias.astype(np.float32), params=p)
+    few = len(names) <= p.dim
+    m = Model(names, (table @ out if few else table).astype(np.float32), None if few else out.astype(np.float32), bias.astype(np.float32), params=p)
     if len(held):
-        z = logits([docs[i] for i in held], m)
+        z = np.concatenate([scored(rows[i][0], np.zeros(len(rows[i][0]), np.int64), rows[i][1].astype(float), 1, m) for i in held])
         scales = np.geomspace(0.02, 20, 80)
         m.temperature = float(min(scales, key=lambda t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()))
         sure = softmax(z / m.temperature)
@@ -129,19 +137,40 @@ def train(docs: list[bytes], langs: list[str], p: Params) -> Model:
     return m
 
 
+def _counted(p: Params):
+    """Buckets of each whole text and how often it has them: a text of any length makes no more than there are buckets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("mark", pa.int64()), ("bucket", pa.binary()), ("n", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            docs = texts(batch.column("text"))
+            for a, b in slices([len(x) for x in docs]):
+                bucket, doc = subwords(docs[a:b], p)
+                key, n = np.unique((doc << p.bits) | bucket, return_counts=True)
+                cuts = np.searchsorted(key >> p.bits, np.arange(b - a + 1))
+                key = (key & ((1 << p.bits) - 1)).astype(np.int32)
+                parts = [(key[i:j].tobytes(), n[i:j].astype(np.int32).tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield batches({"bucket": [x for x, _ in parts], "n": [x for _, x in parts]} | {c: batch.column(c).slice(a, b - a) for c in ("doc_id", "lang", "mark")}, schema)
+
+    return run, "doc_id long, lang string, mark long, bucket binary, n binary"
+
+
 def fit(docs: DataFrame, params: Params | None = None) -> Model:
-    """Learn from (doc_id, text, lang) rows with text and lang; the sample is chosen by a hash of doc_id."""
+    """Learn from (doc_id, text, lang) rows with text and lang; the sample is chosen by a hash of doc_id. Only counts of
+    buckets come to the driver, of ``per_language`` texts a language and ``max_texts`` in all."""
     p = params or Params()
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages).collect()}
-    if not counts:
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and text is not null and doc_id is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sizes.count()
+    if not langs:
         return train([], [], p)
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, p.per_language / n) * (1 << 30))).otherwise(share)
-    sample = known.where(F.expr("pmod(xxhash64(doc_id), 1073741824)") < share).select("doc_id", "lang", "text").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([r.text.encode() for r in sample], [r.lang for r in sample], p)
+    share = F.least(F.lit(1.0), F.lit(min(float(p.per_language), p.max_texts / langs)) / F.col("n"))
+    small = small_side(sizes.select("lang", (share * (1 << 30)).cast("long").alias("share")))
+    sample = known.join(small, "lang").where(F.expr("pmod(xxhash64(doc_id), 1073741824)") < F.col("share"))
+    fn, kind = _counted(p)
+    rows = sample.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text").mapInArrow(fn, kind).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang, r.mark))
+    return train([(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.int32)) for r in rows], [r.lang for r in rows], p)
 
 
 def _predictions(m: Model):
