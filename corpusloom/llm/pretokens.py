@@ -10,7 +10,7 @@ import os
 
 import numpy as np
 
-from corpusloom.llm.common import U64, Rolling
+from corpusloom.llm.common import U64, Rolling, slices
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 CLASSES = np.array([SPACE if b in b" \t\n\r" else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else OTHER for b in range(256)], np.int8)
@@ -22,12 +22,26 @@ ODD = (b"\xc3\x97", b"\xc3\xb7", b"<|")
 ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
 SLOT_BITS = 22
 MAX_WORDS = 1_500_000
+#: A part has fewer distinct words than there are slots beyond MAX_WORDS, so that a free one is always found.
+PART_BYTES = 2 << 20
 
 
 def unusual(doc: bytes) -> bool:
     return bool(doc.translate(None, USUAL)) or any(x in doc for x in ODD)
 
 
+def at_spaces(doc: bytes) -> list[bytes]:
+    """A text in parts of PART_BYTES at most, cut before white space, which no pre-token holds; a longer run without it stays whole."""
+    out, at = [], 0
+    while len(doc) - at > PART_BYTES:
+        cut = max(doc.rfind(b" ", at + 1, at + PART_BYTES), doc.rfind(b"\n", at + 1, at + PART_BYTES))
+        if cut < 0:
+            cut = min((x for x in (doc.find(b" ", at + 1), doc.find(b"\n", at + 1)) if x > 0), default=len(doc))
+        out.append(doc[at:cut])
+        at = cut
+    return [*out, doc[at:]]
+
+
 def lowered(blob: bytes) -> np.ndarray:
     data = np.frombuffer(blob.lower(), np.uint8).copy()
     at = np.flatnonzero(data[:-1] == 0xC3) + 1
@@ -111,14 +125,21 @@ class Encoder:
             for i, ids in zip(odd, self.whole([docs[i] for i in odd]), strict=True):
                 out[i] = ids
         skip = set(odd)
-        plain = [i for i in range(len(docs)) if i not in skip]
-        if not plain:
-            return out
-        blob = b" ".join(docs[i] for i in plain) + b" "
+        parts = [(i, p) for i, d in enumerate(docs) if i not in skip for p in at_spaces(d)]
+        found: dict[int, list[np.ndarray]] = {}
+        for a, b in slices([len(p) for _, p in parts], PART_BYTES):
+            for (i, _), ids in zip(parts[a:b], self._encode([p for _, p in parts[a:b]]), strict=True):
+                found.setdefault(i, []).append(ids)
+        for i, ids in found.items():
+            out[i] = np.concatenate(ids) if len(ids) > 1 else ids[0]
+        return out
+
+    def _encode(self, docs: list[bytes]) -> list[np.ndarray]:
+        blob = b" ".join(docs) + b" "
         data = lowered(blob)
         starts, ends = pre_tokens(data)
         if not len(starts):
-            return out
+            return [np.zeros(0, np.int32)] * len(docs)
         hashes = Rolling(data).spans(starts, ends) | U64(1)
         if self.used > MAX_WORDS:
             self.forget()
@@ -132,8 +153,5 @@ class Encoder:
         begin, count = self.starts[word], self.starts[word + 1] - self.starts[word]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.pool[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
-        cuts = np.cumsum([0, *(len(docs[i]) + 1 for i in plain)])
-        cuts = total[np.searchsorted(starts, cuts)]
-        for k, i in enumerate(plain):
-            out[i] = ids[cuts[k] : cuts[k + 1]]
-        return out
+        cuts = total[np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in docs)]))]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
