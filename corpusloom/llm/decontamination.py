@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, small_side
+from corpusloom.llm.common import Scratch, pack_row, small_side
 
 WINDOW, GRAM = 10, 5
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,7 +62,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, w
     prints = hashed(test).select(F.explode(own).alias("f")).distinct()
     all_ = F.concat(winnowed(g, n, window, gram), *[grams(g, n, size) for size in short])
     named = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    carried = [F.struct(*docs.columns).alias("row")] * carry
+    carried = [pack_row(docs).alias("row")] * carry
     seen = hashed(with_words(named)).select("doc_id", "h", F.explode(all_).alias("f"))
     candidates = scratch.put(seen.join(small_side(scratch.put(prints)), "f", "left_semi").select("doc_id", "h").distinct())
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, slices, small_side, texts, word_spans
+from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, pack_row, slices, small_side, texts, word_spans
 
 SPACE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -141,7 +141,7 @@ def _accepted(m: Model):
         for batch in it:
             if batch.num_rows:
                 scored = pa.Table.from_batches(score(iter([batch.select(["doc_id", "text"])])))
-                yield batch.filter(scored.column("kept").combine_chunks())
+                yield batch.select(["row"]).filter(scored.column("kept").combine_chunks())
 
     return run
 
@@ -194,7 +194,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, param
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Params | None = None, model: Model | None = None) -> DataFrame:
     """The whole rows that ``score_quality`` marks as kept; scored and filtered in one pass, without a join."""
-    return docs.mapInArrow(_accepted(model or fit(docs, labels, params)), docs.schema)
+    rows = docs.select("doc_id", "text", pack_row(docs).alias("row"))
+    return rows.mapInArrow(_accepted(model or fit(docs, labels, params)), rows.select("row").schema).select("row.*")
 
 
 def gumbel_top_k(scored: DataFrame, share: float) -> DataFrame:
