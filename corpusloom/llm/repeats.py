@@ -24,6 +24,8 @@ WIDTHS = (48, 8, 1)
 BLOCK_CONTEXT_BYTES = 1 << 19
 PIECE_BYTES = 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes as they are compared where case and the kind of white space don't count.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -36,11 +38,18 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def half_width(length: int, gram: int) -> int:
+    """Places of a trigger in a string that count as its first half."""
+    return (length - gram) // 2 + 1
+
+
 def phrases(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     """The parse of texts: ``count`` neighbouring strings of ``length`` bytes that share their trigger, the gram with the
     least rolling hash, make a phrase. Phrases overlap by length - 1 bytes, so that each string lies in one phrase.
 
-    Equal strings have their trigger at the same place (``at`` bytes after the phrase's start), wherever they occur.
+    Equal strings have their trigger at the same place (``at`` bytes after the phrase's start), wherever they occur. Strings
+    of a phrase whose trigger stands in their first half share the bytes that ``right`` names, the others those of ``left``;
+    0 where a phrase has no such string.
     """
     data = np.frombuffer(b"".join(docs), np.uint8)
     ends = np.cumsum([len(d) for d in docs])
@@ -59,7 +68,14 @@ def phrases(docs: list[bytes], length: int, gram: int) -> dict[str, np.ndarray]:
     stop = stops[np.searchsorted(stops, start, "right")]
     second = Rolling(data, 1)
     spans = (start, stop - 1 + length)
-    return {"doc": doc[start], "start": start - (ends - [len(d) for d in docs])[doc[start]], "count": stop - start, "at": trigger[start] - start, "trigger": hashes[trigger[start]], "c1": rolling.spans(*spans), "c2": second.spans(*spans)}
+    at, half = trigger[start] - start, half_width(length, gram)
+    middle = trigger[start]
+    right, left = np.zeros(len(start), U64), np.zeros(len(start), U64)
+    some = at - (stop - 1 - start) < half
+    right[some] = rolling.spans(middle[some], middle[some] + max(gram, length - half + 1)) | U64(1)
+    some = at >= half
+    left[some] = second.spans(middle[some] - half, middle[some] + gram) | U64(1)
+    return {"doc": doc[start], "start": start - (ends - [len(d) for d in docs])[doc[start]], "count": stop - start, "at": at, "trigger": hashes[middle], "right": right, "left": left, "c1": rolling.spans(*spans), "c2": second.spans(*spans)}
 
 
 def pieces(docs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -69,12 +85,17 @@ def pieces(docs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
             yield i, a, d[a : a + PIECE_BYTES + length - 1]
 
 
-def _parse(length: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.int64()) for c in ("start", "count", "at", "trigger", "c1", "c2"))])
+def compared(column: pa.Array, fold: bool) -> list[bytes]:
+    """The bytes of each text that are compared; as many as it has."""
+    return [d.translate(FOLDED) for d in texts(column)] if fold else texts(column)
+
+
+def _parse(length: int, gram: int, fold: bool):
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.int64()) for c in ("start", "count", "at", "trigger", "right", "left", "c1", "c2"))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            parts = list(pieces(texts(batch.column(2)), length))
+            parts = list(pieces(compared(batch.column(2), fold), length))
             for a, b in slices([len(x[2]) for x in parts]):
                 found = phrases([x[2] for x in parts[a:b]], length, gram)
                 if found and len(found["doc"]):
@@ -83,22 +104,29 @@ def _parse(length: int, gram: int):
                     found["start"] = found["start"] + offsets
                     yield batches({"doc_id": batch.column(0).cast(pa.int64()).take(pa.array(rows)), "h": batch.column(1).take(pa.array(rows))} | {k: v.view(np.int64) for k, v in found.items()}, schema)
 
-    return run, "doc_id long, h long, start long, count long, at long, trigger long, c1 long, c2 long"
+    return run, "doc_id long, h long, start long, count long, at long, trigger long, right long, left long, c1 long, c2 long"
 
 
 PHRASE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("weight", pa.int64()), ("members", pa.int64()), ("context", pa.binary())])
 PHRASE_KIND = "doc_id long, h long, start long, at long, key long, weight long, members long, context binary"
 
 
-def _contexts(length: int):
-    """Bytes of each phrase in question of a document."""
+def _contexts(length: int, gram: int, fold: bool):
+    """Bytes of a document's phrases in question, as far as the strings go that have their trigger in the half in question."""
+    half = half_width(length, gram)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            docs = texts(batch.column("text"))
-            lists = batch.column("phrases").to_pylist()
-            names, hs = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
-            rows = [(names[i], hs[i], r["start"], r["at"], r["trigger"], r["weight"], r["members"], docs[i][r["start"] : r["start"] + r["count"] - 1 + length]) for i, found in enumerate(lists) for r in found]
+            rows = []
+            for name, h, doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), compared(batch.column("text"), fold), batch.column("phrases").to_pylist(), strict=True):
+                for r in found:
+                    first, last = r["start"], r["start"] + r["count"] - 1
+                    middle = first + r["at"]
+                    if r["second"]:
+                        last = min(last, middle - half)
+                    else:
+                        first = max(first, middle - half + 1)
+                    rows.append((name, h, first, middle - first, r["key"], r["weight"], r["members"], doc[first : last + length]))
             for a, b in slices([len(r[-1]) for r in rows], 2 << 20):
                 yield batches(dict(zip(PHRASE.names, zip(*rows[a:b], strict=True), strict=True)), PHRASE)
 
@@ -216,17 +244,19 @@ def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int):
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, group: int = GROUP) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, group: int = GROUP, fold: bool = False) -> DataFrame:
     """(doc_id, h, spans) of strings that occur again; spans (start, stop) may overlap. h is the hash of the text."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= length)
-    fn, kind = _parse(length, gram)
+    fn, kind = _parse(length, gram, fold)
     parse = scratch.put(rows.mapInArrow(fn, kind))
     name = ["trigger", "c1", "c2"]
-    dictionary = scratch.put(parse.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "count", "at")).alias("first")))
-    mixed = dictionary.groupBy("trigger").agg(F.count("*").alias("members")).where("members > 1")
-    apart = dictionary.join(mixed, "trigger").select("trigger", "members", F.least("n", F.lit(2)).alias("weight"), "first.*")
-    apart = apart.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count", "at", "trigger", "weight", "members")).alias("phrases"))
-    fn, kind = _contexts(length)
+    dictionary = scratch.put(parse.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "count", "at", "right", "left")).alias("first")))
+    mixed = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1").select("trigger")
+    halves = F.explode(F.array(*[F.struct(F.col(f"first.{k}").alias("key"), F.lit(k == "left").alias("second")) for k in ("right", "left")])).alias("half")
+    sides = scratch.put(dictionary.join(mixed, "trigger").select(F.least("n", F.lit(2)).alias("weight"), "first.doc_id", "first.h", "first.start", "first.count", "first.at", halves).select("*", "half.*").drop("half").where("key <> 0"))
+    shared = sides.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    apart = sides.join(shared, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count", "at", "key", "second", "weight", "members")).alias("phrases"))
+    fn, kind = _contexts(length, gram, fold)
     own = rows.join(apart.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "text", "phrases")
     contexts, found, same = scratch.put(own.mapInArrow(fn, kind)), [], ["key", "c1", "c2"]
     order, shape = _ordered(length)
@@ -251,25 +281,26 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: bool = False, least_words: int = 0, group: int = GROUP) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: bool = False, least_words: int = 0, group: int = GROUP, fold: bool = False) -> DataFrame:
     """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as ``kept`` and
     the whole row of ``docs`` as a struct ``row``, if asked for).
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else, the same document
-    included; with ``least_words``, only maximal runs of such bytes that touch so many words.
+    included; with ``least_words``, only maximal runs of such bytes that touch so many words; with ``fold``, A-Z equal a-z
+    and white space of any kind is alike.
 
     The corpus is parsed into phrases at its rolling-hash triggers. The dictionary holds each distinct phrase and how
     often the parse has it: strings of a phrase that the parse has twice occur twice. What different phrases share has
-    the same trigger in both, so the dictionary's phrases are put into suffix order trigger by trigger. A trigger with
-    more than ``group`` phrases is split by what stands around it, until a group fits a task or holds one string only;
-    that changes where strings are compared, not the result.
+    the same trigger in both, and half a string before or after it; so the dictionary's phrases are put into suffix order
+    by groups that share as much. A group of more than ``group`` phrases is split by what stands around the trigger, until
+    it fits a task or holds one string only; that changes where strings are compared, not the result.
 
     A null text counts as empty; texts shorter than ``length`` keep all. Rows that repeat a doc_id and a text are
     copies of each other, so both lose what they share. Other columns are ignored, whatever their names; an empty table
     gives no rows. The bytes of a character that is cut through are left out of ``kept``, but not of the digest.
     """
     scratch = Scratch(spark)
-    spans = scratch.put(repeated_spans(spark, docs, scratch, length, gram, group).where("size(spans) > 0"))
+    spans = scratch.put(repeated_spans(spark, docs, scratch, length, gram, group, fold).where("size(spans) > 0"))
     scratch.drop_all_but(spans)
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *([pack_row(docs).alias("row")] if carry else []))
     out = rows.join(spans.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")

@@ -3,12 +3,13 @@
 import hashlib
 import random
 import textwrap
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import near_dup, repeats
+from corpusloom.llm import near_dup, pretokens, repeats, token_counts
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.components import connected
 from corpusloom.llm.decontamination import find_contamination
@@ -20,7 +21,7 @@ from corpusloom.llm.parsing import corpus_order
 from corpusloom.llm.pretokens import Encoder
 from corpusloom.llm.quality import gumbel_top_k, score_quality
 from corpusloom.llm.sharding import shard_documents
-from corpusloom.llm.token_counts import Pieces, count_block, count_tokens, default_vocabulary as piece_vocabulary, pieces_of
+from corpusloom.llm.token_counts import count_tokens
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, h long, pos int, words string"
 
@@ -58,6 +59,17 @@ def test_language(spark, docs, empty):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
 
 
+@pytest.mark.parametrize("n", [3, 24])
+def test_language_of_held_out_texts(spark, n):
+    """Made languages, more and fewer than the model has dimensions, each with letters and word lengths of its own."""
+    rng = random.Random(15)
+    letters = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzéßñ", 9)) for _ in range(n)]
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 8)))
+    rows = [(i, " ".join(word(i % n) for _ in range(rng.randrange(20, 60))), f"l{i % n:02}") for i in range(n * 60)]
+    out = identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(out) > n * 8 and sum(r.lang_pred == rows[r.doc_id][2] for r in out) >= 0.95 * len(out)
+
+
 def test_near_duplicates(spark, docs, empty):
     out = near_dup.near_duplicates(spark, docs).collect()
     assert len(out) == 17 and near_dup.near_duplicates(spark, empty).count() == 0
@@ -174,6 +186,15 @@ def test_repeats_of_common_passages(spark, monkeypatch, group, piece):
     assert removed(repeats.remove_repeats(spark, docs, 100, 16, group=group).collect()) == brute_repeats(rows, 100)
 
 
+def test_repeats_without_case(spark):
+    rng = random.Random(17)
+    shared = prose(rng, 60)
+    rows = [(0, f"{prose(rng, 9)} {shared}"), (1, f"{prose(rng, 9)} {shared.upper()}"), (2, shared.replace(" ", "\n"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_removed >= len(shared) for r in repeats.remove_repeats(spark, docs, 100, 16, fold=True).collect())
+    assert removed(repeats.remove_repeats(spark, docs, 100, 16).collect()) == brute_repeats(rows, 100)
+
+
 def test_repeats_of_enough_words(spark):
     rng = random.Random(13)
     few, many = prose(rng, 49), prose(rng, 51)
@@ -236,6 +257,22 @@ def test_encoder_equals_tokenizer():
     assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in encoder.whole(texts)]
 
 
+def test_encoder_of_long_texts(monkeypatch):
+    monkeypatch.setattr(pretokens, "PART_BYTES", 50)
+    encoder, rng = Encoder(default_vocabulary()), random.Random(16)
+    texts = [x.encode() for x in (prose(rng, 60), "x" * 300 + " it's\n'll " + "y" * 80, "a b" * 100, "é" * 99 + " it's", " " * 200 + "z", "word" * 40)]
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in encoder.whole(texts)]
+
+
+def test_more_distinct_words_than_slots():
+    """A text with more distinct words than the encoder remembers at a time ends, with the tokenizer's ids."""
+    encoder = Encoder(default_vocabulary())
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}{'qxz'[i // 456976 % 3]}" for i in range(1_300_000)]
+    text = " ".join(words).encode()
+    ids = encoder.encode([text, b"abc"])
+    assert len(text) > 3 * pretokens.PART_BYTES and ids[0].tolist() == encoder.whole([text])[0].tolist() and len(ids[1])
+
+
 def test_licenses(spark, docs, empty):
     out = {r.doc_id: r.licenses for r in scan_licenses(spark, docs).collect()}
     assert out[12] == ["MIT"] and all(not x for i, x in out.items() if i != 12) and scan_licenses(spark, empty).count() == 0
@@ -306,23 +343,49 @@ def test_quality(spark, empty):
     assert {r.gumbel_key for r in drawn if r.selected} == set(keys[: len([r for r in drawn if r.selected])]) and abs(sum(bool(r.selected) for r in drawn) - 105) <= 1
 
 
+def best_segmentation(word, scores, unknown):
+    """(score, pieces) by looking at each split; of equal scores the one with fewer pieces."""
+    best = [(0.0, ())]
+    for i in range(1, len(word) + 1):
+        found = [(best[j][0] + scores[word[j:i]], (*best[j][1], word[j:i])) for j in range(max(0, i - 60), i) if word[j:i] in scores]
+        if word[i - 1 : i] not in scores:
+            found.append((best[i - 1][0] + unknown, (*best[i - 1][1], None)))
+        best.append(max(found, key=lambda f: (f[0], -len(f[1]))))
+    return best[-1]
+
+
 def test_token_counts(spark, docs, rows, empty):
-    assert count_tokens(spark, docs).count() == 17 and count_tokens(spark, empty).count() == 0
-    pieces = pieces_of(piece_vocabulary())
-    text = "the naïve\tquick brownish fox 日"
-    total, score = 0, 0.0
-    for word in text.split():
-        word = b" " + word.encode()
-        best = [(0.0, 0)]
-        for i in range(1, len(word) + 1):
-            found = [(best[j][0] + pieces[word[j:i]], -best[j][1] - 1) for j in range(i) if word[j:i] in pieces]
-            if word[i - 1 : i] not in pieces:
-                found.append((best[i - 1][0] - 20.0, -best[i - 1][1] - 1))
-            top = max(found)
-            best.append((top[0], -top[1]))
-        total, score = total + best[-1][1], score + best[-1][0]
-    words, tokens, scores = count_block([text.encode(), b"", b" \n"], Pieces(pieces))
-    assert words.tolist() == [6, 0, 0] and tokens[0] == total and abs(scores[0] - score) < 1e-6
+    rng = random.Random(14)
+    assert count_tokens(spark, empty).count() == 0
+    texts = [r[1] for r in rows if not r[1] or len(r[1]) < 3000] + ["the naïve\tquick brownish fox 日", "".join(rng.choice("etaoin shrdlu") for _ in range(900)).replace(" ", ""), "x" * 300 + " " + "日本" * 40]
+    pieces = token_counts.pieces_of(token_counts.default_vocabulary())
+    scores = token_counts.rank_scores(len(pieces))
+    for rounds in (0, 1, 2):
+        if rounds:
+            scores = token_counts.estimated(counts)
+        known, counts, want = dict(zip(pieces, scores.tolist(), strict=True)), np.zeros(len(pieces)), []
+        number = {x: i for i, x in enumerate(pieces)}
+        for t in texts:
+            found = [best_segmentation(b" " + w.encode(), known, scores.min() - 10) for w in (t or "").split()]
+            for _, used in found:
+                np.add.at(counts, [number[x] for x in used if x], 1)
+            want.append((len(found), sum(len(u) for _, u in found), sum(s for s, _ in found)))
+        some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = sorted(count_tokens(spark, some, rounds=rounds).collect())
+        assert [(r.n_words, r.n_tokens) for r in got] == [w[:2] for w in want]
+        assert np.allclose([r.log_prob for r in got], [w[2] for w in want])
+    assert count_tokens(spark, docs).count() == 17
+
+
+def test_token_counts_of_a_long_run():
+    rng = np.random.default_rng(1)
+    long = bytes(rng.integers(97, 123, 1 << 20).astype(np.uint8))
+    pieces = token_counts.pieces_of(token_counts.default_vocabulary())
+    model = token_counts.Pieces(pieces, token_counts.rank_scores(len(pieces)))
+    began = time.time()
+    words, tokens, scores, used = token_counts.count_block([long, b"a word", long[:200]], model)
+    assert time.time() - began < 30 and words.tolist() == [1, 2, 1] and tokens[0] > 1 << 17
+    assert tokens[2] == len(best_segmentation(b" " + long[:200], dict(zip(pieces, model.scores.tolist(), strict=True)), model.unknown)[1])
 
 
 def test_pipeline_keeps_clean_documents(spark):
