@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r'\s*(?:(\()|(\))|(\')|"((?:[^"\\]|\\.)*)"|#\\(\S+(?=[\s()])| |.)|([^\s()\'"]+))', re.S)
+TOKEN = re.compile(r'\s*(?:(\()|(\))|(\')|"((?:[^"\\]|\\.)*)"|#\\([^\s()]+|.)|([^\s()\'"]+))', re.S)
 
 
 def nil() -> Column:
@@ -24,7 +24,7 @@ class Symbol(str):
 
 
 def parse(text: str) -> list:
-    """Expressions of a text as nested lists; strings are one-tuples."""
+    """Expressions of a text as nested lists; strings are one-tuples, characters have a # as second part."""
     stack: list[list] = [[]]
     quotes: list[int] = []
     at = 0
@@ -53,7 +53,7 @@ def parse(text: str) -> list:
         elif m[4] is not None:
             add((re.sub(r"\\(.)", r"\1", m[4]),))
         elif m[5] is not None:
-            add(({"Space": " ", "Newline": "\n"}.get(m[5], m[5]),))
+            add(({"Space": " ", "Newline": "\n"}.get(m[5], m[5]), "#"))
         else:
             add(Symbol(m[6]))
     if len(stack) > 1:
@@ -61,13 +61,14 @@ def parse(text: str) -> list:
     return stack[0]
 
 
+BUILT_IN = ("quote", "lambda", "defun", "set", "setq", "progn", "eval", "if", "eq", "and", "or", "concatenate", "subst", "replace", "atom", "car", "cdr", "cons", "first", "last")
+
+
 class Compiler:
     """Compiles with fields as variables; functions are expanded where they are called."""
 
     def __init__(self, variable: Callable[[str], Column | None]):
         self.variable, self.functions = variable, {}
-        for text in ("(defun first (x) (car x))", "(defun last (x) (if (cdr x) (last-of x) (car x)))"):
-            self.run(parse(text)[0], {})
 
     def compile(self, text: str) -> Column:
         out, env = nil(), {}
@@ -85,6 +86,10 @@ class Compiler:
             return F.lit("")
         if x is None or x == []:
             return nil()
+        if isinstance(x, Symbol):
+            return F.lit(x.upper())
+        if isinstance(x, list):
+            return F.concat(F.lit("("), *[y for i, v in enumerate(x) for y in ([F.lit(" ")] if i else []) + [F.coalesce(Compiler.column(v), F.lit("NIL"))]], F.lit(")"))
         raise Failure(f"not a value: {x}")
 
     def run(self, form, env: dict):
@@ -106,9 +111,8 @@ class Compiler:
         if isinstance(head, list):
             return self.call(self.run(head, env), [self.run(a, env) for a in args], env)
         name = head.lower()
-        special = getattr(self, f"_{name.replace('-', '_')}", None)
-        if special:
-            return special(args, env)
+        if name in BUILT_IN:
+            return getattr(self, f"_{name}")(args, env)
         if name in self.functions:
             return self.call(self.functions[name], [self.run(a, env) for a in args], env)
         raise Failure(f"undefined {head}")
@@ -174,6 +178,8 @@ class Compiler:
 
     def _eq(self, a, env):
         x, y = (self.run(v, env) for v in a)
+        if any(isinstance(v, tuple) and len(v) > 1 for v in (x, y)) and any(isinstance(v, Column) for v in (x, y)):
+            return None  # a field is a string, never a character
         if isinstance(x, Column) or isinstance(y, Column):
             return F.when(self.column(x).eqNullSafe(self.column(y)), F.lit(""))
         return True if x == y else None
@@ -203,11 +209,14 @@ class Compiler:
         return F.coalesce(*found) if found else None
 
     def _concatenate(self, a, env):
-        return F.concat(*[self.column(self.run(x, env)) for x in a])
+        found = [self.run(x, env) for x in a]
+        if any(x in (None, []) for x in found if not isinstance(x, Column)):
+            raise Failure("concatenate: NIL is no string")
+        return F.concat(*[self.column(x) for x in found])
 
     def _subst(self, a, env):
         old, new, text = (self.run(x, env) for x in a)
-        return F.translate(self.column(text), old[0], new[0])
+        return F.replace(self.column(text), self.column(old), self.column(new))
 
     def _replace(self, a, env):
         old, new, text = (self.column(self.run(x, env)) for x in a)
@@ -216,23 +225,25 @@ class Compiler:
     def _atom(self, a, env):
         return None if isinstance(self.run(a[0], env), list) else True
 
-    def _list(self, a, env):
+    def list_of(self, a, env) -> list:
         found = self.run(a[0], env)
         if found is not None and not isinstance(found, list):
             raise Failure("not a list")
         return found or []
 
     def _car(self, a, env):
-        return next(iter(self._list(a, env)), None)
+        return next(iter(self.list_of(a, env)), None)
+
+    _first = _car
 
     def _cdr(self, a, env):
-        return self._list(a, env)[1:] or None
+        return self.list_of(a, env)[1:] or None
 
-    def _last_of(self, a, env):
-        return self._list(a, env)[-1]
+    def _last(self, a, env):
+        return next(iter(self.list_of(a, env)[-1:]), None)
 
     def _cons(self, a, env):
-        return [self.run(a[0], env), *self._list(a[1:], env)]
+        return [self.run(a[0], env), *self.list_of(a[1:], env)]
 
 
 def compile_expression(text: str, fields: Callable[[str], Column | None]) -> Column:

@@ -13,7 +13,9 @@ from corpusloom.operators import intervals as I
 from corpusloom.operators.constraints import ConstraintError, condition, constrained, parse
 from corpusloom.plans.query import QueryError, Searcher
 from corpusloom.plans.query import parse as parse_query
+from corpusloom.plans import console
 from corpusloom.plans.service import ask, respond, search_all
+from corpusloom.plans.settings import Settings, client_settings, read_cursor, read_hosts, read_settings, write_cursor, write_settings
 from corpusloom.sources import tokens as T
 from corpusloom.streaming.counts import stream_term_counts
 
@@ -160,6 +162,10 @@ def test_expressions(spark):
     assert value("(and param3 param4)") is None and value('(or nosuch "d")') == "d"
     assert value("(nosuch 1)").startswith("<error")
     assert value('((lambda (x &rest y) (car y)) "a" "b")') == "b"
+    assert value("(list '(1))").startswith("<error") and value('(concatenate "a" nil)').startswith("<error") and value('(or (concatenate "a" nil) "d")') == "d"
+    assert value('(eq "a" #\\a)') is None and value('(eq "a" "a")') == "" and value('(eq #\\a #\\a)') == "" and value("(eq param3 #\\M)") is None
+    assert value("(subst (car '(#\\_)) #\\- param2)") == "a-b"
+    assert value("(cons \"x\" '(\"y\" z))") == "(x y Z)" and value("'()") is None and value("(last '())") is None
 
 
 def test_index_and_pages(spark, tmp_path):
@@ -197,3 +203,38 @@ def test_entry_names_agree():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_settings_and_console(spark, tmp_path):
+    assert read_hosts(str(written(tmp_path / "hosts", "a\nb:7\n\n"))) == ["a:12000", "b:7"]
+    write_settings(str(tmp_path / "s.json"), Settings(style="raw"))
+    assert read_settings(str(tmp_path / "s.json")) == Settings(style="raw") and Settings().nonDuplicateFields == ("href", "style", "nertag")
+    assert read_settings(str(written(tmp_path / "t.json", '{"field": "lower", "other": 1}'))).field == "lower"
+    client = client_settings(str(written(tmp_path / "c.xml", "<x><head><title/><uri/></head><servers><style>raw</style></servers><format><attributes/><nertags><person><name/></person><all/></nertags></format><dye><person>Light gray</person></dye></x>")))
+    assert client == {"head": ["title", "uri"], "dye": {"person": "Light gray"}, "format": {"attributes": [], "nertags": {"person": ["name"], "all": ["all"]}}, "style": "raw"}
+    write_cursor(str(tmp_path / "cursor"), {"a": 3})
+    assert read_cursor(str(tmp_path / "cursor")) == {"a": 3} and read_cursor(str(tmp_path / "none")) == {}
+    assert console.painted("<person name='x'>A</person> <personal>", client["dye"]) == "\x1b[37m<person name='x'>A</person>\x1b[0m <personal>"
+    assert console.boxed({"title": "T", "uri": "a%20b", "doc": "12"}, ["title", "uri", "host"]) == "----------\n| title: T |\n| uri: a b |\n----------\n".replace("----------", "-" * 12)
+    assert list(console.printed({"error": "query", "errorMessage": "bad"})) == ["query: bad"]
+    assert console.evaluated(spark, '(concatenate "a" "b")') == "ab" and console.evaluated(spark, "nil") == "NIL"
+
+
+def written(path, text):
+    path.write_text(text)
+    return path
+
+
+def test_collections_from_files_to_answers(spark, tmp_path, capsys):
+    rows = [["%%#DOC\tone", "%%#PAGE A title\thttp://x", "%%#PAR 1 wx1", "%%#SEN 1 wx1", cells(token="Rome", lower="rome", nerid="e:99", nertag="location", param2="Rome", nerlength="1"), cells(token="fell", lower="fell")], ["%%#DOC\ttwo", "%%#SEN 1 wx1", cells(token="Rome", lower="rome")]]
+    for i, name in enumerate("ab"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        written(tmp_path / "in" / name / "x.vert", "\n".join(sum(rows[i:], [])))
+        console.main(["index", str(tmp_path / "in" / name), str(tmp_path / "out" / name)])
+    found = console.load_collections(spark, str(tmp_path / "out"))
+    assert sorted(found) == ["a", "b"]
+    lines = list(console.answered(found, "Rome", {"snippets": 5, "style": "raw", "head": ["title"]}))
+    assert len(lines) == 4 and "A title" in lines[0] and "<location" in lines[0] and lines[-1].startswith("3 results in 3 documents")
+    written(tmp_path / "queries", "Rome\n")
+    console.main(["search", str(tmp_path / "out" / "b"), "--input", str(tmp_path / "queries"), "--cursor", str(tmp_path / "cursor")])
+    assert "Rome" in capsys.readouterr().out
