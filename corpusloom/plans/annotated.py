@@ -70,8 +70,9 @@ def vertical_documents(spark, sf_dir):
 
 
 def vertical_sentences(spark, sf_dir):
-    """Size and words of each sentence as a document of its own."""
-    return T.sentences_as_documents(stored(spark, sf_dir).tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("lower").alias("least"))
+    """Title, size and words of each sentence as a document of its own."""
+    found = T.sentences_as_documents(stored(spark, sf_dir).tokens).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("lower").alias("least"))
+    return found.join(T.sentence_titles(found), "doc_id")
 
 
 def vertical_fields(spark, sf_dir):
@@ -130,7 +131,7 @@ def shown(own: str, element: str, attributes: str) -> str:
 _ALL = {
     "vertical_tokens": (vertical_tokens, f"WITH {MADE}, {MARKS} SELECT doc_id, pos, sen_no, par_no, is_mark, token, lemma, nertag, nertype FROM u"),
     "vertical_documents": (vertical_documents, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, CAST(doc_id AS VARCHAR) AS uuid, 'Title ' || doc_id AS title, 'http%3A%2F%2Fx%2F' || doc_id AS uri FROM documents"),
-    "vertical_sentences": (vertical_sentences, f"WITH {MADE}, q AS (SELECT doc_id, sen, count(*) AS n, min(lower) AS least FROM v GROUP BY ALL) SELECT row_number() OVER (ORDER BY doc_id, sen) - 1 AS doc_id, n, CAST(n - 1 AS INTEGER) AS last, least FROM q"),
+    "vertical_sentences": (vertical_sentences, f"WITH {MADE}, q AS (SELECT doc_id, sen, count(*) AS n, min(lower) AS least FROM v GROUP BY ALL) SELECT row_number() OVER (ORDER BY doc_id, sen) - 1 AS doc_id, n, CAST(n - 1 AS INTEGER) AS last, least, 'Sentence #' || row_number() OVER (ORDER BY doc_id, sen) AS title FROM q"),
     "vertical_terms": (vertical_terms, f"WITH {MADE}, {MARKS}, c AS (SELECT doc_id, pos, unnest(['token', 'lower', 'nertag', 'nerid', 'param2', 'param3']) AS field, unnest([token, lower, nertag, nerid, param2, param3]) AS cell FROM u), o AS (SELECT DISTINCT field, doc_id, pos, unnest(list_filter(string_split(cell, '|'), lambda x: x <> '')) AS term FROM c), d AS (SELECT field, term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM d GROUP BY ALL"),
     "vertical_fields": (vertical_fields, f"WITH {MADE}, {MARKS}, c AS (SELECT doc_id, pos, unnest(['token', 'lower', 'nertag', 'nerid', 'param2', 'param3']) AS field, unnest([token, lower, nertag, nerid, param2, param3]) AS cell FROM u), o AS (SELECT DISTINCT field, doc_id, pos, unnest(list_filter(string_split(cell, '|'), lambda x: x <> '')) AS term FROM c), d AS (SELECT field, term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT field, term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM d GROUP BY ALL) SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT count(DISTINCT doc_id) FROM u) AS documents, (SELECT max(pos) + 1 FROM u) AS maxdocsize FROM q GROUP BY field"),
     "search_property": (search("person.gender:M"), f"WITH {MADE} SELECT doc_id, pos AS l, pos AS r FROM v WHERE nertag = 'person' AND param3 = 'M'"),

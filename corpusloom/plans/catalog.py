@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators import index, snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, write_index
+from corpusloom.operators.index import StoredIndex, TokenTable, write_index
 from corpusloom.plans import annotated
 from corpusloom.plans.query import Searcher
+from corpusloom.plans.service import search_all
 from corpusloom.sources.storage import exists, shared_dir, version
 from corpusloom.sources.tokens import plain_tokens, with_sentences
 
@@ -61,6 +62,18 @@ def page_of_snippets(spark, sf_dir):
     return snippets.plain_snippets(found, index.tokens_of(wanted))
 
 
+def page_of(size: int, offset: int = 0):
+    """The intervals of a page of documents."""
+    return lambda spark, sf_dir: snippets.page(Searcher(stored(spark, sf_dir)).search("of < that", "lower"), size, offset)
+
+
+def two_collections(spark, sf_dir):
+    """Documents with even and odd ids as two collections, each with its share of the snippets."""
+    index = stored(spark, sf_dir)
+    parts = {name: (TokenTable(index.tokens.where(F.col("doc_id") % 2 == k)), index.documents) for k, name in enumerate(("even", "odd"))}
+    return search_all(parts, {"query": "lower:of < lower:that", "snippets": 20}).select("doc_id", "thread", F.size("data").alias("n"))
+
+
 def constraint(text: str):
     def run(spark, sf_dir):
         index, query = stored(spark, sf_dir), "(1:of 2:th*)~6"
@@ -100,6 +113,7 @@ def sentence_sizes(spark, sf_dir):
 
 NEAR = f"c0 AS ({both('of', 'that')}), c AS (SELECT * FROM c0), a AS ({MINIMAL})"
 PAIRS = "p AS (SELECT doc_id, pos AS l, pos AS r FROM t WHERE starts_with(lower, 'th')), o AS (SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'of'), c AS (SELECT o.doc_id, least(o.l, p.l) AS l, greatest(o.r, p.r) AS r FROM o JOIN p ON o.doc_id = p.doc_id AND abs(o.l - p.l) < 6)"
+ORDERED = f"{TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r), m AS MATERIALIZED ({MINIMAL}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1)"
 #: name: (query, SQL)
 _ALL = {
     "tokenize": (lambda s, d: tokens(s, d), f"WITH {TOKENS} SELECT doc_id, pos, token, lower FROM t"),
@@ -123,6 +137,10 @@ _ALL = {
     "constraint_equal": (constraint("2.lower = that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
     "constraint_unequal": (constraint("2.lower != that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
     "snippet_page": (page_of_snippets, f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r), m AS ({MINIMAL}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), k AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS page FROM n), g AS (SELECT page, coalesce(sum(sum(n)) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY page), f AS (SELECT m.* FROM m JOIN k USING (doc_id) JOIN g USING (page) WHERE before < 100) SELECT f.doc_id, f.l, f.r, string_agg(regexp_replace(regexp_replace(token, '\\|G\\S*', '', 'g'), '[¶§]', '', 'g'), ' ' ORDER BY pos) AS snippet FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos BETWEEN f.l - 5 AND f.r + 5 GROUP BY ALL"),
+    "search_remap": (search("of {{lower->token}} that"), f"WITH {TOKENS}, c AS ({both('of', 'that')}) {MINIMAL}"),
+    "page_at_offset": (page_of(12, 20), f"WITH {ORDERED}, k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 20 AS page FROM n), g AS (SELECT *, coalesce(sum(n) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k WHERE page > 0) SELECT m.doc_id, l, r FROM m JOIN g USING (doc_id) WHERE before < 12"),
+    "page_without_budget": (page_of(-1), f"WITH {ORDERED} SELECT doc_id, l, r FROM m WHERE doc_id IN (SELECT doc_id FROM n ORDER BY doc_id LIMIT 15)"),
+    "two_collections": (two_collections, f"WITH {ORDERED}, k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id % 2 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS thread, CAST(n AS INTEGER) AS n FROM k WHERE before < 10"),
     "scalar_expression": (expression, f"SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, sql) in EXPRESSIONS.items())} FROM documents"),
 }
 _ALL["index_stored_terms"] = (stored_terms, _ALL["index_terms"][1])

@@ -72,6 +72,11 @@ def sentences_as_documents(tokens: DataFrame) -> DataFrame:
     return out.drop("doc_id").withColumnRenamed("sentence_id", "doc_id")
 
 
+def sentence_titles(sentences: DataFrame) -> DataFrame:
+    """(doc_id, title) of sentences as documents."""
+    return sentences.select("doc_id", F.concat(F.lit("Sentence #"), F.col("doc_id") + 1).alias("title")).distinct()
+
+
 def vertical_texts(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, value): each document (doc_id, title, url) as vertical text. ``tokens`` has doc_id, pos, sen_no and par_no from 0
     on and FIELDS; a null ends a row's cells.
