@@ -68,21 +68,26 @@ class OpenWindows:
 def best_fit_decreasing(histogram: dict[int, int], window: int, first_id: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(length, rank, count, sequence_id, offset): pieces rank..rank+count-1 of a length go, one each, to as many sequences from sequence_id on.
 
-    The pieces of one length are alike, so the plan's size depends on the window alone.
+    A piece goes to the tightest window; that stays the tightest for pieces of its length until it is full, so windows of
+    one capacity are filled one after the other. The pieces of one length are alike, so the plan's size depends on the
+    window alone.
     """
     open_, plan, next_id = OpenWindows(window), [], first_id
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             room = open_.tightest(length)
+            each = (room or window) // length
             if room:
-                first, n = open_.take(room, left)
+                first, n = open_.take(room, max(1, left // each))
             else:
-                room, first, n = window, next_id, left if 2 * length > window else max(1, -(-left // (window // length)))
+                room, first, n = window, next_id, max(1, left // each)
                 next_id += n
-            plan.append((length, rank, n, first, window - room))
-            open_.add(room - length, first, n)
-            rank, left = rank + n, left - n
+            own = min(each, left)
+            for k in range(own):
+                plan.append((length, rank + k * n, n, first, window - room + k * length))
+            open_.add(room - own * length, first, n)
+            rank, left = rank + own * n, left - own * n
     return plan
 
 
