@@ -19,6 +19,8 @@ TRIPLETS = ((0, 1, 2), (0, 2, 3), (0, 1, 4))
 #: Expected difference of two unrelated digests: buckets differ by 0, 1, 2, 3 in 4, 6, 4, 2 of 16 cases, and 3 counts as 6.
 LIMIT = BUCKETS * (6 * 1 + 4 * 2 + 2 * 6) / 16
 BLOCK = 1 << 20
+#: Rows that may become a bound, for each bound.
+CHOICES = 10
 
 
 def digests(docs: list[bytes]) -> np.ndarray:
@@ -66,22 +68,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _dealt(bounds: list[int], first: int | None, last_range: int):
-    """Range of each row; the first row of a range also goes to the range before it, to end it there."""
+def places(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """(doc_id, hash of the text) as byte strings in their order; null ids come first."""
+    known = np.stack([ids.fill_null(np.iinfo(np.int64).min).to_numpy(), hashes.to_numpy()], axis=1)
+    return (known.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").reshape(-1).view("S16")
+
+
+def _dealt(bounds: np.ndarray, first: np.ndarray):
+    """Range of each row; the first row of a range also goes to the range before it, to end it there, and the first of all to the last."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bounds, np.int64)
         for batch in it:
             ids = batch.column(0).cast(pa.int64())
-            known = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
-            there = np.searchsorted(edges, known, "right")
-            head = np.isin(known, edges)
-            wrap = known == (np.iinfo(np.int64).min if first is None else first)
-            for rows, rid, ends in ((np.arange(len(known)), there, 0), (np.flatnonzero(head), there[head] - 1, 1), (np.flatnonzero(wrap), np.full(wrap.sum(), last_range), 1)):
+            known = places(ids, batch.column(1))
+            there = np.searchsorted(bounds, known, "right")
+            head, wrap = np.isin(known, bounds), np.isin(known, first)
+            for rows, rid, ends in ((np.arange(len(known)), there, 0), (np.flatnonzero(head), there[head] - 1, 1), (np.flatnonzero(wrap), np.full(wrap.sum(), len(bounds)), 1)):
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(np.full(len(rows), ends, np.int32)), ids.take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["rid", "ends", "doc_id", "text"])
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(np.full(len(rows), ends, np.int32)), ids.take(at), batch.column(1).take(at), batch.column(2).take(at)], names=["rid", "ends", "doc_id", "h", "text"])
 
-    return run, "rid long, ends int, doc_id long, text string"
+    return run, "rid long, ends int, doc_id long, h long, text string"
 
 
 def _compared():
@@ -105,7 +112,7 @@ def _compared():
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ready, size = None, [], 0
         for batch in it:
-            for rid, ends, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, ends, name, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "ends", "doc_id", "text")), strict=True):
                 text = text or ""
                 if held and held[0] == rid:
                     ready.append((held[1], held[2], text))
@@ -120,18 +127,24 @@ def _compared():
     return run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(spark: SparkSession, docs: DataFrame, per_range: int = 50_000) -> DataFrame:
+def fingerprint_documents(spark: SparkSession, docs: DataFrame, per_range: int = 100_000) -> DataFrame:
     """One row for each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is found by dealing rows to ranges of doc_id whose bounds are ids of the table; the first of each
-    range ends the one before. Null ids come first, rows that repeat a doc_id follow each other by text, and the last
-    is followed by the first. A null text counts as empty. Other columns are ignored; an empty table gives no rows.
+    The next document is found by dealing rows to ranges of (doc_id, hash of the text) of about ``per_range`` rows, whose
+    bounds are rows of the table, one in so many chosen by a hash; the first of each range ends the one before. Null ids
+    come first, rows that repeat a doc_id follow each other by the hash of their text, so that they may fill many ranges,
+    and the last is followed by the first. A null text counts as empty. Other columns are ignored; an empty table gives no rows.
     """
-    known = docs.select(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    parts = min(10_000, max(known.n // per_range, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.select(F.percentile_approx("doc_id", [(i + 1) / parts for i in range(parts - 1)], 10 * parts)).first()[0] if parts > 1 else None
-    bounds = sorted({int(x) for x in cuts or [] if x != known.low})
-    fn, kind = _dealt(bounds, None if known.nulls else known.low, len(bounds))
-    dealt = docs.select("doc_id", "text").mapInArrow(fn, kind).repartition(max(1, len(bounds) + 1), "rid").sortWithinPartitions("rid", "ends", F.asc_nulls_first("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    known = rows.agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h")).alias("low")).first()
+    parts = max(known.n // per_range, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one_in = max(1, known.n // (CHOICES * parts))
+    chosen = rows.where(F.expr(f"pmod(xxhash64(doc_id, h, 17), {one_in}) = 0")).select("doc_id", "h").distinct().collect()
+    at = lambda found: places(pa.array([r.doc_id for r in found], pa.int64()), pa.array([r.h for r in found], pa.int64()))
+    first = at([known.low] if known.n else [])
+    bounds = np.sort(at(chosen))[:: max(1, len(chosen) // parts)]
+    bounds = bounds[~np.isin(bounds, first)]
+    fn, kind = _dealt(bounds, first)
+    dealt = rows.mapInArrow(fn, kind).repartition(len(bounds) + 1, "rid").sortWithinPartitions("rid", "ends", F.asc_nulls_first("doc_id"), "h", "text")
     fn, kind = _compared()
     return dealt.mapInArrow(fn, kind)

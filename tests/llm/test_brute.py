@@ -1,5 +1,6 @@
 """Operators that SQL can't express against plain versions that look at one record, byte or window at a time."""
 
+import hashlib
 import math
 import random
 import struct
@@ -82,6 +83,18 @@ def test_fingerprints(spark):
         assert out[i].near_edited == pytest.approx(plain_likeness(own, edited)) and out[i].near_next == pytest.approx(plain_likeness(own, following))
 
 
+def test_fingerprints_of_rows_without_or_with_one_id(spark):
+    """Each row has its successor, in many ranges, though most ids are alike."""
+    rng = random.Random(32)
+    rows = [(i, "once") for i in range(30)] + [(7, f"seven {i}") for i in range(120)] + [(None, f"none {i}") for i in range(120)] + [(7, "seven 5")] * 3
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(5)
+    out = fingerprints.fingerprint_documents(spark, docs, per_range=10).collect()
+    h = lambda t: (x := chained(t.encode())) - (1 << 64) * (x >> 63)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h(r[1]), r[1]))
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert Counter((r.doc_id, r.edited_sha256) for r in out) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_best_fit_decreasing(seed):
     rng = random.Random(seed)
