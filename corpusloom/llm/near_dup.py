@@ -22,6 +22,7 @@ class Params:
     """With 32 bands of 4 registers a pair at similarity 0.75 meets in no band once in 190,000 times.
 
     prune: pairs whose estimate is this far under the threshold (5 standard errors of 128 registers) aren't confirmed.
+    block_bytes: sketches and sets of about so many bytes are compared at a time with as many others.
     """
 
     words: int = 5
@@ -31,7 +32,7 @@ class Params:
     base: float = 1.001
     rate: float = 20.0
     prune: float = 0.2
-    block: int = 256
+    block_bytes: int = 1 << 20
 
 
 def shingle_sets(docs: list[bytes], words: int) -> list[np.ndarray]:
@@ -204,13 +205,14 @@ def _confirmed(p: Params):
 
 
 def _in_blocks(left: DataFrame, p: Params) -> DataFrame:
-    """Each member once for each pair of blocks that it takes part in.
+    """Each member once for each pair of blocks that it takes part in; ``left`` has the size n of its set.
 
     A bucket's largest component doesn't meet itself: its members are dealt to blocks -1, -2, ..., all others to blocks
     0, 1, ...; those meet each other and the largest component's.
     """
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    sizes = sizes.select("key", F.col("top.comp").alias("top"), F.expr(f"cast(ceil((all - top.n) / {p.block}) as int)").alias("minor"), F.expr(f"cast(ceil(top.n / {p.block}) as int)").alias("major"))
+    weight = F.sum(8 * F.col("n") + 2 * p.bands * p.rows)
+    sizes = left.groupBy("key", "comp").agg(weight.alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = sizes.select("key", F.col("top.comp").alias("top"), F.expr(f"cast(ceil((all - top.n) / {p.block_bytes}) as int)").alias("minor"), F.expr(f"cast(ceil(top.n / {p.block_bytes}) as int)").alias("major"))
     rows = left.join(sizes, "key")
     small = rows.where("comp <> top").withColumn("mine", F.expr("cast(pmod(xxhash64(rid), minor) as int)"))
     small = small.withColumn("other", F.explode(F.expr("sequence(-major, minor - 1)")))
@@ -288,7 +290,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     if not left.isEmpty():
         sets = sets_of(left.select("rid").distinct())
         fn, kind = _block_links(p)
-        cut = _in_blocks(left, p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
+        cut = _in_blocks(left.join(sketches.select("rid", "n"), "rid"), p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
         more = scratch.put(cut.select("key", "bi", "bj", "mine", "band", "rid", "comp", "n", "sketch", "members").mapInArrow(fn, kind).distinct())
         if not more.isEmpty():
             groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))

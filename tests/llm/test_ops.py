@@ -113,7 +113,7 @@ def test_large_buckets_lose_no_link(spark):
         for k in rng.sample(range(100), rng.randrange(1, 9)):
             words[k] = "z" + str(rng.random())
         texts.append(" ".join(words))
-    out = near_dup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), near_dup.Params(block=16)).collect()
+    out = near_dup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), near_dup.Params(block_bytes=16_000)).collect()
     sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
     root = list(range(150))
     for i in range(150):
