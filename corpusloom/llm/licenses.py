@@ -1,4 +1,4 @@
-"""License statements: aligned word by word with templates, which are ranked by zstandard with each as dictionary."""
+"""License statements: zstandard with each template as dictionary ranks them, wording differences confirm the winners."""
 
 from __future__ import annotations
 
@@ -58,7 +58,6 @@ class Hit:
     differing: int
     same: int
     name: str
-    reduction: float = 0.0
 
 
 class Statement:
@@ -148,6 +147,10 @@ class Templates:
         """Share of the compressed size that the template as dictionary saves."""
         return 1 - len(self.packed[name].compress(part)) / len(self.plain.compress(part))
 
+    def ranked(self, block: bytes) -> list[str]:
+        """The templates, those first that as dictionary shrink a block most."""
+        return sorted(self.packed, key=lambda name: (len(self.packed[name].compress(block)), name))
+
     def may_hold(self, doc: bytes) -> bool:
         line = b" ".join(doc.translate(PLAIN).split()).replace(b"licence", b"license")
         return self.any or any(x in line for x in self.signs) or any(x in doc for x in self.marks)
@@ -179,14 +182,15 @@ def scan_blocks(doc: bytes, t: Templates) -> tuple[int, list[tuple[str, float, i
     text = doc.decode("utf-8", "ignore")
     words, at = plain_words(text)
     blocks, found = t.blocks(words), []
+    between = lambda a, b: text[at[a][0] : at[b - 1][1]]
     for a, b in blocks:
+        rank = {name: i for i, name in enumerate(t.ranked(between(a, b).encode()))}
         count = Counter(words[a:b])
         hits = [h for x in t.statements for h in x.align(words[a:b], count)]
-        part = lambda h: text[at[a + h.start][0] : at[a + h.end - 1][1]]  # noqa: B023, E731
-        for h in hits:
-            h.reduction = t.reduction(part(h).encode(), h.name)
-        best = apart(sorted(hits, key=lambda h: (-h.same, h.differing, -h.reduction, h.name)))
-        found += [(h.name, h.reduction, h.differing, part(h)) for h in sorted(best, key=lambda h: h.start)]
+        best = apart(sorted(hits, key=lambda h: (rank[h.name], -h.same, h.differing)))  # noqa: B023
+        for h in sorted(best, key=lambda h: h.start):
+            part = between(a + h.start, a + h.end)
+            found.append((h.name, t.reduction(part.encode(), h.name), h.differing, part))
     return len(blocks), found
 
 
@@ -209,8 +213,9 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, lis
     Candidate blocks are windows of words, whatever lines they stand in, around the phrases of which a statement must
     hold one; line ends, comment marks, punctuation and case don't count. A statement is found where its words, aligned
     with the block's, differ in a fifth at most (``differing``: words changed, left out or added) not in the
-    license's name or version, and not by a negation. Where several overlap, the one with the most words alike wins, then the fewest
-    differing, then the template that shrinks the passage's compressed size most (``reduction``).
+    license's name or version, and not by a negation. The block is compressed with each template as dictionary; where
+    passages of several templates overlap, that of the template wins which shrinks it most, and of one template's that
+    with the most words alike. ``reduction`` is the share that the template saves of the passage's compressed size.
     A null or empty text has no blocks. Repeated rows and null ids are scanned like others; other columns are ignored;
     an empty table gives no rows.
     """

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from corpusloom.llm import fingerprints, quality
+from corpusloom.llm.licenses import NEGATIONS, TEMPLATES, Templates
 from corpusloom.llm.packing import best_fit_decreasing, pack
 from corpusloom.llm.quality import Model, Params, gumbel_top_k, score_quality
 from corpusloom.llm.sharding import SEED, shard_documents
@@ -195,3 +196,49 @@ def test_a_model_can_be_given(spark):
     p = Params()
     m = Model(np.zeros(1 << p.bits), np.zeros(0, int), np.zeros(0), params=p)
     assert score_quality(spark, spark.createDataFrame([(1, "some text")], "doc_id long, text string"), None, model=m).first().log_weight == 0
+
+
+def word_edits(statement, words) -> float:
+    """Words changed, left out or added between a statement and all the given words, by the textbook table."""
+    n, inf = len(words), math.inf
+    row = list(range(n + 1))
+    for i, w in enumerate(statement.words, 1):
+        new = [inf if statement.fixed[i - 1] else row[0] + 1]
+        for j, x in enumerate(words, 1):
+            ways = [row[j - 1] + (0 if w == x else inf if statement.fixed[i - 1] else 1)]
+            if not statement.fixed[i - 1]:
+                ways.append(row[j] + 1)
+            if not (i < len(statement.words) and statement.glued[i - 1]):
+                ways.append(new[j - 1] + 1)
+            new.append(min(ways))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_license_statements_align_with_the_fewest_edits(seed):
+    rng = random.Random(seed)
+    t = Templates(TEMPLATES)
+    for statement in rng.sample(t.statements, 6):
+        own = list(statement.words)
+        for _ in range(rng.randrange(statement.most + 2)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], [own[k], "zz"], ["zz"], ["the"]])
+            own = own or ["zz"]
+        words = ["aa"] * rng.randrange(4) + own + ["bb"] * rng.randrange(4)
+        hits = statement.align(words, Counter(words))
+        costs = {(i, j): word_edits(statement, words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+        least = min(costs.values())
+        negated = any(w in NEGATIONS for w in words) != any(w in NEGATIONS for w in statement.words)
+        if least <= statement.most and not negated:
+            assert hits and hits[0].differing == least == costs[hits[0].start, hits[0].end]
+        elif least > statement.most:
+            assert not hits
+
+
+def test_templates_rank_by_compression():
+    t = Templates(TEMPLATES)
+    for name, statements in TEMPLATES.items():
+        block = ("some words before it, " + max(statements, key=len) + " and after").encode()
+        sizes = {x: len(t.packed[x].compress(block)) for x in TEMPLATES}
+        assert t.ranked(block) == sorted(TEMPLATES, key=lambda x: (sizes[x], x)) and t.ranked(block)[0] == name or len(max(statements, key=len)) < 40
