@@ -306,3 +306,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
 
 def fits_many(nodes: DataFrame, most: int = 200_000) -> bool:
     return nodes.count() <= most
+
+
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT a.rid AS u, b.rid AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT rid, rid AS low FROM w UNION SELECT b.v, r.low FROM r JOIN b ON b.u = r.rid WHERE r.low < b.v),
+c AS (SELECT rid, min(low) AS low FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(w.doc_id) OVER (PARTITION BY c.low) AS component_id, w.doc_id = min(w.doc_id) OVER (PARTITION BY c.low) AS kept FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
