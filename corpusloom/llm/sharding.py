@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SEED = 0x5EED
+#: Hexadecimal digits of a digest that make a number, which a double holds whole.
+DIGITS = 13
+
+
+def number(text: Column) -> Column:
+    """A number below 16**DIGITS that a text decides, the same in any engine that knows md5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("long")
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
     """-weight / ln(u) for a uniform u that key and shard decide: shards win keys in proportion to their weights."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard), F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (number(F.concat(key, F.lit(f":{shard}"))).cast("double") + 0.5) / float(16**DIGITS)
     return F.lit(-float(weight)) / F.log(u)
 
 
@@ -40,7 +46,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, weights: list[float] |
     scores = F.array(*[score(F.col("key"), i, w) for i, w in enumerate([*weights, sum(weights) / n])])
     rows = rows.withColumn("scores", scores)
     rows = rows.withColumn("shard", rendezvous(F.col("scores"), n)).withColumn("grown_shard", rendezvous(F.col("scores"), n + 1))
-    rows = rows.withColumn("lot", F.expr(f"pmod(xxhash64(doc_id, size, text_crc32), {lots})")).drop("scores", "key")
+    rows = rows.withColumn("lot", number(F.concat_ws(":", "key", "size", "text_crc32")) % lots).drop("scores", "key")
     by_lot = rows.groupBy("shard", "lot").agg(F.sum("copies").alias("n"))
     upto = Window.partitionBy("shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     before = by_lot.select("shard", "lot", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
@@ -48,3 +54,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, weights: list[float] |
     rows = rows.withColumn("first", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(before, ["shard", "lot"])
     rows = rows.withColumn("first", F.col("first") + F.col("before")).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("copy")).alias("slot"), "grown_shard")
+
+
+_NUMBER = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
+SQL = f"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS c),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+r AS (SELECT doc_id, key, CAST(len(b) + 1 AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, c[xor(a & 255, x) + 1])), 4294967295) AS BIGINT) AS text_crc32, list_transform(range(17), lambda i: {_NUMBER.format("key || ':' || i")}) AS u FROM d, c),
+s AS (SELECT *, CAST(list_position(u, list_max(u[1:16])) - 1 AS INTEGER) AS shard, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS grown_shard, {_NUMBER.format("key || ':' || size || ':' || text_crc32")} % greatest(1, (SELECT count(*) FROM documents) // 320000) AS lot FROM r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY lot, doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM s
+"""

@@ -14,7 +14,7 @@ from corpusloom.llm import fingerprints, quality
 from corpusloom.llm.licenses import NEGATIONS, TEMPLATES, Templates
 from corpusloom.llm.packing import best_fit_decreasing, pack
 from corpusloom.llm.quality import Model, Params, gumbel_top_k, score_quality
-from corpusloom.llm.sharding import SEED, shard_documents
+from corpusloom.llm.sharding import shard_documents
 
 
 def prose(rng, n):
@@ -32,7 +32,7 @@ def chained(*parts: bytes) -> int:
 @pytest.mark.parametrize("weights", [[1.0] * 16, [1.0, 2.5, 0.5]])
 def test_shards_have_the_highest_score(spark, weights):
     def scores(key):
-        u = [((chained(key.encode(), struct.pack("<i", i), struct.pack("<i", SEED)) >> 11) + 0.5) / 2**53 for i in range(len(weights) + 1)]
+        u = [(int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for i in range(len(weights) + 1)]
         return [-w / math.log(x) for w, x in zip([*weights, sum(weights) / len(weights)], u, strict=True)]
 
     rows = [(i, f"text {i}") for i in range(400)] + [(None, "a"), (7, "again"), (-5, None)]
