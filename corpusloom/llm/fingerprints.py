@@ -148,3 +148,37 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, per_range: int =
     dealt = rows.mapInArrow(fn, kind).repartition(len(bounds) + 1, "rid").sortWithinPartitions("rid", "ends", F.asc_nulls_first("doc_id"), "h", "text")
     fn, kind = _compared()
     return dealt.mapInArrow(fn, kind)
+
+
+_rows = ", ".join(f"unnest([{', '.join(map(str, t.tolist()))}]) AS a{i}" for i, t in enumerate(TABLES))
+
+
+def _next(i: int, k: int) -> str:
+    return f"lead(a{i}, {k}, {TABLES[i][0]}) OVER w" if k else f"a{i}"
+
+
+def _code(triplet: tuple[int, int, int]) -> str:
+    return f"xor(xor({_next(0, triplet[0])}, {_next(1, triplet[1])}), {_next(2, triplet[2])})"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"1 - least({LIMIT}, list_sum(list_transform(list_zip({a}.codes, {b}.codes), lambda x: CASE WHEN abs(x[1] - x[2]) = 3 THEN 6 ELSE abs(x[1] - x[2]) END)) + least(abs({a}.size - {b}.size), 64) / 4 + abs({a}.low - {b}.low) / 4 + abs({a}.high - {b}.high) / 4) / {LIMIT}"
+
+
+SQL = f"""
+WITH bytes AS (SELECT unnest(range(256)) AS y, {_rows}),
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS f FROM documents),
+e AS MATERIALIZED (SELECT doc_id, t, f, length(t) AS n, substr(t, 1, length(t) - length(t) // 4) || substr(f, 1, length(t) // 4) AS e FROM d),
+x AS MATERIALIZED (SELECT t, row_number() OVER () AS id, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM (SELECT t FROM e UNION SELECT e FROM e)),
+v AS (SELECT id, generate_subscripts(b, 1) AS i, unnest(b) AS y FROM x),
+j AS (SELECT id, i, a0, a1, a2 FROM v JOIN bytes USING (y)),
+c AS (SELECT id, unnest([{', '.join(_code(t) for t in TRIPLETS)}]) AS code FROM j WINDOW w AS (PARTITION BY id ORDER BY i)),
+k AS (SELECT id, code, count(*) AS n FROM c GROUP BY ALL),
+h AS (SELECT x.id, list(coalesce(k.n, 0) ORDER BY y) AS n FROM x CROSS JOIN (SELECT y FROM bytes) AS z LEFT JOIN k ON k.id = x.id AND k.code = z.y GROUP BY x.id),
+l AS (SELECT t, len(b) AS size, n FROM x JOIN h USING (id)),
+q AS (SELECT *, list_sort(n)[{BUCKETS // 4}] AS q1, list_sort(n)[{BUCKETS // 2}] AS q2, list_sort(n)[{3 * BUCKETS // 4}] AS q3 FROM l),
+o AS (SELECT t, CAST(least(255, round(8 * log2(1 + size))) AS BIGINT) AS size, 15 * q1 // greatest(1, q3) AS low, 15 * q2 // greatest(1, q3) AS high, list_transform(n, lambda c: CAST(c > q1 AS BIGINT) + CAST(c > q2 AS BIGINT) + CAST(c > q3 AS BIGINT)) AS codes FROM q),
+p AS MATERIALIZED (SELECT *, array_to_string(list_transform(list_concat([size, low * 16 + high], list_transform(range(0, {BUCKETS}, 4), lambda i: codes[i + 1] + 4 * codes[i + 2] + 16 * codes[i + 3] + 64 * codes[i + 4])), lambda v: lpad(lower(to_hex(v)), 2, '0')), '') AS print FROM o)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.e) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint, {_alike('a', 'b')} AS near_edited, {_alike('a', 'f')} AS near_next
+FROM e JOIN p a ON a.t = e.t JOIN p b ON b.t = e.e JOIN p f ON f.t = e.f
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.common import Scratch, table
-from corpusloom.llm import decontamination, near_dup, sharding
+from corpusloom.llm import decontamination, fingerprints, near_dup, repeats, sharding
 from corpusloom.llm.decontamination import find_contamination
 from corpusloom.llm.fingerprints import fingerprint_documents
 from corpusloom.llm.language import identify_language
@@ -58,4 +58,4 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op8_license_scans, op9_quality_classifier, op10_token_counts)}
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontamination.SQL, "op5_sharding": sharding.SQL}
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontamination.SQL, "op4_suffix_array_dedup": repeats.SQL, "op5_sharding": sharding.SQL, "op6_fingerprints": fingerprints.SQL}

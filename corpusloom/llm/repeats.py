@@ -309,3 +309,23 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         kind = kind.add("row", rows.schema["row"].dataType)
     fn = _cut(keep_text, to_arrow_type(rows.schema["row"].dataType) if carry else None, least_words)
     return out.select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(fn, kind)
+
+
+#: Strings are told apart by a polynomial of their bytes modulo 2**61 - 1.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+m AS MATERIALIZED (SELECT greatest(max(len(x)), 1) AS m FROM d),
+pw AS (SELECT 0 AS k, CAST(0 AS BIGINT) AS j, CAST(1 AS HUGEINT) AS v, CAST(1000003 AS HUGEINT) AS c UNION ALL SELECT k + 1, CASE WHEN t = 0 THEN j ELSE j + (CAST(1 AS BIGINT) << k) END, CASE WHEN t = 0 THEN v ELSE v * c % 2305843009213693951 END, c * c % 2305843009213693951 FROM pw, (VALUES (0), (1)) AS z(t) WHERE k < (SELECT CAST(floor(log2(m)) + 1 AS INTEGER) FROM m)),
+powers AS MATERIALIZED (SELECT j, v FROM pw WHERE k = (SELECT max(k) FROM pw)),
+b AS MATERIALIZED (SELECT rid, generate_subscripts(x, 1) - 1 AS j, CAST('0x' || unnest(x) AS HUGEINT) + 1 AS b FROM d WHERE len(x) >= 400),
+s AS MATERIALIZED (SELECT rid, j, sum(b * v) OVER (PARTITION BY rid ORDER BY j) AS s FROM b JOIN powers USING (j)),
+w AS MATERIALIZED (SELECT rid, j, m - j AS e, lead(s, 399) OVER (PARTITION BY rid ORDER BY j) - coalesce(lag(s) OVER (PARTITION BY rid ORDER BY j), 0) AS w FROM s, m),
+p AS MATERIALIZED (SELECT rid, w.j AS i, CAST(CAST(w AS HUGEINT) % 2305843009213693951 * v % 2305843009213693951 AS BIGINT) AS h FROM w JOIN powers ON powers.j = w.e WHERE w IS NOT NULL),
+q AS (SELECT rid, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+k AS (SELECT rid, i, sum(CASE WHEN i <= last + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS last FROM q)),
+r AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS z FROM k GROUP BY ALL),
+g AS (SELECT rid, count(*) AS n, sum(z - a) AS gone, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+ sha256(from_hex(array_to_string(CASE WHEN n IS NULL THEN x ELSE flatten(list_transform(range(1, n + 2), lambda j: x[CASE WHEN j = 1 THEN 1 ELSE z[j - 1] + 1 END : CASE WHEN j > n THEN len(x) ELSE a[j] END])) END, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)
+"""
