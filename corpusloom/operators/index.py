@@ -112,6 +112,17 @@ class StoredIndex:
         return self.tokens.where(F.col("doc_id").isin(*docs))
 
 
+_open: dict[tuple[str, str], StoredIndex] = {}
+
+
+def opened(spark: SparkSession, path: str) -> StoredIndex:
+    """The index at a path, opened and checked once an application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _open:
+        _open[key] = StoredIndex(spark, path)
+    return _open[key]
+
+
 class TokenTable:
     """The same over a token table that isn't indexed; ``multi`` says that cells hold alternatives between bars."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import FIELDS
 from corpusloom.operators import snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, write_index
+from corpusloom.operators.index import StoredIndex, opened, write_index
 from corpusloom.plans.query import Searcher
 from corpusloom.sources import tokens as T
 from corpusloom.sources.storage import exists, shared_dir, version
@@ -42,7 +42,7 @@ def annotated(docs: DataFrame) -> DataFrame:
 def folder(spark, sf_dir) -> str:
     """The vertical files of ``documents``, written where they aren't yet."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{shared_dir(spark)}/vertical-{version(docs)}"
+    path = f"{shared_dir(spark)}/vertical-{version(spark, f'{sf_dir}/documents.parquet')}"
     if not exists(spark, f"{path}/_SUCCESS"):
         about = docs.select("doc_id", F.concat(F.lit("Title "), "doc_id").alias("title"), F.concat(F.lit("http://x/"), "doc_id").alias("url"))
         T.write_vertical(about, annotated(docs), path)
@@ -58,7 +58,7 @@ def stored(spark, sf_dir) -> StoredIndex:
     path = f"{folder(spark, sf_dir)}-index"
     if not exists(spark, f"{path}/manifest/_SUCCESS"):
         write_index(T.vertical_tokens(lines(spark, sf_dir)), path, ["token", "lower", "nertag", "nerid", "param2", "param3"])
-    return StoredIndex(spark, path)
+    return opened(spark, path)
 
 
 def vertical_tokens(spark, sf_dir):

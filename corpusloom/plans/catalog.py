@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators import index, snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, TokenTable, write_index
+from corpusloom.operators.index import StoredIndex, TokenTable, opened, write_index
 from corpusloom.plans import annotated
 from corpusloom.plans.query import Searcher
 from corpusloom.plans.service import search_all
@@ -38,11 +38,10 @@ def both(a: str, b: str) -> str:
 
 def stored(spark, sf_dir) -> StoredIndex:
     """The index over ``documents``, written where it isn't yet."""
-    table = docs(spark, sf_dir)
-    path = f"{shared_dir(spark)}/index-{version(table)}"
+    path = f"{shared_dir(spark)}/index-{version(spark, f'{sf_dir}/documents.parquet')}"
     if not exists(spark, f"{path}/manifest/_SUCCESS"):
-        write_index(with_sentences(plain_tokens(table)), path, ["token", "lower"])
-    return StoredIndex(spark, path)
+        write_index(with_sentences(plain_tokens(docs(spark, sf_dir))), path, ["token", "lower"])
+    return opened(spark, path)
 
 
 def search(text: str):

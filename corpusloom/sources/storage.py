@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +25,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def version(files: DataFrame) -> str:
-    """A name for the files of a table as they are now."""
-    seen = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    n, mark = seen.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")), F.lit(0))).first()
-    return f"{n}-{mark & (2**64 - 1):016x}"
+def version(spark: SparkSession, path: str) -> str:
+    """A name for the files under a path as they are now, from what their file system tells of them; no file is read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, mark = files.getContentSummary(at), zlib.crc32(path.encode())
+    return f"{mark:08x}-{found.getFileCount()}-{found.getLength()}-{files.getFileStatus(at).getModificationTime()}"
