@@ -28,15 +28,19 @@ def alternatives(field: str | Column) -> Column:
 
 
 def vertical_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, at, line): each file's documents in order; gzip is read as such. What precedes the first document is dropped."""
+    """(doc_id, file, at, line): each file's documents in order; gzip is read as such. What precedes the first document is dropped.
+
+    Documents are numbered within the splits of files, so that no task holds the heads of a whole file.
+    """
     chunks = spark.read.option("lineSep", "\n%%#DOC").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     chunks = chunks.withColumn("n", F.monotonically_increasing_id())
     heads = chunks.select("file", "block", "n", F.col("value").startswith("%%#DOC").alias("whole"))
-    heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))).where("whole or k > 1")
-    heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("block", "n")) - 1)
-    files = heads.groupBy("file").agg(F.count("*").alias("size"))
-    files = files.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = heads.join(files, "file").select("n", (F.col("k") + F.col("before")).alias("doc_id"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("n"))
+    first = heads.groupBy("file").agg(F.min("block").alias("first"))
+    heads = heads.withColumn("k", own).join(first, "file").where("whole or block > first or k > 1").withColumn("k", own - 1)
+    blocks = heads.groupBy("file", "block").agg(F.count("*").alias("size"))  # a row for each split of a file
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ids = heads.join(blocks, ["file", "block"]).select("n", (F.col("k") + F.col("before")).alias("doc_id"))
     return chunks.join(ids, "n").select("doc_id", "file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
 
 

@@ -88,6 +88,22 @@ def test_vertical_positions_and_documents(vertical):
     assert T.sentences_as_documents(tokens).groupBy("doc_id").count().orderBy("doc_id").collect()[0]["count"] == 3
 
 
+def test_vertical_files_in_splits(spark, tmp_path):
+    """Documents are numbered in order of files and rows, wherever the splits of a file begin."""
+    for name, n in (("a", 40), ("b", 1), ("c", 25)):
+        rows = ["head"] + [x for i in range(n) for x in (f"%%#DOC\t{name}{i}", "%%#SEN 1 wx1", cells(token="t" * (i % 7 + 1)))]
+        written(tmp_path / f"{name}.vert", "\n".join(rows) + "\n")
+    want = [f"{name}{i}" for name, n in (("a", 40), ("b", 1), ("c", 25)) for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", "97b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = T.vertical_documents(T.vertical_lines(spark, str(tmp_path))).orderBy("doc_id").collect()
+            assert [(r.doc_id, r.uuid) for r in found] == list(enumerate(want)), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_search_render_and_constrain(spark, vertical):
     tokens = T.vertical_tokens(vertical).cache()
     s = Searcher(tokens, multi=True)
