@@ -85,6 +85,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, w
     groups = owners.select("owners", "items").dropDuplicates(["owners"])
     lists = found.select("doc_id", "h", "owners").distinct().join(groups, "owners").groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     told = scratch.put(spans.alias("a").join(lists.alias("b"), same("a", "b")).select("a.doc_id", "a.h", "hits", "items"))
+    scratch.drop_all_but(told)
     out = docs.select("doc_id", F.xxhash64("text").alias("h"), *carried, F.size(words_of(F.col("text"))).cast("long").alias("n_words")).alias("a").join(small_side(told, 200_000).alias("b"), same("a", "b"), "left")
     hit = F.aggregate(F.coalesce("hits", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0), lambda s, x: s + x["stop"] - x["start"]).cast("long")
     n_items = F.coalesce(F.size("items"), F.lit(0))

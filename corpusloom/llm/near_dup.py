@@ -295,8 +295,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         if not more.isEmpty():
             groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
     named = nodes.select("digest", "rid", "first").join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left")
-    tops = small_side(scratch.put(named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("top"))))
-    of_digest = named.join(tops, "comp", "left").select("digest", F.coalesce("top", "first").alias("top"))
+    tops = scratch.put(named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("top")))
+    scratch.drop_all_but(rows, nodes, groups, tops)
+    of_digest = named.join(small_side(tops), "comp", "left").select("digest", F.coalesce("top", "first").alias("top"))
     if fits_many(nodes):
         of_digest = F.broadcast(of_digest)
     out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(of_digest, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id")))

@@ -157,10 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> Mod
     rows = docs.select("doc_id", "text").join(small_side(known), "doc_id", "left")
     learn = rows.select("text", F.expr("int(not held and quality = 1 and toxic = 0)").alias("good"), F.expr("if(held or quality = 0, null, toxic)").alias("toxic"))
     fn, kind = _counts(p)
-    sums = Scratch(docs.sparkSession).put(learn.mapInArrow(fn, kind).groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
+    scratch = Scratch(docs.sparkSession)
+    sums = scratch.put(learn.mapInArrow(fn, kind).groupBy("kind", "bucket").agg(F.sum("n").alias("n")))
     grams = sums.where("kind < 2 or kind > 3").toPandas()
     words = sums.where("kind in (2, 3)").groupBy("bucket").agg(F.sum(F.expr("if(kind = 2, n, 0)")).alias("t"), F.sum(F.expr("if(kind = 3, n, 0)")).alias("c"))
     words = words.where(f"t >= {p.least_toxic} and t > c").toPandas()
+    scratch.drop(sums)
     raw, target = (np.full(1 << p.bits, 0.5) for _ in range(2))
     for k, counts in ((0, raw), (1, target)):
         counts[grams[grams.kind == k].bucket.to_numpy()] += grams[grams.kind == k].n.to_numpy()
