@@ -305,7 +305,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
-def fits_many(nodes: DataFrame, most: int = 200_000) -> bool:
+def fits_many(nodes: DataFrame, most: int = 50_000) -> bool:
     return nodes.count() <= most
 
 
