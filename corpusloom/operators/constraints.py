@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import MAPPING
+from corpusloom.operators.intervals import inside
 
 LEX = re.compile(r"\s*(?:(\d+)\.([A-Za-z_]\w*(?:\.\w+)?)|(>=|<=|!=|=|<|>)|([&|()])|\"([^\"]*)\"|([^\s&|()<>=!\"]+))")
 
-LOT = 32
-
 
 class ConstraintError(ValueError):
     """A constraint that can't be read."""
@@ -115,7 +114,7 @@ def condition(tree, matches: Column) -> Column:
 def constrained(found: DataFrame, labelled: DataFrame, tokens: DataFrame, text: str) -> DataFrame:
     """Intervals whose labelled matches meet the constraint. Matches of an interval are gathered, never paired as rows.
 
-    Matches meet intervals by an equi-join on lots of LOT positions, so only neighbours are compared.
+    Matches meet intervals by an equi-join on lots of positions, so only neighbours are compared.
     """
     tree = parse(text)
     fields = set()
@@ -129,8 +128,6 @@ def constrained(found: DataFrame, labelled: DataFrame, tokens: DataFrame, text:
 
     walk(tree)
     rows = labelled.join(tokens.select("doc_id", "pos", *sorted(fields)), ["doc_id", "pos"])
-    lot = lambda c: F.floor(F.col(c) / LOT).cast("int")
-    spread = found.select("doc_id", "l", "r").withColumn("lot", F.explode(F.sequence(lot("l"), lot("r"))))
-    inside = spread.join(rows.withColumn("lot", lot("pos")), ["doc_id", "lot"]).where("pos between l and r")
-    gathered = inside.groupBy("doc_id", "l", "r").agg(F.collect_list(F.struct("label", "pos", *sorted(fields))).alias("matches"))
+    met = inside(found.select("doc_id", "l", "r"), rows)
+    gathered = met.groupBy("doc_id", "l", "r").agg(F.collect_list(F.struct("label", "pos", *sorted(fields))).alias("matches"))
     return gathered.where(condition(tree, F.col("matches"))).select("doc_id", "l", "r")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "l", "r"]
+LOT = 32
 
 
 def antichain(a: DataFrame) -> DataFrame:
@@ -74,3 +75,10 @@ def unbroken(a: DataFrame, starts: DataFrame) -> DataFrame:
     events = a.select(*COLUMNS, F.lit(None).cast("int").alias("start")).unionByName(starts.select("doc_id", F.lit(None).cast("int").alias("l"), F.col("pos").alias("r"), F.col("pos").alias("start")))
     upto = Window.partitionBy("doc_id").orderBy("r").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumn("m", F.max("start").over(upto)).where("l is not null and (m is null or m <= l)").select(COLUMNS)
+
+
+def inside(a: DataFrame, places: DataFrame, around: int = 0) -> DataFrame:
+    """Rows of ``places`` (doc_id, pos, ...) in or near each interval: an equi-join on lots of LOT positions, so only neighbours meet."""
+    lot = lambda c: F.floor(c / LOT).cast("int")
+    spread = a.withColumn("lot", F.explode(F.sequence(lot(F.greatest(F.col("l") - around, F.lit(0))), lot(F.col("r") + around))))
+    return spread.join(places.withColumn("lot", lot(F.col("pos"))), ["doc_id", "lot"]).where(f"pos between l - {around} and r + {around}").drop("lot")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import CODES, COMMON, DYE, ENTITY, LAST_ONLY, MAPPING, expressions, missing_as_null
 from corpusloom.functions.sexpr import compile_expression
+from corpusloom.operators.intervals import inside
 
 
 def display(token: Column) -> Column:
@@ -17,9 +18,8 @@ def display(token: Column) -> Column:
 
 
 def snippet_tokens(found: DataFrame, tokens: DataFrame, context: int = 5) -> DataFrame:
-    """Tokens in and around each interval, by equi-join on positions."""
-    around = found.withColumn("pos", F.explode(F.expr(f"sequence(greatest(l - {context}, 0), r + {context})")))
-    return around.join(tokens, ["doc_id", "pos"])
+    """Tokens in and around each interval."""
+    return inside(found, tokens, context)
 
 
 def plain_snippets(found: DataFrame, tokens: DataFrame, context: int = 5, field: str = "token") -> DataFrame:
