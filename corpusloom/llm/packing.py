@@ -99,7 +99,7 @@ def _pieces(path: str, window: int):
             _encoders[path] = Encoder(path)
         for batch in it:
             names, docs = batch.column(0).cast(pa.int64()).to_pylist(), texts(batch.column(1))
-            for a, b in slices([len(x) for x in docs], 2 << 20):
+            for a, b in slices([len(x) for x in docs], 1 << 20):
                 rows = []
                 for name, ids in zip(names[a:b], _encoders[path].encode(docs[a:b]), strict=True):
                     raw = np.append(ids, END_ID).astype("<u4")

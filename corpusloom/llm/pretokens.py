@@ -20,10 +20,10 @@ USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3])
 ODD = (b"\xc3\x97", b"\xc3\xb7", b"<|")
 #: What the tokenizer's pattern takes together with an apostrophe, longest last.
 ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
-SLOT_BITS = 22
-MAX_WORDS = 1_500_000
+SLOT_BITS = 21
+MAX_WORDS = 1_000_000
 #: A part has fewer distinct words than there are slots beyond MAX_WORDS, so that a free one is always found.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def unusual(doc: bytes) -> bool:
@@ -80,7 +80,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.where = np.zeros(1 << SLOT_BITS, U64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.starts, self.pool, self.used = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+        self.starts, self.pool, self.used = np.zeros(1, np.int32), np.zeros(0, np.int32), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words met before, -1 for others, by linear probing."""
@@ -113,7 +113,7 @@ class Encoder:
         cuts = np.flatnonzero(self.ends[flat]) + 1
         assert len(cuts) == len(words), "a pre-token has no word end"
         self._put(hashes)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + cuts))
+        self.starts = np.concatenate((self.starts, (self.starts[-1] + cuts).astype(np.int32)))
         self.pool = np.concatenate((self.pool, flat))
         self.used += len(words)
 
