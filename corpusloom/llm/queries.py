@@ -1,9 +1,10 @@
-"""The ten queries over whole tables, their SQL where DuckDB can express it, and the pipeline."""
+"""The queries over whole tables, their SQL where DuckDB can express it, and the pipeline."""
 
 from __future__ import annotations
 
 from corpusloom.llm.common import Scratch, table
-from corpusloom.llm import decontamination, fingerprints, near_dup, repeats, sharding
+from corpusloom.llm import clusters, decontamination, fingerprints, near_dup, repeats, repetition, sharding, snapshots
+from corpusloom.llm.clusters import cluster_vectors
 from corpusloom.llm.decontamination import find_contamination
 from corpusloom.llm.fingerprints import fingerprint_documents
 from corpusloom.llm.language import identify_language
@@ -12,7 +13,9 @@ from corpusloom.llm.near_dup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import gumbel_top_k, score_quality
 from corpusloom.llm.repeats import remove_repeats
+from corpusloom.llm.repetition import judge_repetition
 from corpusloom.llm.sharding import shard_documents
+from corpusloom.llm.snapshots import later_snapshot, snapshot_difference
 from corpusloom.llm.token_counts import count_tokens
 
 
@@ -57,5 +60,18 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op8_license_scans, op9_quality_classifier, op10_token_counts)}
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontamination.SQL, "op4_suffix_array_dedup": repeats.SQL, "op5_sharding": sharding.SQL, "op6_fingerprints": fingerprints.SQL}
+def op11_snapshot_difference(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return snapshot_difference(spark, docs, later_snapshot(docs))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return judge_repetition(spark, table(spark, sf_dir, "documents")).drop("longest", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_decontamination, op4_suffix_array_dedup, op5_sharding, op6_fingerprints, op7_packing, op8_license_scans, op9_quality_classifier, op10_token_counts, op11_snapshot_difference, op12_centroid_clustering, op13_quality_rules)}
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": near_dup.SQL, "op3_decontamination": decontamination.SQL, "op4_suffix_array_dedup": repeats.SQL, "op5_sharding": sharding.SQL, "op6_fingerprints": fingerprints.SQL, "op11_snapshot_difference": snapshots.SQL, "op12_centroid_clustering": clusters.SQL, "op13_quality_rules": repetition.SQL}
