@@ -18,14 +18,14 @@ def _rows(df: DataFrame, later: bool, key: str, content: str, columns: list[str]
     return df.select(name.alias("key"), F.lit(later).alias("later"), digest.alias("content"), values.alias("values"), F.unhex(whole).alias("row"))
 
 
-def ranked(scratch: Scratch, rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+def ranked(scratch: Scratch, rows: DataFrame, group: list[str], order: list[str], name: str, near: list[Column]) -> DataFrame:
     """Adds the rank, from 0, of each row in its group.
 
-    Rows are dealt by ranges of (group, order), so that a group of any size lies in many lots; a window ranks each lot, and
-    how many rows of the group lie in lots before comes to the lot as one more row of that window. No window holds more
-    than a lot, or a row for each lot of one group.
+    Rows are dealt by ranges of ``near``, short values that keep each group together and in order, so that a group of any size
+    lies in many lots; a window ranks each lot, and how many rows of the group lie in lots before comes to the lot as one more
+    row of that window. No window holds more than a lot, or a row for each lot of one group.
     """
-    lots = scratch.put(rows.repartitionByRange(*group, *order).withColumn("lot", F.spark_partition_id()))
+    lots = scratch.put(rows.repartitionByRange(*near).withColumn("lot", F.spark_partition_id()))
     upto = Window.partitionBy(*group).orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     heads = lots.groupBy(*group, "lot").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(upto)).where("before > 0").drop("n")
     own = Window.partitionBy(*group, "lot").orderBy(F.col("before").isNull(), *order)
@@ -64,11 +64,13 @@ def snapshot_difference(spark: SparkSession, old: DataFrame, new: DataFrame, key
     if keys.groupBy("key", "later").count().where("count > 1").isEmpty():
         rows = rows.withColumn("nth", F.lit(0))
     else:
-        rows = ranked(scratch, rows, ["later", "key"], ["content", "row"], "nth")
+        rows = rows.withColumn("tie", F.monotonically_increasing_id())  # equal rows can be dealt apart by it
+        rows = ranked(scratch, rows, ["later", "key"], ["content", "row", "tie"], "nth", [F.col("key"), F.col("later"), F.substring("content", 1, 8), F.substring("row", 1, 8), F.col("tie")])
     met = scratch.put(_sides(rows, ["key", "nth"]).select("old", "new"))
     single = F.when(F.col("old").isNull(), F.col("new")).otherwise(F.col("old"))
     left = met.where("old is null or new is null").select(F.col("old").isNull().alias("later"), single.alias("r")).select("later", "r.*")
-    again = _sides(ranked(scratch, left, ["content", "later"], ["key", "row"], "nth"), ["content", "nth"]).select("old", "new")
+    left = ranked(scratch, left, ["content", "later"], ["key", "row"], "nth", [F.xxhash64("content"), F.col("later"), F.col("key")])
+    again = _sides(left, ["content", "nth"]).select("old", "new")
     changed = _changed(names)
     by_key = met.where("old is not null and new is not null").withColumn("op", F.when(changed == "", "same").otherwise("update"))
     by_content = again.withColumn("op", F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("rekey"))

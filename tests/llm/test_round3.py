@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from corpusloom.llm.clusters import Bounds, cluster_vectors, squared
 from corpusloom.llm.common import Scratch
@@ -84,7 +85,7 @@ def test_a_group_of_any_size_is_ranked_in_lots(spark):
     rows = spark.range(20_000).selectExpr("if(id % 3 = 0, id, 7) as content", "id as key").repartition(5)
     scratch, setting = Scratch(spark), "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(setting, "false")
-    out = ranked(scratch, rows, ["content"], ["key"], "nth").collect()
+    out = ranked(scratch, rows, ["content"], ["key"], "nth", [F.col("content"), F.col("key")]).collect()
     spark.conf.unset(setting)
     hot = sorted((r.key, r.nth) for r in out if r.content == 7)
     assert [n for _, n in hot] == list(range(len(hot))) and len(out) == 20_000 and all(r.nth == 0 for r in out if r.content != 7)
