@@ -185,15 +185,15 @@ class Compiler:
         return True if x == y else None
 
     def _and(self, a, env):
-        out = True
-        for x in reversed(a):
+        found = []
+        for x in a:  # from left to right, so that later arguments see what earlier ones set
             try:
-                value = self.run(x, env)
+                found.append(self.run(x, env))
             except Failure:
                 return None
-            if out is True:
-                out = value
-            elif isinstance(value, Column):
+        out = found.pop() if found else True
+        for value in reversed(found):
+            if isinstance(value, Column):
                 out = F.when(value.isNotNull(), self.column(out))
             elif value in (None, []):
                 return None

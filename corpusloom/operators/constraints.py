@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import MAPPING
-from corpusloom.operators.intervals import inside
 
 LEX = re.compile(r"\s*(?:(\d+)\.([A-Za-z_]\w*(?:\.\w+)?)|(>=|<=|!=|=|<|>)|([&|()])|\"([^\"]*)\"|([^\s&|()<>=!\"]+))")
 
@@ -104,30 +103,32 @@ def condition(tree, matches: Column) -> Column:
     def pair(test) -> Column:
         return F.exists(own, lambda m: F.exists(other, lambda n: (m["pos"] != n["pos"]) & F.coalesce(test(_value(m, left[1]), _value(n, right[1])), F.lit(False))))
 
-    # an absent label meets no comparison; of labels that are there, != holds unless two different positions are equal
+    # an absent label meets no comparison at all; of labels that are there, != holds unless two different positions are equal,
+    # so also where there is no pair of different positions
     there = (F.size(own) > 0) & (F.size(other) > 0)
     if op == "=":
         return there & pair(_equal)
     return there & ~pair(_equal) if op == "!=" else there & pair(lambda a, b: _number(a, b, op))
 
 
-def constrained(found: DataFrame, labelled: DataFrame, tokens: DataFrame, text: str) -> DataFrame:
-    """Intervals whose labelled matches meet the constraint. Matches of an interval are gathered, never paired as rows.
+def fields_of(tree) -> set[str]:
+    """Fields that a constraint reads."""
+    if tree[0] in ("and", "or"):
+        return fields_of(tree[1]) | fields_of(tree[2])
+    return {MAPPING[x[1].split(".")[0]][x[1].split(".")[1]] if "." in x[1] else x[1] for x in tree[1:] if isinstance(x, tuple)}
 
-    Matches meet intervals by an equi-join on lots of positions, so only neighbours are compared.
-    """
-    tree = parse(text)
-    fields = set()
 
-    def walk(t) -> None:
-        if t[0] in ("and", "or"):
-            walk(t[1])
-            walk(t[2])
-        else:
-            fields.update(MAPPING[x[1].split(".")[0]][x[1].split(".")[1]] if "." in x[1] else x[1] for x in t[1:] if isinstance(x, tuple))
+def constrained(found: DataFrame, source, text: str) -> DataFrame:
+    """(part, doc_id, l, r) of the intervals whose own labelled matches meet the constraint.
 
-    walk(tree)
-    rows = labelled.join(tokens.select("doc_id", "pos", *sorted(fields)), ["doc_id", "pos"])
-    met = inside(found.select("doc_id", "l", "r"), rows)
-    gathered = met.groupBy("doc_id", "l", "r").agg(F.collect_list(F.struct("label", "pos", *sorted(fields))).alias("matches"))
-    return gathered.where(condition(tree, F.col("matches"))).select("doc_id", "l", "r")
+    Intervals (doc_id, l, r, marks) bring the labels and positions of the atoms they are made of. Their values are taken
+    from ``source``'s arrays of documents, so only intervals are shuffled, never tokens; a match that lies in an interval but isn't
+    its own doesn't count.
+    """
+    tree = parse(text)
+    fields = sorted(fields_of(tree))
+    if missing := [f for f in fields if f not in source.columns]:
+        raise ConstraintError(f"no field {missing[0]}")
+    rows = found.select("part", "doc_id", "l", "r", "marks").join(source.forward(fields).drop("part"), "doc_id")
+    value = lambda m: F.struct(m["label"].alias("label"), m["pos"].alias("pos"), *[F.get(F.col(f), m["pos"]).alias(f) for f in fields])
+    return rows.select("part", "doc_id", "l", "r", F.transform("marks", value).alias("matches")).where(condition(tree, F.col("matches"))).select("part", "doc_id", "l", "r")

@@ -1,34 +1,51 @@
-"""Inverted index and term statistics of token tables."""
+"""The stored index: blocks of postings, documents as arrays and the dictionary, in segments that are added and merged."""
 
 from __future__ import annotations
 
+import copy
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.blocks import BLOCK_SQL, KEY, PARTS, block_rows, documents_of, token_rows, with_mentions
 
-def occurrences(tokens: DataFrame, field: str) -> DataFrame:
-    """(term, doc_id, pos): each alternative of a cell at the cell's position."""
-    return tokens.select(F.explode(F.filter(F.split(field, r"\|"), lambda x: x != "")).alias("term"), "doc_id", "pos")
+#: Documents in a bucket, about; and the least and most buckets of a table.
+BUCKET_DOCUMENTS, BUCKETS = 250_000, (8, 100_000)
+#: A part has 2**bits consecutive numbers of documents: as many as give a small collection enough parts, 4096 at most.
+LEAST_PARTS, MOST_BITS = 256, 12
+Wanted = list[tuple[str, str, bool]]
 
 
-def postings(tokens: DataFrame, field: str) -> DataFrame:
-    """(term, doc_id, tf, positions): an array never outgrows one document."""
-    return occurrences(tokens, field).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def _single(documents: DataFrame, field: str) -> DataFrame:
+    return block_rows(documents.withColumn("part", F.col("doc_id")), [field], [])
 
 
-def term_stats(tokens: DataFrame, field: str) -> DataFrame:
-    """Document frequency, occurrences, greatest count in a document, sum of last positions of each term."""
-    per_doc = occurrences(tokens, field).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("pos").alias("last"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_count"), F.sum(F.col("last").cast("long")).alias("sum_max_pos"))
+def postings(documents: DataFrame, field: str) -> DataFrame:
+    """(term, doc_id, tf, positions) of documents as arrays, made within each document."""
+    rows = _single(documents, field).select("term", F.explode(F.arrays_zip("docs", "positions")).alias("p"))
+    return rows.select("term", F.col("p.docs").alias("doc_id"), F.size("p.positions").cast("long").alias("tf"), F.col("p.positions").alias("positions"))
 
 
-def index_totals(tokens: DataFrame, docs: DataFrame, field: str) -> DataFrame:
+def _stats(blocks: DataFrame, *by: str) -> DataFrame:
+    """Document frequency, occurrences, greatest count in a document and sum of last positions, from blocks or from such sums."""
+    df = F.sum("df") if "df" in blocks.columns else F.sum(F.size("docs"))
+    return blocks.groupBy(*by).agg(df.cast("long").alias("df"), F.sum("cf").alias("cf"), F.max("max_count").alias("max_count"), F.sum("sum_max_pos").alias("sum_max_pos"))
+
+
+def term_stats(documents: DataFrame, field: str) -> DataFrame:
+    return _stats(_single(documents, field), "term")
+
+
+def index_totals(documents: DataFrame, docs: DataFrame, field: str) -> DataFrame:
     """One row: documents, terms, postings, occurrences, maxcount, maxdocsize."""
-    stats = term_stats(tokens, field).agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.max("max_count").alias("maxcount"))
-    sizes = tokens.groupBy("doc_id").agg((F.max("pos") + 1).alias("size")).agg(F.max("size").alias("maxdocsize"))
-    return _beside(stats, sizes, docs.agg(F.count("*").alias("documents")))
+    sizes = documents.agg(F.max(F.size(field)).alias("maxdocsize"))
+    return _beside(_totals(term_stats(documents, field)), sizes, docs.agg(F.count("*").alias("documents")))
+
+
+def _totals(stats: DataFrame, *by: str) -> DataFrame:
+    return stats.groupBy(*by).agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.max("max_count").alias("maxcount"))
 
 
 def _beside(*rows: DataFrame) -> DataFrame:
@@ -39,85 +56,221 @@ def _beside(*rows: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
-SENTENCE, PARAGRAPH = "_SENT_", "_PAR_"
-PARTS = {SENTENCE: "sen_no", PARAGRAPH: "par_no"}
+def _name(path: str, segment: int, table: str) -> str:
+    """The catalog's name of a bucketed table; a table there is known by its place alone."""
+    return f"corpusloom_{hashlib.md5(path.encode()).hexdigest()[:16]}_{segment}_{table}"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    files, at = _files(spark, f"{path}/manifest")
+    if not files.exists(at):
+        return []
+    names = [x.getPath() for x in files.listStatus(at) if x.isDirectory()]
+    return sorted(int(p.getName()) for p in names if files.exists(_files(spark, f"{p.toString()}/_SUCCESS")[1]))
+
+
+def is_index(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
+def _put(df: DataFrame, path: str, segment: int, table: str, buckets: int, by: str, *order: str) -> None:
+    """A table bucketed and sorted, one file a bucket."""
+    spark, name = df.sparkSession, _name(path, segment, table)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.bucketBy(buckets, by).sortBy(*order).option("path", f"{path}/{segment}/{table}").mode("overwrite").format("parquet").saveAsTable(name)
+
+
+def _write_rest(spark: SparkSession, path: str, segment: int, blocks: DataFrame, told: dict) -> dict:
+    """Blocks, the dictionary and a segment's row of the manifest, once its documents are written."""
+    _put(blocks, path, segment, "postings", told["buckets"], "part", "field", "term", "part")
+    stats = _stats(spark.read.parquet(f"{path}/{segment}/postings").where(~F.col("field").isin(*PARTS)), "field", "term")
+    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/{segment}/terms")
+    about = spark.read.parquet(f"{path}/{segment}/documents").agg(F.count("*").alias("documents"), F.max("size").alias("maxdocsize"), F.min("part").alias("low"), F.max("part").alias("high")).first()
+    return told | {"segment": segment, **about.asDict()}
 
 
-def part_starts(tokens: DataFrame, mark: str) -> DataFrame:
-    """(doc_id, pos) at which the sentences or paragraphs of a token table begin."""
-    return tokens.groupBy("doc_id", PARTS[mark]).agg(F.min("pos").alias("pos")).select("doc_id", "pos")
+def _write_manifest(spark: SparkSession, path: str, segments: list[dict]) -> None:
+    """The next version of the manifest, a row for each segment; readers take the last whole one."""
+    names = ("segment", "documents", "maxdocsize", "low", "high", "buckets", "bits", "fields", "columns")
+    kind = "segment int, documents long, maxdocsize int, low long, high long, buckets int, bits int, fields string, columns string"
+    rows = spark.createDataFrame([tuple(s[n] for n in names) for s in segments], kind)
+    rows.coalesce(1).write.parquet(f"{path}/manifest/{max(_versions(spark, path), default=0) + 1}")
 
 
-def all_postings(tokens: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, term, doc_id, tf, positions) of all fields in one pass; part starts are postings of the empty term."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields]))
-    rows = tokens.select("doc_id", "pos", cells.alias("c")).select("doc_id", "pos", "c.field", F.explode(F.filter(F.split("c.cell", r"\|"), lambda x: x != "")).alias("term"))
-    for mark, column in PARTS.items():
-        if column in tokens.columns:
-            rows = rows.unionByName(part_starts(tokens, mark).withColumns({"field": F.lit(mark), "term": F.lit("")}))
-    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_set("pos")).alias("positions"))
+def _as_documents(rows: DataFrame) -> DataFrame:
+    """Documents as arrays, with entity mentions where tokens have them; empty ones and those without an id are left out."""
+    documents = documents_of(rows) if "pos" in rows.columns else rows.where("doc_id is not null")
+    documents = documents.where(F.size(next(c for c in documents.columns if c != "doc_id")) > 0)
+    return with_mentions(documents) if {"nerid", "nertag", "nerlength"} <= set(documents.columns) else documents
 
 
-def write_index(tokens: DataFrame, path: str, fields: list[str]) -> None:
-    """An index as Parquet tables under ``path``:
+def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str], bits: int, buckets: int) -> dict:
+    spark, documents = rows.sparkSession, _as_documents(rows)
+    columns = [c for c in documents.columns if c not in ("doc_id", "mention", "entity")]
+    documents = documents.withColumns({"part": F.shiftright("doc_id", bits), "size": F.size(columns[0])})
+    _put(documents.repartition(buckets, "doc_id"), path, segment, "documents", buckets, "doc_id", "doc_id")
+    stored = spark.read.parquet(f"{path}/{segment}/documents").select("doc_id", "part", *fields, *[c for c in PARTS.values() if c in columns])
+    blocks = block_rows(stored.repartition(buckets, "part").sortWithinPartitions("part", "doc_id"), fields)
+    return _write_rest(spark, path, segment, blocks, {"buckets": buckets, "bits": bits, "fields": ",".join(fields), "columns": ",".join(columns)})
 
-    postings by field, sorted by term and document, so that a search reads the row groups of its terms alone (a frequent
-    term is spread over files by document); tokens and documents (doc_id, size), sorted by document; terms, the sorted
-    dictionary with its statistics; fields, one row of totals each; and, written last, the manifest.
+
+def write_index(rows: DataFrame, path: str, fields: list[str], documents: int | None = None) -> None:
+    """An index as Parquet tables under ``path``, of token rows (doc_id, pos, ...) or documents as arrays (doc_id, ...).
+
+    A segment has ``documents``, one row each with an array by position for every column, bucketed and sorted by doc_id;
+    ``postings``, a block for each field, term and part (a range of documents), bucketed by part and sorted by field, term
+    and part, so that a search reads the row groups of its terms and needs no shuffle; ``terms``, the sorted dictionary with its
+    statistics; and a row of the manifest, which is written last. Positions are dense from 0 on; doc_id names one document.
+    ``documents`` is their number, if known.
+    """
+    n = rows.select("doc_id").distinct().count() if documents is None else documents
+    bits = min(MOST_BITS, max(0, (n // LEAST_PARTS).bit_length() - 1))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], n // BUCKET_DOCUMENTS))
+    _write_manifest(rows.sparkSession, path, [_write_segment(rows, path, 1, fields, bits, buckets)])
+
+
+def append_documents(rows: DataFrame, path: str) -> None:
+    """Adds documents that the index doesn't have yet as a segment of its own; what is there is neither read nor written."""
+    spark = rows.sparkSession
+    there = [r.asDict() for r in _manifest(spark, path)]
+    fields, bits = there[0]["fields"].split(","), there[0]["bits"]
+    new = _write_segment(rows, path, max(s["segment"] for s in there) + 1, fields, bits, there[0]["buckets"])
+    _write_manifest(spark, path, [*there, new])
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """One segment of all: documents are copied, blocks of one term and part are joined; no text is read again.
+
+    The segments merged stay for those who have them open.
     """
-    spark = tokens.sparkSession
-    put = lambda df, name, *parts: df.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/{name}")
-    put(tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "pos"), "tokens")
-    stored = spark.read.parquet(f"{path}/tokens")
-    put(all_postings(stored, fields).repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), "postings", "field")
-    put(stored.groupBy("doc_id").agg((F.max("pos") + 1).alias("size")), "documents")
-    per_doc = spark.read.parquet(f"{path}/postings").where(~F.col("field").isin(*PARTS))
-    stats = per_doc.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_count"), F.sum(F.element_at("positions", -1).cast("long")).alias("sum_max_pos"))
-    put(stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), "terms")
-    totals = spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"), F.max("max_count").alias("maxcount"))
-    sizes = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("documents"), F.max("size").alias("maxdocsize"))
-    put(_beside(totals, sizes), "fields")
-    put(sizes.select("documents", F.lit(",".join(fields)).alias("fields")), "manifest")
+    index, there = StoredIndex(spark, path), [r.asDict() for r in _manifest(spark, path)]
+    if len(there) < 2:
+        return
+    segment, told = max(s["segment"] for s in there) + 1, {k: there[0][k] for k in ("bits", "fields", "columns")}
+    told["buckets"] = min(BUCKETS[1], max(BUCKETS[0], sum(s["documents"] for s in there) // BUCKET_DOCUMENTS))
+    columns = [c for c in index.tables[0]["documents"].columns]
+    documents = reduce(DataFrame.unionByName, [t["documents"].select(columns) for t in index.tables])
+    _put(documents.repartition(told["buckets"], "doc_id"), path, segment, "documents", told["buckets"], "doc_id", "doc_id")
+    blocks = reduce(DataFrame.unionByName, [t["postings"] for t in index.tables]).repartition(told["buckets"], "part")
+    met = blocks.groupBy("part", "field", "term").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("docs", "positions")))).alias("p"), F.sum("cf").alias("cf"), F.max("max_count").alias("max_count"), F.sum("sum_max_pos").alias("sum_max_pos"))
+    blocks = met.select("field", "term", "part", F.col("p.docs").alias("docs"), F.col("p.positions").alias("positions"), "cf", "max_count", "sum_max_pos")
+    _write_manifest(spark, path, [_write_rest(spark, path, segment, blocks, told)])
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    last = max(_versions(spark, path), default=None)
+    if last is None:
+        raise ValueError(f"no index in {path}")
+    return spark.read.parquet(f"{path}/manifest/{last}").orderBy("segment").collect()
+
+
+def _bucketed(spark: SparkSession, path: str, segment: int, table: str, buckets: int, by: str, order: str) -> DataFrame:
+    """A table that another session has written, made known to the catalog."""
+    name = _name(path, segment, table)
+    if not spark.catalog.tableExists(name):
+        kind = spark.read.parquet(f"{path}/{segment}/{table}").schema if table == "documents" else None
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) if kind else BLOCK_SQL
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}/{segment}/{table}'")
+    return spark.table(name)
 
 
 class StoredIndex:
-    """What ``write_index`` has written. Raises an error if documents are missing from it."""
+    """What ``write_index`` and ``append_documents`` have written. Raises an error if documents are missing from it.
+
+    ``among``, ``between`` and ``where`` give views of the same index that read some parts or documents alone.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        self.postings, self.tokens, self.documents, self.terms, self.fields = (read(n) for n in ("postings", "tokens", "documents", "terms", "fields"))
-        told = read("manifest").first()
-        self.names = told["fields"].split(",")
-        if self.documents.count() != told["documents"]:
-            raise ValueError(f"the index in {path} hasn't the {told['documents']} documents of its manifest")
-
-    def hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
-        """(doc_id, pos, k) for each k-th wanted (field, word, by prefix); only their fields and ranges of terms are read."""
+        self.spark, told = spark, _manifest(spark, path)
+        self.tables = [{"documents": _bucketed(spark, path, s.segment, "documents", s.buckets, "doc_id", "doc_id"), "postings": _bucketed(spark, path, s.segment, "postings", s.buckets, "part", "field, term, part")} for s in told]
+        self.size, self.bits = sum(s.documents for s in told), told[0].bits
+        self.low, self.high = min(s.low for s in told), max(s.high for s in told)
+        self.names, self.columns = told[0].fields.split(","), told[0].columns.split(",")
+        self.only_parts, self.only_docs, self._df = [], [], {}
+        if sum(t["documents"].count() for t in self.tables) != self.size:
+            raise ValueError(f"the index in {path} hasn't the {self.size} documents of its manifest")
+        terms = [spark.read.parquet(f"{path}/{s.segment}/terms") for s in told]
+        self.terms = terms[0] if len(terms) == 1 else _stats(reduce(DataFrame.unionByName, terms), "field", "term")
+        self.fields = _totals(self.terms, "field").withColumns({"documents": F.lit(self.size).cast("long"), "maxdocsize": F.lit(max(s.maxdocsize for s in told))})
+
+    def _view(self, part, doc: Column | None = None) -> StoredIndex:
+        out = copy.copy(self)
+        out.only_parts, out.only_docs = [*self.only_parts, part], [*self.only_docs, *([] if doc is None else [doc])]
+        return out
+
+    def among(self, parts: list[int] | DataFrame) -> StoredIndex:
+        """The parts of a list, of which other buckets and pages aren't read, or of a table (part), by a semi join."""
+        return self._view(parts if isinstance(parts, DataFrame) else F.col("part").isin(*parts))
+
+    def between(self, first: int, last: int) -> StoredIndex:
+        """The documents from one to another."""
+        return self._view(F.col("part").between(first >> self.bits, last >> self.bits), F.col("doc_id").between(first, last))
+
+    def where(self, doc: Column) -> StoredIndex:
+        """The documents that meet a condition on doc_id."""
+        return self._view(F.lit(True), doc)
+
+    def _limited(self, df: DataFrame, docs: bool) -> DataFrame:
+        for p in self.only_parts:
+            df = df.join(p, "part", "left_semi") if isinstance(p, DataFrame) else df.where(p)
+        return reduce(DataFrame.where, self.only_docs, df) if docs else df
+
+    def blocks(self, test: Column) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self._limited(t["postings"].where(test), False) for t in self.tables])
+
+    def hits(self, wanted: Wanted) -> DataFrame:
+        """(part, doc_id, pos, k) for each k-th wanted (field, word, by prefix): one scan, of their fields and ranges of terms alone."""
         tests = [(F.col("field") == f) & (F.col("term").startswith(w) if prefix else F.col("term") == w) for f, w, prefix in wanted]
         words = reduce(Column.__or__, [F.col("term").startswith(w) if prefix else F.col("term") == w for _, w, prefix in wanted])
-        rows = self.postings.where(F.col("field").isin(*{f for f, _, _ in wanted}) & words)
+        rows = self.blocks(F.col("field").isin(*{f for f, _, _ in wanted}) & words & reduce(Column.__or__, tests))
         which = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
-        out = rows.select("doc_id", F.explode("positions").alias("pos"), which.alias("which")).select("doc_id", "pos", F.explode("which").alias("k"))
+        rows = rows.select("part", "docs", "positions", F.explode(which).alias("k")).select("part", F.explode(F.arrays_zip("docs", "positions")).alias("p"), "k")
+        rows = rows.select("part", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("positions"), "k")
+        out = reduce(DataFrame.where, self.only_docs, rows).select(*KEY, F.explode("positions").alias("pos"), "k")
         return out.distinct() if any(prefix for _, _, prefix in wanted) else out
 
-    def any_hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
-        """(doc_id, pos) of any of the wanted."""
-        return self.hits(wanted).select("doc_id", "pos").distinct()
+    def any_hits(self, wanted: Wanted) -> DataFrame:
+        """(part, doc_id, pos) of any of the wanted."""
+        out = self.hits(wanted).select(*KEY, "pos")
+        return out if len(wanted) == 1 and not wanted[0][2] else out.distinct()
+
+    def frequency(self, wanted: Wanted) -> list[int]:
+        """How many documents each of the wanted is in, from the dictionary, which is asked once for each; a prefix sums its terms."""
+        new = [w for w in dict.fromkeys(wanted) if w not in self._df]
+        if new:
+            tests = [(F.col("field") == f) & (F.col("term").startswith(w) if prefix else F.col("term") == w) for f, w, prefix in new]
+            sums = self.terms.where(reduce(Column.__or__, tests)).agg(*[F.sum(F.when(t, F.col("df"))) for t in tests]).first()
+            self._df.update({w: n or 0 for w, n in zip(new, sums, strict=True)})
+        return [self._df[w] for w in wanted]
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.forward([])
 
-    def starts(self, mark: str) -> DataFrame:
-        return self.hits([(mark, "", False)]).select("doc_id", "pos")
+    def forward(self, columns: list[str]) -> DataFrame:
+        """(part, doc_id, ...): documents with arrays of some columns."""
+        return reduce(DataFrame.unionByName, [self._limited(t["documents"], True).select(*KEY, *columns) for t in self.tables])
+
+    @property
+    def tokens(self) -> DataFrame:
+        return token_rows(self.forward(self.columns), self.columns)
 
     def tokens_of(self, docs: list[int]) -> DataFrame:
-        """Tokens of some documents; other row groups are skipped."""
-        return self.tokens.where(F.col("doc_id").isin(*docs))
+        """Tokens of some documents; other buckets and row groups are skipped."""
+        return self.where(F.col("doc_id").isin(*docs)).tokens
 
 
-_open: dict[tuple[str, str], StoredIndex] = {}
+_open: dict[tuple[str, str, int], StoredIndex] = {}
 
 
 def opened(spark: SparkSession, path: str) -> StoredIndex:
-    """The index at a path, opened and checked once an application."""
-    key = (spark.sparkContext.applicationId, path)
+    """The last version of the index at a path, opened and checked once an application."""
+    key = (spark.sparkContext.applicationId, path, max(_versions(spark, path), default=0))
     if key not in _open:
         _open[key] = StoredIndex(spark, path)
     return _open[key]
@@ -128,24 +281,35 @@ class TokenTable:
 
     def __init__(self, tokens: DataFrame, multi: bool = False):
         self.tokens, self.multi, self.names = tokens, multi, tokens.columns
-        self.documents = tokens.select("doc_id").distinct()
+        self.columns = [c for c in tokens.columns if c not in ("doc_id", "pos")]
+        self.documents = tokens.select(F.lit(0).alias("part"), "doc_id").distinct()
 
     def _condition(self, name: str, word: str, prefix: bool) -> Column:
+        if name in PARTS:
+            return F.lit(False)
         if self.multi:
             cell = F.split(F.col(name), r"\|")
             return F.exists(cell, lambda x: x.startswith(word)) if prefix else F.array_contains(cell, word)
         return F.col(name).startswith(word) if prefix else F.col(name) == word
 
-    def hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
+    def hits(self, wanted: Wanted) -> DataFrame:
         tests = [self._condition(*w) for w in wanted]
         which = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
-        return self.tokens.where(reduce(Column.__or__, tests)).select("doc_id", "pos", F.explode(which).alias("k"))
-
-    def any_hits(self, wanted: list[tuple[str, str, bool]]) -> DataFrame:
-        return self.tokens.where(reduce(Column.__or__, [self._condition(*w) for w in wanted])).select("doc_id", "pos")
-
-    def starts(self, mark: str) -> DataFrame:
-        return part_starts(self.tokens, mark)
+        out = self.tokens.where(reduce(Column.__or__, tests)).select(F.lit(0).alias("part"), "doc_id", "pos", F.explode(which).alias("k"))
+        for k, (name, _, _) in enumerate(wanted):
+            if name in PARTS:
+                starts = self.tokens.groupBy("doc_id", PARTS[name]).agg(F.min("pos").alias("pos"))
+                out = out.union(starts.select(F.lit(0).alias("part"), "doc_id", "pos", F.lit(k)))
+        return out
+
+    def any_hits(self, wanted: Wanted) -> DataFrame:
+        return self.hits(wanted).select(*KEY, "pos").distinct()
+
+    def forward(self, columns: list[str]) -> DataFrame:
+        own = [c for c in columns if c not in ("mention", "entity")]
+        needed = list(dict.fromkeys([*own, *(["token", "nerid", "nertag", "nerlength"] if len(own) < len(columns) else [])]))
+        documents = documents_of(self.tokens.select("doc_id", "pos", *needed))
+        return (with_mentions(documents) if len(own) < len(columns) else documents).select(F.lit(0).alias("part"), "doc_id", *columns)
 
     def tokens_of(self, docs: list[int]) -> DataFrame:
         return self.tokens.where(F.col("doc_id").isin(*docs))

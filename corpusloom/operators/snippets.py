@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import CODES, COMMON, DYE, ENTITY, LAST_ONLY, MAPPING, expressions, missing_as_null
 from corpusloom.functions.sexpr import compile_expression
-from corpusloom.operators.intervals import inside
+from corpusloom.operators.blocks import token_rows
 
 
 def display(token: Column) -> Column:
@@ -17,25 +17,26 @@ def display(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"\|G\S*", ""), "[¶§]", "")
 
 
-def snippet_tokens(found: DataFrame, tokens: DataFrame, context: int = 5) -> DataFrame:
-    """Tokens in and around each interval."""
-    return inside(found, tokens, context)
+def snippet_tokens(found: DataFrame, source, context: int, columns: list[str]) -> DataFrame:
+    """(doc_id, l, r, pos, ...): tokens in and around each interval, cut out of the arrays of its document."""
+    rows = found.select("doc_id", "l", "r").join(source.forward(columns).drop("part"), "doc_id")
+    first = F.greatest(F.col("l") - context, F.lit(0))
+    cut = F.arrays_zip(*[F.slice(c, first + 1, F.col("r") + context + 1 - first).alias(c) for c in columns])
+    rows = rows.select("doc_id", "l", "r", first.alias("first"), F.posexplode(cut).alias("i", "t"))
+    return rows.select("doc_id", "l", "r", (F.col("first") + F.col("i")).alias("pos"), *[F.col("t")[c].alias(c) for c in columns])
 
 
-def plain_snippets(found: DataFrame, tokens: DataFrame, context: int = 5, field: str = "token") -> DataFrame:
+def plain_snippets(found: DataFrame, source, context: int = 5, field: str = "token") -> DataFrame:
     """(doc_id, l, r, snippet); empty snippets are dropped."""
-    rows = snippet_tokens(found, tokens.select("doc_id", "pos", F.col(field).alias("shown")), context)
-    words = F.array_sort(F.collect_list(F.struct("pos", "shown")))["shown"]
-    out = rows.groupBy("doc_id", "l", "r").agg(words.alias("w")).select("doc_id", "l", "r", F.array_join(F.transform("w", display), " ").alias("snippet"))
-    return out.where("length(snippet) > 0")
+    rows = found.select("doc_id", "l", "r").join(source.forward([field]).drop("part"), "doc_id")
+    first = F.greatest(F.col("l") - context, F.lit(0))
+    words = F.transform(F.slice(field, first + 1, F.col("r") + context + 1 - first), display)
+    return rows.select("doc_id", "l", "r", F.array_join(words, " ").alias("snippet")).where("length(snippet) > 0")
 
 
-def mentions(tokens: DataFrame) -> DataFrame:
+def mentions(source) -> DataFrame:
     """(doc_id, pos, mention, entity): position and tag of the last token of the entity that a token belongs to; the last mention wins."""
-    last = tokens.where((F.length("nerid") > 3) & (F.col("nertag") != "0") & (F.col("nertag") != ""))
-    size = F.coalesce(F.col("nerlength").try_cast("int"), F.lit(1))
-    spread = last.select("doc_id", F.struct(F.col("pos").alias("mention"), F.col("nertag").alias("entity")).alias("m"), F.explode(F.sequence(F.greatest(F.col("pos") - F.greatest(size, F.lit(1)) + 1, F.lit(0)), F.col("pos"))).alias("pos"))
-    return spread.groupBy("doc_id", "pos").agg(F.max("m").alias("m")).select("doc_id", "pos", "m.*")
+    return token_rows(source.forward(["mention", "entity"]), ["mention", "entity"]).where("mention is not null").select("doc_id", "pos", "mention", "entity")
 
 
 def _field(name: str) -> Column | None:
@@ -87,12 +88,13 @@ def token_attributes(attributes: list[str], style: str) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
-def rendered(found: DataFrame, tokens: DataFrame, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None, field: str = "token") -> DataFrame:
+def rendered(found: DataFrame, source, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None, field: str = "token") -> DataFrame:
     """(doc_id, l, r, snippet) in html, raw or ascii style, showing one field of the tokens.
 
     Tokens of one entity are one part, clipped where the snippet begins, whose attributes are joined from all of them.
     """
-    rows = snippet_tokens(found, tokens, context).where(display(F.col("token")) != "").join(mentions(tokens), ["doc_id", "pos"], "left")
+    columns = [*dict.fromkeys(["token", field, *sorted(NAMES & set(source.columns)), *(attributes or []), "mention", "entity"])]
+    rows = snippet_tokens(found, source, context, columns).where(display(F.col("token")) != "")
     picks, values = entity_values(tags)
     own, each = token_attributes(attributes or [], style), "span" if style == "html" else "field"
     text = display(F.col(field))
@@ -111,11 +113,10 @@ def rendered(found: DataFrame, tokens: DataFrame, context: int = 5, style: str =
     return out.select("doc_id", "l", "r", F.array_join(F.filter("s", lambda x: x != ""), " ").alias("snippet")).where("length(snippet) > 0")
 
 
-def paragraphs(tokens: DataFrame, doc_id: int | None = None) -> DataFrame:
-    """Texts by paragraph, of one document or all."""
-    rows = tokens if doc_id is None else tokens.where(F.col("doc_id") == doc_id)
+def paragraphs(tokens: DataFrame) -> DataFrame:
+    """Texts by paragraph."""
     text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], display), lambda x: x != ""), " ")
-    return rows.groupBy("doc_id", "par_no").agg(text.alias("snippet")).where("length(snippet) > 0")
+    return tokens.groupBy("doc_id", "par_no").agg(text.alias("snippet")).where("length(snippet) > 0")
 
 
 def page_size(snippets: int) -> int:
@@ -123,20 +124,52 @@ def page_size(snippets: int) -> int:
     return 15 if snippets <= 0 else 10 ** max(0, len(str(snippets)) - 2)
 
 
+def _open_pages(counts: list[int], size: int, snippets: int) -> int:
+    """How many of the documents, which have so many snippets each, are in the pages to show."""
+    shown, got = 0, 0
+    while shown < len(counts) and (shown == 0 or got < max(snippets, 1)):
+        got += sum(counts[shown : shown + size])
+        shown = min(shown + size, len(counts))
+    return shown
+
+
 def page(found: DataFrame, snippets: int, offset: int = 0) -> DataFrame:
     """Whole documents in order of doc_id from ``offset`` on, page by page, until there are as many snippets as asked for.
 
-    Counts of documents are summed, not intervals, and only as many as a page may need: each has one snippet at least.
+    Of each document that a page may need its count comes to the driver: as many as there are snippets asked for, since each has one at least.
+    """
+    size = page_size(snippets)
+    need = size if snippets <= 0 else -(-snippets // size) * size
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("doc_id").offset(offset).limit(need).collect()
+    shown = counts[: _open_pages([r.n for r in counts], size, snippets)]
+    return found.where(F.col("doc_id").between(shown[0].doc_id, shown[-1].doc_id)) if shown else found.limit(0)
+
+
+def page_by_ranges(index, evaluate, expected: int, snippets: int, offset: int = 0) -> tuple[DataFrame, object]:
+    """The same page of what ``evaluate`` finds in a view of a stored index, and the view of its documents.
+
+    Ranges of documents are evaluated one after the other, each wider than the last, until the page is full; the first is as
+    wide as ``expected`` matching documents in all suggest. What lies behind the page is never read.
     """
     size = page_size(snippets)
     need = size if snippets <= 0 else -(-snippets // size) * size
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("doc_id").offset(offset).limit(need)
-    order = Window.orderBy("doc_id")
-    ranked = counts.withColumn("page", F.floor((F.row_number().over(order) - 1) / size))
-    pages = ranked.groupBy("page").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = pages.withColumn("before", before).where((F.col("before") < max(snippets, 1)) | (F.col("page") == 0)).select("page")
-    return found.join(F.broadcast(ranked.join(open_, "page").select("doc_id")), "doc_id", "left_semi")
+    parts = index.high - index.low + 1
+    at, width, left, rows = index.low, max(1, -(-2 * (offset + need) * parts // max(1, expected))), offset, []
+    while at <= index.high and len(rows) < need and _open_pages([r.n for r in rows], size, snippets) == len(rows):
+        last = min(at + width - 1, index.high)
+        counts = evaluate(index.between(at << index.bits, (last + 1 << index.bits) - 1)).groupBy("doc_id").agg(F.count("*").alias("n"))
+        skipped = counts.count() if left else 0
+        if not left or skipped > left:
+            rows += counts.orderBy("doc_id").offset(left).limit(need - len(rows)).collect()
+            left = 0
+        else:
+            left -= skipped
+        at, width = last + 1, width * 4
+    shown = rows[: _open_pages([r.n for r in rows], size, snippets)]
+    if not shown:
+        return evaluate(index).limit(0), index
+    view = index.between(shown[0].doc_id, shown[-1].doc_id)
+    return evaluate(view), view
 
 
 def next_cursor(cursor: dict[str, int], returned: dict[str, int], quota: dict[str, int], received: dict[str, int]) -> dict[str, int]:

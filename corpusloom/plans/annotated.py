@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import FIELDS
 from corpusloom.operators import snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, opened, write_index
+from corpusloom.operators.index import StoredIndex, is_index, opened, write_index
 from corpusloom.plans.query import Searcher
 from corpusloom.sources import tokens as T
 from corpusloom.sources.storage import exists, shared_dir, version
@@ -56,7 +56,7 @@ def lines(spark, sf_dir) -> DataFrame:
 def stored(spark, sf_dir) -> StoredIndex:
     """The index over the vertical files."""
     path = f"{folder(spark, sf_dir)}-index"
-    if not exists(spark, f"{path}/manifest/_SUCCESS"):
+    if not is_index(spark, path):
         write_index(T.vertical_tokens(lines(spark, sf_dir)), path, ["token", "lower", "nertag", "nerid", "param2", "param3"])
     return opened(spark, path)
 
@@ -90,20 +90,19 @@ def search(text: str):
 def constraint(text: str, query: str = "(1:nertag:person 2:nertag:location)~8"):
     def run(spark, sf_dir):
         index = stored(spark, sf_dir)
-        s = Searcher(index)
-        return constrained(s.search(query), s.labelled(query), index.tokens, text)
+        return constrained(Searcher(index).matches(query, marks=True), index, text).select("doc_id", "l", "r")
 
     return run
 
 
 def entity_merge(spark, sf_dir):
-    return snippets.mentions(stored(spark, sf_dir).tokens)
+    return snippets.mentions(stored(spark, sf_dir))
 
 
 def rendered(style: str, tags: dict, attributes: list[str] | None = None):
     def run(spark, sf_dir):
         index = stored(spark, sf_dir)
-        return snippets.rendered(Searcher(index).search("person.gender:M"), index.tokens, 2, style, tags, attributes)
+        return snippets.rendered(Searcher(index).search("person.gender:M"), index, 2, style, tags, attributes)
 
     return run
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators import index, snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, TokenTable, opened, write_index
+from corpusloom.operators.index import StoredIndex, append_documents, is_index, opened, write_index
 from corpusloom.plans import annotated
 from corpusloom.plans.query import Searcher
-from corpusloom.plans.service import search_all
-from corpusloom.sources.storage import exists, shared_dir, version
-from corpusloom.sources.tokens import plain_tokens, with_sentences
+from corpusloom.plans.service import page_of, search_all
+from corpusloom.sources.storage import shared_dir, version
+from corpusloom.sources.tokens import plain_documents, plain_tokens, with_sentences
 
 TOKENS = r"t0 AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), t AS MATERIALIZED (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token, lower(w[i]) AS lower FROM t0, unnest(generate_series(1, len(w))) AS g(i)), s AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sen_no FROM t)"
 MINIMAL = "SELECT doc_id, l, r FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = a.doc_id AND b.l >= a.l AND b.r <= a.r AND (b.l <> a.l OR b.r <> a.r))"
@@ -36,48 +36,57 @@ def both(a: str, b: str) -> str:
     return " UNION ".join(pair.format(l="least(x.l, y.l)", r="x.r", x=x, y=y) for x, y in ((at(a), at(b)), (at(b), at(a))))
 
 
+def place(spark, sf_dir, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{version(spark, f'{sf_dir}/documents.parquet')}"
+
+
 def stored(spark, sf_dir) -> StoredIndex:
     """The index over ``documents``, written where it isn't yet."""
-    path = f"{shared_dir(spark)}/index-{version(spark, f'{sf_dir}/documents.parquet')}"
-    if not exists(spark, f"{path}/manifest/_SUCCESS"):
-        write_index(with_sentences(plain_tokens(docs(spark, sf_dir))), path, ["token", "lower"])
+    path = place(spark, sf_dir, "index")
+    if not is_index(spark, path):
+        write_index(plain_documents(docs(spark, sf_dir)), path, ["token", "lower"], docs(spark, sf_dir).count())
+    return opened(spark, path)
+
+
+def batched(spark, sf_dir) -> StoredIndex:
+    """An index over ``documents`` in two batches: those of all languages but one, then the rest."""
+    path, late = place(spark, sf_dir, "batches"), F.coalesce(F.col("lang") == "de", F.lit(False))
+    if not is_index(spark, path):
+        write_index(plain_documents(docs(spark, sf_dir).where(~late)), path, ["token", "lower"], docs(spark, sf_dir).count())
+        append_documents(plain_documents(docs(spark, sf_dir).where(late)), path)
     return opened(spark, path)
 
 
-def search(text: str):
-    return lambda spark, sf_dir: Searcher(stored(spark, sf_dir)).search(text, "lower")
+def search(text: str, source=stored):
+    return lambda spark, sf_dir: Searcher(source(spark, sf_dir)).search(text, "lower")
 
 
 def term_postings(spark, sf_dir):
-    found = index.postings(tokens(spark, sf_dir), "lower")
+    found = index.postings(plain_documents(docs(spark, sf_dir)), "lower")
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 def page_of_snippets(spark, sf_dir):
     """The first pages of a search, up to 100 snippets, in words around each interval."""
-    index = stored(spark, sf_dir)
-    found = snippets.page(Searcher(index).search("of < that", "lower"), 100)
-    wanted = [r.doc_id for r in found.select("doc_id").distinct().collect()]  # 100 documents at most
-    return snippets.plain_snippets(found, index.tokens_of(wanted))
+    return snippets.plain_snippets(*page_of(stored(spark, sf_dir), {"query": "of < that", "snippets": 100}, "lower"))
 
 
-def page_of(size: int, offset: int = 0):
+def page_at(size: int, offset: int = 0):
     """The intervals of a page of documents."""
-    return lambda spark, sf_dir: snippets.page(Searcher(stored(spark, sf_dir)).search("of < that", "lower"), size, offset)
+    return lambda spark, sf_dir: page_of(stored(spark, sf_dir), {"query": "of < that", "snippets": size, "offset": offset}, "lower")[0].select("doc_id", "l", "r")
 
 
 def two_collections(spark, sf_dir):
     """Documents with even and odd ids as two collections, each with its share of the snippets."""
     index = stored(spark, sf_dir)
-    parts = {name: (TokenTable(index.tokens.where(F.col("doc_id") % 2 == k)), index.documents) for k, name in enumerate(("even", "odd"))}
+    parts = {name: (index.where(F.col("doc_id") % 2 == k), index.documents) for k, name in enumerate(("even", "odd"))}
     return search_all(parts, {"query": "lower:of < lower:that", "snippets": 20}).select("doc_id", "thread", F.size("data").alias("n"))
 
 
-def constraint(text: str):
+def constraint(text: str, query: str = "(1:of 2:th*)~6"):
     def run(spark, sf_dir):
-        index, query = stored(spark, sf_dir), "(1:of 2:th*)~6"
-        s = Searcher(index)
-        return constrained(s.search(query, "lower"), s.labelled(query, "lower"), index.tokens, text)
+        index = stored(spark, sf_dir)
+        return constrained(Searcher(index).matches(query, "lower", marks=True), index, text).select("doc_id", "l", "r")
 
     return run
 
@@ -86,6 +95,10 @@ def stored_terms(spark, sf_dir):
     return stored(spark, sf_dir).terms.where("field = 'lower'").drop("field")
 
 
+def batched_terms(spark, sf_dir):
+    return batched(spark, sf_dir).terms.where("field = 'lower'").drop("field")
+
+
 #: name: (expression, SQL)
 EXPRESSIONS = {
     "shown": ('(concatenate (or (if (eq lang "en") "english") "other") "-" (subst #\\r #\\R (replace "src" "source " source)))', "concat(CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END, '-', translate(replace(source, 'src', 'source '), 'r', 'R'))"),
@@ -118,8 +131,8 @@ _ALL = {
     "tokenize": (lambda s, d: tokens(s, d), f"WITH {TOKENS} SELECT doc_id, pos, token, lower FROM t"),
     "sentences": (sentence_sizes, f"WITH {TOKENS} SELECT doc_id, CAST(sen_no AS BIGINT) AS sen_no, count(*) AS n, min(pos) AS first FROM s GROUP BY ALL"),
     "index_postings": (term_postings, f"WITH {TOKENS} SELECT lower AS term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS lower FROM t) GROUP BY ALL"),
-    "index_terms": (lambda s, d: index.term_stats(tokens(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM p GROUP BY term"),
-    "index_totals": (lambda s, d: index.index_totals(tokens(s, d), docs(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM p GROUP BY term) SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT max(pos) + 1 FROM t) AS maxdocsize, (SELECT count(*) FROM documents) AS documents FROM q"),
+    "index_terms": (lambda s, d: index.term_stats(plain_documents(docs(s, d)), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM p GROUP BY term"),
+    "index_totals": (lambda s, d: index.index_totals(plain_documents(docs(s, d)), docs(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM p GROUP BY term) SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT max(pos) + 1 FROM t) AS maxdocsize, (SELECT count(*) FROM documents) AS documents FROM q"),
     "search_term": (search("that"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'that'"),
     "search_field": (search("token:That"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE token = 'That'"),
     "search_prefix": (search("then*"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE starts_with(lower, 'then')"),
@@ -132,16 +145,22 @@ _ALL = {
     "search_ordered": (search("of < that"), f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r) {MINIMAL}"),
     "search_near": (search("(of that)~5"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE r - l + 1 <= 5"),
     "search_difference": (search("(of that) - the"), f"WITH {TOKENS}, {NEAR} SELECT doc_id, l, r FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = a.doc_id AND lower = 'the' AND pos BETWEEN a.l AND a.r)"),
-    "search_sentence": (search("(of that) - _SENT_"), f"WITH {TOKENS}, {NEAR}, b AS MATERIALIZED (SELECT a.doc_id, l, r, sen_no FROM a JOIN s ON s.doc_id = a.doc_id AND s.pos = a.l) SELECT b.doc_id, l, r FROM b JOIN s ON s.doc_id = b.doc_id AND s.pos = b.r AND s.sen_no = b.sen_no"),
+    "search_sentence": (search("(of that) - _SENT_"), f"WITH {TOKENS}, w AS MATERIALIZED (SELECT doc_id, pos, sen_no, lower FROM s WHERE lower IN ('of', 'that')), n AS (SELECT *, lead(pos) OVER o AS r, lead(lower) OVER o AS other, lead(sen_no) OVER o AS sen FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos AS l, r FROM n WHERE lower <> other AND sen = sen_no"),
     "constraint_equal": (constraint("2.lower = that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
     "constraint_unequal": (constraint("2.lower != that"), f"WITH {TOKENS}, {PAIRS}, m AS ({MINIMAL}) SELECT doc_id, l, r FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND pos BETWEEN l AND r AND lower = 'that')"),
     "snippet_page": (page_of_snippets, f"WITH {TOKENS}, c AS (SELECT y.doc_id, x.l, y.r FROM {at('that')} y ASOF JOIN {at('of')} x ON y.doc_id = x.doc_id AND y.l > x.r), m AS ({MINIMAL}), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), k AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS page FROM n), g AS (SELECT page, coalesce(sum(sum(n)) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY page), f AS (SELECT m.* FROM m JOIN k USING (doc_id) JOIN g USING (page) WHERE before < 100) SELECT f.doc_id, f.l, f.r, string_agg(regexp_replace(regexp_replace(token, '\\|G\\S*', '', 'g'), '[¶§]', '', 'g'), ' ' ORDER BY pos) AS snippet FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos BETWEEN f.l - 5 AND f.r + 5 GROUP BY ALL"),
-    "search_remap": (search("of {{lower->token}} that"), f"WITH {TOKENS}, c AS ({both('of', 'that')}) {MINIMAL}"),
-    "page_at_offset": (page_of(12, 20), f"WITH {ORDERED}, k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 20 AS page FROM n), g AS (SELECT *, coalesce(sum(n) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k WHERE page > 0) SELECT m.doc_id, l, r FROM m JOIN g USING (doc_id) WHERE before < 12"),
-    "page_without_budget": (page_of(-1), f"WITH {ORDERED} SELECT doc_id, l, r FROM m WHERE doc_id IN (SELECT doc_id FROM n ORDER BY doc_id LIMIT 15)"),
+    "search_remap": (search("of {{token->lower}} That"), f"WITH {TOKENS}, w AS (SELECT doc_id, pos, lower FROM t WHERE lower = 'of' OR token = 'That'), n AS (SELECT *, lead(pos) OVER o AS r, lead(lower) OVER o AS other FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos AS l, r FROM n WHERE lower <> other"),
+    "search_holding": (search("(of < that) > the"), f"WITH {ORDERED} SELECT doc_id, l, r FROM m WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.doc_id AND lower = 'the' AND pos BETWEEN m.l AND m.r)"),
+    "search_inside": (search("the @ (of < that)"), f"WITH {ORDERED} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'the' AND EXISTS (SELECT 1 FROM m WHERE m.doc_id = t.doc_id AND pos BETWEEN m.l AND m.r)"),
+    "search_gap": (search('"of .1-3. that"'), f"WITH {TOKENS}, c AS (SELECT x.doc_id, max(x.pos) AS l, y.pos AS r FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.lower = 'of' AND y.lower = 'that' AND y.pos - x.pos BETWEEN 2 AND 4 GROUP BY x.doc_id, y.pos) {MINIMAL}"),
+    "search_rare_first": (search("(hewh of)~20"), f"WITH {TOKENS}, c AS ({both('hewh', 'of')}), a AS ({MINIMAL}) SELECT doc_id, l, r FROM a WHERE r - l + 1 <= 20"),
+    "page_at_offset": (page_at(12, 20), f"WITH {ORDERED}, k AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 20 AS page FROM n), g AS (SELECT *, coalesce(sum(n) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k WHERE page > 0) SELECT m.doc_id, l, r FROM m JOIN g USING (doc_id) WHERE before < 12"),
+    "page_without_budget": (page_at(-1), f"WITH {ORDERED} SELECT doc_id, l, r FROM m WHERE doc_id IN (SELECT doc_id FROM n ORDER BY doc_id LIMIT 15)"),
     "two_collections": (two_collections, f"WITH {ORDERED}, k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id % 2 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS thread, CAST(n AS INTEGER) AS n FROM k WHERE before < 10"),
     "scalar_expression": (expression, f"SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, sql) in EXPRESSIONS.items())} FROM documents"),
 }
 _ALL["index_stored_terms"] = (stored_terms, _ALL["index_terms"][1])
+_ALL["index_batched_terms"] = (batched_terms, _ALL["index_terms"][1])
+_ALL["search_batches"] = (search('"of the"', batched), _ALL["search_phrase"][1])
 QUERIES = {name: q for name, (q, _) in _ALL.items()} | annotated.QUERIES
 ORACLE = {name: sql for name, (_, sql) in _ALL.items()} | annotated.ORACLE

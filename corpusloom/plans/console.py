@@ -9,12 +9,13 @@ import time
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote_plus
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import CODES, DYE
 from corpusloom.functions.sexpr import compile_expression
-from corpusloom.operators.index import StoredIndex, write_index
+from corpusloom.operators.index import StoredIndex, is_index, write_index
 from corpusloom.plans.service import ask
 from corpusloom.plans.settings import Settings, read_cursor, read_settings, write_cursor, write_settings
 from corpusloom.sources.tokens import vertical_documents, vertical_lines, vertical_tokens
@@ -64,7 +65,7 @@ def load_collections(spark: SparkSession, root: str) -> dict[str, tuple[StoredIn
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     places = [folder(root), *(x.getPath() for x in files.listStatus(folder(root)) if x.isDirectory())]
-    there = [p for p in places if files.exists(folder(p, "manifest/_SUCCESS"))]
+    there = [p for p in places if is_index(spark, p.toString())]
     return {p.getName(): (StoredIndex(spark, p.toString()), spark.read.parquet(f"{p.toString()}/about")) for p in there}
 
 
@@ -107,19 +108,23 @@ def main(argv: list[str] | None = None) -> None:
     if said.command == "index":
         index_collection(spark, said.source, said.target, read_settings(said.settings) if said.settings else None)
     elif said.command == "lisp":
-        for line in sys.stdin:
+        for line in filter(str.strip, sys.stdin):
             print(evaluated(spark, line))
     else:
         collections = load_collections(spark, said.root)
         request = {"snippets": said.snippets, "style": said.style, "constraint": said.constraint}
         with open(said.input, encoding="utf-8") if said.input else sys.stdin as lines:
-            for line in lines:
-                if said.cursor:
-                    answer = ask(collections, request | {"query": line.strip(), "cursor": read_cursor(said.cursor)})
-                    write_cursor(said.cursor, answer.get("cursor", {}))
-                    print(*printed(answer, style=said.style), sep="\n")
-                elif line.strip():
-                    print(*answered(collections, line.strip(), request), sep="\n")
+            for line in filter(str.strip, lines):
+                try:
+                    if said.cursor:
+                        answer = ask(collections, request | {"query": line.strip(), "cursor": read_cursor(said.cursor)})
+                        if not answer["error"]:
+                            write_cursor(said.cursor, answer.get("cursor", {}))
+                        print(*printed(answer, style=said.style), sep="\n")
+                    else:
+                        print(*answered(collections, line.strip(), request), sep="\n")
+                except PySparkException as e:  # a line that Spark refuses doesn't end the session
+                    print(f"error: {e}")
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import socket
 import time
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import FIELDS, MAPPING
 from corpusloom.operators.constraints import constrained
 from corpusloom.operators.index import StoredIndex, TokenTable
-from corpusloom.operators.snippets import budget, next_cursor, page, paragraphs, plain_snippets, rendered
-from corpusloom.plans.query import Searcher
+from corpusloom.operators.snippets import budget, next_cursor, page, page_by_ranges, paragraphs, plain_snippets, rendered
+from corpusloom.plans.query import Searcher, needed, parse
 
 STYLES = ("html", "raw", "ascii")
 Source = TokenTable | StoredIndex
@@ -25,14 +26,23 @@ def allowed_fields() -> list[str]:
     return [*FIELDS, *(f"{tag}.{name}" for tag in MAPPING for name in MAPPING[tag])]
 
 
-def matches(tokens: DataFrame | Source, request: dict, multi: bool = False) -> DataFrame:
-    """All intervals of a request's query that meet its constraint."""
-    source = as_source(tokens, multi)
+def matches(source: Source, request: dict, field: str = "token") -> DataFrame:
+    """(part, doc_id, l, r) of all intervals of a request's query that meet its constraint."""
     s = Searcher(source)
-    found = s.search(request["query"])
     if request.get("constraint"):
-        found = constrained(found, s.labelled(request["query"]), source.tokens, request["constraint"])
-    return found
+        return constrained(s.matches(request["query"], field, marks=True), source, request["constraint"])
+    return s.matches(request["query"], field)
+
+
+def page_of(source: Source, request: dict, field: str = "token") -> tuple[DataFrame, Source]:
+    """The intervals of a request's page of documents, and a view of the source that has these alone, if it is stored."""
+    snippets, offset = int(request.get("snippets", 0)), int(request.get("offset", 0))
+    if not isinstance(source, StoredIndex):
+        return page(matches(source, request, field), snippets, offset), source
+    groups = needed(parse(request["query"], field))
+    counts = iter(source.frequency([w for g in groups for w in g]))
+    expected = min((sum(next(counts) for _ in g) for g in groups), default=source.size)
+    return page_by_ranges(source, lambda view: matches(view, request, field), expected, snippets, offset)
 
 
 def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False, thread: str = "0") -> DataFrame:
@@ -41,15 +51,14 @@ def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, mult
     """
     source = as_source(tokens, multi)
     style, field = request.get("style", "html").lower(), request.get("field", "token")
-    field = field if field in source.tokens.columns else "token"
-    found = page(matches(source, request), int(request.get("snippets", 0)), int(request.get("offset", 0)))
+    field = field if field in source.columns else "token"
+    found, source = page_of(source, request)
     wanted = request.get("format", {})
-    near = source.tokens.join(F.broadcast(found.select("doc_id").distinct()), "doc_id", "left_semi")
-    if set(FIELDS) <= set(source.tokens.columns):
+    if set(FIELDS) <= set(source.columns):
         attributes = wanted.get("attributes") or []
-        cut = rendered(found, near, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes, field=field)
+        cut = rendered(found, source, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes, field=field)
     else:
-        cut = plain_snippets(found, near, field=field)
+        cut = plain_snippets(found, source, field=field)
     data = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l", "snippet")))["snippet"].alias("data"))
     extra = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("title", "uri")]
     return data.join(documents.select("doc_id", *extra), "doc_id").withColumn("thread", F.lit(thread))
@@ -80,28 +89,36 @@ def _shown(row) -> dict:
 def ask(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: dict, multi: bool = False) -> dict:
     """The answer of all collections to a request, asked again until there are as many snippets as wanted or no more.
 
-    Results come in order of collection and document, with counts by collection and the cursor of the next request; ``get`` and
-    ``allowedFields`` go to the collection that the request names as ``thread``, else to the first.
+    Results come in order of collection and document, with counts by collection, the cursor of the next request, how far each
+    collection has been read (``offset``), the time it took and the name of the machine that answered; an error is told instead of
+    raised. ``get`` and ``allowedFields`` go to the collection that the request names as ``thread``, else to the first.
     """
     if "get" in request or "allowedFields" in request:
         return respond(*collections[request.get("thread", min(collections))], request, multi)
+    began = time.time_ns()
+    about = {"hostname": socket.gethostname(), "expectedSnippets": int(request.get("snippets", 0))}
     results, received, wanted = [], dict.fromkeys(sorted(collections), 0), int(request.get("snippets", 0))
     cursor = request.get("cursor") or dict.fromkeys(sorted(collections), int(request.get("offset", 0)))
-    while True:
-        left = wanted - sum(received.values())
-        rows = search_all(collections, request | {"cursor": cursor, "snippets": left}, multi).orderBy("thread", "doc_id").collect()
-        got, documents = dict.fromkeys(cursor, 0), dict.fromkeys(cursor, 0)
-        for r in rows:
-            got[r.thread] += len(r["data"])
-            documents[r.thread] += 1
-            results.append(_shown(r))
-        received = {k: n + got.get(k, 0) for k, n in received.items()}
-        quota = dict.fromkeys(cursor, max(1, budget(left, len(cursor))))
-        cursor = next_cursor(cursor, documents, quota, got)
-        if not cursor or not rows or sum(received.values()) >= wanted:
-            break
+    offset = dict(cursor)
+    try:
+        while True:
+            left = wanted - sum(received.values())
+            rows = search_all(collections, request | {"cursor": cursor, "snippets": left}, multi).orderBy("thread", "doc_id").collect()
+            got, documents = dict.fromkeys(cursor, 0), dict.fromkeys(cursor, 0)
+            for r in rows:
+                got[r.thread] += len(r["data"])
+                documents[r.thread] += 1
+                results.append(_shown(r))
+            received = {k: n + got.get(k, 0) for k, n in received.items()}
+            offset = {k: n + documents.get(k, 0) for k, n in offset.items()}
+            quota = dict.fromkeys(cursor, max(1, budget(left, len(cursor))))
+            cursor = next_cursor(cursor, documents, quota, got)
+            if not cursor or not rows or sum(received.values()) >= wanted:
+                break
+    except ValueError as e:
+        return {"results": [], "received": received, "total": "0", "documents": "0", "cursor": {}, "offset": offset, "time": str(time.time_ns() - began), "error": "query", "errorMessage": str(e)} | about
     results.sort(key=lambda r: (r["thread"], int(r["doc"])))
-    return {"results": results, "received": received, "total": str(sum(received.values())), "documents": str(len(results)), "cursor": cursor, "error": ""}
+    return {"results": results, "received": received, "total": str(sum(received.values())), "documents": str(len(results)), "cursor": cursor, "offset": offset, "time": str(time.time_ns() - began), "error": ""} | about
 
 
 def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False) -> dict:
@@ -113,13 +130,13 @@ def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, mul
     try:
         source = as_source(tokens, multi)
         if "get" in request:
-            rows = paragraphs(source.tokens, int(request["get"])).orderBy("par_no").collect()
+            rows = paragraphs(source.tokens_of([int(request["get"])])).orderBy("par_no").collect()
             about = documents.where(F.col("doc_id") == int(request["get"])).first()
             told = {k: about[k] if about and k in documents.columns else None for k in ("title", "uri")}
             return {"results": [{"data": [r.snippet for r in rows], "doc": str(request["get"]), **told}], "time": str(time.time_ns() - began), "error": ""}
         if "allowedFields" in request:
             return {"allowed": allowed_fields(), "error": ""}
         results = [_shown(r) for r in search(source, documents, request).orderBy("doc_id").collect()]
-        return {"results": results, "total": str(sum(len(r["data"]) for r in results)), "documents": str(len(results)), "offset": int(request.get("offset", 0)) + len(results), "expectedSnippets": int(request.get("snippets", 0)), "time": str(time.time_ns() - began), "error": ""}
+        return {"results": results, "total": str(sum(len(r["data"]) for r in results)), "documents": str(len(results)), "offset": int(request.get("offset", 0)) + len(results), "expectedSnippets": int(request.get("snippets", 0)), "time": str(time.time_ns() - began), "hostname": socket.gethostname(), "error": ""}
     except ValueError as e:
         return {"results": [], "error": "query", "errorMessage": str(e), "time": str(time.time_ns() - began)}

@@ -16,6 +16,16 @@ def plain_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("pos", "token")).withColumn("lower", F.lower("token"))
 
 
+def plain_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, token, lower, sen_no): the same as one row a document with arrays by position; a sentence ends at a token with a full stop."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = docs.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("token"))
+    ends = F.filter(F.transform("token", lambda w, i: F.when(w.endswith("."), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("ends", F.array_distinct(F.concat(ends, F.when(F.size("token") > 0, F.array(F.size("token") - 1)).otherwise(F.array().cast("array<int>")))))
+    sizes = F.transform("ends", lambda e, k: F.array_repeat(k.cast("long"), e - F.coalesce(F.get("ends", k - 1), F.lit(-1))))
+    return rows.select("doc_id", "token", F.transform("token", F.lower).alias("lower"), F.flatten(sizes).alias("sen_no"))
+
+
 def with_sentences(tokens: DataFrame) -> DataFrame:
     """Adds sen_no: sentences end at a token with a full stop."""
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -37,6 +37,10 @@ def frame(spark, rows):
     return spark.createDataFrame(sorted(rows), "doc_id long, l int, r int")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def got(df):
     return {tuple(r) for r in df.select("doc_id", "l", "r").collect()}
 
@@ -112,15 +116,16 @@ def test_search_render_and_constrain(spark, vertical):
     assert got(s.search("(Hill Rome) - _SENT_")) == set()
     assert got(s.search("(Hill saw) - _SENT_")) == {(0, 4, 5)}
     query = "1:nertag:person 2:nertag:location"
-    found = s.search(query)
-    assert got(constrained(found, s.labelled(query), tokens, "1.nerid != 2.nerid and 1.person.profession = actor")) == {(0, 4, 7)}
-    assert got(constrained(found, s.labelled(query), tokens, "1.nerlength <= 1")) == set()
-    html = snippets.rendered(found, tokens, 2).first().snippet
+    found, source = s.search(query), s.source
+    marked = s.matches(query, marks=True)
+    assert got(constrained(marked, source, "1.nerid != 2.nerid and 1.person.profession = actor")) == {(0, 4, 7)}
+    assert got(constrained(marked, source, "1.nerlength <= 1")) == set()
+    html = snippets.rendered(found, source, 2).first().snippet
     assert ">Howard Hill</a>" in html and 'data-gender="male"' in html and 'data-profession="archer, actor"' in html
-    assert snippets.rendered(found, tokens, 0, "ascii", {"person": ["gender"]}).first().snippet.startswith('\x1b[34m<person gender="male">Hill</person>\x1b[0m')
-    shown = snippets.rendered(found, tokens, 2, "raw", {"person": ["lemma", "nertag"]}, ["param2"], "lower").first().snippet
+    assert snippets.rendered(found, source, 0, "ascii", {"person": ["gender"]}).first().snippet.startswith('\x1b[34m<person gender="male">Hill</person>\x1b[0m')
+    shown = snippets.rendered(found, source, 2, "raw", {"person": ["lemma", "nertag"]}, ["param2"], "lower").first().snippet
     assert '<person lemma="how hill" nertag="person"><field name="">howard</field> <field name="Howard_Hill">hill</field></person>' in shown and '<field param2="">saw</field>' in shown
-    assert "<person" in snippets.rendered(found, tokens, 2, "raw", {"person": ["name"]}).first().snippet
+    assert "<person" in snippets.rendered(found, source, 2, "raw", {"person": ["name"]}).first().snippet
     documents = T.vertical_documents(vertical)
     out = respond(tokens, documents, {"query": "rome | Rome", "snippets": 5}, True)
     assert out["documents"] == "2" and out["results"][0]["title"] == "A title"
@@ -149,9 +154,8 @@ def test_sentences_paragraphs_and_long_intervals(spark):
     found = got(s.search("a < b"))
     assert got(s.search("(a < b) - _SENT_")) == {x for x in found if part[x[0], x[1]] == part[x[0], x[2]]}
     assert got(s.search("(a < b) - _PAR_")) == {x for x in found if part[x[0], x[1]] // 2 == part[x[0], x[2]] // 2}
-    long = spark.createDataFrame([(d, 0, 89) for d in range(20)], "doc_id long, l int, r int")
-    labels = tokens.where("token = 'a'").selectExpr("doc_id", "pos", "1 label")
-    assert constrained(long, labels, tokens, "1.token = a").count() == len({d for d, _, t, _ in rows if t == "a"})
+    long = spark.createDataFrame([(0, d, 0, 89, [(1, p) for x, p, t, _ in rows if x == d and t == "a"]) for d in range(20)], "part int, doc_id long, l int, r int, marks array<struct<label:int,pos:int>>")
+    assert constrained(long, s.source, "1.token = a").count() == len({d for d, _, t, _ in rows if t == "a"})
 
 
 def test_constraint_semantics(spark):
@@ -186,18 +190,19 @@ def test_expressions(spark):
 
 def test_index_and_pages(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a|c."), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
-    tokens = T.plain_tokens(docs)
-    assert {r.term: (r.df, r.cf, r.max_count) for r in index.term_stats(tokens, "lower").collect()} == {"a": (1, 2, 2), "b": (2, 2, 1), "c.": (1, 1, 1)}
-    assert index.index_totals(tokens, docs, "lower").first().documents == 4
-    index.write_index(tokens, str(tmp_path / "index"), ["token", "lower"])
-    stored = index.StoredIndex(spark, str(tmp_path / "index"))
-    assert stored.postings.where("field = 'lower' and term = 'b'").count() == 2 and stored.terms.where("field = 'lower' and term = 'a'").first().df == 1
+    documents = T.plain_documents(docs)
+    assert {r.term: (r.df, r.cf, r.max_count) for r in index.term_stats(documents, "lower").collect()} == {"a": (1, 2, 2), "b": (2, 2, 1), "c.": (1, 1, 1)}
+    assert index.index_totals(documents, docs, "lower").first().documents == 4
+    path = str(tmp_path / "index")
+    index.write_index(documents, path, ["token", "lower"])
+    stored = index.StoredIndex(spark, path)
+    assert stored.blocks(F.expr("field = 'lower' and term = 'b'")).selectExpr("explode(docs)").count() == 2 and stored.terms.where("field = 'lower' and term = 'a'").first().df == 1
     assert got(Searcher(stored).search("c.", "lower")) == {(1, 2, 2)} and got(Searcher(stored).search('"a b a"', "lower")) == {(1, 0, 2)}
-    plan = stored.any_hits([("lower", "b", False)])._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^]]*field", plan) and "EqualTo(term,b)" in plan
-    spark.range(1).selectExpr("9 documents", "'token,lower' fields").write.mode("overwrite").parquet(str(tmp_path / "index/manifest"))
+    plan = plan_of(stored.any_hits([("lower", "b", False)]))
+    assert "EqualTo(field,lower)" in plan and "EqualTo(term,b)" in plan
+    spark.read.parquet(f"{path}/manifest/1").withColumn("documents", F.lit(9).cast("long")).write.parquet(f"{path}/manifest/2")
     with pytest.raises(ValueError):
-        index.StoredIndex(spark, str(tmp_path / "index"))
+        index.StoredIndex(spark, path)
     assert [snippets.page_size(n) for n in (-1, 0, 5, 99, 100, 1000)] == [15, 15, 1, 1, 10, 100]
     found = spark.createDataFrame([(d, k, k) for d in range(50) for k in range(3)], "doc_id long, l int, r int")
     assert snippets.page(found, 100).select("doc_id").distinct().count() == 40
