@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from corpusloom.operators.blocks import BLOCK_SQL, KEY, PARTS, block_rows, docum
 #: Documents in a bucket, about; and the least and most buckets of a table.
 BUCKET_DOCUMENTS, BUCKETS = 250_000, (8, 100_000)
 #: A part has 2**bits consecutive numbers of documents: as many as give a small collection enough parts, 4096 at most.
-LEAST_PARTS, MOST_BITS = 256, 12
+LEAST_PARTS, MOST_BITS = 64, 12
 Wanted = list[tuple[str, str, bool]]
+Make = Callable[[DataFrame], DataFrame] | None
 
 
 def _single(documents: DataFrame, field: str) -> DataFrame:
@@ -109,18 +111,21 @@ def _as_documents(rows: DataFrame) -> DataFrame:
     return with_mentions(documents) if {"nerid", "nertag", "nerlength"} <= set(documents.columns) else documents
 
 
-def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str], bits: int, buckets: int) -> dict:
-    spark, documents = rows.sparkSession, _as_documents(rows)
+def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str], bits: int, buckets: int, make: Make) -> dict:
+    """Texts are shuffled into their buckets as they are and made into arrays there; arrays are shuffled once more for the blocks."""
+    spark = rows.sparkSession
+    documents = _as_documents(make(rows.where("doc_id is not null").repartition(buckets, "doc_id")) if make else rows)
     columns = [c for c in documents.columns if c not in ("doc_id", "mention", "entity")]
     documents = documents.withColumns({"part": F.shiftright("doc_id", bits), "size": F.size(columns[0])})
-    _put(documents.repartition(buckets, "doc_id"), path, segment, "documents", buckets, "doc_id", "doc_id")
+    _put(documents if make else documents.repartition(buckets, "doc_id"), path, segment, "documents", buckets, "doc_id", "doc_id")
     stored = spark.read.parquet(f"{path}/{segment}/documents").select("doc_id", "part", *fields, *[c for c in PARTS.values() if c in columns])
     blocks = block_rows(stored.repartition(buckets, "part").sortWithinPartitions("part", "doc_id"), fields)
     return _write_rest(spark, path, segment, blocks, {"buckets": buckets, "bits": bits, "fields": ",".join(fields), "columns": ",".join(columns)})
 
 
-def write_index(rows: DataFrame, path: str, fields: list[str], documents: int | None = None) -> None:
-    """An index as Parquet tables under ``path``, of token rows (doc_id, pos, ...) or documents as arrays (doc_id, ...).
+def write_index(rows: DataFrame, path: str, fields: list[str], documents: int | None = None, make: Make = None) -> None:
+    """An index as Parquet tables under ``path``, of token rows (doc_id, pos, ...), documents as arrays (doc_id, ...), or rows
+    (doc_id, ...) of which ``make`` makes such documents row by row.
 
     A segment has ``documents``, one row each with an array by position for every column, bucketed and sorted by doc_id;
     ``postings``, a block for each field, term and part (a range of documents), bucketed by part and sorted by field, term
@@ -131,15 +136,15 @@ def write_index(rows: DataFrame, path: str, fields: list[str], documents: int |
     n = rows.select("doc_id").distinct().count() if documents is None else documents
     bits = min(MOST_BITS, max(0, (n // LEAST_PARTS).bit_length() - 1))
     buckets = min(BUCKETS[1], max(BUCKETS[0], n // BUCKET_DOCUMENTS))
-    _write_manifest(rows.sparkSession, path, [_write_segment(rows, path, 1, fields, bits, buckets)])
+    _write_manifest(rows.sparkSession, path, [_write_segment(rows, path, 1, fields, bits, buckets, make)])
 
 
-def append_documents(rows: DataFrame, path: str) -> None:
+def append_documents(rows: DataFrame, path: str, make: Make = None) -> None:
     """Adds documents that the index doesn't have yet as a segment of its own; what is there is neither read nor written."""
     spark = rows.sparkSession
     there = [r.asDict() for r in _manifest(spark, path)]
     fields, bits = there[0]["fields"].split(","), there[0]["bits"]
-    new = _write_segment(rows, path, max(s["segment"] for s in there) + 1, fields, bits, there[0]["buckets"])
+    new = _write_segment(rows, path, max(s["segment"] for s in there) + 1, fields, bits, there[0]["buckets"], make)
     _write_manifest(spark, path, [*there, new])
 
 
@@ -224,15 +229,17 @@ class StoredIndex:
         return reduce(DataFrame.unionByName, [self._limited(t["postings"].where(test), False) for t in self.tables])
 
     def hits(self, wanted: Wanted) -> DataFrame:
-        """(part, doc_id, pos, k) for each k-th wanted (field, word, by prefix): one scan, of their fields and ranges of terms alone."""
+        """(part, doc_id, pos, k) for each k-th wanted (field, word, by prefix): one scan, of their fields and ranges of terms alone.
+
+        A place is told twice if two of its alternatives are wanted by one prefix.
+        """
         tests = [(F.col("field") == f) & (F.col("term").startswith(w) if prefix else F.col("term") == w) for f, w, prefix in wanted]
         words = reduce(Column.__or__, [F.col("term").startswith(w) if prefix else F.col("term") == w for _, w, prefix in wanted])
         rows = self.blocks(F.col("field").isin(*{f for f, _, _ in wanted}) & words & reduce(Column.__or__, tests))
         which = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
         rows = rows.select("part", "docs", "positions", F.explode(which).alias("k")).select("part", F.explode(F.arrays_zip("docs", "positions")).alias("p"), "k")
         rows = rows.select("part", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("positions"), "k")
-        out = reduce(DataFrame.where, self.only_docs, rows).select(*KEY, F.explode("positions").alias("pos"), "k")
-        return out.distinct() if any(prefix for _, _, prefix in wanted) else out
+        return reduce(DataFrame.where, self.only_docs, rows).select(*KEY, F.explode("positions").alias("pos"), "k")
 
     def any_hits(self, wanted: Wanted) -> DataFrame:
         """(part, doc_id, pos) of any of the wanted."""

@@ -38,9 +38,8 @@ def tagged(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*COLUMNS, *marked(p), F.lit(i).alias("k")) for i, p in enumerate(own)])
 
 
-def upto(by: str, before: bool = False) -> WindowSpec:
-    w = Window.partitionBy(*KEY).orderBy(by)
-    return w.rowsBetween(Window.unboundedPreceding, -1) if before else w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+def upto(by: str) -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _left(df: DataFrame) -> Column:
@@ -53,10 +52,11 @@ def _joined(*structs: Column) -> Column:
 
 
 def antichain(a: DataFrame) -> DataFrame:
-    """Intervals that contain no other."""
+    """Intervals that contain no other: those that start after all that end before them, or with them and come first."""
     a = keyed(a)
-    best = a.groupBy(*KEY, "r").agg(F.max(_left(a)).alias("best")).withColumn("m", F.max("best.l").over(upto("r", before=True)))
-    return best.where("m is null or best.l > m").select(*KEY, F.col("best.l").alias("l"), "r", *[F.col("best.marks").alias("marks") for _ in marked(a)])
+    order = [F.col("r"), F.col("l").desc(), *[F.col(c).desc() for c in marked(a)]]
+    before = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return a.withColumn("m", F.max("l").over(before)).where("m is null or l > m").select(*COLUMNS, *marked(a))
 
 
 def points(hits: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def stored(spark, sf_dir) -> StoredIndex:
     """The index over ``documents``, written where it isn't yet."""
     path = place(spark, sf_dir, "index")
     if not is_index(spark, path):
-        write_index(plain_documents(docs(spark, sf_dir)), path, ["token", "lower"], docs(spark, sf_dir).count())
+        write_index(docs(spark, sf_dir), path, ["token", "lower"], docs(spark, sf_dir).count(), plain_documents)
     return opened(spark, path)
 
 
@@ -52,8 +52,8 @@ def batched(spark, sf_dir) -> StoredIndex:
     """An index over ``documents`` in two batches: those of all languages but one, then the rest."""
     path, late = place(spark, sf_dir, "batches"), F.coalesce(F.col("lang") == "de", F.lit(False))
     if not is_index(spark, path):
-        write_index(plain_documents(docs(spark, sf_dir).where(~late)), path, ["token", "lower"], docs(spark, sf_dir).count())
-        append_documents(plain_documents(docs(spark, sf_dir).where(late)), path)
+        write_index(docs(spark, sf_dir).where(~late), path, ["token", "lower"], docs(spark, sf_dir).count(), plain_documents)
+        append_documents(docs(spark, sf_dir).where(late), path, plain_documents)
     return opened(spark, path)
 
 

@@ -230,8 +230,10 @@ class Searcher:
         own = I.no_marks() if node.label is None else F.array(F.struct(F.lit(node.label).alias("label"), F.col("r").cast("int").alias("pos")))
         return df.withColumn("marks", F.concat("marks", own) if I.marked(df) else own)
 
-    def operands(self, parts: list[Node], marks: bool) -> DataFrame:
-        """The intervals of several operands, numbered by k: those of one word or a choice of words come from one scan."""
+    def operands(self, parts: list[Node], marks: bool, once: bool = False) -> DataFrame:
+        """The intervals of several operands, numbered by k: those of one word or a choice of words come from one scan; if asked
+        for, each of the first operand's once.
+        """
         single = {i: atoms for i, p in enumerate(parts) if (atoms := self._single(p, marks)) is not None}
         rest = {i: self.plan(p, marks) for i, p in enumerate(parts) if i not in single}
         found = []
@@ -243,6 +245,8 @@ class Searcher:
                 own = [F.when(F.col("k") == i, F.array(F.struct(F.lit(parts[i].label).alias("label"), F.col("r").cast("int").alias("pos")))) for i in single if parts[i].label is not None]
                 rows = rows.withColumn("marks", F.coalesce(*own, I.no_marks()) if own else I.no_marks())
             found.append(rows)
+            if once and 0 in single and (len(single[0]) > 1 or single[0][0].kind == "prefix"):
+                found[0] = rows.distinct()
         for i, df in rest.items():
             found.append(df.withColumn("k", F.lit(i)))
         out = found[0]
@@ -273,7 +277,7 @@ class Searcher:
                 return I.all_tagged(self.operands(own, marks), len(own))
             if len(own) > 1:
                 own = [Node("and", own)]
-            return I.without(self.operands([*own, *gone], marks))
+            return I.without(self.operands([*own, *gone], marks, once=True))
         if node.kind == "not":
             out = I.absent(self.source.documents, self.plan(parts[0]))
             return out.select(*KEY, F.lit(None).cast("int").alias("l"), F.lit(None).cast("int").alias("r"))
@@ -291,7 +295,7 @@ class Searcher:
             if node.kind != "difference" and parts[1].kind == "bound":
                 raise QueryError(f"{parts[1].value} stands after - alone")
             made = {"holding": I.holding_tagged, "inside": I.inside_tagged, "difference": I.unbroken_tagged if parts[1].kind == "bound" else I.difference_tagged}
-            return made[node.kind](self.operands(parts, marks))
+            return made[node.kind](self.operands(parts, marks, once=True))
         raise QueryError(f"{node.kind} can't stand alone")
 
     def led(self, node: Node) -> Searcher:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +21,24 @@ def plain_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("pos", "token")).withColumn("lower", F.lower("token"))
 
 
+def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and their lower case as arrays of words, which ASCII white space divides, with the number of each word's sentence."""
+    for batch in it:
+        cells = [[(t or b"").split() for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text", "lower")]
+        arrays = [pa.array(x, pa.list_(pa.binary())).cast(pa.list_(pa.string())) for x in cells]
+        size = pc.list_value_length(arrays[0]).to_numpy().astype(np.int64)
+        ends = pc.ends_with(pc.list_flatten(arrays[0]), ".").to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(ends)))
+        first = np.cumsum(size) - size
+        numbers = before[:-1] - np.repeat(before[first], size)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int64()))], names=["doc_id", "token", "lower", "sen_no"])
+
+
 def plain_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, token, lower, sen_no): the same as one row a document with arrays by position; a sentence ends at a token with a full stop."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = docs.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("token"))
-    ends = F.filter(F.transform("token", lambda w, i: F.when(w.endswith("."), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("ends", F.array_distinct(F.concat(ends, F.when(F.size("token") > 0, F.array(F.size("token") - 1)).otherwise(F.array().cast("array<int>")))))
-    sizes = F.transform("ends", lambda e, k: F.array_repeat(k.cast("long"), e - F.coalesce(F.get("ends", k - 1), F.lit(-1))))
-    return rows.select("doc_id", "token", F.transform("token", F.lower).alias("lower"), F.flatten(sizes).alias("sen_no"))
+    rows = docs.select("doc_id", "text", F.lower("text").alias("lower"))
+    return rows.mapInArrow(_words, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, token array<string>, lower array<string>, sen_no array<long>")
 
 
 def with_sentences(tokens: DataFrame) -> DataFrame:
