@@ -7,6 +7,7 @@ once by the tokenizer and then looked up by a 64-bit hash. Any other text goes t
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -22,23 +23,56 @@ ODD = (b"\xc3\x97", b"\xc3\xb7", b"<|")
 ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
 SLOT_BITS = 21
 MAX_WORDS = 1_000_000
-#: A part has fewer distinct words than there are slots beyond MAX_WORDS, so that a free one is always found.
-PART_BYTES = 1 << 20
+#: Parts have this size, or are one pre-token. Pre-tokens of one byte are few and others have two, so a part has about half as many
+#: distinct words, fewer than there are slots beyond MAX_WORDS: a free one is always found.
+PART_BYTES, STEP = 1 << 20, 4096
+BETWEEN = re.compile(rb"[0-9A-Za-z][ \n][0-9A-Za-z]")
 
 
 def unusual(doc: bytes) -> bool:
     return bool(doc.translate(None, USUAL)) or any(x in doc for x in ODD)
 
 
-def at_spaces(doc: bytes) -> list[bytes]:
-    """A text in parts of PART_BYTES at most, cut before white space, which no pre-token holds; a longer run without it stays whole."""
+def last_end(part: bytes) -> int:
+    """The last place in a part, but its start and end, where a pre-token surely ends: between two classes or digits, not after an apostrophe; 0 if there is none."""
+    at = len(part)
+    while at > 1:
+        low = max(0, at - STEP)
+        kind = CLASSES[np.frombuffer(part[low:at].lower(), np.uint8)]
+        ends = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)) + 1
+        ends = [e for e in ends[-3:].tolist() if part[low + e - 1] != 0x27]
+        if ends:
+            return low + ends[-1]
+        at = low + 1
+    return 0
+
+
+def cut_up(doc: bytes) -> list[bytes]:
+    """A text in parts of PART_BYTES at most, cut where a pre-token ends; one that is longer itself stays whole."""
+    out, at = [], 0
+    while len(doc) - at > PART_BYTES:
+        size = PART_BYTES
+        while not (cut := last_end(doc[at : at + size])) and at + size < len(doc):
+            size *= 2
+        if not cut:
+            break
+        out.append(doc[at : at + cut])
+        at += cut
+    return [*out, doc[at:]]
+
+
+def cut_at_spaces(doc: bytes) -> list[bytes]:
+    """A text of any letters in parts, cut before a blank or new line between ASCII letters or digits, where nothing depends on the other side."""
     out, at = [], 0
     while len(doc) - at > PART_BYTES:
-        cut = max(doc.rfind(b" ", at + 1, at + PART_BYTES), doc.rfind(b"\n", at + 1, at + PART_BYTES))
-        if cut < 0:
-            cut = min((x for x in (doc.find(b" ", at + 1), doc.find(b"\n", at + 1)) if x > 0), default=len(doc))
-        out.append(doc[at:cut])
-        at = cut
+        found = None
+        for found in BETWEEN.finditer(doc, at + PART_BYTES // 2, at + PART_BYTES):  # noqa: B007
+            pass
+        found = found or BETWEEN.search(doc, at + PART_BYTES)
+        if not found:
+            break
+        out.append(doc[at : found.start() + 1])
+        at = found.start() + 1
     return [*out, doc[at:]]
 
 
@@ -122,10 +156,10 @@ class Encoder:
         odd = [i for i, d in enumerate(docs) if unusual(d)]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
         if odd:
-            for i, ids in zip(odd, self.whole([docs[i] for i in odd]), strict=True):
-                out[i] = ids
+            for i in odd:
+                out[i] = np.concatenate([ids for part in cut_at_spaces(docs[i]) for ids in self.whole([part])])
         skip = set(odd)
-        parts = [(i, p) for i, d in enumerate(docs) if i not in skip for p in at_spaces(d)]
+        parts = [(i, p) for i, d in enumerate(docs) if i not in skip for p in cut_up(d)]
         found: dict[int, list[np.ndarray]] = {}
         for a, b in slices([len(p) for _, p in parts], PART_BYTES):
             for (i, _), ids in zip(parts[a:b], self._encode([p for _, p in parts[a:b]]), strict=True):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, pack_row, slices, texts
+from corpusloom.llm.common import U64, Rolling, Scratch, batches, mix, pack_row, slices, texts, word_spans
 from corpusloom.llm.parsing import corpus_order
 
 LENGTH, GRAM = 400, 32
@@ -26,6 +26,9 @@ PIECE_BYTES = 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes as they are compared where case and the kind of white space don't count.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+IN_WORD = np.array([b != 32 for b in range(256)])
+#: Bytes that stand for a word where repeats are looked for by words.
+CODE = 4
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -85,17 +88,29 @@ def pieces(docs: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
             yield i, a, d[a : a + PIECE_BYTES + length - 1]
 
 
-def compared(column: pa.Array, fold: bool) -> list[bytes]:
-    """The bytes of each text that are compared; as many as it has."""
-    return [d.translate(FOLDED) for d in texts(column)] if fold else texts(column)
+def word_codes(doc: bytes) -> bytes:
+    """CODE bytes of a hash for each word, whatever its case, in parts of a text that end at white space."""
+    doc, out, at = doc.translate(FOLDED), [], 0
+    while at < len(doc):
+        stop = len(doc) if len(doc) - at <= PIECE_BYTES else doc.find(b" ", at + PIECE_BYTES)
+        part = np.frombuffer(doc[at : stop if stop >= 0 else len(doc)], np.uint8)
+        out.append(Rolling(part).spans(*word_spans(part, IN_WORD)).astype("<u4").tobytes())
+        at += len(part)
+    return b"".join(out)
 
 
-def _parse(length: int, gram: int, fold: bool):
+def compared(column: pa.Array, mode: str) -> list[bytes]:
+    """The bytes of each text that are compared: its own, ``fold`` as many as it has with case and white space alike, ``words`` codes of its words."""
+    change = {"bytes": lambda d: d, "fold": lambda d: d.translate(FOLDED), "words": word_codes}[mode]
+    return [change(d) for d in texts(column)]
+
+
+def _parse(length: int, gram: int, mode: str):
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *((c, pa.int64()) for c in ("start", "count", "at", "trigger", "right", "left", "c1", "c2"))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            parts = list(pieces(compared(batch.column(2), fold), length))
+            parts = list(pieces(compared(batch.column(2), mode), length))
             for a, b in slices([len(x[2]) for x in parts]):
                 found = phrases([x[2] for x in parts[a:b]], length, gram)
                 if found and len(found["doc"]):
@@ -111,14 +126,14 @@ PHRASE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int6
 PHRASE_KIND = "doc_id long, h long, start long, at long, key long, weight long, members long, context binary"
 
 
-def _contexts(length: int, gram: int, fold: bool):
+def _contexts(length: int, gram: int, mode: str):
     """Bytes of a document's phrases in question, as far as the strings go that have their trigger in the half in question."""
     half = half_width(length, gram)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for name, h, doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), compared(batch.column("text"), fold), batch.column("phrases").to_pylist(), strict=True):
+            for name, h, doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), compared(batch.column("text"), mode), batch.column("phrases").to_pylist(), strict=True):
                 for r in found:
                     first, last = r["start"], r["start"] + r["count"] - 1
                     middle = first + r["at"]
@@ -217,7 +232,33 @@ def _split(length: int, gram: int, width: int):
     return run, PHRASE_KIND + ", c1 long, c2 long"
 
 
-def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int):
+def merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs."""
+    start = stop = -1
+    for a, b in sorted(spans):
+        if a > stop:
+            if stop > start:
+                yield start, stop
+            start, stop = a, b
+        else:
+            stop = max(stop, b)
+    if stop > start:
+        yield start, stop
+
+
+def runs(doc: bytes, spans: list[tuple[int, int]], least_words: int, by_words: bool) -> Iterator[tuple[int, int]]:
+    """Byte runs of a text to remove: those of ``least_words`` words; spans by words are counted in bytes of codes."""
+    words = [m.span() for m in WORD.finditer(doc)] if by_words and spans else []
+    for a, b in merged(spans):
+        if by_words:
+            first, last = -(-a // CODE), b // CODE
+            if last - first >= max(1, least_words):
+                yield words[first][0], words[last - 1][1]
+        elif not least_words or sum(1 for _ in WORD.finditer(doc, a, b)) >= least_words:
+            yield a, b
+
+
+def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int, by_words: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema([*fields, *[("kept", pa.string())] * keep_text, *([("row", carry)] if carry else [])])
 
@@ -226,15 +267,9 @@ def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int):
             rows = []
             for name, doc, spans in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 kept, at, removed, n = [], 0, 0, 0
-                open_from = open_to = -1
-                for a, b in [*sorted((s["start"], s["stop"]) for s in spans or []), (len(doc) + 1, 0)]:
-                    if a > open_to:
-                        if open_to > open_from and (not least_words or sum(1 for _ in WORD.finditer(doc, open_from, open_to)) >= least_words):
-                            kept.append(doc[at:open_from])
-                            at, removed, n = open_to, removed + open_to - open_from, n + 1
-                        open_from, open_to = a, b
-                    else:
-                        open_to = max(open_to, b)
+                for a, b in runs(doc, [(s["start"], s["stop"]) for s in spans or []], least_words, by_words):
+                    kept.append(doc[at:a])
+                    at, removed, n = b, removed + b - a, n + 1
                 rest = b"".join([*kept, doc[at:]])
                 row = (name, len(doc), removed, n, hashlib.sha256(rest).hexdigest())
                 rows.append((*row, rest.decode("utf-8", "ignore")) if keep_text else row)
@@ -244,10 +279,11 @@ def _cut(keep_text: bool, carry: pa.DataType | None, least_words: int):
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, group: int = GROUP, fold: bool = False) -> DataFrame:
+def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, length: int, gram: int, group: int = GROUP, mode: str = "bytes") -> DataFrame:
     """(doc_id, h, spans) of strings that occur again; spans (start, stop) may overlap. h is the hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= length)
-    fn, kind = _parse(length, gram, fold)
+    least = 2 * (length // CODE) - 1 if mode == "words" else length
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= least)
+    fn, kind = _parse(length, gram, mode)
     parse = scratch.put(rows.mapInArrow(fn, kind))
     name = ["trigger", "c1", "c2"]
     dictionary = scratch.put(parse.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "start", "count", "at", "right", "left")).alias("first")))
@@ -256,7 +292,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     sides = scratch.put(dictionary.join(mixed, "trigger").select(F.least("n", F.lit(2)).alias("weight"), "first.doc_id", "first.h", "first.start", "first.count", "first.at", halves).select("*", "half.*").drop("half").where("key <> 0"))
     shared = sides.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     apart = sides.join(shared, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count", "at", "key", "second", "weight", "members")).alias("phrases"))
-    fn, kind = _contexts(length, gram, fold)
+    fn, kind = _contexts(length, gram, mode)
     own = rows.join(apart.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "text", "phrases")
     contexts, found, same = scratch.put(own.mapInArrow(fn, kind)), [], ["key", "c1", "c2"]
     order, shape = _ordered(length)
@@ -281,13 +317,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, lengt
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: bool = False, least_words: int = 0, group: int = GROUP, fold: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: bool = False, least_words: int = 0, group: int = GROUP, fold: bool = False, by_words: bool = False) -> DataFrame:
     """One row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining text as ``kept`` and
     the whole row of ``docs`` as a struct ``row``, if asked for).
 
     Removed is each byte that a string of ``length`` bytes covers which also starts anywhere else, the same document
     included; with ``least_words``, only maximal runs of such bytes that touch so many words; with ``fold``, A-Z equal a-z
-    and white space of any kind is alike.
+    and white space of any kind is alike. With ``by_words`` repeats are runs of ``least_words`` words, whatever their length,
+    case and white space: words are compared by CODE bytes of a hash each, and a string of ``length`` bytes is one of so many codes.
 
     The corpus is parsed into phrases at its rolling-hash triggers. The dictionary holds each distinct phrase and how
     often the parse has it: strings of a phrase that the parse has twice occur twice. What different phrases share has
@@ -299,15 +336,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     copies of each other, so both lose what they share. Other columns are ignored, whatever their names; an empty table
     gives no rows. The bytes of a character that is cut through are left out of ``kept``, but not of the digest.
     """
+    if by_words:
+        length = CODE * least_words
     scratch = Scratch(spark)
-    spans = scratch.put(repeated_spans(spark, docs, scratch, length, gram, group, fold).where("size(spans) > 0"))
+    spans = scratch.put(repeated_spans(spark, docs, scratch, length, gram, group, "words" if by_words else "fold" if fold else "bytes").where("size(spans) > 0"))
     scratch.drop_all_but(spans)
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text", *([pack_row(docs).alias("row")] if carry else []))
     out = rows.join(spans.withColumnsRenamed({"doc_id": "d", "h": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
     kind = T.StructType([T.StructField(n, T.StringType() if "sha" in n or n == "kept" else T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text)])
     if carry:
         kind = kind.add("row", rows.schema["row"].dataType)
-    fn = _cut(keep_text, to_arrow_type(rows.schema["row"].dataType) if carry else None, least_words)
+    fn = _cut(keep_text, to_arrow_type(rows.schema["row"].dataType) if carry else None, least_words, by_words)
     return out.select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(fn, kind)
 
 

@@ -264,6 +264,32 @@ def test_encoder_of_long_texts(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in encoder.whole(texts)]
 
 
+def test_texts_are_cut_where_pre_tokens_end(monkeypatch):
+    """Parts of any size give the ids of the whole text, also where tabs, returns, digits and signs are all that divide words."""
+    encoder, rng = Encoder(default_vocabulary()), random.Random(31)
+    made = ["ab", "it's", "we'll", "'s", "''t", "x'", "12", "7", "!", "?!", "é", "ß's", "\t", "\r\n", "\n", " ", "  ", "a'b", "'", "<", "{\"k\":1}", "I'M"]
+    texts = ["".join(rng.choice(made) for _ in range(400)).encode() for _ in range(30)] + ["".join(rng.choice([*made, "漢字", "ж", "<|x|>"]) for _ in range(400)).encode() for _ in range(10)] + [b"q" * 900, b"!" * 700, b"a" * 300 + b"\t" + b"b" * 300]
+    want = [x.tolist() for x in encoder.whole(texts)]
+    for size in (16, 64, 257):
+        monkeypatch.setattr(pretokens, "PART_BYTES", size)
+        monkeypatch.setattr(pretokens, "STEP", 8)
+        assert max(map(len, pretokens.cut_up(texts[0]))) <= size and b"".join(pretokens.cut_up(texts[0])) == texts[0]
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == want[texts.index(t)], (size, t)
+
+
+def test_one_line_of_distinct_words_ends():
+    """A line without a blank, of more distinct words than the table has slots."""
+    text = b"\t".join(b"%x" % (i * 2654435761 % 2**32) for i in range(1_500_000))
+    text = text.translate(bytes(range(48)) + bytes(range(103, 113)) + bytes(range(58, 256)))  # digits would be words of their own
+    began = time.time()
+    encoder = Encoder(default_vocabulary())
+    ids = encoder.encode([text])[0]
+    assert time.time() - began < 90 and len(text) > 12_000_000
+    head = text[: text.index(b"\t", 200_000)]
+    assert ids[: len(encoder.whole([head])[0])].tolist() == encoder.whole([head])[0].tolist()
+
+
 def test_more_distinct_words_than_slots():
     """A text with more distinct words than the encoder remembers at a time ends, with the tokenizer's ids."""
     encoder = Encoder(default_vocabulary())

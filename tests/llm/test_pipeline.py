@@ -80,36 +80,62 @@ def test_near_dedup(spark, docs, sf_dir):
         assert [i for i, t in found if (i, t) in rows_] == [min(named) if named else -1]
 
 
-def test_suffix_dedup(spark, docs, texts, sf_dir):
-    rows, length, seen = rows_of(docs), pipeline.PASSAGE_BYTES, {}
-    folded = lambda t: re.sub(rb"[\t-\r]", b" ", (t or "").encode().lower())
+def plain_dedup(rows, least):
+    """Each row's text without the runs of ``least`` words or more that lie in such runs of words that occur twice."""
+    seen, want = {}, []
     for _, t in rows:
-        d = folded(t)
-        for k in range(len(d) - length + 1):
-            seen[d[k : k + length]] = seen.get(d[k : k + length], 0) + 1
-    want = []
+        w = SPACE.findall((t or "").encode().lower())
+        for k in range(len(w) - least + 1):
+            seen[tuple(w[k : k + least])] = seen.get(tuple(w[k : k + least]), 0) + 1
     for i, t in rows:
-        d, same = (t or "").encode(), folded(t)
-        gone = np.zeros(len(d), bool)
-        for k in range(len(d) - length + 1):
-            if seen[same[k : k + length]] > 1:
-                gone[k : k + length] = True
-        edges = np.diff(np.concatenate(([0], gone.astype(int), [0])))
-        for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-            if len(SPACE.findall(d[a:b])) < pipeline.PASSAGE_WORDS:
-                gone[a:b] = False
-        left = np.frombuffer(d, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-        if not gone.any():
+        d = (t or "").encode()
+        places, gone, left, at = [m.span() for m in SPACE.finditer(d)], set(), [], 0
+        w = SPACE.findall(d.lower())
+        for k in range(len(w) - least + 1):
+            if seen[tuple(w[k : k + least])] > 1:
+                gone.update(range(k, k + least))
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                left.append(d[at : places[k][0]])
+            if k + 1 not in gone:
+                at = places[k][1]
+        rest = b"".join([*left, d[at:]]).decode()
+        if not gone:
             want.append((i, t))
-        elif left.strip(" "):
-            want.append((i, left))
+        elif rest.strip(" "):
+            want.append((i, rest))
+    return sorted(want, key=str)
+
+
+def test_suffix_dedup(spark, docs, texts, sf_dir):
+    rows = rows_of(docs)
+    want = plain_dedup(rows, pipeline.PASSAGE_WORDS)
     got = pipeline.suffix_dedup(spark, docs, sf_dir)
-    assert got.columns == docs.columns and rows_of(got) == sorted(want, key=str)
+    assert got.columns == docs.columns and rows_of(got) == want
     assert sum(len(t or "") for _, t in want) < sum(len(t or "") for _, t in rows) - 5000
     for r in got.where("doc_id >= 55 and doc_id < 71").collect():
         assert r.n_chars == len(r.text) and r["a.b"] == "1" and (len(r.text.split()) <= 142) == (r.doc_id % 4 != 2 or "x" in r.text)
 
 
+@pytest.mark.parametrize("letters", [1, 2, 9])
+def test_repeated_passages_of_short_and_long_words(spark, sf_dir, letters):
+    """Passages of 50 words or more go however few or many bytes they have, in whatever case and white space; 49 words stay."""
+    rng = random.Random(letters)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = lambda n: " ".join(word(letters) for _ in range(n))
+    shared = [passage(rng.choice([49, 50, 51, 60, 130])) for _ in range(60)]
+    rows = []
+    for i in range(180):
+        p = shared[i % 60]
+        p = [p, p.upper(), re.sub(" ", lambda _: rng.choice([" ", "\n", "\t\r\n", "  "]), p)][i // 60]
+        rows.append((i, f"{' '.join(word(7) for _ in range(rng.randrange(30)))} {p} {' '.join(word(7) for _ in range(rng.randrange(1, 30)))}", "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = plain_dedup(rows_of(docs), pipeline.PASSAGE_WORDS)
+    assert rows_of(pipeline.suffix_dedup(spark, docs, sf_dir)) == want
+    gone = [i for i in range(180) if len(shared[i % 60].split()) >= 50]
+    assert all(len(t.split()) < 60 for i, t in want if i in gone) and all(len(t.split()) >= 49 for i, t in want if i not in gone)
+
+
 def test_decontaminate(spark, docs, items, sf_dir):
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = set()
