@@ -16,8 +16,8 @@ from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import accepted
 from corpusloom.llm.repeats import remove_repeats
 
-#: A passage that repeats goes if it has so many words; repeats are looked for in strings of so many bytes.
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 240
+#: A passage that repeats goes if it has so many words.
+PASSAGE_WORDS = 50
 
 
 def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of PASSAGE_WORDS words or more that occur again, in whatever case and lines; a document of which nothing is left goes."""
-    left = remove_repeats(spark, docs, PASSAGE_BYTES, keep_text=True, carry=True, least_words=PASSAGE_WORDS, fold=True)
+    left = remove_repeats(spark, docs, keep_text=True, carry=True, least_words=PASSAGE_WORDS, by_words=True)
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return left.where("n_removed = 0 or trim(kept) <> ''").select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
