@@ -1,7 +1,7 @@
 """Token counts under a unigram model: distinct pre-tokens share their prefixes in a trie, best forward scores are computed once a node.
 
 The pieces are those of a public vocabulary, which has no unigram scores; these are estimated here, from how often the best
-segmentations of all documents use each piece.
+segmentations of all documents use each piece, round by round.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import U64, Rolling, batches, slices, texts, word_spans
+from corpusloom.llm.common import U64, Rolling, Scratch, batches, slices, texts, word_spans
 
 IN_WORD = np.array([b != 32 for b in range(256)])
 BLANKS = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
@@ -22,6 +22,10 @@ UNKNOWN = 10.0
 BLOCK = 2 << 20
 #: Pre-tokens of more bytes are scored one by one along the pieces found in them; they would make a trie as deep as they are long.
 LONG = 96
+#: Rounds of estimation at most, and the share by which the last one raises the likelihood when it has settled.
+MOST_ROUNDS, SETTLED = 12, 1e-3
+#: Words whose counts every worker may hold, 24 bytes each.
+COMMON = 200_000
 _models: dict[str, Pieces] = {}
 
 
@@ -172,26 +176,46 @@ def along(word: bytes, pieces: Pieces) -> tuple[int, float, list[int]]:
     return count[-1], best[-1], used
 
 
-def count_block(docs: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, tokens and log probability of each text, and the uses of each piece in all."""
-    raw = b" " + b" ".join([*docs, b""]).translate(BLANKS)
-    blob = np.frombuffer(raw, np.uint8)
-    cuts = 1 + np.cumsum([0, *(len(d) + 1 for d in docs)])
-    starts, ends = word_spans(blob, IN_WORD)
-    starts = starts - 1
-    doc = np.searchsorted(cuts, starts + 1, "right") - 1
-    rolling = Rolling(blob)
-    _, first, inverse, often = np.unique(rolling.spans(starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    size = ends[first] - starts[first]
-    tokens, scores = np.zeros(len(first), np.int64), np.zeros(len(first))
+def score(raw: bytes, rolling: Rolling, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and score of distinct words of a buffer, and the uses of each piece; each word counts with its weight."""
+    size = ends - starts
+    tokens, scores = np.zeros(len(starts), np.int64), np.zeros(len(starts))
     short = np.flatnonzero(size <= LONG)
-    tokens[short], scores[short], levels = forward(rolling, starts[first[short]], ends[first[short]], pieces)
-    used = uses(levels, often[short].astype(np.float64), len(pieces.scores))
+    tokens[short], scores[short], levels = forward(rolling, starts[short], ends[short], pieces)
+    used = uses(levels, weights[short].astype(np.float64), len(pieces.scores))
     for k in np.flatnonzero(size > LONG).tolist():
-        tokens[k], scores[k], own = along(raw[starts[first[k]] : ends[first[k]]], pieces)
-        np.add.at(used, own, often[k])
-    n = len(docs)
-    return np.bincount(doc, minlength=n), np.bincount(doc, tokens[inverse], n).astype(np.int64), np.bincount(doc, scores[inverse], n), used
+        tokens[k], scores[k], own = along(raw[starts[k] : ends[k]], pieces)
+        np.add.at(used, own, weights[k])
+    return tokens, scores, used
+
+
+class Block:
+    """The words of some texts, each with a blank before it: the distinct ones' places and hashes, and where they stand."""
+
+    def __init__(self, docs: list[bytes]):
+        self.raw = b" " + b" ".join([*docs, b""]).translate(BLANKS)
+        blob = np.frombuffer(self.raw, np.uint8)
+        starts, ends = word_spans(blob, IN_WORD)
+        starts = starts - 1
+        self.n, cuts = len(docs), 1 + np.cumsum([0, *(len(d) + 1 for d in docs)])
+        self.doc = np.searchsorted(cuts, starts + 1, "right") - 1
+        self.rolling = Rolling(blob)
+        self.hashes, first, self.inverse, self.often = np.unique(self.rolling.spans(starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        self.starts, self.ends = starts[first], ends[first]
+
+    def words(self) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
+    def totals(self, tokens: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, tokens and log probability of each text from those of the distinct words."""
+        return np.bincount(self.doc, minlength=self.n), np.bincount(self.doc, tokens[self.inverse], self.n).astype(np.int64), np.bincount(self.doc, scores[self.inverse], self.n)
+
+
+def count_block(docs: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, tokens and log probability of each text, and the uses of each piece in all."""
+    block = Block(docs)
+    tokens, scores, used = score(block.raw, block.rolling, block.starts, block.ends, block.often, pieces)
+    return *block.totals(tokens, scores), used
 
 
 def _model(path: str, scores: np.ndarray | None) -> Pieces:
@@ -203,60 +227,131 @@ def _model(path: str, scores: np.ndarray | None) -> Pieces:
     return _models[path]
 
 
+def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    for batch in it:
+        docs = texts(batch.column(0))
+        for a, b in slices([len(x) for x in docs], BLOCK):
+            block = Block(docs[a:b])
+            yield batches({"word": block.words(), "n": block.often}, schema)
+
+
+def distinct_words(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(word, n): the distinct pre-tokens of all documents and how often they occur, in order, so that neighbours share prefixes."""
+    words = docs.select("text").mapInArrow(_distinct, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return scratch.put(words.repartitionByRange(F.substring("word", 1, 16)).sortWithinPartitions("word"))
+
+
+def _tries(it: Iterator[pa.RecordBatch], model: Pieces) -> Iterator[tuple]:
+    """(hashes, n, tokens, scores, uses) of blocks of distinct words, a trie each."""
+    for batch in it:
+        words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+        for a, b in slices([len(w) for w in words], BLOCK):
+            raw = b"".join(words[a:b])
+            ends = np.cumsum([len(w) for w in words[a:b]])
+            starts = ends - [len(w) for w in words[a:b]]
+            rolling = Rolling(np.frombuffer(raw, np.uint8))
+            yield rolling.spans(starts, ends), n[a:b], *score(raw, rolling, starts, ends, n[a:b], model)
+
+
 def _uses(path: str, scores: np.ndarray | None):
-    schema = pa.schema([("piece", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("piece", pa.int64()), ("n", pa.int64()), ("fit", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path, scores)
-        total = np.zeros(len(model.scores))
-        for batch in it:
-            docs = texts(batch.column(0))
-            for a, b in slices([len(x) for x in docs], BLOCK):
-                total += count_block(docs[a:b], model)[3]
+        total, fit = np.zeros(len(model.scores)), 0.0
+        for _, n, _, own, used in _tries(it, model):
+            total += used
+            fit += float(n @ own)
         at = np.flatnonzero(total)
-        yield batches({"piece": at, "n": total[at].astype(np.int64)}, schema)
+        yield batches({"piece": np.append(at, -1), "n": np.append(total[at], 0).astype(np.int64), "fit": np.append(np.zeros(len(at)), fit)}, schema)
 
-    return run, "piece long, n long"
+    return run, "piece long, n long, fit double"
 
 
-def train_unigram(docs: DataFrame, vocabulary: str, rounds: int) -> np.ndarray | None:
-    """Scores of a vocabulary's pieces, estimated in so many rounds over all documents; None without a round.
+def train_unigram(words: DataFrame, vocabulary: str, rounds: int | None, told: list[float] | None = None) -> np.ndarray | None:
+    """Scores of a vocabulary's pieces, estimated from distinct words (word, n) in so many rounds, or until they fit no better; None without a round.
 
     A round sums the uses of each piece by the best segmentations so far: one row for each piece used reaches the driver,
-    no more than the vocabulary has.
+    no more than the vocabulary has. ``told`` is given the log likelihood of the best segmentations at the start of each round; it rises.
     """
-    scores = None
-    for _ in range(rounds):
+    scores, fits = None, [] if told is None else told
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         fn, kind = _uses(vocabulary, scores)
-        found = docs.select("text").mapInArrow(fn, kind).groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        found = words.mapInArrow(fn, kind).groupBy("piece").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit")).collect()
         counts = np.zeros(len(pieces_of(vocabulary)))
         for r in found:
-            counts[r.piece] = r.n
+            if r.piece >= 0:
+                counts[r.piece] = r.n
+        fits.append(sum(r.fit for r in found if r.piece < 0))
         scores = estimated(counts)
+        if rounds is None and len(fits) > 1 and fits[-1] - fits[-2] <= SETTLED * abs(fits[-1]):
+            break
     return scores
 
 
-def _counts(path: str, scores: np.ndarray | None):
+def _scored(path: str, scores: np.ndarray | None):
+    schema = pa.schema([("hash", pa.int64()), ("tokens", pa.int64()), ("score", pa.float64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, _, tokens, own, _ in _tries(it, _model(path, scores)):
+            yield batches({"hash": hashes.view(np.int64), "tokens": tokens, "score": own}, schema)
+
+    return run, "hash long, tokens long, score double"
+
+
+def common_words(words: DataFrame, path: str, scores: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, tokens, scores), by hash, of the words that occur so often that no more than ``most`` occur as often."""
+    sizes = {r.bits: r.words for r in words.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count("*").alias("words")).collect()}
+    least, total = 64, 0
+    for bits in sorted(sizes, reverse=True):
+        total += sizes[bits]
+        if total > most:
+            break
+        least = bits
+    fn, kind = _scored(path, scores)
+    found = words.where(F.floor(F.log2("n")) >= least).mapInArrow(fn, kind).toPandas()
+    order = np.argsort(found["hash"].to_numpy().view(U64))
+    return found["hash"].to_numpy().view(U64)[order], found["tokens"].to_numpy()[order], found["score"].to_numpy()[order]
+
+
+def _counts(path: str, scores: np.ndarray | None, shared):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path, scores)
+        model, (hashes, known_tokens, known_scores) = _model(path, scores), shared.value
         for batch in it:
             docs = texts(batch.column(1))
             for a, b in slices([len(x) for x in docs], BLOCK):
-                words, tokens, score, _ = count_block(docs[a:b], model)
-                yield batches({"doc_id": batch.column(0).slice(a, b - a).cast(pa.int64()), "n_words": words, "n_tokens": tokens, "log_prob": score}, schema)
+                block = Block(docs[a:b])
+                at = np.minimum(np.searchsorted(hashes, block.hashes), max(0, len(hashes) - 1))
+                there = hashes[at] == block.hashes if len(hashes) else np.zeros(len(block.hashes), bool)
+                tokens, own = np.zeros(len(there), np.int64), np.zeros(len(there))
+                if len(hashes):
+                    tokens[there], own[there] = known_tokens[at[there]], known_scores[at[there]]
+                rest = np.flatnonzero(~there)
+                tokens[rest], own[rest], _ = score(block.raw, block.rolling, block.starts[rest], block.ends[rest], block.often[rest], model)
+                words, n, total = block.totals(tokens, own)
+                yield batches({"doc_id": batch.column(0).slice(a, b - a).cast(pa.int64()), "n_words": words, "n_tokens": n, "log_prob": total}, schema)
 
     return run, "doc_id long, n_words long, n_tokens long, log_prob double"
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, rounds: int = 1) -> DataFrame:
+def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, rounds: int | None = None, common: int = COMMON) -> DataFrame:
     """One row for each row: doc_id, n_words, n_tokens, log_prob of the best segmentation of all words of the whole text.
 
-    A pre-token is a run of bytes that aren't ASCII white space, with a blank before it. A null or empty text has none.
-    Repeated rows and null ids are counted like others. Other columns are ignored; an empty table gives no rows. Scores
-    are estimated in ``rounds`` passes over all documents, from scores by rank.
+    A pre-token is a run of bytes that aren't ASCII white space, with a blank before it. The distinct ones of all documents are
+    counted once and sorted, so that a trie of neighbours computes each shared prefix's score once; the unigram scores are estimated
+    on them in ``rounds`` rounds, from scores by rank, or until the likelihood settles. What the terminal nodes of the ``common`` most
+    frequent words at most hold goes to every worker; other words of a block are scored in a trie of their own, with equal results.
+
+    A null or empty text has no words. Repeated rows and null ids are counted like others. Other columns are ignored; an empty table
+    gives no rows.
     """
-    path = vocabulary or default_vocabulary()
-    fn, kind = _counts(path, train_unigram(docs, path, rounds))
+    scratch, path = Scratch(spark), vocabulary or default_vocabulary()
+    words = distinct_words(scratch, docs)
+    scores = train_unigram(words, path, rounds)
+    shared = spark.sparkContext.broadcast(common_words(words, path, scores, common))
+    scratch.drop_all_but()
+    fn, kind = _counts(path, scores, shared)
     return docs.select("doc_id", "text").mapInArrow(fn, kind)

@@ -397,12 +397,27 @@ def test_token_counts(spark, docs, rows, empty):
                 np.add.at(counts, [number[x] for x in used if x], 1)
             want.append((len(found), sum(len(u) for _, u in found), sum(s for s, _ in found)))
         some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-        got = sorted(count_tokens(spark, some, rounds=rounds).collect())
+        got = sorted(count_tokens(spark, some, rounds=rounds, common=(40, 100_000, 0)[rounds]).collect())
         assert [(r.n_words, r.n_tokens) for r in got] == [w[:2] for w in want]
         assert np.allclose([r.log_prob for r in got], [w[2] for w in want])
     assert count_tokens(spark, docs).count() == 17
 
 
+def test_scores_settle(spark):
+    """The likelihood of the best segmentations rises from round to round until it settles; common and other words count alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scratch, fits, path = Scratch(spark), [], token_counts.default_vocabulary()
+    words = token_counts.distinct_words(scratch, docs)
+    scores = token_counts.train_unigram(words, path, None, fits)
+    assert 2 < len(fits) <= token_counts.MOST_ROUNDS and all(b > a for a, b in zip(fits, fits[1:], strict=False)) and fits[-1] - fits[0] > 0.05 * abs(fits[0])
+    assert fits[-1] - fits[-2] <= token_counts.SETTLED * abs(fits[-1]) or len(fits) == token_counts.MOST_ROUNDS
+    assert words.selectExpr("sum(n)").first()[0] == sum(len((r.text or "").split()) for r in docs.collect()) and words.count() == words.select("word").distinct().count()
+    few = token_counts.common_words(words, path, scores, 50)
+    assert 0 < len(few[0]) <= 50 and len(token_counts.common_words(words, path, scores, 10**9)[0]) == words.count()
+    a, b = (sorted(count_tokens(spark, docs, common=n).collect()) for n in (0, 10**6))
+    assert [(r.doc_id, r.n_words, r.n_tokens) for r in a] == [(r.doc_id, r.n_words, r.n_tokens) for r in b]
+
+
 def test_token_counts_of_a_long_run():
     rng = np.random.default_rng(1)
     long = bytes(rng.integers(97, 123, 1 << 20).astype(np.uint8))
