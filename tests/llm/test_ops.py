@@ -328,12 +328,41 @@ def test_wrapped_and_changed_licenses():
     changed = gpl.replace("This program is", "Foo and bar are").replace("either ", "").replace("and/or modify", "and modify", 1)
     for text, name, n in ((changed, "GPL-3.0", 5), ("Distributed under the MIT Licence.", "MIT", 1), ("Licensed under the Apache License 2.0", "Apache-2.0", 1)):
         assert [(h[0], h[2]) for h in scan_blocks(f"x {text} y".encode(), t)[1]] == [(name, n)]
-    for other in (gpl.replace("GNU General", "GNU Lesser General"), gpl.replace("version 3", "version 1"), "Licensed under CC BY-ND 4.0.", "Released under the BSD License.", "This work is not licensed under the GNU General Public License, version 3."):
+    assert [h[0] for h in scan_blocks(gpl.replace("GNU General", "GNU Lesser General").encode(), t)[1]] == ["LGPL-3.0"]
+    assert [h[0] for h in scan_blocks(b"Licensed under CC BY-ND 4.0.", t)[1]] == ["CC-BY-ND-4.0"]
+    for other in (gpl.replace("GNU General", "GNU Library General"), gpl.replace("version 3", "version 1"), "Licensed under CC BY-ND 5.0.", "Released under the BSD License.", "This work is not licensed under the GNU General Public License, version 3."):
         assert not scan_blocks(other.encode(), t)[1]
     both = f"{TEMPLATES['MIT'][0]} {TEMPLATES['Apache-2.0'][1]}\n" * 3
     assert [h[0] for h in scan_blocks(both.encode(), t)[1]] == ["MIT", "Apache-2.0"] * 3
 
 
+def test_paragraphs_and_identifiers():
+    """Second paragraphs, families that differ by a word or a version, identifiers and mentions; other licenses aren't taken for them."""
+    t, rng = Templates(TEMPLATES), random.Random(12)
+    texts = {
+        "The above copyright notice and this permission notice shall be included in all\n copies or substantial portions of the Software.": ["MIT"],
+        "This project uses the MIT License.": ["MIT"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"],
+        "# SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
+        "SPDX-License-Identifier: LGPL-2.1": ["LGPL-2.1"],
+        "SPDX-License-Identifier: SomethingElse-1.0": [],
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": ["CC-BY-3.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"],
+        TEMPLATES["LGPL-2.1"][0]: ["LGPL-2.1"],
+        TEMPLATES["LGPL-2.1"][0].replace("2.1", "2"): [],
+        TEMPLATES["AGPL-3.0"][0]: ["AGPL-3.0"],
+        TEMPLATES["ISC"][0]: ["ISC"],
+        "See the License for the specific language governing permissions and limitations under the License.": ["Apache-2.0"],
+        " ".join(TEMPLATES["BSD"][:2]) + " " + TEMPLATES["BSD-2-Clause"][1]: ["BSD", "BSD-2-Clause"],
+        TEMPLATES["BSD"][0] + " " + TEMPLATES["BSD-3-Clause"][1]: ["BSD", "BSD-3-Clause"],
+        "The software is provided for review, and the author disclaims nothing.": [],
+        "Permission to use the pool is granted to members.": [],
+    }
+    for text, names in texts.items():
+        for around in ("", prose(rng, 60)):
+            assert sorted({h[0] for h in scan_blocks(f"{around} {text} {around}".encode(), t)[1]}) == names, text
+
+
 def test_rights_notices():
     t, rng = Templates(TEMPLATES), random.Random(10)
     notices = {
