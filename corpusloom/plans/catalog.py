@@ -110,6 +110,10 @@ EXPRESSIONS = {
     "evaluated": ("(eval '(concatenate \"e\" \"v\"))", "'ev'"),
     "stepped": ('(progn (setq x lang) (set (quote y) source) (concatenate x "+" y))', "lang || '+' || source"),
     "applied": ('(progn (defun tell (a &optional b) (concatenate a "/" (or b "none"))) (concatenate (tell lang) ((lambda (p &rest q) (car q)) "1" source)))', "lang || '/none' || source"),
+    "split": ('(car (split "o" source))', "split_part(source, 'o', 1)"),
+    "rest": ('(car (cdr (split "o" source)))', "string_split(source, 'o')[2]"),
+    "failed": ('(concatenate "a" (if (eq lang "en") lang))', "CASE WHEN lang = 'en' THEN 'aen' ELSE '<error: concatenate: NIL is no string>' END"),
+    "mended": ('(or (concatenate "a" (if (eq lang "en") lang)) source)', "CASE WHEN lang = 'en' THEN 'aen' ELSE source END"),
     "nothing": ('(and (eq lang "xx") lang)', "CAST(NULL AS VARCHAR)"),
 }
 

@@ -188,6 +188,27 @@ def test_expressions(spark):
     assert value("(cons \"x\" '(\"y\" z))") == "(x y Z)" and value("'()") is None and value("(last '())") is None
 
 
+def test_errors_and_lists_of_rows(spark):
+    """An error is met by a row alone and can be made up for; lists may be made of a field."""
+    rows = spark.createDataFrame([(1, "a|b|c", "x"), (2, "", "x"), (3, None, "x"), (4, "d", None)], "id int, f string, g string")
+    value = lambda text: [r[0] for r in rows.orderBy("id").select(compile_expression(text, lambda n: F.col(n) if n in ("f", "g") else None)).collect()]
+    wrong = "<error: concatenate: NIL is no string>"
+    assert value('(concatenate f "-" g)') == ["a|b|c-x", "-x", wrong, wrong]
+    assert value('(or (concatenate f g) "d")') == ["a|b|cx", "x", "d", "d"] and value('(and (concatenate f g) "d")') == ["d", "d", None, None]
+    assert value('(replace "x" "y" (concatenate f g))') == ["a|b|cy", "y", wrong, wrong]
+    assert value('(if f (concatenate f g) "none")') == ["a|b|cx", "x", "none", wrong] and value('(if (concatenate f g) "y" "n")') == ["y", "y", wrong, wrong]
+    assert value('(eq (concatenate f g) "x")') == [None, "", wrong, wrong]
+    assert value('(car (split "|" f))') == ["a", "", None, "d"] and value('(last (split "|" f))') == ["c", "", None, "d"]
+    assert value('(cdr (split "|" f))') == ["(b c)", None, None, None] and value('(car (cdr (split "|" f)))') == ["b", None, None, None]
+    assert value('(cons g (split "|" f))') == ["(x a b c)", "(x )", "(x)", "(NIL d)"]
+    assert value('(if (atom (cdr (split "|" f))) "one" "more")') == ["more", "one", "one", "one"]
+    assert value("(and (setq y f) y)") == ["a|b|c", "", None, "d"] and value("(and f g)") == ["x", "x", None, None]
+    walk = '(progn (defun all (xs) (if xs (concatenate (car xs) (all (cdr xs))) "")) (all {}))'
+    assert value(walk.format("'(\"p\" \"q\" \"r\")")) == ["pqr"] * 4
+    assert value(walk.format('(split "|" f)')) == ["<error: a function calls itself without end>"] * 4
+    assert value("(progn (defun f2 (x) (or (f2 x) (f2 x))) (f2 g))") == ["<error: a function calls itself without end>"] * 4
+
+
 def test_index_and_pages(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a|c."), (2, "b"), (3, ""), (4, None)], "doc_id long, text string")
     documents = T.plain_documents(docs)
