@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.storage import shared_dir
+
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch between JVM and Python, at most; one longer row makes a batch of its own.
@@ -32,17 +32,6 @@ def pack_row(df: DataFrame) -> Column:
     return F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run in one JVM."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, so that what is built on them survives the loss of an executor."""
 

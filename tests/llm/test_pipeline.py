@@ -157,6 +157,24 @@ def test_quality_keeps_texts_with_grams(spark, docs, sf_dir):
     assert found == [r for r in rows_of(docs) if len((r[1] or "").encode()) > 2]
 
 
+def test_quality_rejects_what_labels_tell(spark, tmp_path):
+    """Low quality and toxic texts go, labelled or not, and clean ones stay; labels may be null, repeated or of no document."""
+    rng = random.Random(24)
+    good = lambda: prose(rng, rng.randrange(60, 120))
+    bad = lambda: " ".join("".join(rng.choice("qxzwv%$=") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(60, 120)))
+    toxic = lambda: " ".join(rng.choice(["vilekk", "nastyjj", "foulhh"]) if rng.random() < 0.1 else w for w in good().split())
+    kinds = ["good"] * 500 + ["bad"] * 200 + ["toxic"] * 150
+    rng.shuffle(kinds)
+    rows = [(i, {"good": good, "bad": bad, "toxic": toxic}[k](), "en", "s", 1) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = [(i, int(k != "bad"), int(k == "toxic")) for i, k in enumerate(kinds) if rng.random() < 0.6]
+    labels += [*labels[:20], (None, 0, 1), (10**6, 0, 1), (rows[0][0], None, None), (rows[1][0], None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    share = {k: sum(i in kept for i, x in enumerate(kinds) if x == k) / kinds.count(k) for k in ("good", "bad", "toxic")}
+    assert share["good"] > 0.97 and share["bad"] == 0 and share["toxic"] < 0.05
+
+
 def test_packing(spark, docs, sf_dir):
     out = pipeline.packing(spark, docs, sf_dir).collect()
     assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0) and sum(r.start == 0 for r in out) == docs.count()
