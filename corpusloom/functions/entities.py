@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def expressions(tag: str) -> dict[str, str]:
 
 def missing_as_null(value: Column) -> Column:
     return F.when((value != "0") & (value != ""), value)
+
+
+@dataclass(frozen=True)
+class Entities:
+    """How entities are read and shown: the params that keep a tag's properties, the expressions of its attributes, those of all
+    tokens' and all entities', attributes that aren't merged, and colours.
+    """
+
+    mapping: dict[str, dict[str, str]] = field(default_factory=lambda: MAPPING)
+    expressions: dict[str, dict[str, str]] = field(default_factory=lambda: {tag: expressions(tag) for tag in MAPPING})
+    common: dict[str, str] = field(default_factory=lambda: COMMON)
+    entity: dict[str, str] = field(default_factory=lambda: ENTITY)
+    last_only: tuple[str, ...] = LAST_ONLY
+    dye: dict[str, str] = field(default_factory=lambda: DYE)
+
+
+USUAL = Entities()

@@ -70,9 +70,12 @@ def parse(text: str):
     return out
 
 
-def _value(match: Column, name: str) -> Column:
+def _field(name: str, mapping: dict[str, dict[str, str]]) -> str:
+    """The field that a name means: a tag's property is one of its params."""
     tag, _, prop = name.partition(".")
-    return match[MAPPING[tag][prop]] if prop else match[name]
+    if prop and prop not in mapping.get(tag, {}):
+        raise ConstraintError(f"no property {name}")
+    return mapping[tag][prop] if prop else name
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -86,22 +89,22 @@ def _number(a: Column, b: Column, op: str) -> Column:
     return F.coalesce({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], F.lit(False))
 
 
-def condition(tree, matches: Column) -> Column:
+def condition(tree, matches: Column, mapping: dict[str, dict[str, str]] = MAPPING) -> Column:
     """Whether an array of matches (structs of label, pos and fields) meets the constraint."""
     op, left, right = tree
     if op in ("and", "or"):
-        a, b = condition(left, matches), condition(right, matches)
+        a, b = condition(left, matches, mapping), condition(right, matches, mapping)
         return a & b if op == "and" else a | b
-    own = F.filter(matches, lambda m: m["label"] == left[0])
+    own, name = F.filter(matches, lambda m: m["label"] == left[0]), _field(left[1], mapping)
     if isinstance(right, str):
         if op in ("=", "!="):
-            same = F.exists(own, lambda m: F.coalesce(_equal(_value(m, left[1]), F.lit(right)), F.lit(False)))
+            same = F.exists(own, lambda m: F.coalesce(_equal(m[name], F.lit(right)), F.lit(False)))
             return (F.size(own) > 0) & (same if op == "=" else ~same)
-        return F.exists(own, lambda m: _number(_value(m, left[1]), F.lit(right), op))
-    other = F.filter(matches, lambda m: m["label"] == right[0])
+        return F.exists(own, lambda m: _number(m[name], F.lit(right), op))
+    other, other_name = F.filter(matches, lambda m: m["label"] == right[0]), _field(right[1], mapping)
 
     def pair(test) -> Column:
-        return F.exists(own, lambda m: F.exists(other, lambda n: (m["pos"] != n["pos"]) & F.coalesce(test(_value(m, left[1]), _value(n, right[1])), F.lit(False))))
+        return F.exists(own, lambda m: F.exists(other, lambda n: (m["pos"] != n["pos"]) & F.coalesce(test(m[name], n[other_name]), F.lit(False))))
 
     # an absent label meets no comparison at all; of labels that are there, != holds unless two different positions are equal,
     # so also where there is no pair of different positions
@@ -111,14 +114,14 @@ def condition(tree, matches: Column) -> Column:
     return there & ~pair(_equal) if op == "!=" else there & pair(lambda a, b: _number(a, b, op))
 
 
-def fields_of(tree) -> set[str]:
+def fields_of(tree, mapping: dict[str, dict[str, str]] = MAPPING) -> set[str]:
     """Fields that a constraint reads."""
     if tree[0] in ("and", "or"):
-        return fields_of(tree[1]) | fields_of(tree[2])
-    return {MAPPING[x[1].split(".")[0]][x[1].split(".")[1]] if "." in x[1] else x[1] for x in tree[1:] if isinstance(x, tuple)}
+        return fields_of(tree[1], mapping) | fields_of(tree[2], mapping)
+    return {_field(x[1], mapping) for x in tree[1:] if isinstance(x, tuple)}
 
 
-def constrained(found: DataFrame, source, text: str) -> DataFrame:
+def constrained(found: DataFrame, source, text: str, mapping: dict[str, dict[str, str]] = MAPPING) -> DataFrame:
     """(part, doc_id, l, r) of the intervals whose own labelled matches meet the constraint.
 
     Intervals (doc_id, l, r, marks) bring the labels and positions of the atoms they are made of. Their values are taken
@@ -126,9 +129,9 @@ def constrained(found: DataFrame, source, text: str) -> DataFrame:
     its own doesn't count.
     """
     tree = parse(text)
-    fields = sorted(fields_of(tree))
+    fields = sorted(fields_of(tree, mapping))
     if missing := [f for f in fields if f not in source.columns]:
         raise ConstraintError(f"no field {missing[0]}")
     rows = found.select("part", "doc_id", "l", "r", "marks").join(source.forward(fields).drop("part"), "doc_id")
     value = lambda m: F.struct(m["label"].alias("label"), m["pos"].alias("pos"), *[F.get(F.col(f), m["pos"]).alias(f) for f in fields])
-    return rows.select("part", "doc_id", "l", "r", F.transform("marks", value).alias("matches")).where(condition(tree, F.col("matches"))).select("part", "doc_id", "l", "r")
+    return rows.select("part", "doc_id", "l", "r", F.transform("marks", value).alias("matches")).where(condition(tree, F.col("matches"), mapping)).select("part", "doc_id", "l", "r")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import copy
 import hashlib
+import re
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.blocks import BLOCK_SQL, KEY, PARTS, block_rows, documents_of, token_rows, with_mentions
 
+#: Of the files' layout; an index of another is built anew under a name of its own.
+FORMAT = 4
 #: Documents in a bucket, about; and the least and most buckets of a table.
 BUCKET_DOCUMENTS, BUCKETS = 250_000, (8, 100_000)
 #: A part has 2**bits consecutive numbers of documents: as many as give a small collection enough parts, 4096 at most.
 LEAST_PARTS, MOST_BITS = 64, 12
 Wanted = list[tuple[str, str, bool]]
+NUMBERS_SQL = "field string, kind string, value long, part long, docs array<long>, positions array<array<int>>"
 Make = Callable[[DataFrame], DataFrame] | None
 
 
@@ -87,9 +92,28 @@ def _put(df: DataFrame, path: str, segment: int, table: str, buckets: int, by: s
     df.write.bucketBy(buckets, by).sortBy(*order).option("path", f"{path}/{segment}/{table}").mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def typed(term: Column) -> Column:
+    """(kind, value) of a term that is a whole number or a day (YYYY-MM-DD, its number since 1970), else null."""
+    number = F.when(term.rlike(r"^[+-]?\d{1,18}$"), term.try_cast("long"))
+    day = F.when(term.rlike(r"^\d{4}-\d\d-\d\d$"), F.unix_date(term.try_cast("date")).cast("long"))
+    return F.when(number.isNotNull(), F.struct(F.lit("number").alias("kind"), number.alias("value"))).when(day.isNotNull(), F.struct(F.lit("day").alias("kind"), day.alias("value")))
+
+
+def bound(text: str) -> tuple[str, int] | None:
+    """The same of a bound of a range."""
+    if re.fullmatch(r"[+-]?\d{1,18}", text):
+        return "number", int(text)
+    try:
+        return "day", (date.fromisoformat(text) - date(1970, 1, 1)).days
+    except ValueError:
+        return None
+
+
 def _write_rest(spark: SparkSession, path: str, segment: int, blocks: DataFrame, told: dict) -> dict:
-    """Blocks, the dictionary and a segment's row of the manifest, once its documents are written."""
+    """Blocks, those of numbers and days by value, the dictionary and a segment's row of the manifest, once its documents are written."""
     _put(blocks, path, segment, "postings", told["buckets"], "part", "field", "term", "part")
+    values = spark.table(_name(path, segment, "postings")).select("field", typed(F.col("term")).alias("t"), "part", "docs", "positions").where("t is not null")
+    _put(values.select("field", "t.kind", "t.value", "part", "docs", "positions"), path, segment, "numbers", told["buckets"], "part", "field", "kind", "value", "part")
     stats = _stats(spark.read.parquet(f"{path}/{segment}/postings").where(~F.col("field").isin(*PARTS)), "field", "term")
     stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/{segment}/terms")
     about = spark.read.parquet(f"{path}/{segment}/documents").agg(F.count("*").alias("documents"), F.max("size").alias("maxdocsize"), F.min("part").alias("low"), F.max("part").alias("high")).first()
@@ -98,20 +122,23 @@ def _write_rest(spark: SparkSession, path: str, segment: int, blocks: DataFrame,
 
 def _write_manifest(spark: SparkSession, path: str, segments: list[dict]) -> None:
     """The next version of the manifest, a row for each segment; readers take the last whole one."""
-    names = ("segment", "documents", "maxdocsize", "low", "high", "buckets", "bits", "fields", "columns")
-    kind = "segment int, documents long, maxdocsize int, low long, high long, buckets int, bits int, fields string, columns string"
+    names = ("segment", "documents", "maxdocsize", "low", "high", "buckets", "bits", "fields", "columns", "batches")
+    kind = "segment int, documents long, maxdocsize int, low long, high long, buckets int, bits int, fields string, columns string, batches array<long>"
     rows = spark.createDataFrame([tuple(s[n] for n in names) for s in segments], kind)
     rows.coalesce(1).write.parquet(f"{path}/manifest/{max(_versions(spark, path), default=0) + 1}")
 
 
+def documents_with_words(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null").where(F.size(next(c for c in documents.columns if c != "doc_id")) > 0)
+
+
 def _as_documents(rows: DataFrame) -> DataFrame:
     """Documents as arrays, with entity mentions where tokens have them; empty ones and those without an id are left out."""
-    documents = documents_of(rows) if "pos" in rows.columns else rows.where("doc_id is not null")
-    documents = documents.where(F.size(next(c for c in documents.columns if c != "doc_id")) > 0)
+    documents = documents_with_words(documents_of(rows) if "pos" in rows.columns else rows)
     return with_mentions(documents) if {"nerid", "nertag", "nerlength"} <= set(documents.columns) else documents
 
 
-def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str], bits: int, buckets: int, make: Make) -> dict:
+def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str], bits: int, buckets: int, make: Make, batch: int | None = None) -> dict:
     """Texts are shuffled into their buckets as they are and made into arrays there; arrays are shuffled once more for the blocks."""
     spark = rows.sparkSession
     documents = _as_documents(make(rows.where("doc_id is not null").repartition(buckets, "doc_id")) if make else rows)
@@ -120,31 +147,37 @@ def _write_segment(rows: DataFrame, path: str, segment: int, fields: list[str],
     _put(documents if make else documents.repartition(buckets, "doc_id"), path, segment, "documents", buckets, "doc_id", "doc_id")
     stored = spark.read.parquet(f"{path}/{segment}/documents").select("doc_id", "part", *fields, *[c for c in PARTS.values() if c in columns])
     blocks = block_rows(stored.repartition(buckets, "part").sortWithinPartitions("part", "doc_id"), fields)
-    return _write_rest(spark, path, segment, blocks, {"buckets": buckets, "bits": bits, "fields": ",".join(fields), "columns": ",".join(columns)})
+    return _write_rest(spark, path, segment, blocks, {"buckets": buckets, "bits": bits, "fields": ",".join(fields), "columns": ",".join(columns), "batches": [] if batch is None else [batch]})
 
 
-def write_index(rows: DataFrame, path: str, fields: list[str], documents: int | None = None, make: Make = None) -> None:
+def write_index(rows: DataFrame, path: str, fields: list[str], documents: int | None = None, make: Make = None, batch: int | None = None) -> None:
     """An index as Parquet tables under ``path``, of token rows (doc_id, pos, ...), documents as arrays (doc_id, ...), or rows
     (doc_id, ...) of which ``make`` makes such documents row by row.
 
     A segment has ``documents``, one row each with an array by position for every column, bucketed and sorted by doc_id;
     ``postings``, a block for each field, term and part (a range of documents), bucketed by part and sorted by field, term
-    and part, so that a search reads the row groups of its terms and needs no shuffle; ``terms``, the sorted dictionary with its
+    and part, so that a search reads the row groups of its terms and needs no shuffle; ``numbers``, the blocks of terms that are whole
+    numbers or days, sorted by value for ranges; ``terms``, the sorted dictionary with its
     statistics; and a row of the manifest, which is written last. Positions are dense from 0 on; doc_id names one document.
     ``documents`` is their number, if known.
     """
     n = rows.select("doc_id").distinct().count() if documents is None else documents
     bits = min(MOST_BITS, max(0, (n // LEAST_PARTS).bit_length() - 1))
     buckets = min(BUCKETS[1], max(BUCKETS[0], n // BUCKET_DOCUMENTS))
-    _write_manifest(rows.sparkSession, path, [_write_segment(rows, path, 1, fields, bits, buckets, make)])
+    _write_manifest(rows.sparkSession, path, [_write_segment(rows, path, 1, fields, bits, buckets, make, batch)])
+
 
+def append_documents(rows: DataFrame, path: str, make: Make = None, batch: int | None = None) -> None:
+    """Adds documents that the index doesn't have yet as a segment of its own; what is there is neither read nor written.
 
-def append_documents(rows: DataFrame, path: str, make: Make = None) -> None:
-    """Adds documents that the index doesn't have yet as a segment of its own; what is there is neither read nor written."""
+    A numbered batch that is there already is left out, so that one may be sent again.
+    """
     spark = rows.sparkSession
     there = [r.asDict() for r in _manifest(spark, path)]
+    if any(batch in s["batches"] for s in there):
+        return
     fields, bits = there[0]["fields"].split(","), there[0]["bits"]
-    new = _write_segment(rows, path, max(s["segment"] for s in there) + 1, fields, bits, there[0]["buckets"], make)
+    new = _write_segment(rows, path, max(s["segment"] for s in there) + 1, fields, bits, there[0]["buckets"], make, batch)
     _write_manifest(spark, path, [*there, new])
 
 
@@ -157,6 +190,7 @@ def merge_segments(spark: SparkSession, path: str) -> None:
     if len(there) < 2:
         return
     segment, told = max(s["segment"] for s in there) + 1, {k: there[0][k] for k in ("bits", "fields", "columns")}
+    told["batches"] = [b for s in there for b in s["batches"]]
     told["buckets"] = min(BUCKETS[1], max(BUCKETS[0], sum(s["documents"] for s in there) // BUCKET_DOCUMENTS))
     columns = [c for c in index.tables[0]["documents"].columns]
     documents = reduce(DataFrame.unionByName, [t["documents"].select(columns) for t in index.tables])
@@ -179,11 +213,16 @@ def _bucketed(spark: SparkSession, path: str, segment: int, table: str, buckets:
     name = _name(path, segment, table)
     if not spark.catalog.tableExists(name):
         kind = spark.read.parquet(f"{path}/{segment}/{table}").schema if table == "documents" else None
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) if kind else BLOCK_SQL
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) if kind else NUMBERS_SQL if table == "numbers" else BLOCK_SQL
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}/{segment}/{table}'")
     return spark.table(name)
 
 
+def between(value: Column, low: int | None, high: int | None) -> Column:
+    tests = [*([value >= low] if low is not None else []), *([value <= high] if high is not None else [])]
+    return reduce(Column.__and__, tests, value.isNotNull())
+
+
 class StoredIndex:
     """What ``write_index`` and ``append_documents`` have written. Raises an error if documents are missing from it.
 
@@ -192,7 +231,7 @@ class StoredIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, told = spark, _manifest(spark, path)
-        self.tables = [{"documents": _bucketed(spark, path, s.segment, "documents", s.buckets, "doc_id", "doc_id"), "postings": _bucketed(spark, path, s.segment, "postings", s.buckets, "part", "field, term, part")} for s in told]
+        self.tables = [{"documents": _bucketed(spark, path, s.segment, "documents", s.buckets, "doc_id", "doc_id"), "postings": _bucketed(spark, path, s.segment, "postings", s.buckets, "part", "field, term, part"), "numbers": _bucketed(spark, path, s.segment, "numbers", s.buckets, "part", "field, kind, value, part")} for s in told]
         self.size, self.bits = sum(s.documents for s in told), told[0].bits
         self.low, self.high = min(s.low for s in told), max(s.high for s in told)
         self.names, self.columns = told[0].fields.split(","), told[0].columns.split(",")
@@ -241,6 +280,13 @@ class StoredIndex:
         rows = rows.select("part", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("positions"), "k")
         return reduce(DataFrame.where, self.only_docs, rows).select(*KEY, F.explode("positions").alias("pos"), "k")
 
+    def range_hits(self, field: str, kind: str, low: int | None, high: int | None) -> DataFrame:
+        """(part, doc_id, pos) of numbers or days from ``low`` to ``high`` in a field; row groups of other values are skipped."""
+        test = (F.col("field") == field) & (F.col("kind") == kind) & between(F.col("value"), low, high)
+        rows = reduce(DataFrame.unionByName, [self._limited(t["numbers"].where(test), False) for t in self.tables])
+        rows = rows.select("part", F.explode(F.arrays_zip("docs", "positions")).alias("p")).select("part", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("positions"))
+        return reduce(DataFrame.where, self.only_docs, rows).select(*KEY, F.explode("positions").alias("pos")).distinct()
+
     def any_hits(self, wanted: Wanted) -> DataFrame:
         """(part, doc_id, pos) of any of the wanted."""
         out = self.hits(wanted).select(*KEY, "pos")
@@ -312,6 +358,11 @@ class TokenTable:
     def any_hits(self, wanted: Wanted) -> DataFrame:
         return self.hits(wanted).select(*KEY, "pos").distinct()
 
+    def range_hits(self, field: str, kind: str, low: int | None, high: int | None) -> DataFrame:
+        terms = F.split(F.col(field), r"\|") if self.multi else F.array(field)
+        rows = self.tokens.select(F.lit(0).alias("part"), "doc_id", "pos", F.explode(terms).alias("term")).withColumn("t", typed(F.col("term")))
+        return rows.where((F.col("t.kind") == kind) & between(F.col("t.value"), low, high)).select(*KEY, "pos").distinct()
+
     def forward(self, columns: list[str]) -> DataFrame:
         own = [c for c in columns if c not in ("mention", "entity")]
         needed = list(dict.fromkeys([*own, *(["token", "nerid", "nertag", "nerlength"] if len(own) < len(columns) else [])]))

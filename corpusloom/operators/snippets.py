@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.entities import CODES, COMMON, DYE, ENTITY, LAST_ONLY, MAPPING, expressions, missing_as_null
+from corpusloom.functions.entities import CODES, USUAL, Entities, missing_as_null
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators.blocks import token_rows
 
@@ -43,19 +43,19 @@ def _field(name: str) -> Column | None:
     return missing_as_null(F.col(name)) if name in NAMES else display(F.col("token")) if name == "content" else None
 
 
-def entity_values(tags: dict[str, list[str]] | None = None) -> tuple[Column, Column]:
+def entity_values(tags: dict[str, list[str]] | None = None, entities: Entities = USUAL) -> tuple[Column, Column]:
     """(picks, values): what a token adds to its entity (column ``entity``), and the names and places of the attributes to show.
 
     ``tags`` limits them to some tags and their attribute names ("all" for any). Of tokens before the last, properties
     count only if they have any.
     """
-    shared = {k: compile_expression(v, _field).cast("string") for k, v in (COMMON | ENTITY).items()}
+    shared = {k: compile_expression(v, _field).cast("string") for k, v in (entities.common | entities.entity).items()}
     has_own = reduce(Column.__or__, [_field(f"param{i}").isNotNull() for i in range(10)]) | (F.col("mention") == F.col("pos"))
     picks, own = F.array().cast("array<struct<name:string,at:int>>"), F.array().cast("array<string>")
-    for tag in MAPPING:
+    for tag in entities.mapping:
         wanted = (tags or {"all": ["all"]}).get(tag, (tags or {"all": ["all"]}).get("all"))
         if wanted is not None:
-            named = expressions(tag)
+            named = entities.expressions.get(tag, {})
             chosen = [(k, i) for i, k in enumerate([*shared, *named]) if "all" in wanted or k in wanted or k.removeprefix("data-") in wanted]
             if any(i >= len(shared) for _, i in chosen):
                 own = F.when(F.col("entity") == tag, F.array(*[compile_expression(v, _field).cast("string") for v in named.values()])).otherwise(own)
@@ -64,13 +64,13 @@ def entity_values(tags: dict[str, list[str]] | None = None) -> tuple[Column, Col
     return picks, F.concat(F.array(*shared.values()), F.when(has_own, own).otherwise(F.array().cast("array<string>")))
 
 
-def merged_attributes(picks: Column, values: Column) -> Column:
-    """One attribute string of an entity from the arrays of its tokens' values, in order; LAST_ONLY are not merged."""
+def merged_attributes(picks: Column, values: Column, last_only: tuple[str, ...]) -> Column:
+    """One attribute string of an entity from the arrays of its tokens' values, in order; some come from the last token alone."""
 
     def one(p: Column) -> Column:
         own = F.transform(values, lambda v: F.get(v, p["at"]))
         merged = F.array_join(F.filter(own, lambda x: x.isNotNull() & (x != "")), " ")
-        return F.concat(F.lit(" "), p["name"], F.lit('="'), F.when(p["name"].isin(*LAST_ONLY), F.coalesce(F.element_at(own, -1), F.lit(""))).otherwise(merged), F.lit('"'))
+        return F.concat(F.lit(" "), p["name"], F.lit('="'), F.when(p["name"].isin(*last_only), F.coalesce(F.element_at(own, -1), F.lit(""))).otherwise(merged), F.lit('"'))
 
     return F.array_join(F.transform(picks, one), "")
 
@@ -78,34 +78,34 @@ def merged_attributes(picks: Column, values: Column) -> Column:
 NAMES = {"position", "token", "tag", "lemma", "parpos", "function", "parword", "parlemma", "paroffset", "link", "length", "docuri", "lower", "nerid", "nertag", "nertype", "nerlength", *[f"param{i}" for i in range(10)]}
 
 
-def token_attributes(attributes: list[str], style: str) -> Column:
+def token_attributes(attributes: list[str], style: str, entities: Entities = USUAL) -> Column:
     """Attributes of one token; params of an entity's tokens bear the names of its properties."""
     mark = "data-" if style == "html" else ""
     out = []
     for a in attributes:
-        named = reduce(lambda rest, x: F.when(F.col("entity") == x[0], F.lit(f" {mark}{x[1]}=")).otherwise(rest), [(t, n) for t in MAPPING for n, p in MAPPING[t].items() if p == a], F.lit(f" {mark}{a}="))
+        named = reduce(lambda rest, x: F.when(F.col("entity") == x[0], F.lit(f" {mark}{x[1]}=")).otherwise(rest), [(t, n) for t, own in entities.mapping.items() for n, p in own.items() if p == a], F.lit(f" {mark}{a}="))
         out.append(F.concat(named, F.lit('"'), F.coalesce(missing_as_null(F.col(a)), F.lit("")), F.lit('"')))
     return F.concat(*out) if out else F.lit("")
 
 
-def rendered(found: DataFrame, source, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None, field: str = "token") -> DataFrame:
+def rendered(found: DataFrame, source, context: int = 5, style: str = "html", tags: dict[str, list[str]] | None = None, attributes: list[str] | None = None, field: str = "token", entities: Entities = USUAL) -> DataFrame:
     """(doc_id, l, r, snippet) in html, raw or ascii style, showing one field of the tokens.
 
     Tokens of one entity are one part, clipped where the snippet begins, whose attributes are joined from all of them.
     """
     columns = [*dict.fromkeys(["token", field, *sorted(NAMES & set(source.columns)), *(attributes or []), "mention", "entity"])]
     rows = snippet_tokens(found, source, context, columns).where(display(F.col("token")) != "")
-    picks, values = entity_values(tags)
-    own, each = token_attributes(attributes or [], style), "span" if style == "html" else "field"
+    picks, values = entity_values(tags, entities)
+    own, each = token_attributes(attributes or [], style, entities), "span" if style == "html" else "field"
     text = display(F.col(field))
     text = F.when((own != "") & (text != ""), F.concat(F.lit(f"<{each}"), own, F.lit(">"), text, F.lit(f"</{each}>"))).otherwise(text)
     rows = rows.select("doc_id", "l", "r", "pos", "entity", F.coalesce("mention", "pos").alias("part"), text.alias("text"), picks.alias("picks"), values.alias("values"))
     parts = rows.groupBy("doc_id", "l", "r", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "values"))).alias("t"), F.first("picks").alias("picks"), F.first("entity").alias("tag"))
-    parts = parts.withColumn("text", F.array_join(F.filter("t.text", lambda x: x != ""), " ")).withColumn("attrs", merged_attributes(F.col("picks"), F.col("t.values")))
+    parts = parts.withColumn("text", F.array_join(F.filter("t.text", lambda x: x != ""), " ")).withColumn("attrs", merged_attributes(F.col("picks"), F.col("t.values"), entities.last_only))
     plain = F.replace("attrs", F.lit("data-"), F.lit(""))
     element = F.concat(F.lit("<"), "tag", plain, F.lit(">"), "text", F.lit("</"), "tag", F.lit(">"))
     if style == "ascii":
-        code = reduce(lambda out, x: F.when(F.col("tag") == x[0], F.lit(f"\x1b[{CODES[x[1]]}m")).otherwise(out), DYE.items(), F.lit(f"\x1b[{CODES['Default']}m"))
+        code = reduce(lambda out, x: F.when(F.col("tag") == x[0], F.lit(f"\x1b[{CODES[x[1]]}m")).otherwise(out), entities.dye.items(), F.lit(f"\x1b[{CODES['Default']}m"))
         element = F.concat(code, element, F.lit("\x1b[0m"))
     elif style != "raw":
         element = F.concat(F.lit("<a"), "attrs", F.lit(">"), "text", F.lit("</a>"))

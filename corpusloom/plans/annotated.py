@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import FIELDS
 from corpusloom.operators import snippets
 from corpusloom.operators.constraints import constrained
-from corpusloom.operators.index import StoredIndex, is_index, opened, write_index
+from corpusloom.operators.index import FORMAT, StoredIndex, is_index, opened, write_index
 from corpusloom.plans.query import Searcher
 from corpusloom.sources import tokens as T
 from corpusloom.sources.storage import exists, shared_dir, version
@@ -55,7 +55,7 @@ def lines(spark, sf_dir) -> DataFrame:
 
 def stored(spark, sf_dir) -> StoredIndex:
     """The index over the vertical files."""
-    path = f"{folder(spark, sf_dir)}-index"
+    path = f"{folder(spark, sf_dir)}-index-{FORMAT}"
     if not is_index(spark, path):
         write_index(T.vertical_tokens(lines(spark, sf_dir)), path, ["token", "lower", "nertag", "nerid", "param2", "param3"])
     return opened(spark, path)
@@ -135,6 +135,8 @@ _ALL = {
     "vertical_fields": (vertical_fields, f"WITH {MADE}, {MARKS}, c AS (SELECT doc_id, pos, unnest(['token', 'lower', 'nertag', 'nerid', 'param2', 'param3']) AS field, unnest([token, lower, nertag, nerid, param2, param3]) AS cell FROM u), o AS (SELECT DISTINCT field, doc_id, pos, unnest(list_filter(string_split(cell, '|'), lambda x: x <> '')) AS term FROM c), d AS (SELECT field, term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT field, term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM d GROUP BY ALL) SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT count(DISTINCT doc_id) FROM u) AS documents, (SELECT max(pos) + 1 FROM u) AS maxdocsize FROM q GROUP BY field"),
     "search_property": (search("person.gender:M"), f"WITH {MADE} SELECT doc_id, pos AS l, pos AS r FROM v WHERE nertag = 'person' AND param3 = 'M'"),
     "search_aligned": (search("param3:F ^ nertag:location"), f"WITH {MADE} SELECT doc_id, pos AS l, pos AS r FROM v WHERE nertag = 'location' AND contains(param3, 'F')"),
+    "search_range": (search("param2:[1910..1920] ^ nertag:date"), f"WITH {MADE} SELECT doc_id, pos AS l, pos AS r FROM v WHERE nertag = 'date' AND TRY_CAST(param2 AS BIGINT) BETWEEN 1910 AND 1920"),
+    "search_range_open": (search("date.year:[1945..] < person.gender:M"), f"WITH {MADE}, k AS (SELECT *, entity AND kind = 'person' AND param3 = 'M' AS p, entity AND kind = 'date' AND TRY_CAST(param2 AS BIGINT) >= 1945 AS y FROM (SELECT v.*, nertag AS kind FROM v)), g AS (SELECT doc_id, pos AS r, p, lag(pos) OVER w AS l, lag(y) OVER w AS before FROM k WHERE p OR y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, l, r FROM g WHERE p AND before"),
     "search_paragraph": (search("(nertag:person < nertag:location) - _PAR_"), f"WITH {MADE}, {NEIGHBOURS} SELECT DISTINCT g.doc_id, g.l, g.r FROM g JOIN v a ON a.doc_id = g.doc_id AND a.pos = g.l JOIN v b ON b.doc_id = g.doc_id AND b.pos = g.r WHERE lt = 'person' AND rt = 'location' AND a.sen // 3 = b.sen // 3"),
     "constraint_pair": (constraint("1.param3 != 2.param3"), f"WITH {MADE}, {NEIGHBOURS} SELECT doc_id, l, r FROM p WHERE NOT {SHARE}"),
     "constraint_pair_equal": (constraint("1.param3 = 2.param3"), f"WITH {MADE}, {NEIGHBOURS} SELECT doc_id, l, r FROM p WHERE {SHARE}"),
@@ -143,6 +145,7 @@ _ALL = {
     "constraint_either": (constraint("1.nerlength >= 2 or 1.param3 = M and 2.param3 = M"), f"WITH {MADE}, {NEIGHBOURS} SELECT doc_id, l, r FROM p WHERE size = '2' OR contains(l3, 'M') AND contains(r3, 'M')"),
     "constraint_null": (constraint("1.nertype = 2.nertype", "(1:nertag:location < 2:(nertag:location OR nertag:date))~12"), f"WITH {MADE}, j AS (SELECT doc_id, pos AS r, lag(pos) OVER w AS l, nertag AS rt, lag(nertag) OVER w AS lt FROM v WHERE nertag IN ('location', 'date') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, l, r FROM j WHERE lt = 'location' AND rt = 'location' AND r - l + 1 <= 12"),
     "constraint_absent": (constraint("3.param3 = F"), f"WITH {MADE} SELECT doc_id, pos AS l, pos AS r FROM v WHERE false"),
+    "constraint_absent_other": (constraint("3.param3 = F or 1.param3 = M"), f"WITH {MADE}, {NEIGHBOURS} SELECT doc_id, l, r FROM p WHERE contains(CASE WHEN lt = 'person' THEN l3 ELSE r3 END, 'M')"),
     "entity_merge": (entity_merge, f"WITH {MADE}, {MENTIONS} SELECT doc_id, pos, mention, entity FROM n"),
     "rendered_raw": (rendered("raw", {"person": ["name", "gender"]}), shown("shown", "'<' || tag || attrs || '>' || text || '</' || tag || '>'", """' name="' || replace(param2, '_', ' ') || '" gender="' || CASE WHEN param3 = 'M' THEN 'male' ELSE 'female' END || '"'""")),
     "rendered_html": (rendered("html", {"person": ["gender"]}, ["lemma"]), shown("""CASE WHEN shown = '' THEN '' ELSE '<span data-lemma="' || CASE WHEN lemma = '0' THEN '' ELSE lemma END || '">' || shown || '</span>' END""", "'<a' || attrs || '>' || text || '</a>'", """' data-gender="' || CASE WHEN param3 = 'M' THEN 'male' ELSE 'female' END || '"'""")),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators import index, snippets
 from corpusloom.operators.constraints import constrained
 from corpusloom.operators.index import StoredIndex, append_documents, is_index, opened, write_index
+from corpusloom.operators.virtual import GAP, virtual_documents, virtual_postings
 from corpusloom.plans import annotated
 from corpusloom.plans.query import Searcher
 from corpusloom.plans.service import page_of, search_all
@@ -37,7 +40,7 @@ def both(a: str, b: str) -> str:
 
 
 def place(spark, sf_dir, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{version(spark, f'{sf_dir}/documents.parquet')}"
+    return f"{shared_dir(spark)}/{kind}-{index.FORMAT}-{version(spark, f'{sf_dir}/documents.parquet')}"
 
 
 def stored(spark, sf_dir) -> StoredIndex:
@@ -91,6 +94,17 @@ def constraint(text: str, query: str = "(1:of 2:th*)~6"):
     return run
 
 
+def virtual(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return virtual_postings(spark, pages, f"{shared_dir(spark)}/links-{uuid.uuid4().hex}")
+
+
+def link_postings(spark, sf_dir):
+    """Each term of each virtual document, its positions over all pages folded into sums."""
+    at = F.explode("positions").alias("pos")
+    return virtual(spark, sf_dir).select("target", "term", at).groupBy("target", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("pos").alias("sum_pos"))
+
+
 def stored_terms(spark, sf_dir):
     return stored(spark, sf_dir).terms.where("field = 'lower'").drop("field")
 
@@ -163,6 +177,13 @@ _ALL = {
     "two_collections": (two_collections, f"WITH {ORDERED}, k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id % 2 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS thread, CAST(n AS INTEGER) AS n FROM k WHERE before < 10"),
     "scalar_expression": (expression, f"SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, sql) in EXPRESSIONS.items())} FROM documents"),
 }
+LINKS = rf"""a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a\s*>')) AS link, unnest(range(len(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a\s*>')))) AS no FROM pages),
+b AS (SELECT page_id, no, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS page, regexp_replace(trim(regexp_extract(link, '(?is)^<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)), '#.*$', '') AS href, list_filter(regexp_split_to_array(regexp_replace(link, '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM a),
+l AS MATERIALIZED (SELECT page_id, no, w, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(host, '^[^:]*:') || href WHEN starts_with(href, '/') THEN host || href WHEN page = host THEN host || '/' || href ELSE regexp_replace(page, '[^/]*$', '') || href END AS target FROM b WHERE href <> '' AND len(w) > 0),
+s AS (SELECT *, coalesce(sum(len(w) + {GAP}) OVER (PARTITION BY target ORDER BY page_id, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+t AS MATERIALIZED (SELECT target, page_id, lower(unnest(w)) AS term, CAST(before + unnest(range(len(w))) AS BIGINT) AS pos FROM s)"""
+_ALL["virtual_postings"] = (link_postings, f"WITH {LINKS} SELECT target, term, count(*) AS tf, min(pos) AS first, max(pos) AS last, CAST(sum(pos) AS BIGINT) AS sum_pos FROM t GROUP BY ALL")
+_ALL["virtual_documents"] = (lambda s, d: virtual_documents(virtual(s, d)), f"WITH {LINKS} SELECT target, count(DISTINCT page_id) AS pages, count(*) AS words, max(pos) + 1 AS size FROM t GROUP BY ALL")
 _ALL["index_stored_terms"] = (stored_terms, _ALL["index_terms"][1])
 _ALL["index_batched_terms"] = (batched_terms, _ALL["index_terms"][1])
 _ALL["search_batches"] = (search('"of the"', batched), _ALL["search_phrase"][1])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 import re
 import sys
 import time
 from collections.abc import Iterable, Iterator
+from dataclasses import asdict
 from urllib.parse import unquote_plus
 
 from pyspark.errors import PySparkException
@@ -17,7 +19,8 @@ from corpusloom.functions.entities import CODES, DYE
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators.index import StoredIndex, is_index, write_index
 from corpusloom.plans.service import ask
-from corpusloom.plans.settings import Settings, read_cursor, read_settings, write_cursor, write_settings
+from corpusloom.plans.settings import Settings, read_cursor, read_settings, settings_of, write_cursor, write_settings
+from corpusloom.sources.storage import exists
 from corpusloom.sources.tokens import vertical_documents, vertical_lines, vertical_tokens
 
 SHADES = {name.replace(" ", "").lower(): code for name, code in CODES.items()}
@@ -58,15 +61,21 @@ def index_collection(spark: SparkSession, source: str, target: str, settings: Se
     lines = vertical_lines(spark, source)
     write_index(vertical_tokens(lines), target, list((settings or Settings()).indexed))
     vertical_documents(lines).write.mode("overwrite").parquet(f"{target}/about")
+    if settings:
+        spark.createDataFrame([(json.dumps(asdict(settings)),)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{target}/settings")
 
 
-def load_collections(spark: SparkSession, root: str) -> dict[str, tuple[StoredIndex, DataFrame]]:
-    """The indexes in the folders of a folder, or in it itself, by name."""
+def load_collections(spark: SparkSession, root: str) -> dict[str, tuple[StoredIndex, DataFrame, Settings]]:
+    """The indexes in the folders of a folder, or in it itself, by name, with their documents and the settings they were made with."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     places = [folder(root), *(x.getPath() for x in files.listStatus(folder(root)) if x.isDirectory())]
     there = [p for p in places if is_index(spark, p.toString())]
-    return {p.getName(): (StoredIndex(spark, p.toString()), spark.read.parquet(f"{p.toString()}/about")) for p in there}
+
+    def settings(path: str) -> Settings:
+        return settings_of(json.loads(spark.read.parquet(f"{path}/settings").first()[0])) if exists(spark, f"{path}/settings/_SUCCESS") else Settings()
+
+    return {p.getName(): (StoredIndex(spark, p.toString()), spark.read.parquet(f"{p.toString()}/about"), settings(p.toString())) for p in there}
 
 
 def evaluated(spark: SparkSession, text: str) -> str:

@@ -3,6 +3,7 @@
   a b, a & b, a AND b    both            a | b, a OR b   either          !a       documents without a
   "a b"   phrase         a < b  in order (a b)~5  within 5 positions     a ^ b    same place
   a - b   holds no b     a > b   holds a b      a @ b   lies in a b     a - _SENT_, a - _PAR_    in one sentence, paragraph
+  f:[a..b]  whole numbers or days from a to b, either may be left out
   "a .. b"  up to 4 words between, "a .2. b" up to 2, "a .1-3. b" from 1 to 3     {{f->g}} q   words of field f at g's places
   f:w, f:"a b", f:(a OR b)  in a field   w*  by prefix    1:f:w  labelled   tag.property:w  an entity's property
 """
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import MAPPING
 from corpusloom.operators import intervals as I
 from corpusloom.operators.blocks import KEY
-from corpusloom.operators.index import StoredIndex, TokenTable
+from corpusloom.operators.index import StoredIndex, TokenTable, bound
 
-LEX = re.compile(r'\s*(?:"([^"]*)"|([()&|!<>^~])|\{\{\s*([^\s{}>-]+)\s*->\s*([^\s{}>-]+)\s*\}\}|([-@](?=\s)|(?<=\s)-(?=[\s(_]))|([^\s()&|!<>^~":]+(?:\.[A-Za-z]+)?):(?=\S)|([^\s()&|!<>^~":]+))')
+LEX = re.compile(r'\s*(?:"([^"]*)"|([()&|!<>^~])|\{\{\s*([^\s{}>-]+)\s*->\s*([^\s{}>-]+)\s*\}\}|\[([^\s\]]*?)\.\.([^\s\]]*)\](?=[\s)]|$)|([-@](?=\s)|(?<=\s)-(?=[\s(_]))|([^\s()&|!<>^~":]+(?:\.[A-Za-z]+)?):(?=\S)|([^\s()&|!<>^~":]+))')
 GAP = re.compile(r"\.(?:(\d+)(?:-(\d+))?)?\.")
 #: Words that a gap without a number spans at most.
 ANY_GAP = 4
@@ -55,18 +56,20 @@ def lex(text: str) -> list[tuple[str, str]]:
             out.append(("op", m[2]))
         elif m[3]:
             out.append(("remap", f"{m[3]} {m[4]}"))
-        elif m[5]:
-            out.append(("op", m[5]))
-        elif m[6]:
-            out.append(("field", m[6]))
+        elif m[5] is not None:
+            out.append(("range", f"{m[5]} {m[6]}"))
+        elif m[7]:
+            out.append(("op", m[7]))
+        elif m[8]:
+            out.append(("field", m[8]))
         else:
-            out.append(("op", {"OR": "|", "AND": "&"}[m[7]]) if m[7] in ("OR", "AND") else ("word", m[7]))
+            out.append(("op", {"OR": "|", "AND": "&"}[m[9]]) if m[9] in ("OR", "AND") else ("word", m[9]))
     return out
 
 
 class Parser:
-    def __init__(self, text: str, default: str):
-        self.items, self.at, self.default = lex(text), 0, default
+    def __init__(self, text: str, default: str, mapping: dict[str, dict[str, str]]):
+        self.items, self.at, self.default, self.mapping = lex(text), 0, default, mapping
 
     def peek(self) -> tuple[str, str]:
         return self.items[self.at] if self.at < len(self.items) else ("end", "")
@@ -93,7 +96,7 @@ class Parser:
 
     def both(self) -> Node:
         parts = [self.order()]
-        while self.is_op("&", "!", "(") or self.peek()[0] in ("phrase", "field", "word", "remap"):
+        while self.is_op("&", "!", "(") or self.peek()[0] in ("phrase", "field", "word", "remap", "range"):
             if self.is_op("&"):
                 self.take()
             parts.append(self.order())
@@ -141,13 +144,19 @@ class Parser:
                 return self.atom(name, int(text))
             tag, _, prop = text.partition(".")
             if prop:
-                if prop not in MAPPING.get(tag, {}):
+                if prop not in self.mapping.get(tag, {}):
                     raise QueryError(f"no property {text}")
-                inner = self.atom(MAPPING[tag][prop])
-                if inner.kind not in ("term", "prefix", "or"):
+                inner = self.atom(self.mapping[tag][prop])
+                if inner.kind not in ("term", "prefix", "or", "range"):
                     raise QueryError(f"{text} has one value, so no phrase or order of words is in it")
                 return Node("aligned", [inner, Node("term", field="nertag", value=tag)], label=label)
             return self.atom(text, label)
+        if kind == "range":
+            ends = [bound(x) if x else None for x in text.split(" ")]
+            kinds = {e[0] for e in ends if e}
+            if len(kinds) != 1 or any(x and not e for x, e in zip(text.split(" "), ends, strict=True)):
+                raise QueryError("a range goes from one whole number or day (YYYY-MM-DD) to another")
+            return Node("range", field=name, value=(kinds.pop(), *(e and e[1] for e in ends)), label=label)
         if kind == "phrase":
             words, gaps = [], []
             for w in text.split():
@@ -172,14 +181,16 @@ class Parser:
         raise QueryError(f"unexpected {text or 'end'}")
 
 
-def parse(text: str, default: str = "token") -> Node:
-    return Parser(text, default).whole()
+def parse(text: str, default: str = "token", mapping: dict[str, dict[str, str]] = MAPPING) -> Node:
+    return Parser(text, default, mapping).whole()
 
 
 def words_of(node: Node) -> list[tuple[str, str, bool]]:
     """(field, word, by prefix) of a term, a prefix or the words of a phrase; bounds are postings of the empty term."""
     if node.kind == "bound":
         return [(node.value, "", False)]
+    if node.kind == "range":
+        return []
     return [(node.field, w, node.kind == "prefix") for w in (node.value if node.kind in ("phrase", "gapped") else [node.value])]
 
 
@@ -197,7 +208,7 @@ def needed(node: Node) -> list[list[tuple[str, str, bool]]]:
         return [[w for p in node.parts for w in words_of(p)]] if all(p.kind in ("term", "prefix") for p in node.parts) else []
     if node.kind == "difference":
         return needed(node.parts[0])
-    return [] if node.kind == "not" else [g for p in node.parts if p.kind != "not" for g in needed(p)]
+    return [] if node.kind in ("not", "range", "bound") else [g for p in node.parts if p.kind != "not" for g in needed(p)]
 
 
 class Searcher:
@@ -206,7 +217,8 @@ class Searcher:
     #: The rarest word leads if another is in so many times the documents; its parts are named if it is in so few.
     LEAD, NAMED = 8, 1000
 
-    def __init__(self, source: DataFrame | TokenTable | StoredIndex, multi: bool = False):
+    def __init__(self, source: DataFrame | TokenTable | StoredIndex, multi: bool = False, mapping: dict[str, dict[str, str]] = MAPPING):
+        self.mapping = mapping
         self.source = TokenTable(source, multi) if isinstance(source, DataFrame) else source
 
     def wanted(self, *nodes: Node) -> list[tuple[str, str, bool]]:
@@ -263,6 +275,8 @@ class Searcher:
         single = self._single(node, marks)
         if single is not None and node.kind != "bound":
             return I.points(self.source.any_hits(self.wanted(*single)))
+        if node.kind == "range":
+            return I.points(self.source.range_hits(node.field, *node.value))
         if node.kind == "phrase":
             return I.phrase(self.source.hits(self.wanted(node)), len(node.value))
         if node.kind == "gapped":
@@ -311,15 +325,15 @@ class Searcher:
         parts = self.source.blocks(reduce(Column.__or__, test)).select("part").distinct()
         if sums[rare] <= self.NAMED:
             parts = [r.part for r in parts.collect()]
-        return Searcher(self.source.among(parts))
+        return Searcher(self.source.among(parts), mapping=self.mapping)
 
     def matches(self, text: str, default: str = "token", marks: bool = False) -> DataFrame:
         """(part, doc_id, l, r) of all minimal intervals, with the labels that they carry if asked for."""
-        tree = parse(text, default)
+        tree = parse(text, default, self.mapping)
         nodes = all_nodes(tree)
         if marks and all(n.label is None for n in nodes):
             raise QueryError("no labels")
-        self.wanted(*[n for n in nodes if n.kind in ("term", "prefix", "phrase", "gapped")])
+        self.wanted(*[n for n in nodes if n.kind in ("term", "prefix", "phrase", "gapped", "range")])
         return self.led(tree).plan(tree, marks)
 
     def search(self, text: str, default: str = "token") -> DataFrame:

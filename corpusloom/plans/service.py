@@ -8,55 +8,57 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.entities import FIELDS, MAPPING
+from corpusloom.functions.entities import FIELDS
 from corpusloom.operators.constraints import constrained
 from corpusloom.operators.index import StoredIndex, TokenTable
 from corpusloom.operators.snippets import budget, next_cursor, page, page_by_ranges, paragraphs, plain_snippets, rendered
 from corpusloom.plans.query import Searcher, needed, parse
+from corpusloom.plans.settings import Settings
 
 STYLES = ("html", "raw", "ascii")
 Source = TokenTable | StoredIndex
+DEFAULT = Settings()
 
 
 def as_source(tokens: DataFrame | Source, multi: bool = False) -> Source:
     return TokenTable(tokens, multi) if isinstance(tokens, DataFrame) else tokens
 
 
-def allowed_fields() -> list[str]:
-    return [*FIELDS, *(f"{tag}.{name}" for tag in MAPPING for name in MAPPING[tag])]
+def allowed_fields(settings: Settings = DEFAULT) -> list[str]:
+    return [*settings.fields, *(f"{tag}.{name}" for tag, own in settings.mapping.items() for name in own)]
 
 
-def matches(source: Source, request: dict, field: str = "token") -> DataFrame:
+def matches(source: Source, request: dict, field: str = "token", settings: Settings = DEFAULT) -> DataFrame:
     """(part, doc_id, l, r) of all intervals of a request's query that meet its constraint."""
-    s = Searcher(source)
+    s = Searcher(source, mapping=settings.mapping)
     if request.get("constraint"):
-        return constrained(s.matches(request["query"], field, marks=True), source, request["constraint"])
+        return constrained(s.matches(request["query"], field, marks=True), source, request["constraint"], settings.mapping)
     return s.matches(request["query"], field)
 
 
-def page_of(source: Source, request: dict, field: str = "token") -> tuple[DataFrame, Source]:
+def page_of(source: Source, request: dict, field: str = "token", settings: Settings = DEFAULT) -> tuple[DataFrame, Source]:
     """The intervals of a request's page of documents, and a view of the source that has these alone, if it is stored."""
     snippets, offset = int(request.get("snippets", 0)), int(request.get("offset", 0))
     if not isinstance(source, StoredIndex):
-        return page(matches(source, request, field), snippets, offset), source
-    groups = needed(parse(request["query"], field))
+        return page(matches(source, request, field, settings), snippets, offset), source
+    groups = needed(parse(request["query"], field, settings.mapping))
     counts = iter(source.frequency([w for g in groups for w in g]))
     expected = min((sum(next(counts) for _ in g) for g in groups), default=source.size)
-    return page_by_ranges(source, lambda view: matches(view, request, field), expected, snippets, offset)
+    return page_by_ranges(source, lambda view: matches(view, request, field, settings), expected, snippets, offset)
 
 
-def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False, thread: str = "0") -> DataFrame:
+def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False, thread: str = "0", settings: Settings = DEFAULT) -> DataFrame:
     """(doc_id, title, uri, thread, data): the snippets of a page of documents, showing the request's field if there is
     such a one; columns that ``documents`` lacks are null.
     """
     source = as_source(tokens, multi)
-    style, field = request.get("style", "html").lower(), request.get("field", "token")
+    style, field = request.get("style", settings.style).lower(), request.get("field", settings.field)
     field = field if field in source.columns else "token"
-    found, source = page_of(source, request)
+    found, source = page_of(source, request, settings=settings)
     wanted = request.get("format", {})
     if set(FIELDS) <= set(source.columns):
         attributes = wanted.get("attributes") or []
-        cut = rendered(found, source, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes, field=field)
+        cut = rendered(found, source, style=style if style in STYLES else "html", tags=wanted.get("nertags"), attributes=FIELDS if "all" in attributes else attributes, field=field, entities=settings.entities())
     else:
         cut = plain_snippets(found, source, field=field)
     data = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l", "snippet")))["snippet"].alias("data"))
@@ -64,18 +66,19 @@ def search(tokens: DataFrame | Source, documents: DataFrame, request: dict, mult
     return data.join(documents.select("doc_id", *extra), "doc_id").withColumn("thread", F.lit(thread))
 
 
-def search_all(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: dict, multi: bool = False) -> DataFrame:
-    """Union of the results of all collections, each with its name as thread; one job serves them all.
+def search_all(collections: dict[str, tuple], request: dict, multi: bool = False) -> DataFrame:
+    """Union of the results of all collections (tokens or index, documents, and settings if there are such), each with its name as
+    thread; one job serves them all.
 
     Each collection has its share of the snippets, from the request's ``cursor`` on (collection: offset); with a cursor,
     those that it doesn't name are at their end.
     """
     cursor = request.get("cursor")
     parts = []
-    for name, (t, d) in sorted(collections.items()):
+    for name, (t, d, *own_settings) in sorted(collections.items(), key=lambda x: x[0]):
         if not cursor or name in cursor:
             own = {"snippets": budget(int(request.get("snippets", 0)), len(cursor or collections)), "offset": (cursor or {}).get(name, int(request.get("offset", 0)))}
-            parts.append(search(t, d, request | own, multi, name))
+            parts.append(search(t, d, request | own, multi, name, *own_settings))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -86,7 +89,7 @@ def _shown(row) -> dict:
     return {"data": row["data"], "title": row.title, "uri": row.uri, "doc": str(row.doc_id), "thread": row.thread}
 
 
-def ask(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: dict, multi: bool = False) -> dict:
+def ask(collections: dict[str, tuple], request: dict, multi: bool = False) -> dict:
     """The answer of all collections to a request, asked again until there are as many snippets as wanted or no more.
 
     Results come in order of collection and document, with counts by collection, the cursor of the next request, how far each
@@ -94,7 +97,8 @@ def ask(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: d
     raised. ``get`` and ``allowedFields`` go to the collection that the request names as ``thread``, else to the first.
     """
     if "get" in request or "allowedFields" in request:
-        return respond(*collections[request.get("thread", min(collections))], request, multi)
+        tokens, documents, *settings = collections[request.get("thread", min(collections))]
+        return respond(tokens, documents, request, multi, *settings)
     began = time.time_ns()
     about = {"hostname": socket.gethostname(), "expectedSnippets": int(request.get("snippets", 0))}
     results, received, wanted = [], dict.fromkeys(sorted(collections), 0), int(request.get("snippets", 0))
@@ -121,7 +125,7 @@ def ask(collections: dict[str, tuple[DataFrame | Source, DataFrame]], request: d
     return {"results": results, "received": received, "total": str(sum(received.values())), "documents": str(len(results)), "cursor": cursor, "offset": offset, "time": str(time.time_ns() - began), "error": ""} | about
 
 
-def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False) -> dict:
+def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, multi: bool = False, settings: Settings = DEFAULT) -> dict:
     """The JSON answer of one collection; a page's results are gathered, and an error is told instead of raised.
 
     total and documents count the results of the answer.
@@ -135,8 +139,8 @@ def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, mul
             told = {k: about[k] if about and k in documents.columns else None for k in ("title", "uri")}
             return {"results": [{"data": [r.snippet for r in rows], "doc": str(request["get"]), **told}], "time": str(time.time_ns() - began), "error": ""}
         if "allowedFields" in request:
-            return {"allowed": allowed_fields(), "error": ""}
-        results = [_shown(r) for r in search(source, documents, request).orderBy("doc_id").collect()]
+            return {"allowed": allowed_fields(settings), "error": ""}
+        results = [_shown(r) for r in search(source, documents, request, settings=settings).orderBy("doc_id").collect()]
         return {"results": results, "total": str(sum(len(r["data"]) for r in results)), "documents": str(len(results)), "offset": int(request.get("offset", 0)) + len(results), "expectedSnippets": int(request.get("snippets", 0)), "time": str(time.time_ns() - began), "hostname": socket.gethostname(), "error": ""}
     except ValueError as e:
         return {"results": [], "error": "query", "errorMessage": str(e), "time": str(time.time_ns() - began)}

@@ -8,14 +8,16 @@ import xml.etree.ElementTree as ET
 from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
-from corpusloom.functions.entities import DYE, FIELDS, LAST_ONLY, MAPPING
+from corpusloom.functions.entities import COMMON, DYE, ENTITY, FIELDS, LAST_ONLY, MAPPING, Entities, expressions
 
 PORT = 12000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Fields of token rows, the field shown, style, properties of tags, colours, attributes that aren't merged, fields to index."""
+    """Fields of token rows, the field shown, style, properties of tags, colours, attributes that aren't merged, fields to index,
+    and expressions: of a tag's attributes, in place of the usual ones (tag: attribute: expression), of all tokens and of all entities.
+    """
 
     fields: tuple[str, ...] = tuple(FIELDS)
     field: str = "token"
@@ -24,6 +26,21 @@ class Settings:
     dye: dict[str, str] = dataclasses.field(default_factory=lambda: DYE)
     nonDuplicateFields: tuple[str, ...] = tuple(x.removeprefix("data-") for x in LAST_ONLY)
     indexed: tuple[str, ...] = ("token", "lemma", "lower", "tag", "nerid", "nertag", *(f"param{i}" for i in range(10)))
+    expressions: dict[str, dict[str, str]] = dataclasses.field(default_factory=dict)
+    tokenExpressions: dict[str, str] = dataclasses.field(default_factory=lambda: COMMON)
+    entityExpressions: dict[str, str] = dataclasses.field(default_factory=lambda: ENTITY)
+
+    def entities(self) -> Entities:
+        """How queries and snippets take entities."""
+        own = {tag: self.expressions.get(tag, expressions(tag) if self.mapping[tag] == MAPPING.get(tag) else {f"data-{x}": p for x, p in self.mapping[tag].items()}) for tag in self.mapping}
+        last = tuple(x if x in ("href", "style") else f"data-{x}" for x in self.nonDuplicateFields)
+        return Entities(self.mapping, own, self.tokenExpressions, self.entityExpressions, last, self.dye)
+
+
+def settings_of(found: dict) -> Settings:
+    """Settings by name; unknown names are left out."""
+    known = {k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in Settings.__dataclass_fields__}
+    return replace(Settings(), **known)
 
 
 def read_settings(path: str) -> Settings:
@@ -37,8 +54,7 @@ def read_settings(path: str) -> Settings:
         except ImportError as e:
             raise ValueError("a YAML file needs the module yaml; JSON needs none") from e
         found = yaml.safe_load(text)
-    known = {k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in Settings.__dataclass_fields__}
-    return replace(Settings(), **known)
+    return settings_of(found)
 
 
 def write_settings(path: str, settings: Settings | None = None) -> None:

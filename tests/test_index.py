@@ -8,12 +8,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import index, snippets
+from corpusloom.operators import index, snippets, virtual
 from corpusloom.operators import intervals as I
 from corpusloom.operators.constraints import ConstraintError, constrained
 from corpusloom.plans.query import QueryError, Searcher, parse
 from corpusloom.plans.service import ask, matches, page_of
 from corpusloom.sources import tokens as T
+from corpusloom.streaming.indexing import index_stream
 
 WORDS = "a b c d e f g h".split()
 
@@ -220,6 +221,69 @@ def test_more_that_queries_refuse_and_read():
     assert parse("semi-longbow").value == "semi-longbow" and parse("a@b").value == "a@b"
 
 
+def test_ranges(spark, tmp_path):
+    """Whole numbers and days by value, not by text; what is neither is in no range."""
+    cells = ["7", "-3", "10", "1999", "+12", "x7", "2001-02-28", "2001-02-30", "1999-12-31", "0", "9|2000-01-01", "12345678901234567890"]
+    rows = [(d, p, cells[(d + p) % len(cells)]) for d in range(300) for p in range(5)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, year string")
+    index.write_index(tokens, str(tmp_path / "i"), ["year"])
+    stored = index.StoredIndex(spark, str(tmp_path / "i"))
+    day = lambda x: re.fullmatch(r"\d{4}-\d\d-\d\d", x) and x != "2001-02-30"
+    number = lambda x: re.fullmatch(r"[+-]?\d{1,18}", x)
+    for query, test in (("[0..10]", lambda x: number(x) and 0 <= int(x) <= 10), ("[-5..-1]", lambda x: number(x) and -5 <= int(x) <= -1), ("[11..]", lambda x: number(x) and int(x) >= 11), ("[..2000-06-01]", lambda x: day(x) and x <= "2000-06-01"), ("[2000-01-01..2001-12-31]", lambda x: day(x) and "2000-01-01" <= x <= "2001-12-31")):
+        want = {(d, p, p) for d, p, c in rows if any(test(x) for x in c.split("|"))}
+        assert got(Searcher(stored).search(query, "year")) == want == got(Searcher(tokens, multi=True).search(query, "year")), query
+    plan = plan_of(Searcher(stored).search("[11..50]", "year"))
+    assert re.search(r"value#\d+L >= 11\b.*value#\d+L <= 50\b", plan) and "PushedFilters: [IsNotNull(field)" in plan and "Exchange" not in plan
+    assert got(Searcher(stored).search("([0..10] 1:[2000-01-01..])~2", "year"))
+    for bad in ("[a..b]", "[..]", "[1..2001-01-01]", "year:[1..x]"):
+        with pytest.raises(QueryError):
+            parse(bad, "year")
+
+
+def test_streams_of_documents_become_segments(spark, docs, tmp_path):
+    """Batches of a stream are added as segments, each once, also where a batch comes again; the index equals one built whole."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "stream")
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for _ in range(2):
+        query = index_stream(stream, path, ["token", "lower"], T.plain_documents).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        many = index.StoredIndex(spark, path)
+        assert len(many.tables) == 3 and many.size == index.documents_with_words(T.plain_documents(docs)).count()
+    index.append_documents(docs.where("doc_id % 3 = 1"), path, T.plain_documents, batch=1)
+    assert len(index.StoredIndex(spark, path).tables) == 3
+    index.write_index(docs, str(tmp_path / "whole"), ["token", "lower"], make=T.plain_documents)
+    one = index.StoredIndex(spark, str(tmp_path / "whole"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one.terms) == rows(many.terms.select(one.terms.columns))
+    for query in ("a b", "(rare b)~9", "(a < b) - _SENT_"):
+        assert got(Searcher(one).search(query, "lower")) == got(Searcher(many).search(query, "lower")), query
+    index.merge_segments(spark, path)
+    index.append_documents(docs.where("doc_id % 3 = 1"), path, T.plain_documents, batch=1)
+    assert len(index.StoredIndex(spark, path).tables) == 1  # what was merged is still known
+
+
+def test_virtual_documents(spark, tmp_path):
+    """Links as their pages resolve them; a target of very many links lies in many lots."""
+    base = "http://a.b/c/d?x#y"
+    cases = {"/p": "http://a.b/p", "p": "http://a.b/c/p", "//h/p": "http://h/p", "https://z/q#f": "https://z/q", "#f": None, "": None, "?q": "http://a.b/c/?q"}
+    df = spark.createDataFrame([(h, base) for h in cases] + [("p", "http://a.b")], "h string, b string")
+    got_ = [r[0] for r in df.select(virtual.resolved(F.col("h"), F.col("b"))).collect()]
+    assert got_ == [*cases.values(), "http://a.b/p"]
+    link = lambda i: f'<A class="x" href="{"/hot" if i % 3 else f"/t{i}"}"><b>Word{i % 5}</b> and\n more</a><a href="/none"> </a><a name="q">lost</a>'
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{link(i)}{link(i)}</p>") for i in range(3000)] + [(9000, None, None), (9001, "http://h/", "")], "page_id long, url string, html string").repartition(4)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    found = virtual.virtual_postings(spark, pages, str(tmp_path / "lots"), 10).collect()
+    spark.conf.unset(setting)
+    hot = sorted((r.page_id, r.positions) for r in found if r.target == "http://h/hot" and r.term == "and")
+    assert hot == [(i, [26 * k + 1, 26 * k + 14]) for k, i in enumerate(i for i in range(3000) if i % 3)]
+    assert {r.target for r in found} == {"http://h/hot", *(f"http://h/t{i}" for i in range(0, 3000, 3))} and {r.term for r in found} == {"and", "more", *(f"word{i}" for i in range(5))}
+    assert spark.read.parquet(str(tmp_path / "lots")).where("target = 'http://h/hot'").select("lot").distinct().count() > 1
+
+
 def test_answers_and_errors(stored):
     about = stored.documents.select("doc_id", F.lit("t").alias("title"))
     both = {"x": (stored, about), "y": (stored.where(F.col("doc_id") % 2 == 0), about)}

@@ -141,6 +141,20 @@ def test_search_render_and_constrain(spark, vertical):
     assert ask(both, {"get": 0, "thread": "y"}, True)["results"][0]["data"][0] == "Head"
 
 
+def test_settings_reach_queries_constraints_and_snippets(spark, vertical):
+    """Properties, expressions, colours and merged attributes of a collection's settings, in place of the usual ones."""
+    tokens, documents = T.vertical_tokens(vertical).cache(), T.vertical_documents(vertical)
+    own = Settings(mapping={"person": {"fullname": "param2", "sex": "param3"}, "location": {"name": "param2"}}, expressions={"person": {"data-who": '(concatenate "Mr " param2)', "data-lost": "(concatenate param9 param2)"}}, style="raw", entityExpressions={}, tokenExpressions={"data-lemma": "lemma"}, nonDuplicateFields=("lemma",), dye={"person": "Red"})
+    out = respond(tokens, documents, {"query": "person.sex:M"}, True, own)["results"][0]["data"][0]
+    assert '<person lemma="hill" who="Mr Howard_Hill" lost="<error: concatenate: NIL is no string>">Howard Hill</person>' in out
+    assert respond(tokens, documents, {"query": "person.gender:M"}, True, own)["error"] == "query"
+    assert respond(tokens, documents, {"query": "1:nertag:person 2:nertag:location", "constraint": "1.person.sex = M"}, True, own)["total"] == "1"
+    assert respond(tokens, documents, {"query": "1:nertag:person", "constraint": "1.person.gender = M"}, True, own)["error"] == "query"
+    assert respond(tokens, documents, {"query": "Hill", "style": "ascii"}, True, own)["results"][0]["data"][0].count("\x1b[31m<person") == 1
+    assert "person.fullname" in respond(tokens, documents, {"allowedFields": True}, True, own)["allowed"]
+    assert ask({"x": (tokens, documents, own), "y": (tokens, documents)}, {"query": "person.sex:M"}, True)["error"] == "query"
+
+
 def test_sentences_paragraphs_and_long_intervals(spark):
     rng = random.Random(7)
     rows, n = [], 0
@@ -277,6 +291,7 @@ def test_collections_from_files_to_answers(spark, tmp_path, capsys):
     assert sorted(found) == ["a", "b"]
     lines = list(console.answered(found, "Rome", {"snippets": 5, "style": "raw", "head": ["title"]}))
     assert len(lines) == 4 and "A title" in lines[0] and "<location" in lines[0] and lines[-1].startswith("3 results in 3 documents")
-    written(tmp_path / "queries", "Rome\n")
+    written(tmp_path / "queries", "(Rome\n\nRome\n")
     console.main(["search", str(tmp_path / "out" / "b"), "--input", str(tmp_path / "queries"), "--cursor", str(tmp_path / "cursor")])
-    assert "Rome" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert said.startswith("query: ") and "Rome" in said  # a bad line doesn't end the session
