@@ -23,7 +23,9 @@ BLOCK = 2 << 20
 #: Pre-tokens of more bytes are scored one by one along the pieces found in them; they would make a trie as deep as they are long.
 LONG = 96
 #: Rounds of estimation at most, and the share by which the last one raises the likelihood when it has settled.
-MOST_ROUNDS, SETTLED = 12, 1e-3
+MOST_ROUNDS, SETTLED = 12, 0.01
+#: Bits of a hash that a small table doesn't know; it tells most strings that are no piece.
+LIKELY = U64(46)
 #: Words whose counts every worker may hold, 24 bytes each.
 COMMON = 200_000
 _models: dict[str, Pieces] = {}
@@ -66,6 +68,8 @@ class Pieces:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.longest = max(len(x) for x in pieces)
+        self.likely = np.zeros(1 << (64 - int(LIKELY)), bool)
+        self.likely[(self.hashes >> LIKELY).astype(np.int64)] = True
         self.first = np.searchsorted(self.hashes >> U64(44), np.arange((1 << 20) + 1, dtype=U64))
         self.bytes, self.finder = pieces, None
         self.score(scores)
@@ -79,10 +83,11 @@ class Pieces:
         slot = (hashes >> U64(44)).astype(np.int64)
         at, stop = self.first[slot], self.first[slot + 1]
         while (live := np.flatnonzero(at < stop)).size:
-            hit = live[self.hashes[at[live]] == hashes[live]]
+            same = self.hashes[at[live]] == hashes[live]
+            hit = live[same]
             out[hit] = self.order[at[hit]]
             at[hit] = stop[hit]
-            at[np.setdiff1d(live, hit, assume_unique=True)] += 1
+            at[live[~same]] += 1
         return out
 
     def within(self, word: bytes) -> Iterator[tuple[int, int]]:
@@ -115,16 +120,23 @@ def forward(rolling: Rolling, starts: np.ndarray, ends: np.ndarray, pieces: Piec
         word = live[word]
         best, count = np.full(len(word), -np.inf), np.zeros(len(word), np.int64)
         last, length, before = (np.zeros(len(word), np.int64) for _ in range(3))
+        end = starts[word] + depth
         for k in range(1, min(depth, pieces.longest) + 1):
             of, s, c = recent[-k]
-            end = starts[word] + depth
-            piece = pieces.find(rolling.spans(end - k, end))
-            worth = np.where(piece >= 0, pieces.scores[piece], pieces.unknown if k == 1 else -np.inf)
-            parent = of[word]
-            now, n = s[parent] + worth, c[parent] + 1
-            better = (now > best) | ((now == best) & (n < count))
-            for out, new in ((best, now), (count, n), (last, piece), (length, k), (before, parent)):
-                np.copyto(out, new, where=better)
+            hashes = rolling.spans(end - k, end)
+            if k == 1:  # any byte may stand alone
+                at, piece = np.arange(len(word)), pieces.find(hashes)
+            else:
+                at = np.flatnonzero(pieces.likely[(hashes >> LIKELY).astype(np.int64)])
+                piece = pieces.find(hashes[at])
+                at, piece = at[piece >= 0], piece[piece >= 0]
+            parent = of[word[at]]
+            now, n = s[parent] + np.where(piece >= 0, pieces.scores[piece], pieces.unknown), c[parent] + 1
+            better = (now > best[at]) | ((now == best[at]) & (n < count[at]))
+            at = at[better]
+            for out, new in ((best, now), (count, n), (last, piece), (before, parent)):
+                out[at] = new[better]
+            length[at] = k
         of = np.zeros(len(starts), np.int64)
         of[live] = node
         recent = [*recent[-pieces.longest :], (of, best, count)]
