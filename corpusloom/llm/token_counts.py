@@ -26,6 +26,8 @@ LONG = 96
 MOST_ROUNDS, SETTLED = 12, 0.01
 #: Bits of a hash that a small table doesn't know; it tells most strings that are no piece.
 LIKELY = U64(46)
+#: Distinct words in a range, which one task scores.
+WORDS_A_TASK = 100_000
 #: Words whose counts every worker may hold, 24 bytes each.
 COMMON = 200_000
 _models: dict[str, Pieces] = {}
@@ -251,7 +253,8 @@ def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def distinct_words(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(word, n): the distinct pre-tokens of all documents and how often they occur, in order, so that neighbours share prefixes."""
     words = docs.select("text").mapInArrow(_distinct, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return scratch.put(words.repartitionByRange(F.substring("word", 1, 16)).sortWithinPartitions("word"))
+    words = scratch.put(words)
+    return scratch.put(words.repartitionByRange(1 + words.count() // WORDS_A_TASK, F.substring("word", 1, 16)).sortWithinPartitions("word"))
 
 
 def _tries(it: Iterator[pa.RecordBatch], model: Pieces) -> Iterator[tuple]:
