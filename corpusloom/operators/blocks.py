@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.tokens import in_batches, pieces
+
 SENTENCE, PARAGRAPH = "_SENT_", "_PAR_"
 PARTS = {SENTENCE: "sen_no", PARAGRAPH: "par_no"}
 KEY = ["part", "doc_id"]
+#: Positions that a task's Python works on at once, but for a longer document.
+PIECE = 1 << 19
 BLOCK = pa.schema([("field", pa.string()), ("term", pa.string()), ("part", pa.int64()), ("docs", pa.list_(pa.int64())), ("positions", pa.list_(pa.list_(pa.int32()))), ("cf", pa.int64()), ("max_count", pa.int64()), ("sum_max_pos", pa.int64())])
 BLOCK_SQL = "field string, term string, part long, docs array<long>, positions array<array<int>>, cf long, max_count long, sum_max_pos long"
 
@@ -26,8 +30,9 @@ def documents_of(tokens: DataFrame) -> DataFrame:
 
 
 def token_rows(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """The reverse: (doc_id, pos, ...) of the arrays."""
-    return documents.select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("pos", "t")).select("doc_id", "pos", "t.*")
+    """The reverse: (doc_id, pos, ...) of the arrays; ``part`` stays where it is known."""
+    key = [c for c in KEY if c in documents.columns]
+    return documents.select(*key, F.posexplode(F.arrays_zip(*columns)).alias("pos", "t")).select(*key, "pos", "t.*")
 
 
 def _cells(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, bool]:
@@ -65,7 +70,7 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _gather(field: str, part: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, code: np.ndarray, terms: pa.Array, unique: bool) -> pa.RecordBatch:
+def _gather(field: str, part: np.ndarray, doc: pa.Array, row: np.ndarray, pos: np.ndarray, code: np.ndarray, terms: pa.Array, unique: bool) -> pa.RecordBatch:
     """Blocks from occurrences: sorted by term, those of one document and of one part are runs."""
     order = np.argsort(code * (len(doc) + 1) + row, kind="stable")
     row, pos, code = row[order], pos[order], code[order]
@@ -83,7 +88,7 @@ def _gather(field: str, part: np.ndarray, doc: np.ndarray, row: np.ndarray, pos:
             pa.array([field] * len(b), pa.string()),
             terms.take(pa.array(code[first])),
             pa.array(part[row[first]], pa.int64()),
-            _lists(block_ends, pa.array(doc[row[a]], pa.int64())),
+            _lists(block_ends, doc.take(pa.array(row[a]))),
             _lists(block_ends, _lists(ends, pa.array(pos, pa.int32()))),
             pa.array(np.add.reduceat(count, b), pa.int64()),
             pa.array(np.maximum.reduceat(count, b), pa.int64()),
@@ -95,8 +100,8 @@ def _gather(field: str, part: np.ndarray, doc: np.ndarray, row: np.ndarray, pos:
 
 def _blocks(fields: list[str], marks: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            doc, part = batch.column("doc_id").to_numpy(), batch.column("part").to_numpy()
+        for batch in pieces(it, fields[0], PIECE):
+            doc, part = batch.column("doc_id").cast(pa.int64()), batch.column("part").to_numpy()
             for name in fields:
                 row, pos, flat, several = _cells(batch.column(name))
                 if len(row):
@@ -114,14 +119,14 @@ def block_rows(documents: DataFrame, fields: list[str], marks: list[str] | None
     """Blocks (field, term, part, docs, positions, cf, max_count, sum_max_pos) of documents (doc_id, part, arrays).
 
     Terms are the alternatives of cells; the starts of sentences and paragraphs are postings of the empty term. The rows of one part that lie
-    together in a batch make one block of each term; nothing is shuffled.
+    together in a piece make one block of each term; nothing is shuffled.
     """
     marks = [m for m, c in PARTS.items() if c in documents.columns] if marks is None else marks
-    return documents.select("doc_id", F.col("part").cast("long"), *fields, *[PARTS[m] for m in marks]).mapInArrow(_blocks(fields, marks), BLOCK_SQL)
+    return in_batches(documents.select("doc_id", F.col("part").cast("long"), *fields, *[PARTS[m] for m in marks]), _blocks(fields, marks), BLOCK_SQL)
 
 
 def _mentions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in pieces(it, "token", PIECE):
         size = pc.fill_null(pc.list_value_length(batch.column("token")), 0).to_numpy().astype(np.int64)
         flat = {c: pc.list_flatten(batch.column(c)) for c in ("nerid", "nertag", "nerlength")}
         tag = flat["nertag"]
@@ -142,4 +147,4 @@ def _mentions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_mentions(documents: DataFrame) -> DataFrame:
     """Adds arrays ``mention`` and ``entity``: position and tag of the last token of the entity that a token belongs to, the last one if several."""
     kind = T.StructType(list(documents.schema.fields)).add("mention", T.ArrayType(T.IntegerType())).add("entity", T.ArrayType(T.StringType()))
-    return documents.mapInArrow(_mentions, kind)
+    return in_batches(documents, _mentions, kind)

@@ -132,6 +132,6 @@ def constrained(found: DataFrame, source, text: str, mapping: dict[str, dict[str
     fields = sorted(fields_of(tree, mapping))
     if missing := [f for f in fields if f not in source.columns]:
         raise ConstraintError(f"no field {missing[0]}")
-    rows = found.select("part", "doc_id", "l", "r", "marks").join(source.forward(fields).drop("part"), "doc_id")
+    rows = source.beside(found.select("doc_id", "l", "r", "marks"), fields)
     value = lambda m: F.struct(m["label"].alias("label"), m["pos"].alias("pos"), *[F.get(F.col(f), m["pos"]).alias(f) for f in fields])
     return rows.select("part", "doc_id", "l", "r", F.transform("marks", value).alias("matches")).where(condition(tree, F.col("matches"), mapping)).select("part", "doc_id", "l", "r")

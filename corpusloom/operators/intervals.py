@@ -165,7 +165,7 @@ def without(t: DataFrame) -> DataFrame:
 
 def absent(documents: DataFrame, a: DataFrame) -> DataFrame:
     """Documents without any interval of a."""
-    return keyed(documents).select(*KEY).join(a, "doc_id", "left_anti")
+    return keyed(documents).select(*KEY).join(keyed(a), KEY, "left_anti")
 
 
 def unbroken(a: DataFrame, starts: DataFrame) -> DataFrame:

@@ -18,17 +18,17 @@ def display(token: Column) -> Column:
 
 
 def snippet_tokens(found: DataFrame, source, context: int, columns: list[str]) -> DataFrame:
-    """(doc_id, l, r, pos, ...): tokens in and around each interval, cut out of the arrays of its document."""
-    rows = found.select("doc_id", "l", "r").join(source.forward(columns).drop("part"), "doc_id")
+    """(lot, doc_id, l, r, pos, ...): tokens in and around each interval, cut out of the arrays of its document, whose part is the lot."""
+    rows = source.beside(found.select("doc_id", "l", "r"), columns).withColumnRenamed("part", "lot")
     first = F.greatest(F.col("l") - context, F.lit(0))
     cut = F.arrays_zip(*[F.slice(c, first + 1, F.col("r") + context + 1 - first).alias(c) for c in columns])
-    rows = rows.select("doc_id", "l", "r", first.alias("first"), F.posexplode(cut).alias("i", "t"))
-    return rows.select("doc_id", "l", "r", (F.col("first") + F.col("i")).alias("pos"), *[F.col("t")[c].alias(c) for c in columns])
+    rows = rows.select("lot", "doc_id", "l", "r", first.alias("first"), F.posexplode(cut).alias("i", "t"))
+    return rows.select("lot", "doc_id", "l", "r", (F.col("first") + F.col("i")).alias("pos"), *[F.col("t")[c].alias(c) for c in columns])
 
 
 def plain_snippets(found: DataFrame, source, context: int = 5, field: str = "token") -> DataFrame:
     """(doc_id, l, r, snippet); empty snippets are dropped."""
-    rows = found.select("doc_id", "l", "r").join(source.forward([field]).drop("part"), "doc_id")
+    rows = source.beside(found.select("doc_id", "l", "r"), [field])
     first = F.greatest(F.col("l") - context, F.lit(0))
     words = F.transform(F.slice(field, first + 1, F.col("r") + context + 1 - first), display)
     return rows.select("doc_id", "l", "r", F.array_join(words, " ").alias("snippet")).where("length(snippet) > 0")
@@ -99,8 +99,8 @@ def rendered(found: DataFrame, source, context: int = 5, style: str = "html", ta
     own, each = token_attributes(attributes or [], style, entities), "span" if style == "html" else "field"
     text = display(F.col(field))
     text = F.when((own != "") & (text != ""), F.concat(F.lit(f"<{each}"), own, F.lit(">"), text, F.lit(f"</{each}>"))).otherwise(text)
-    rows = rows.select("doc_id", "l", "r", "pos", "entity", F.coalesce("mention", "pos").alias("part"), text.alias("text"), picks.alias("picks"), values.alias("values"))
-    parts = rows.groupBy("doc_id", "l", "r", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "values"))).alias("t"), F.first("picks").alias("picks"), F.first("entity").alias("tag"))
+    rows = rows.select("lot", "doc_id", "l", "r", "pos", "entity", F.coalesce("mention", "pos").alias("part"), text.alias("text"), picks.alias("picks"), values.alias("values"))
+    parts = rows.groupBy("lot", "doc_id", "l", "r", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "values"))).alias("t"), F.first("picks").alias("picks"), F.first("entity").alias("tag"))
     parts = parts.withColumn("text", F.array_join(F.filter("t.text", lambda x: x != ""), " ")).withColumn("attrs", merged_attributes(F.col("picks"), F.col("t.values"), entities.last_only))
     plain = F.replace("attrs", F.lit("data-"), F.lit(""))
     element = F.concat(F.lit("<"), "tag", plain, F.lit(">"), "text", F.lit("</"), "tag", F.lit(">"))
@@ -109,14 +109,15 @@ def rendered(found: DataFrame, source, context: int = 5, style: str = "html", ta
         element = F.concat(code, element, F.lit("\x1b[0m"))
     elif style != "raw":
         element = F.concat(F.lit("<a"), "attrs", F.lit(">"), "text", F.lit("</a>"))
-    out = parts.withColumn("shown", F.when(F.col("tag").isNotNull(), element).otherwise(F.col("text"))).groupBy("doc_id", "l", "r").agg(F.array_sort(F.collect_list(F.struct("part", "shown")))["shown"].alias("s"))
+    out = parts.withColumn("shown", F.when(F.col("tag").isNotNull(), element).otherwise(F.col("text"))).groupBy("lot", "doc_id", "l", "r").agg(F.array_sort(F.collect_list(F.struct("part", "shown")))["shown"].alias("s"))
     return out.select("doc_id", "l", "r", F.array_join(F.filter("s", lambda x: x != ""), " ").alias("snippet")).where("length(snippet) > 0")
 
 
 def paragraphs(tokens: DataFrame) -> DataFrame:
     """Texts by paragraph."""
     text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], display), lambda x: x != ""), " ")
-    return tokens.groupBy("doc_id", "par_no").agg(text.alias("snippet")).where("length(snippet) > 0")
+    key = [c for c in ("part", "doc_id", "par_no") if c in tokens.columns]
+    return tokens.groupBy(*key).agg(text.alias("snippet")).where("length(snippet) > 0").drop("part")
 
 
 def page_size(snippets: int) -> int:

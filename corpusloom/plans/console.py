@@ -21,7 +21,7 @@ from corpusloom.operators.index import StoredIndex, is_index, write_index
 from corpusloom.plans.service import ask
 from corpusloom.plans.settings import Settings, read_cursor, read_settings, settings_of, write_cursor, write_settings
 from corpusloom.sources.storage import exists
-from corpusloom.sources.tokens import vertical_documents, vertical_lines, vertical_tokens
+from corpusloom.sources.tokens import vertical_arrays, vertical_documents, vertical_lines
 
 SHADES = {name.replace(" ", "").lower(): code for name, code in CODES.items()}
 
@@ -59,7 +59,7 @@ def printed(answer: dict, head: Iterable[str] = (), dye: dict[str, str] | None =
 def index_collection(spark: SparkSession, source: str, target: str, settings: Settings | None = None) -> None:
     """The index over vertical files, with what is known of their documents."""
     lines = vertical_lines(spark, source)
-    write_index(vertical_tokens(lines), target, list((settings or Settings()).indexed))
+    write_index(lines, target, list((settings or Settings()).indexed), lines.count(), vertical_arrays)
     vertical_documents(lines).write.mode("overwrite").parquet(f"{target}/about")
     if settings:
         spark.createDataFrame([(json.dumps(asdict(settings)),)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{target}/settings")

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.entities import FIELDS
 
 PARAGRAPH, SENTENCE = "§", "¶"
+#: Bytes of text that a task's Python works on at once, but for a longer document.
+PIECE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between JVM and Python, at most; one longer row makes a batch of its own.
+BATCH_BYTES = 16 << 20
 
 
 def plain_tokens(docs: DataFrame) -> DataFrame:
@@ -21,9 +25,27 @@ def plain_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("pos", "token")).withColumn("lower", F.lower("token"))
 
 
+def in_batches(df: DataFrame, fn, kind) -> DataFrame:
+    """mapInArrow, with bounded batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(fn, kind)
+
+
+def pieces(it: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows whose texts or arrays in a column have at most ``limit`` bytes or items together, one row at least."""
+    for batch in it:
+        cells = batch.column(column)
+        sizes = pc.list_value_length(cells) if pa.types.is_list(cells.type) else pc.binary_length(cells)
+        ends, start = np.cumsum(pc.fill_null(sizes, 0).to_numpy().astype(np.int64)), 0
+        while start < len(batch):
+            end = max(start + 1, int(np.searchsorted(ends, limit + (ends[start - 1] if start else 0), "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and their lower case as arrays of words, which ASCII white space divides, with the number of each word's sentence."""
-    for batch in it:
+    for batch in pieces(it, "text", PIECE_BYTES):
         cells = [[(t or b"").split() for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text", "lower")]
         arrays = [pa.array(x, pa.list_(pa.binary())).cast(pa.list_(pa.string())) for x in cells]
         size = pc.list_value_length(arrays[0]).to_numpy().astype(np.int64)
@@ -38,7 +60,7 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def plain_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, token, lower, sen_no): the same as one row a document with arrays by position; a sentence ends at a token with a full stop."""
     rows = docs.select("doc_id", "text", F.lower("text").alias("lower"))
-    return rows.mapInArrow(_words, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, token array<string>, lower array<string>, sen_no array<long>")
+    return in_batches(rows, _words, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, token array<string>, lower array<string>, sen_no array<long>")
 
 
 def with_sentences(tokens: DataFrame) -> DataFrame:
@@ -53,74 +75,111 @@ def alternatives(field: str | Column) -> Column:
 
 
 def vertical_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, file, at, line): each file's documents in order; gzip is read as such. What precedes the first document is dropped.
+    """(doc_id, file, value): the text of each document in order of files; gzip is read as such. What precedes the first document is dropped.
 
-    Documents are numbered within the splits of files, so that no task holds the heads of a whole file.
+    Documents are numbered within the splits of files, of which a first pass tells the sizes; texts aren't shuffled.
     """
     chunks = spark.read.option("lineSep", "\n%%#DOC").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     chunks = chunks.withColumn("n", F.monotonically_increasing_id())
-    heads = chunks.select("file", "block", "n", F.col("value").startswith("%%#DOC").alias("whole"))
-    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("n"))
-    first = heads.groupBy("file").agg(F.min("block").alias("first"))
-    heads = heads.withColumn("k", own).join(first, "file").where("whole or block > first or k > 1").withColumn("k", own - 1)
-    blocks = heads.groupBy("file", "block").agg(F.count("*").alias("size"))  # a row for each split of a file
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = heads.join(blocks, ["file", "block"]).select("n", (F.col("k") + F.col("before")).alias("doc_id"))
-    return chunks.join(ids, "n").select("doc_id", "file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    first = F.min(F.struct("n", F.col("value").startswith("%%#DOC").alias("whole"))).alias("head")
+    splits = chunks.groupBy("file", "block").agg(first, F.count("*").alias("size"))  # a row for each split of a file
+    head = (F.col("block") == F.min("block").over(Window.partitionBy("file"))) & ~F.col("head.whole")
+    splits = splits.select("file", "block", "head.n", "size", head.cast("long").alias("skip"))
+    before = F.coalesce(F.sum(F.col("size") - F.col("skip")).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", (F.col("n") + F.col("skip")).alias("from"), before.alias("before"))
+    return chunks.join(F.broadcast(splits), ["file", "block"]).where(F.col("n") >= F.col("from")).select((F.col("n") - F.col("from") + F.col("before")).alias("doc_id"), "file", "value")
+
+
+def _vertical(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(it, "value", 4 * PIECE_BYTES):
+        rows = pc.split_pattern(batch.column("value"), "\n")
+        size = pc.list_value_length(rows).to_numpy().astype(np.int64)
+        line, doc = pc.list_flatten(rows), np.repeat(np.arange(len(batch)), size)
+        sentence, paragraph = (pc.starts_with(line, x).to_numpy(zero_copy_only=False) for x in ("%%#SEN", "%%#PAR"))
+        mark = sentence | paragraph
+        plain = pc.and_(pc.not_equal(line, ""), pc.invert(pc.starts_with(line, "%%#"))).to_numpy(zero_copy_only=False)
+        kept = mark | plain
+        kept[np.cumsum(size) - size] = False  # what stands beside the mark of a document
+        line, doc, mark, sentence, paragraph = line.filter(pa.array(kept)), doc[kept], mark[kept], sentence[kept], paragraph[kept]
+        ends = np.cumsum(np.bincount(doc, minlength=len(batch)))
+        offsets = np.concatenate(([0], ends))
+        numbers = []
+        for m in (sentence, paragraph):
+            so_far = np.concatenate(([0], np.cumsum(m)))
+            numbers.append(pa.array(so_far[1:] - so_far[offsets[:-1]][doc], pa.int64()))
+        cells = pc.split_pattern(line, "\t")
+        n, flat = pc.list_value_length(cells).to_numpy().astype(np.int64), pc.list_flatten(cells)
+        start, sign = np.cumsum(n) - n, pa.array(np.where(paragraph, PARAGRAPH, SENTENCE), pa.string()) if len(line) else pa.array([], pa.string())
+        fields = [pc.if_else(pa.array(mark), sign, flat.take(pa.array(start + i, mask=n <= i))) for i in range(len(FIELDS))]
+        arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (*fields, *numbers, pa.array(mark))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *FIELDS, "sen_no", "par_no", "is_mark"])
+
+
+def vertical_arrays(lines: DataFrame) -> DataFrame:
+    """Documents (doc_id, value) as one row each with arrays by position: FIELDS of token rows and of sentence and paragraph marks, which take
+    a position in every field, sen_no, par_no and is_mark.
+    """
+    kind = f"doc_id long, {', '.join(f'{f} array<string>' for f in FIELDS)}, sen_no array<long>, par_no array<long>, is_mark array<boolean>"
+    return in_batches(lines.select(F.col("doc_id").cast("long"), "value"), _vertical, kind)
 
 
 def vertical_tokens(lines: DataFrame) -> DataFrame:
-    """Positions of token rows and of sentence and paragraph marks, which take a position in every field."""
-    kind = F.when(F.col("line").startswith("%%#SEN"), SENTENCE).when(F.col("line").startswith("%%#PAR"), PARAGRAPH)
-    rows = lines.where("at > 0").withColumn("mark", kind).where("mark is not null or (line <> '' and not startswith(line, '%%#'))")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    cells = F.split("line", "\t")
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1)
-    rows = rows.withColumn("sen_no", F.count_if(F.col("mark") == SENTENCE).over(order)).withColumn("par_no", F.count_if(F.col("mark") == PARAGRAPH).over(order))
-    return rows.select("doc_id", "pos", "sen_no", "par_no", F.col("mark").isNotNull().alias("is_mark"), *[F.coalesce("mark", F.get(cells, F.lit(i))).alias(f) for i, f in enumerate(FIELDS)])
+    """The same as token rows (doc_id, pos, ...)."""
+    columns = ["sen_no", "par_no", "is_mark", *FIELDS]
+    return vertical_arrays(lines).select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("pos", "t")).select("doc_id", "pos", "t.*")
 
 
 def vertical_documents(lines: DataFrame) -> DataFrame:
     """(doc_id, file, uuid, title, uri); a missing title is Unknown."""
-    page = F.split(F.regexp_replace("line", r"^%%#PAGE\s?", ""), "\t")
-    head = F.max(F.when(F.col("at") == 0, F.trim(F.regexp_replace("line", r"^(%%#DOC)?\s*", "")))).alias("uuid")
-    title = F.max(F.when(F.col("line").startswith("%%#PAGE"), page[0]))
-    uri = F.max(F.when(F.col("line").startswith("%%#PAGE"), F.url_encode(F.get(page, F.lit(1)))))
-    return lines.groupBy("doc_id", "file").agg(head, F.coalesce(title, F.lit("Unknown")).alias("title"), uri.alias("uri"))
+    rows = F.split("value", "\n")
+    heads = F.transform(F.filter(rows, lambda x: x.startswith("%%#PAGE")), lambda x: F.split(F.regexp_replace(x, r"^%%#PAGE\s?", ""), "\t"))
+    uuid = F.trim(F.regexp_replace(rows[0], r"^(%%#DOC)?\s*", "")).alias("uuid")
+    title = F.coalesce(F.array_max(F.transform(heads, lambda x: x[0])), F.lit("Unknown")).alias("title")
+    return lines.select("doc_id", "file", uuid, title, F.array_max(F.transform(heads, lambda x: F.url_encode(F.get(x, F.lit(1))))).alias("uri"))
+
+
+def _sentence_numbers(inner: DataFrame) -> DataFrame:
+    """(doc_id, before): how many sentences the documents before each have."""
+    counts = inner.groupBy(*[c for c in ("part", "doc_id") if c in inner.columns]).agg(F.max("k").alias("n")).withColumn("lot", F.floor(F.col("doc_id") / 65536))
+    own = F.sum("n").over(Window.partitionBy("lot").orderBy("doc_id")) - F.col("n")
+    lots = counts.groupBy("lot").agg(F.sum("n").alias("all"))
+    lots = lots.select("lot", (F.sum("all").over(Window.orderBy("lot")) - F.col("all")).alias("first"))
+    return counts.select("doc_id", "lot", own.alias("own")).join(lots, "lot").select("doc_id", (F.col("own") + F.col("first")).alias("before"))
 
 
 def sentences_as_documents(tokens: DataFrame) -> DataFrame:
-    """Each sentence as a document of its own, numbered in order; positions start anew."""
-    inner = tokens.where("sen_no > 0 and not is_mark")
-    counts = inner.select("doc_id", "sen_no").distinct().withColumn("lot", F.floor(F.col("doc_id") / 65536))
-    own = F.row_number().over(Window.partitionBy("lot").orderBy("doc_id", "sen_no")) - 1
-    lots = counts.groupBy("lot").agg(F.count("*").alias("n"))
-    lots = lots.select("lot", F.coalesce(F.sum("n").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ids = counts.withColumn("own", own).join(lots, "lot").select("doc_id", "sen_no", (F.col("own") + F.col("before")).alias("sentence_id"))
-    out = inner.join(ids, ["doc_id", "sen_no"]).withColumn("pos", F.row_number().over(Window.partitionBy("sentence_id").orderBy("pos")) - 1)
-    return out.drop("doc_id").withColumnRenamed("sentence_id", "doc_id")
+    """Each sentence as a document of its own, numbered in order; positions start anew. Tokens (part, doc_id, ...) of an index stay in its buckets."""
+    key = [c for c in ("part", "doc_id") if c in tokens.columns]
+    inner = tokens.where("sen_no > 0 and not is_mark").withColumn("k", F.dense_rank().over(Window.partitionBy(*key).orderBy("sen_no")))
+    inner = inner.withColumn("pos", F.row_number().over(Window.partitionBy(*key, "sen_no").orderBy("pos")) - 1)
+    out = inner.join(_sentence_numbers(inner), "doc_id").withColumn("doc_id", F.col("before") + F.col("k") - 1)
+    return out.drop("part", "k", "before")
+
+
+def sentence_title() -> Column:
+    return F.concat(F.lit("Sentence #"), F.col("doc_id") + 1)
 
 
 def sentence_titles(sentences: DataFrame) -> DataFrame:
     """(doc_id, title) of sentences as documents."""
-    return sentences.select("doc_id", F.concat(F.lit("Sentence #"), F.col("doc_id") + 1).alias("title")).distinct()
+    return sentences.select("doc_id", sentence_title().alias("title")).distinct()
 
 
-def vertical_texts(documents: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, value): each document (doc_id, title, url) as vertical text. ``tokens`` has doc_id, pos, sen_no and par_no from 0
+def vertical_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, value): each document (doc_id, title, url, rows) as vertical text. ``rows`` is an array of its tokens, structs of sen_no and par_no from 0
     on and FIELDS; a null ends a row's cells.
     """
-    cells = F.array_join(F.array_compact(F.array(*[F.col(f) for f in FIELDS])), "\t")
-    rows = tokens.select("doc_id", "sen_no", "par_no", F.struct("pos", cells.alias("line")).alias("t"))
-    sentences = rows.groupBy("doc_id", "par_no", "sen_no").agg(F.array_join(F.array_sort(F.collect_list("t"))["line"], "\n").alias("rows"))
-    text = F.concat(F.format_string("%%%%#SEN %d wx%d\n", "sen_no", "sen_no"), "rows")
-    parts = sentences.groupBy("doc_id", "par_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("sen_no", text.alias("s"))))["s"], "\n").alias("rows"))
-    text = F.concat(F.format_string("%%%%#PAR %d wx%d\n", "par_no", "par_no"), "rows")
-    whole = parts.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("par_no", text.alias("s"))))["s"], "\n").alias("rows"))
-    head = F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url")
-    return documents.join(whole, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, "rows").alias("value"))
-
-
-def write_vertical(documents: DataFrame, tokens: DataFrame, path: str) -> None:
-    """Vertical files whose names and rows are in order of doc_id."""
-    vertical_texts(documents, tokens).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+
+    def line(t: Column, i: Column) -> Column:
+        last = lambda name: F.get(F.col("rows"), i - 1)[name]
+        par = F.when((i == 0) | (last("par_no") != t["par_no"]), F.format_string("%%%%#PAR %d wx%d\n", t["par_no"], t["par_no"]))
+        sen = F.when((i == 0) | (last("sen_no") != t["sen_no"]), F.format_string("%%%%#SEN %d wx%d\n", t["sen_no"], t["sen_no"]))
+        return F.concat(F.coalesce(par, F.lit("")), F.coalesce(sen, F.lit("")), F.concat_ws("\t", *[t[f] for f in FIELDS]))
+
+    rows = F.when(F.size("rows") > 0, F.array_join(F.transform("rows", line), "\n"))
+    return documents.select("doc_id", F.concat_ws("\n", F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url"), rows).alias("value"))
+
+
+def write_vertical(texts: DataFrame, path: str) -> None:
+    """Vertical files, whose names and rows are in order of doc_id if the partitions and rows of ``texts`` (doc_id, value) are."""
+    texts.select("value").write.mode("overwrite").option("compression", "gzip").text(path)
