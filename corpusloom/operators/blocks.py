@@ -11,13 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.tokens import in_batches, pieces
+from corpusloom.sources.tokens import PIECE, in_batches, pieces
 
 SENTENCE, PARAGRAPH = "_SENT_", "_PAR_"
 PARTS = {SENTENCE: "sen_no", PARAGRAPH: "par_no"}
 KEY = ["part", "doc_id"]
-#: Positions that a task's Python works on at once, but for a longer document.
-PIECE = 1 << 19
 BLOCK = pa.schema([("field", pa.string()), ("term", pa.string()), ("part", pa.int64()), ("docs", pa.list_(pa.int64())), ("positions", pa.list_(pa.list_(pa.int32()))), ("cf", pa.int64()), ("max_count", pa.int64()), ("sum_max_pos", pa.int64())])
 BLOCK_SQL = "field string, term string, part long, docs array<long>, positions array<array<int>>, cf long, max_count long, sum_max_pos long"
 
@@ -100,7 +98,7 @@ def _gather(field: str, part: np.ndarray, doc: pa.Array, row: np.ndarray, pos: n
 
 def _blocks(fields: list[str], marks: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(it, fields[0], PIECE):
+        for batch in pieces(it, fields[0], 4 * PIECE):
             doc, part = batch.column("doc_id").cast(pa.int64()), batch.column("part").to_numpy()
             for name in fields:
                 row, pos, flat, several = _cells(batch.column(name))

@@ -17,6 +17,8 @@ PARAGRAPH, SENTENCE = "§", "¶"
 PIECE_BYTES = 2 << 20
 #: Bytes of an Arrow batch between JVM and Python, at most; one longer row makes a batch of its own.
 BATCH_BYTES = 16 << 20
+#: Positions that a task's Python works on at once, but for a longer document.
+PIECE = 1 << 17
 
 
 def plain_tokens(docs: DataFrame) -> DataFrame:
@@ -165,19 +167,29 @@ def sentence_titles(sentences: DataFrame) -> DataFrame:
     return sentences.select("doc_id", sentence_title().alias("title")).distinct()
 
 
-def vertical_texts(documents: DataFrame) -> DataFrame:
-    """(doc_id, value): each document (doc_id, title, url, rows) as vertical text. ``rows`` is an array of its tokens, structs of sen_no and par_no from 0
-    on and FIELDS; a null ends a row's cells.
-    """
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(it, "cells", PIECE):
+        size = pc.list_value_length(batch.column("cells")).to_numpy().astype(np.int64)
+        line, new = pc.list_flatten(batch.column("cells")), np.zeros(size.sum(), bool)
+        new[(np.cumsum(size) - size)[size > 0]] = True
+        for name, mark in (("sen_no", "%%#SEN "), ("par_no", "%%#PAR ")):
+            n = pc.list_flatten(batch.column(name))
+            first, text = new.copy(), pc.cast(n, pa.string())
+            first[1:] |= np.diff(n.to_numpy()) != 0
+            marked = pc.binary_join_element_wise(pc.binary_join_element_wise(mark, text, " wx", text, ""), line, "\n")
+            line = pc.if_else(pa.array(first), marked, line)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), line), "\n")
+        head = batch.column("head")
+        value = pc.if_else(pa.array(size > 0), pc.binary_join_element_wise(head, rows, "\n"), head)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), value], names=["doc_id", "value"])
 
-    def line(t: Column, i: Column) -> Column:
-        last = lambda name: F.get(F.col("rows"), i - 1)[name]
-        par = F.when((i == 0) | (last("par_no") != t["par_no"]), F.format_string("%%%%#PAR %d wx%d\n", t["par_no"], t["par_no"]))
-        sen = F.when((i == 0) | (last("sen_no") != t["sen_no"]), F.format_string("%%%%#SEN %d wx%d\n", t["sen_no"], t["sen_no"]))
-        return F.concat(F.coalesce(par, F.lit("")), F.coalesce(sen, F.lit("")), F.concat_ws("\t", *[t[f] for f in FIELDS]))
 
-    rows = F.when(F.size("rows") > 0, F.array_join(F.transform("rows", line), "\n"))
-    return documents.select("doc_id", F.concat_ws("\n", F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url"), rows).alias("value"))
+def vertical_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, value): each document (doc_id, title, url, cells, sen_no, par_no) as vertical text. ``cells`` has the rows of its tokens, the
+    others arrays by position of their sentences and paragraphs from 0 on.
+    """
+    head = F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url").alias("head")
+    return in_batches(documents.select("doc_id", head, "cells", "sen_no", "par_no"), _texts, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, value string")
 
 
 def write_vertical(texts: DataFrame, path: str) -> None:
