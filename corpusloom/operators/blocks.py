@@ -123,7 +123,7 @@ def block_rows(documents: DataFrame, fields: list[str], marks: list[str] | None
     return in_batches(documents.select("doc_id", F.col("part").cast("long"), *fields, *[PARTS[m] for m in marks]), _blocks(fields, marks), BLOCK_SQL)
 
 
-def _mentions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def mentions_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(it, "token", PIECE):
         size = pc.fill_null(pc.list_value_length(batch.column("token")), 0).to_numpy().astype(np.int64)
         flat = {c: pc.list_flatten(batch.column(c)) for c in ("nerid", "nertag", "nerlength")}
@@ -145,4 +145,4 @@ def _mentions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_mentions(documents: DataFrame) -> DataFrame:
     """Adds arrays ``mention`` and ``entity``: position and tag of the last token of the entity that a token belongs to, the last one if several."""
     kind = T.StructType(list(documents.schema.fields)).add("mention", T.ArrayType(T.IntegerType())).add("entity", T.ArrayType(T.StringType()))
-    return in_batches(documents, _mentions, kind)
+    return in_batches(documents, mentions_of, kind)

@@ -134,4 +134,5 @@ def constrained(found: DataFrame, source, text: str, mapping: dict[str, dict[str
         raise ConstraintError(f"no field {missing[0]}")
     rows = source.beside(found.select("doc_id", "l", "r", "marks"), fields)
     value = lambda m: F.struct(m["label"].alias("label"), m["pos"].alias("pos"), *[F.get(F.col(f), m["pos"]).alias(f) for f in fields])
-    return rows.select("part", "doc_id", "l", "r", F.transform("marks", value).alias("matches")).where(condition(tree, F.col("matches"), mapping)).select("part", "doc_id", "l", "r")
+    each = F.transform("found", lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"), F.transform(x["marks"], value).alias("matches")))
+    return rows.select("part", "doc_id", F.explode(each).alias("x")).select("part", "doc_id", "x.*").where(condition(tree, F.col("matches"), mapping)).select("part", "doc_id", "l", "r")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import CODES, USUAL, Entities, missing_as_null
 from corpusloom.functions.sexpr import compile_expression
 from corpusloom.operators.blocks import token_rows
+from corpusloom.sources.tokens import PIECE, in_batches, pieces
 
 
 def display(token: Column) -> Column:
@@ -19,19 +24,23 @@ def display(token: Column) -> Column:
 
 def snippet_tokens(found: DataFrame, source, context: int, columns: list[str]) -> DataFrame:
     """(lot, doc_id, l, r, pos, ...): tokens in and around each interval, cut out of the arrays of its document, whose part is the lot."""
-    rows = source.beside(found.select("doc_id", "l", "r"), columns).withColumnRenamed("part", "lot")
-    first = F.greatest(F.col("l") - context, F.lit(0))
-    cut = F.arrays_zip(*[F.slice(c, first + 1, F.col("r") + context + 1 - first).alias(c) for c in columns])
-    rows = rows.select("lot", "doc_id", "l", "r", first.alias("first"), F.posexplode(cut).alias("i", "t"))
-    return rows.select("lot", "doc_id", "l", "r", (F.col("first") + F.col("i")).alias("pos"), *[F.col("t")[c].alias(c) for c in columns])
+    rows = source.beside(found.select("doc_id", "l", "r").where("l is not null"), columns).withColumnRenamed("part", "lot")
+    token = lambda x: lambda p: F.struct(x["l"].alias("l"), x["r"].alias("r"), p.alias("pos"), *[F.get(F.col(c), p).alias(c) for c in columns])
+    each = F.transform("found", lambda x: F.transform(_places(x, context, columns[0]), token(x)))
+    return rows.select("lot", "doc_id", F.explode(F.flatten(each)).alias("t")).select("lot", "doc_id", "t.*")
+
+
+def _places(x: Column, context: int, field: str) -> Column:
+    """The positions in and around an interval."""
+    return F.sequence(F.greatest(x["l"] - context, F.lit(0)), F.least(x["r"] + context, F.size(field) - 1))
 
 
 def plain_snippets(found: DataFrame, source, context: int = 5, field: str = "token") -> DataFrame:
     """(doc_id, l, r, snippet); empty snippets are dropped."""
-    rows = source.beside(found.select("doc_id", "l", "r"), [field])
-    first = F.greatest(F.col("l") - context, F.lit(0))
-    words = F.transform(F.slice(field, first + 1, F.col("r") + context + 1 - first), display)
-    return rows.select("doc_id", "l", "r", F.array_join(words, " ").alias("snippet")).where("length(snippet) > 0")
+    rows = source.beside(found.select("doc_id", "l", "r").where("l is not null"), [field])
+    words = lambda x: F.transform(_places(x, context, field), lambda p: display(F.get(F.col(field), p)))
+    each = F.transform("found", lambda x: F.struct(x["l"].alias("l"), x["r"].alias("r"), F.array_join(words(x), " ").alias("snippet")))
+    return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where("length(snippet) > 0")
 
 
 def mentions(source) -> DataFrame:
@@ -113,11 +122,21 @@ def rendered(found: DataFrame, source, context: int = 5, style: str = "html", ta
     return out.select("doc_id", "l", "r", F.array_join(F.filter("s", lambda x: x != ""), " ").alias("snippet")).where("length(snippet) > 0")
 
 
-def paragraphs(tokens: DataFrame) -> DataFrame:
-    """Texts by paragraph."""
-    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], display), lambda x: x != ""), " ")
-    key = [c for c in ("part", "doc_id", "par_no") if c in tokens.columns]
-    return tokens.groupBy(*key).agg(text.alias("snippet")).where("length(snippet) > 0").drop("part")
+def _paragraphs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(it, "token", PIECE):
+        size = pc.list_value_length(batch.column("token")).to_numpy().astype(np.int64)
+        row, number = np.repeat(np.arange(len(batch)), size), pc.list_flatten(batch.column("par_no")).to_numpy().astype(np.int64)
+        text = pc.replace_substring_regex(pc.replace_substring_regex(pc.list_flatten(batch.column("token")), r"\|G\S*", ""), "[¶§]", "")
+        shown = pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False)
+        row, number, text = row[shown], number[shown], text.filter(pa.array(shown))
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))) if len(row) else row
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), text), " ")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[new])), pa.array(number[new], pa.int64()), joined], names=["doc_id", "par_no", "snippet"])
+
+
+def paragraphs(documents: DataFrame) -> DataFrame:
+    """(doc_id, par_no, snippet): texts by paragraph of documents (doc_id, arrays par_no and token by position), made within each document."""
+    return in_batches(documents.select("doc_id", "par_no", "token"), _paragraphs, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, par_no long, snippet string")
 
 
 def page_size(snippets: int) -> int:

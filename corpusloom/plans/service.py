@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.entities import FIELDS
+from corpusloom.operators.blocks import documents_of
 from corpusloom.operators.constraints import constrained
 from corpusloom.operators.index import StoredIndex, TokenTable
 from corpusloom.operators.snippets import budget, next_cursor, page, page_by_ranges, paragraphs, plain_snippets, rendered
@@ -134,7 +135,7 @@ def respond(tokens: DataFrame | Source, documents: DataFrame, request: dict, mul
     try:
         source = as_source(tokens, multi)
         if "get" in request:
-            rows = paragraphs(source.tokens_of([int(request["get"])])).orderBy("par_no").collect()
+            rows = paragraphs(documents_of(source.tokens_of([int(request["get"])]).select("doc_id", "pos", "par_no", "token"))).orderBy("par_no").collect()
             about = documents.where(F.col("doc_id") == int(request["get"])).first()
             told = {k: about[k] if about and k in documents.columns else None for k in ("title", "uri")}
             return {"results": [{"data": [r.snippet for r in rows], "doc": str(request["get"]), **told}], "time": str(time.time_ns() - began), "error": ""}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,12 +117,13 @@ def _vertical(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *FIELDS, "sen_no", "par_no", "is_mark"])
 
 
-def vertical_arrays(lines: DataFrame) -> DataFrame:
+def vertical_arrays(lines: DataFrame, mentions: Callable | None = None) -> DataFrame:
     """Documents (doc_id, value) as one row each with arrays by position: FIELDS of token rows and of sentence and paragraph marks, which take
-    a position in every field, sen_no, par_no and is_mark.
+    a position in every field, sen_no, par_no and is_mark. ``mentions`` adds arrays ``mention`` and ``entity`` to batches of such in the same worker.
     """
     kind = f"doc_id long, {', '.join(f'{f} array<string>' for f in FIELDS)}, sen_no array<long>, par_no array<long>, is_mark array<boolean>"
-    return in_batches(lines.select(F.col("doc_id").cast("long"), "value"), _vertical, kind)
+    made = (lambda it: mentions(_vertical(it))) if mentions else _vertical
+    return in_batches(lines.select(F.col("doc_id").cast("long"), "value"), made, f"{kind}, mention array<int>, entity array<string>" if mentions else kind)
 
 
 def vertical_tokens(lines: DataFrame) -> DataFrame:

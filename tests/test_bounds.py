@@ -1,10 +1,12 @@
 """What bounds the tasks that write and read the index: pieces of batches, no shuffle of arrays, no token rows on the way to vertical files."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from corpusloom.operators import blocks, index
+from corpusloom.operators import blocks, index, snippets
 from corpusloom.plans import annotated
+from corpusloom.plans.query import Searcher
 from corpusloom.sources import tokens as T
 
 
@@ -48,3 +50,41 @@ def test_documents_lie_in_the_buckets_of_their_parts(spark, tmp_path):
     beside = stored.tokens_with(["token"]).groupBy("part", "doc_id").agg(F.count("*").alias("n"))
     assert "Exchange" not in beside._jdf.queryExecution().executedPlan().toString()
     assert {r.n for r in beside.collect()} == {2} and blocks.KEY == ["part", "doc_id"]
+
+
+def test_documents_lie_in_small_row_groups(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    index.write_index(docs, str(tmp_path / "i"), ["token", "lower"], 3000, T.plain_documents, ordered=True)
+    meta = [pq.ParquetFile(f).metadata for f in (tmp_path / "i" / "1" / "documents").glob("*.parquet")]
+    groups = [m.row_group(g).num_rows for m in meta for g in range(m.num_row_groups)]
+    assert sum(groups) == 3000 and max(groups) <= 256
+
+
+def test_ordered_rows_make_the_same_index_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} a") for i in range(700)], "doc_id long, text string").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    found = []
+    for ordered in (False, True):
+        path = str(tmp_path / str(ordered))
+        index.write_index(docs, path, ["token", "lower"], 700, T.plain_documents, ordered=ordered)
+        stored = index.StoredIndex(spark, path)
+        hits = stored.hits([("lower", "a", False), ("lower", "b3", False)])
+        found.append((sorted(map(tuple, stored.terms.collect())), sorted(map(tuple, hits.collect()))))
+    assert found[0] == found[1] and len(found[0][1]) == 1500
+
+
+def test_intervals_share_one_row_of_their_document(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b " * 5) for i in range(20)], "doc_id long, text string")
+    index.write_index(docs, str(tmp_path / "i"), ["token", "lower"], 20, T.plain_documents)
+    stored = index.StoredIndex(spark, str(tmp_path / "i"))
+    found = Searcher(stored).search("a", "lower")
+    rows = stored.beside(found, ["token"]).collect()
+    assert len(rows) == 20 and {len(r.found) for r in rows} == {5}
+    shown = snippets.plain_snippets(found, stored, 1).where("doc_id = 3").orderBy("l").collect()
+    assert [(r.l, r.snippet) for r in shown] == [(0, "a b"), (2, "b a b"), (4, "b a b"), (6, "b a b"), (8, "b a b")]
+
+
+def test_paragraphs_are_made_without_token_rows(spark):
+    docs = spark.createDataFrame([(1, [1, 1, 1, 2, 2], ["§", "a|G__", "b", "§", "c"]), (2, [1], ["¶"]), (3, [], [])], "doc_id long, par_no array<long>, token array<string>")
+    found = snippets.paragraphs(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a b"), (1, 2, "c")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
