@@ -96,16 +96,16 @@ def _sketches(p: Params):
 
 
 def _bands(p: Params):
-    schema = pa.schema([("key", pa.int64()), ("band", pa.int64()), ("rid", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int64()), ("rid", pa.int64()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, p.bands, p.rows)
+            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, p.bands, p.rows)
             key = (regs.astype(U64) * salts(p.rows, 3)).sum(2, dtype=U64) if p.rows != 4 else regs.copy().view(U64)[:, :, 0]
             key = mix(key + salts(p.bands, 9))
-            yield batches({"key": key.view(np.int64).ravel(), "band": np.tile(np.arange(p.bands), len(regs)), "rid": np.repeat(batch.column(0).to_numpy(), p.bands)}, schema)
+            yield batches({"key": key.view(np.int64).ravel(), "band": np.tile(np.arange(p.bands), len(regs)), "rid": np.repeat(batch.column(0).to_numpy(), p.bands), "n": np.repeat(batch.column(1).to_numpy(), p.bands)}, schema)
 
-    return run, "key long, band long, rid long"
+    return run, "key long, band long, rid long, n long"
 
 
 def _pruned(p: Params):
@@ -213,13 +213,10 @@ def _in_blocks(left: DataFrame, p: Params) -> DataFrame:
     weight = F.sum(8 * F.col("n") + 2 * p.bands * p.rows)
     sizes = left.groupBy("key", "comp").agg(weight.alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
     sizes = sizes.select("key", F.col("top.comp").alias("top"), F.expr(f"cast(ceil((all - top.n) / {p.block_bytes}) as int)").alias("minor"), F.expr(f"cast(ceil(top.n / {p.block_bytes}) as int)").alias("major"))
-    rows = left.join(sizes, "key")
-    small = rows.where("comp <> top").withColumn("mine", F.expr("cast(pmod(xxhash64(rid), minor) as int)"))
-    small = small.withColumn("other", F.explode(F.expr("sequence(-major, minor - 1)")))
-    small = small.withColumn("bi", F.when(F.col("other") < 0, F.col("mine")).otherwise(F.least("mine", "other"))).withColumn("bj", F.when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("mine", "other")))
-    large = rows.where("comp = top").withColumn("mine", F.expr("cast(-1 - pmod(xxhash64(rid), major) as int)")).withColumn("bi", F.explode(F.expr("sequence(0, minor - 1)"))).withColumn("bj", F.col("mine"))
-    kept = ["key", "band", "rid", "comp", "mine", "bi", "bj"]
-    return small.select(kept).union(large.select(kept))
+    rows = left.join(sizes, "key").withColumn("mine", F.expr("cast(if(comp = top, -1 - pmod(xxhash64(rid), major), pmod(xxhash64(rid), minor)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(if(mine < 0, 0, -major), minor - 1)")))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return rows.select("key", "band", "rid", "comp", "mine", F.when(low < 0, high).otherwise(low).alias("bi"), F.when(low < 0, low).otherwise(high).alias("bj"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -244,7 +241,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     nodes = scratch.put(nodes.withColumn("rid", F.monotonically_increasing_id()))
     unnamed = not nodes.where("first.none").isEmpty()
     fn, kind = _bands(p)
-    bands = nodes.select("rid", "sketch").mapInArrow(fn, kind)
+    bands = nodes.select("rid", "n", "sketch").mapInArrow(fn, kind)
     buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rid").alias("pivot")).where("size > 1").select("key", "pivot")
     members = scratch.put(bands.join(buckets, "key").where("rid <> pivot"))
     sketches = nodes.select("rid", "n", "sketch")
@@ -277,20 +274,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
 
     def open_members(of: DataFrame) -> DataFrame:
         """Members of the buckets that still hold more than one component, with the bucket's next pivot."""
-        named = of.join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("key", "band", "rid", F.coalesce("comp", "rid").alias("comp"))
+        named = of.join(groups.withColumnsRenamed({"node": "rid"}), "rid", "left").select("key", "band", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
         apart = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rid", "comp")).alias("p")).where("low < high")
         return named.join(apart.select("key", "p"), "key")
 
-    left = scratch.put(open_members(members.select("key", "band", "rid")))
+    left = scratch.put(open_members(members.select("key", "band", "rid", "n")))
     pairs = left.where("comp <> p.comp").select(F.col("p.rid").alias("u"), F.col("rid").alias("v")).distinct()
     more = stars(pairs)
     if not more.isEmpty():
         groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
-    left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "band", "rid")))
+    left = scratch.put(open_members(left.where("rid <> p.rid").select("key", "band", "rid", "n")))
     if not left.isEmpty():
         sets = sets_of(left.select("rid").distinct())
         fn, kind = _block_links(p)
-        cut = _in_blocks(left.join(sketches.select("rid", "n"), "rid"), p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
+        cut = _in_blocks(left, p).join(sketches.join(sets, "rid"), "rid").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
         more = scratch.put(cut.select("key", "bi", "bj", "mine", "band", "rid", "comp", "n", "sketch", "members").mapInArrow(fn, kind).distinct())
         if not more.isEmpty():
             groups = scratch.put(connected(groups.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch))
