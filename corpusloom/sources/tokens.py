@@ -46,7 +46,7 @@ def pieces(it: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa
 
 
 def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their lower case as arrays of words, which ASCII white space divides, with the number of each word's sentence."""
+    """Texts and their lower case as arrays of words, which ASCII white space divides, with the number of each word's sentence; a head stays."""
     for batch in pieces(it, "text", PIECE_BYTES):
         cells = [[(t or b"").split() for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in ("text", "lower")]
         arrays = [pa.array(x, pa.list_(pa.binary())).cast(pa.list_(pa.string())) for x in cells]
@@ -56,7 +56,13 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.cumsum(size) - size
         numbers = before[:-1] - np.repeat(before[first], size)
         offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int64()))], names=["doc_id", "token", "lower", "sen_no"])
+        made = pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int64()))], names=["doc_id", "token", "lower", "sen_no"])
+        yield with_head(made, batch)
+
+
+def with_head(made: pa.RecordBatch, of: pa.RecordBatch) -> pa.RecordBatch:
+    """The head that rows came with, beside what was made of them."""
+    return made.append_column("head", of.column("head")) if "head" in of.schema.names else made
 
 
 def plain_documents(docs: DataFrame) -> DataFrame:
@@ -169,6 +175,7 @@ def sentence_titles(sentences: DataFrame) -> DataFrame:
 
 
 def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vertical text of each document, from its head and the rows of its tokens."""
     for batch in pieces(it, "cells", PIECE):
         size = pc.list_value_length(batch.column("cells")).to_numpy().astype(np.int64)
         line, new = pc.list_flatten(batch.column("cells")), np.zeros(size.sum(), bool)
@@ -180,17 +187,27 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = pc.binary_join_element_wise(pc.binary_join_element_wise(mark, text, " wx", text, ""), line, "\n")
             line = pc.if_else(pa.array(first), marked, line)
         rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), line), "\n")
-        head = batch.column("head")
-        value = pc.if_else(pa.array(size > 0), pc.binary_join_element_wise(head, rows, "\n"), head)
+        first_lines = batch.column("head")
+        value = pc.if_else(pa.array(size > 0), pc.binary_join_element_wise(first_lines, rows, "\n"), first_lines)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), value], names=["doc_id", "value"])
 
 
+def _head(title: str | Column, url: str | Column) -> Column:
+    """The first lines of a document's vertical text."""
+    return F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", title, url).alias("head")
+
+
 def vertical_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, value): each document (doc_id, title, url, cells, sen_no, par_no) as vertical text. ``cells`` has the rows of its tokens, the
     others arrays by position of their sentences and paragraphs from 0 on.
     """
-    head = F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", "title", "url").alias("head")
-    return in_batches(documents.select("doc_id", head, "cells", "sen_no", "par_no"), _texts, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, value string")
+    return in_batches(documents.select("doc_id", _head("title", "url"), "cells", "sen_no", "par_no"), _texts, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, value string")
+
+
+def vertical_of_plain(docs: DataFrame, title: Column, url: Column, annotate: Callable) -> DataFrame:
+    """The same of plain texts; ``annotate`` makes cells and par_no of batches of their words, in the worker that cuts and joins them."""
+    rows = docs.select("doc_id", "text", F.lower("text").alias("lower"), _head(title, url))
+    return in_batches(rows, lambda it: _texts(annotate(_words(it))), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, value string")
 
 
 def write_vertical(texts: DataFrame, path: str) -> None:

@@ -88,3 +88,11 @@ def test_paragraphs_are_made_without_token_rows(spark):
     found = snippets.paragraphs(docs)
     assert sorted(map(tuple, found.collect())) == [(1, 1, "a b"), (1, 2, "c")]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vertical_files_are_made_by_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(i, "One Two. Three four|x Five.\nsix " * i if i != 7 else None) for i in range(20)], "doc_id long, text string")
+    found, steps = annotated.vertical(docs), T.vertical_texts(annotated.annotated(docs))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, steps.collect()))
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert (count(found), count(steps)) == (1, 3)
