@@ -17,6 +17,8 @@ SENTENCE, PARAGRAPH = "_SENT_", "_PAR_"
 PARTS = {SENTENCE: "sen_no", PARAGRAPH: "par_no"}
 KEY = ["part", "doc_id"]
 BLOCK = pa.schema([("field", pa.string()), ("term", pa.string()), ("part", pa.int64()), ("docs", pa.list_(pa.int64())), ("positions", pa.list_(pa.list_(pa.int32()))), ("cf", pa.int64()), ("max_count", pa.int64()), ("sum_max_pos", pa.int64())])
+STATS = ["field", "term", "df", "cf", "max_count", "sum_max_pos"]
+STATS_SQL = "field string, term string, df long, cf long, max_count long, sum_max_pos long"
 BLOCK_SQL = "field string, term string, part long, docs array<long>, positions array<array<int>>, cf long, max_count long, sum_max_pos long"
 
 
@@ -68,6 +70,15 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _sorted(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Terms as numbers in their order, and the terms by number."""
+    coded = flat.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
 def _gather(field: str, part: np.ndarray, doc: pa.Array, row: np.ndarray, pos: np.ndarray, code: np.ndarray, terms: pa.Array, unique: bool) -> pa.RecordBatch:
     """Blocks from occurrences: sorted by term, those of one document and of one part are runs."""
     order = np.argsort(code * (len(doc) + 1) + row, kind="stable")
@@ -96,19 +107,32 @@ def _gather(field: str, part: np.ndarray, doc: pa.Array, row: np.ndarray, pos: n
     )
 
 
-def _blocks(fields: list[str], marks: list[str]):
+def blocks_of(fields: list[str], marks: list[str]):
+    """Blocks of batches (doc_id, part, arrays), those of each piece in order of field, term and part; one part if none is named."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(it, fields[0], 4 * PIECE):
-            doc, part = batch.column("doc_id").cast(pa.int64()), batch.column("part").to_numpy()
-            for name in fields:
-                row, pos, flat, several = _cells(batch.column(name))
+            doc = batch.column("doc_id").cast(pa.int64())
+            part = batch.column("part").to_numpy() if "part" in batch.schema.names else np.zeros(len(doc), np.int64)
+            for name in sorted([*fields, *marks]):
+                if name in marks:
+                    row, pos = _starts(batch.column(PARTS[name]))
+                    code, terms, several = np.zeros(len(row), np.int64), pa.array([""]), False
+                else:
+                    row, pos, flat, several = _cells(batch.column(name))
+                    code, terms = _sorted(flat)
                 if len(row):
-                    coded = flat.dictionary_encode()
-                    yield _gather(name, part, doc, row, pos, coded.indices.to_numpy().astype(np.int64), coded.dictionary, not several)
-            for mark in marks:
-                row, pos = _starts(batch.column(PARTS[mark]))
-                if len(row):
-                    yield _gather(mark, part, doc, row, pos, np.zeros(len(row), np.int64), pa.array([""]), True)
+                    yield _gather(name, part, doc, row, pos, code, terms, not several)
+
+    return run
+
+
+def stats_of(fields: list[str]):
+    """Statistics (field, term, df, cf, max_count, sum_max_pos) of each piece of batches: blocks without their arrays."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks_of(fields, [])(it):
+            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("term"), pc.list_value_length(b.column("docs")).cast(pa.int64()), *[b.column(c) for c in STATS[3:]]], names=STATS)
 
     return run
 
@@ -117,10 +141,10 @@ def block_rows(documents: DataFrame, fields: list[str], marks: list[str] | None
     """Blocks (field, term, part, docs, positions, cf, max_count, sum_max_pos) of documents (doc_id, part, arrays).
 
     Terms are the alternatives of cells; the starts of sentences and paragraphs are postings of the empty term. The rows of one part that lie
-    together in a piece make one block of each term; nothing is shuffled.
+    together in a piece make one block of each term, and a piece's blocks come in order of field, term and part; nothing is shuffled or sorted.
     """
     marks = [m for m, c in PARTS.items() if c in documents.columns] if marks is None else marks
-    return in_batches(documents.select("doc_id", F.col("part").cast("long"), *fields, *[PARTS[m] for m in marks]), _blocks(fields, marks), BLOCK_SQL)
+    return in_batches(documents.select("doc_id", F.col("part").cast("long"), *fields, *[PARTS[m] for m in marks]), blocks_of(fields, marks), BLOCK_SQL)
 
 
 def mentions_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,7 @@ def search(text: str, source=stored):
 
 
 def term_postings(spark, sf_dir):
-    found = index.postings(plain_documents(docs(spark, sf_dir)), "lower")
+    found = index.postings(docs(spark, sf_dir), "lower")
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
@@ -149,7 +149,7 @@ _ALL = {
     "tokenize": (lambda s, d: tokens(s, d), f"WITH {TOKENS} SELECT doc_id, pos, token, lower FROM t"),
     "sentences": (sentence_sizes, f"WITH {TOKENS} SELECT doc_id, CAST(sen_no AS BIGINT) AS sen_no, count(*) AS n, min(pos) AS first FROM s GROUP BY ALL"),
     "index_postings": (term_postings, f"WITH {TOKENS} SELECT lower AS term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS lower FROM t) GROUP BY ALL"),
-    "index_terms": (lambda s, d: index.term_stats(plain_documents(docs(s, d)), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM p GROUP BY term"),
+    "index_terms": (lambda s, d: index.term_stats(docs(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf, max(pos) AS last FROM o GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_count, CAST(sum(last) AS BIGINT) AS sum_max_pos FROM p GROUP BY term"),
     "index_totals": (lambda s, d: index.index_totals(plain_documents(docs(s, d)), docs(s, d), "lower"), f"WITH {TOKENS}, o AS (SELECT doc_id, pos, unnest(list_filter(string_split(lower, '|'), lambda x: x <> '')) AS term FROM t), p AS (SELECT term, doc_id, count(*) AS tf FROM o GROUP BY ALL), q AS (SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS m FROM p GROUP BY term) SELECT count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(cf) AS BIGINT) AS occurrences, max(m) AS maxcount, (SELECT max(pos) + 1 FROM t) AS maxdocsize, (SELECT count(*) FROM documents) AS documents FROM q"),
     "search_term": (search("that"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE lower = 'that'"),
     "search_field": (search("token:That"), f"WITH {TOKENS} SELECT doc_id, pos AS l, pos AS r FROM t WHERE token = 'That'"),

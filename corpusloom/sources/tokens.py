@@ -60,9 +60,16 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield with_head(made, batch)
 
 
-def with_head(made: pa.RecordBatch, of: pa.RecordBatch) -> pa.RecordBatch:
-    """The head that rows came with, beside what was made of them."""
-    return made.append_column("head", of.column("head")) if "head" in of.schema.names else made
+def with_head(made: pa.RecordBatch, of: pa.RecordBatch, *names: str) -> pa.RecordBatch:
+    """The head that rows came with, and intervals found in them, beside what was made of them."""
+    for name in names or ("head", "found"):
+        made = made.append_column(name, of.column(name)) if name in of.schema.names else made
+    return made
+
+
+def of_words(docs: DataFrame, then: Callable, kind: str, *more: Column | str) -> DataFrame:
+    """What ``then`` makes of batches (doc_id, token, lower, sen_no, more), in the worker that cuts texts into words."""
+    return in_batches(docs.select("doc_id", "text", F.lower("text").alias("lower"), *more), lambda it: then(_words(it)), kind)
 
 
 def plain_documents(docs: DataFrame) -> DataFrame:
@@ -98,7 +105,22 @@ def vertical_lines(spark: SparkSession, path: str) -> DataFrame:
     return chunks.join(F.broadcast(splits), ["file", "block"]).where(F.col("n") >= F.col("from")).select((F.col("n") - F.col("from") + F.col("before")).alias("doc_id"), "file", "value")
 
 
-def _vertical(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(line: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many cells each line has, and the cells of all lines, each followed by what divides it from the next; no byte is copied."""
+    ends = np.frombuffer(line.buffers()[1], np.int32)[line.offset : line.offset + len(line) + 1].astype(np.int64)
+    tab = np.flatnonzero(np.frombuffer(line.buffers()[2], np.uint8)[ends[0] : ends[-1]] == 9) + ends[0]
+    n = np.diff(np.searchsorted(tab, ends)) + 1
+    offsets = np.empty(2 * n.sum() + 1, np.int32)
+    first, inner = np.cumsum(n) - n, np.ones(n.sum(), bool)
+    inner[first] = False
+    inner = np.flatnonzero(inner)
+    offsets[2 * first], offsets[2 * inner] = ends[:-1], tab + 1
+    offsets[2 * (first + n) - 1], offsets[2 * inner - 1], offsets[-1] = ends[1:], tab, ends[-1]
+    return n, pa.StringArray.from_buffers(2 * int(n.sum()), pa.py_buffer(offsets), line.buffers()[2])
+
+
+def _vertical(it: Iterator[pa.RecordBatch], own: list[str] = FIELDS) -> Iterator[pa.RecordBatch]:
+    """Vertical text as arrays of some fields and of what its marks tell."""
     for batch in pieces(it, "value", 4 * PIECE_BYTES):
         rows = pc.split_pattern(batch.column("value"), "\n")
         size = pc.list_value_length(rows).to_numpy().astype(np.int64)
@@ -115,12 +137,11 @@ def _vertical(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in (sentence, paragraph):
             so_far = np.concatenate(([0], np.cumsum(m)))
             numbers.append(pa.array(so_far[1:] - so_far[offsets[:-1]][doc], pa.int64()))
-        cells = pc.split_pattern(line, "\t")
-        n, flat = pc.list_value_length(cells).to_numpy().astype(np.int64), pc.list_flatten(cells)
+        n, flat = _cells(line) if len(line) else (np.zeros(0, np.int64), line)
         start, sign = np.cumsum(n) - n, pa.array(np.where(paragraph, PARAGRAPH, SENTENCE), pa.string()) if len(line) else pa.array([], pa.string())
-        fields = [pc.if_else(pa.array(mark), sign, flat.take(pa.array(start + i, mask=n <= i))) for i in range(len(FIELDS))]
+        fields = [pc.if_else(pa.array(mark), sign, flat.take(pa.array(2 * (start + i), mask=n <= i))) for i in map(FIELDS.index, own)]
         arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (*fields, *numbers, pa.array(mark))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *FIELDS, "sen_no", "par_no", "is_mark"])
+        yield with_head(pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *own, "sen_no", "par_no", "is_mark"]), batch, "found")
 
 
 def vertical_arrays(lines: DataFrame, mentions: Callable | None = None) -> DataFrame:
@@ -189,25 +210,31 @@ def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), line), "\n")
         first_lines = batch.column("head")
         value = pc.if_else(pa.array(size > 0), pc.binary_join_element_wise(first_lines, rows, "\n"), first_lines)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), value], names=["doc_id", "value"])
+        yield with_head(pa.RecordBatch.from_arrays([batch.column("doc_id"), value], names=["doc_id", "value"]), batch, "found")
 
 
-def _head(title: str | Column, url: str | Column) -> Column:
+def head(title: str | Column, url: str | Column, name: str = "doc_id") -> Column:
     """The first lines of a document's vertical text."""
-    return F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", "doc_id", title, url).alias("head")
+    return F.format_string("%%%%#DOC\t%d\n%%%%#PAGE %s\t%s", name, title, url).alias("head")
 
 
 def vertical_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, value): each document (doc_id, title, url, cells, sen_no, par_no) as vertical text. ``cells`` has the rows of its tokens, the
     others arrays by position of their sentences and paragraphs from 0 on.
     """
-    return in_batches(documents.select("doc_id", _head("title", "url"), "cells", "sen_no", "par_no"), _texts, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, value string")
+    return in_batches(documents.select("doc_id", head("title", "url"), "cells", "sen_no", "par_no"), _texts, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, value string")
 
 
 def vertical_of_plain(docs: DataFrame, title: Column, url: Column, annotate: Callable) -> DataFrame:
     """The same of plain texts; ``annotate`` makes cells and par_no of batches of their words, in the worker that cuts and joins them."""
-    rows = docs.select("doc_id", "text", F.lower("text").alias("lower"), _head(title, url))
-    return in_batches(rows, lambda it: _texts(annotate(_words(it))), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, value string")
+    return of_words(docs, lambda it: _texts(annotate(it)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, value string", head(title, url))
+
+
+def arrays_of_plain(docs: DataFrame, annotate: Callable, fields: list[str], then: Callable, kind: str) -> DataFrame:
+    """What ``then`` makes of batches of ``vertical_arrays``, of some fields, of plain texts (doc_id, text, head): one worker cuts and joins them into vertical
+    text, reads this and uses it, so that arrays that ``then`` leaves out never reach Spark. Intervals ``found`` in rows come along.
+    """
+    return of_words(docs, lambda it: then(_vertical(_texts(annotate(it)), fields)), kind, *[c for c in ("head", "found") if c in docs.columns])
 
 
 def write_vertical(texts: DataFrame, path: str) -> None:

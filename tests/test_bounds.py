@@ -96,3 +96,24 @@ def test_vertical_files_are_made_by_one_worker_a_task(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, steps.collect()))
     count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
     assert (count(found), count(steps)) == (1, 3)
+
+
+def test_blocks_of_a_piece_come_in_order(spark):
+    docs = spark.createDataFrame([(i, f"b{i % 7} a z{i} B") for i in range(40)], "doc_id long, text string").coalesce(1)
+    documents = T.plain_documents(docs).withColumn("part", F.shiftright("doc_id", 4))
+    found = [(r.field, r.term, r.part) for r in blocks.block_rows(documents, ["token", "lower"]).collect()]
+    assert found == sorted(found) and {f for f, _, _ in found} == {"_SENT_", "lower", "token"}
+
+
+def test_postings_are_written_without_a_sort(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"b{i % 7} a") for i in range(40)], "doc_id long, text string")
+    index.write_index(docs, str(tmp_path / "i"), ["token", "lower"], 40, T.plain_documents)
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {index._name(str(tmp_path / 'i'), 1, 'postings')}").collect()}
+    assert told.get("Sort Columns", "[]") == "[]"
+
+
+def test_dictionary_is_made_by_one_worker_a_task(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "One two|x Two. two " * i if i != 7 else None) for i in range(20)], "doc_id long, text string")
+    found, steps = index.term_stats(docs, "lower"), index.term_stats(T.plain_documents(docs), "lower")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, steps.collect()))
