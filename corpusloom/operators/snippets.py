@@ -22,8 +22,29 @@ def display(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"\|G\S*", ""), "[¶§]", "")
 
 
+def cut(context: int, columns: list[str]):
+    """Tokens (doc_id, l, r, pos, ...) in and around each interval of batches of documents as arrays, as ``snippet_tokens`` has them."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            size, n = (pc.list_value_length(batch.column(c)).to_numpy().astype(np.int64) for c in (columns[0], "found"))
+            found, row = pc.list_flatten(batch.column("found")), np.repeat(np.arange(len(batch)), n)
+            l, r = (pc.struct_field(found, c).to_numpy().astype(np.int64) for c in ("l", "r"))
+            low = np.maximum(l - context, 0)
+            count = np.minimum(r + context, size[row] - 1) - low + 1
+            each = np.repeat(np.arange(len(row)), count)
+            pos = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + low[each]
+            at = pa.array((np.cumsum(size) - size)[row[each]] + pos)
+            taken = [pc.list_flatten(batch.column(c)).take(at) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[each])), *[pa.array(x, pa.int32()) for x in (l[each], r[each], pos)], *taken], names=["doc_id", "l", "r", "pos", *columns])
+
+    return run
+
+
 def snippet_tokens(found: DataFrame, source, context: int, columns: list[str]) -> DataFrame:
     """(lot, doc_id, l, r, pos, ...): tokens in and around each interval, cut out of the arrays of its document, whose part is the lot."""
+    if hasattr(source, "cut"):
+        return source.cut(found.select("doc_id", "l", "r").where("l is not null"), context, columns)
     rows = source.beside(found.select("doc_id", "l", "r").where("l is not null"), columns).withColumnRenamed("part", "lot")
     token = lambda x: lambda p: F.struct(x["l"].alias("l"), x["r"].alias("r"), p.alias("pos"), *[F.get(F.col(c), p).alias(c) for c in columns])
     each = F.transform("found", lambda x: F.transform(_places(x, context, columns[0]), token(x)))
@@ -48,29 +69,36 @@ def mentions(source) -> DataFrame:
     return token_rows(source.forward(["mention", "entity"]), ["mention", "entity"]).where("mention is not null").select("doc_id", "pos", "mention", "entity")
 
 
-def _field(name: str) -> Column | None:
+def field_value(name: str) -> Column | None:
     return missing_as_null(F.col(name)) if name in NAMES else display(F.col("token")) if name == "content" else None
 
 
-def entity_values(tags: dict[str, list[str]] | None = None, entities: Entities = USUAL) -> tuple[Column, Column]:
+def entity_values(tags: dict[str, list[str]] | None = None, entities: Entities = USUAL, read: set[str] | None = None) -> tuple[Column, Column]:
     """(picks, values): what a token adds to its entity (column ``entity``), and the names and places of the attributes to show.
 
     ``tags`` limits them to some tags and their attribute names ("all" for any). Of tokens before the last, properties
-    count only if they have any.
+    count only if they have any. The names of the fields that are read are added to ``read``.
     """
-    shared = {k: compile_expression(v, _field).cast("string") for k, v in (entities.common | entities.entity).items()}
+
+    def _field(name: str) -> Column | None:
+        (set() if read is None else read).add(name)
+        return field_value(name)
+
+    asked = lambda k, wanted: "all" in wanted or k in wanted or k.removeprefix("data-") in wanted
+    shown = [w for t in entities.mapping if (w := (tags or {"all": ["all"]}).get(t, (tags or {"all": ["all"]}).get("all"))) is not None]
+    shared = {k: compile_expression(v, _field).cast("string") for k, v in (entities.common | entities.entity).items() if any(asked(k, w) for w in shown)}
     has_own = reduce(Column.__or__, [_field(f"param{i}").isNotNull() for i in range(10)]) | (F.col("mention") == F.col("pos"))
     picks, own = F.array().cast("array<struct<name:string,at:int>>"), F.array().cast("array<string>")
     for tag in entities.mapping:
         wanted = (tags or {"all": ["all"]}).get(tag, (tags or {"all": ["all"]}).get("all"))
         if wanted is not None:
             named = entities.expressions.get(tag, {})
-            chosen = [(k, i) for i, k in enumerate([*shared, *named]) if "all" in wanted or k in wanted or k.removeprefix("data-") in wanted]
+            chosen = [(k, i) for i, k in enumerate([*shared, *named]) if asked(k, wanted)]
             if any(i >= len(shared) for _, i in chosen):
                 own = F.when(F.col("entity") == tag, F.array(*[compile_expression(v, _field).cast("string") for v in named.values()])).otherwise(own)
             if chosen:
                 picks = F.when(F.col("entity") == tag, F.array(*[F.struct(F.lit(k).alias("name"), F.lit(i).alias("at")) for k, i in chosen])).otherwise(picks)
-    return picks, F.concat(F.array(*shared.values()), F.when(has_own, own).otherwise(F.array().cast("array<string>")))
+    return picks, F.concat(F.array(*shared.values()).cast("array<string>"), F.when(has_own, own).otherwise(F.array().cast("array<string>")))
 
 
 def merged_attributes(picks: Column, values: Column, last_only: tuple[str, ...]) -> Column:
@@ -102,9 +130,10 @@ def rendered(found: DataFrame, source, context: int = 5, style: str = "html", ta
 
     Tokens of one entity are one part, clipped where the snippet begins, whose attributes are joined from all of them.
     """
-    columns = [*dict.fromkeys(["token", field, *sorted(NAMES & set(source.columns)), *(attributes or []), "mention", "entity"])]
+    read, params = set(), {f"param{i}" for i in range(10)}
+    picks, values = entity_values(tags, entities, read)
+    columns = [*dict.fromkeys(["token", field, *sorted((read | params) & NAMES & set(source.columns)), *(attributes or []), "mention", "entity"])]
     rows = snippet_tokens(found, source, context, columns).where(display(F.col("token")) != "")
-    picks, values = entity_values(tags, entities)
     own, each = token_attributes(attributes or [], style, entities), "span" if style == "html" else "field"
     text = display(F.col(field))
     text = F.when((own != "") & (text != ""), F.concat(F.lit(f"<{each}"), own, F.lit(">"), text, F.lit(f"</{each}>"))).otherwise(text)
@@ -122,7 +151,7 @@ def rendered(found: DataFrame, source, context: int = 5, style: str = "html", ta
     return out.select("doc_id", "l", "r", F.array_join(F.filter("s", lambda x: x != ""), " ").alias("snippet")).where("length(snippet) > 0")
 
 
-def _paragraphs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def paragraphs_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(it, "token", PIECE):
         size = pc.list_value_length(batch.column("token")).to_numpy().astype(np.int64)
         row, number = np.repeat(np.arange(len(batch)), size), pc.list_flatten(batch.column("par_no")).to_numpy().astype(np.int64)
@@ -136,7 +165,7 @@ def _paragraphs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paragraphs(documents: DataFrame) -> DataFrame:
     """(doc_id, par_no, snippet): texts by paragraph of documents (doc_id, arrays par_no and token by position), made within each document."""
-    return in_batches(documents.select("doc_id", "par_no", "token"), _paragraphs, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, par_no long, snippet string")
+    return in_batches(documents.select("doc_id", "par_no", "token"), paragraphs_of, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, par_no long, snippet string")
 
 
 def page_size(snippets: int) -> int:

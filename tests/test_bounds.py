@@ -117,3 +117,30 @@ def test_dictionary_is_made_by_one_worker_a_task(spark, tmp_path):
     found, steps = index.term_stats(docs, "lower"), index.term_stats(T.plain_documents(docs), "lower")
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, steps.collect()))
+
+
+def test_cells_are_cut_without_a_copy():
+    lines = ["a\tb\t", "", "\t", "é\tc"]
+    for a in (pa.array(lines), pa.array(["x\ty", *lines]).slice(1)):
+        n, cells = T._cells(a)
+        flat = iter(cells.take(pa.array(range(0, len(cells), 2))).to_pylist())
+        assert [[next(flat) for _ in range(k)] for k in n] == [x.split("\t") for x in lines]
+
+
+def test_an_index_of_vertical_text_has_what_its_queries_name(spark, tmp_path):
+    spark.createDataFrame([(i * 5, "Anna went. To Parma with Clara now " * (i % 4)) for i in range(30)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stored = annotated.searched(spark, str(tmp_path), "(person.gender:M < nertag:location) - _PAR_", ["position"])
+    assert (stored.names, sorted(stored.columns)) == (["nertag", "param3"], ["nertag", "par_no", "param3", "position"])
+    assert annotated.texts(spark, str(tmp_path)).where(F.startswith("head", F.format_string("%%%%#DOC\t%d\n", F.col("doc_id") * 5))).count() == 30
+
+
+def test_paragraphs_and_snippets_are_made_in_the_worker_that_reads_texts(spark, tmp_path):
+    spark.createDataFrame([(i, "Anna went. To Parma with Clara now " * (i % 4)) for i in range(30)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("paragraph_snippets", "entity_merge", "vertical_fields"):
+        plan = annotated.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    made = annotated.Made(spark, str(tmp_path))
+    found = spark.createDataFrame([(3, 3, 5), (3, 0, 0), (7, 4, 4)], "doc_id long, l int, r int")
+    whole = {(r.doc_id, r.pos): r.token for r in annotated.vertical_tokens(spark, str(tmp_path)).collect()}
+    cut = [(r.doc_id, r.l, r.r, r.pos, r.token) for r in made.cut(found, 2, ["token", "mention"]).collect()]
+    assert sorted(cut) == sorted((d, l, r, p, whole[d, p]) for d, l, r in ((3, 3, 5), (3, 0, 0), (7, 4, 4)) for p in range(max(l - 2, 0), r + 3))
